@@ -5,25 +5,59 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, tokens
+from . import chat, decontam, linededup, mixing, quality, simhash, tokens
 from .common import table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
+#: A conversation whose texts are control strings of other templates.
+CONTROL_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.repeated_lines(table(spark, sf_dir, "documents"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID)
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame(CONTROL_TURNS, rows.schema)
+    paths = chat.best_paths(chat.linear_messages(rows.unionByName(more)))
+    return chat.digest(chat.formatted(paths))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_quality": op2_quality,
+    "op3_line_dedup": op3_line_dedup,
+    "op6_simhash": op6_simhash,
+    "op7_decontamination": op7_decontamination,
     "op8_token_ids": op8_token_ids,
+    "op10_chat": op10_chat,
 }
 
 ORACLES = {
     "op1_mixing": mixing.ORACLE_SQL,
+    "op2_quality": quality.ORACLE_SQL,
+    "op3_line_dedup": linededup.ORACLE_SQL,
+    "op7_decontamination": decontam.ORACLE_SQL,
+    "op10_chat": chat.ORACLE_SQL,
 }
