@@ -99,8 +99,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         places = F.filter(_starts(F.col("doc"), MASKS[k]), lambda i: marked(_at(F.col("doc"), i, MASKS[k])))
         return F.transform(places, lambda i: F.struct(F.lit(k).alias("mask"), i.alias("place"), _at(F.col("doc"), i, MASKS[k]).alias("h")))
 
-    some = hashed.withColumn("hits", F.concat(*[hits(k) for k in range(len(MASKS))])).where(F.size("hits") > 0)
-    rows = some.select("doc_id", "doc", F.explode("hits").alias("x")).select("doc_id", "doc", "x.*")
+    # explode_outer: for explode, Spark would infer a filter on the hits and compute them, with all that they need, once more below
+    found_at = hashed.withColumn("hits", F.concat(*[hits(k) for k in range(len(MASKS))]))
+    rows = found_at.select("doc_id", "doc", F.explode_outer("hits").alias("x")).where("x.h IS NOT NULL").select("doc_id", "doc", "x.*")
     side = F.broadcast(found) if n <= BROADCAST_ROWS else found
     laid = rows.join(side, ["mask", "h"]).select(
         "doc_id", "item_id", (F.col("place") - F.col("at")).alias("offset"), F.size("item").alias("item_words"),
