@@ -22,18 +22,15 @@ from pyspark.sql import functions as F
 from .common import SPACE, SPACES, written
 
 LEAST_WORDS = 5
+#: Candidate lines up to which their places are broadcast; beyond it, the lines are joined to them by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Of docs (doc_id, text): doc_id, line_no from 0 and the line's words in lower case."""
-    split = docs.select("doc_id", F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("line_no", "line"))
+    """Of docs (doc_id, text): doc_id, line_no from 0, the line in lower case without outer space, and its words."""
+    split = docs.select("doc_id", F.posexplode_outer(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("line_no", "line"))
     bare = F.btrim(F.lower(F.col("line")), F.lit(SPACE))
-    return split.withColumn("line", bare).where("line <> ''").select("doc_id", "line_no", F.split("line", SPACES).alias("w"))
-
-
-def _named(lines: DataFrame) -> DataFrame:
-    """Adds a line's name, two hashes of 96 bits together."""
-    return lines.withColumn("h", F.xxhash64("w")).withColumn("g", F.hash("w"))
+    return split.withColumn("line", bare).where("line <> ''").withColumn("w", F.split("line", SPACES))
 
 
 def _halves() -> Column:
@@ -61,38 +58,41 @@ def near_copy(a: Column, b: Column) -> Column:
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """One row per line that goes: doc_id, line_no, kept_doc_id and kept_line_no of the earliest line of which it is a near copy, and
     edits, 0 or 1 between them."""
-    occurring = written(_named(_lines(docs)).select("doc_id", "line_no", "h", "g", _halves().alias("halves")), "line-occurrences")
+    lines = _lines(docs)
+    named = lines.select("doc_id", "line_no", F.xxhash64("w").alias("h"), F.hash("w").alias("g"), _halves().alias("halves"))
+    occurring = written(named, "line-occurrences")
+    # a distinct line, its name two hashes of 96 bits together, is known by its first occurrence
     place = F.struct("doc_id", "line_no")
-    distinct = written(
-        occurring.groupBy("h", "g").agg(F.min(place).alias("first"), F.first("halves").alias("halves")), "line-distinct"
-    )
-    keys = distinct.select("h", "g", F.explode("halves").alias("key"))
+    distinct = written(occurring.groupBy("h", "g").agg(F.min(place).alias("first"), F.first("halves").alias("halves")), "line-distinct")
+    keys = distinct.select("first", F.explode_outer("halves").alias("key")).where("key IS NOT NULL")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    near = written(keys.join(shared, "key", "left_semi").select("h", "g").distinct(), "line-candidates")
-    # the words of candidates, from their first occurrence
-    firsts = distinct.join(near, ["h", "g"], "left_semi").select("h", "g", "first")
-    wanted = firsts.select(F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l"), "h", "g")
+    near = written(keys.join(shared, "key", "left_semi").select("first").distinct(), "line-candidates")
+    # the candidates' words, from their first occurrence
+    wanted = near.select(F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l")).distinct()
+    wanted = F.broadcast(wanted) if near.count() <= BROADCAST_ROWS else wanted
     at = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l"))
-    texts = _named(_lines(docs)).withColumnRenamed("h", "h2").withColumnRenamed("g", "g2").join(wanted, at & (F.col("h2") == F.col("h")) & (F.col("g2") == F.col("g")))
-    texts = written(texts.groupBy("h", "g").agg(F.first("w").alias("w"), F.min(place).alias("first")), "line-texts")
-    # every variant: the line with the word at place i taken out
+    texts = lines.drop("w").join(wanted, at, "left_semi").withColumn("w", F.split("line", SPACES))
+    texts = written(texts.select(place.alias("first"), "line", F.xxhash64("w").alias("whole")), "line-texts").dropDuplicates(["first", "whole"])
+    texts = texts.withColumn("w", F.split("line", SPACES)).where(F.size("w") >= LEAST_WORDS)
+    # every variant: the line with the word at place i taken out; of one task, to be aggregated by hashes without and with the place
     n = F.size("w")
     cut = lambda i: F.concat(F.slice("w", F.lit(1), i), F.slice(F.col("w"), i + 2, n - i - 1))
-    variant = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("i"), F.xxhash64(cut(i)).alias("vh"), F.hash(cut(i)).alias("vg")))
-    long = texts.where(n >= LEAST_WORDS)
-    variants = written(long.select("h", "g", "first", F.explode(variant).alias("v")).select("h", "g", "first", "v.*"), "line-variants")
-    replaced = variants.groupBy("vh", "vg", "i").agg(F.min("first").alias("m"), F.count("*").alias("n")).where("n > 1").drop("n")
-    by_replacing = variants.join(replaced, ["vh", "vg", "i"]).select("h", "g", "m")
-    taken = variants.groupBy("vh", "vg").agg(F.min("first").alias("m"))
-    whole = long.select(F.col("h").alias("vh"), F.col("g").alias("vg"), "first")
-    lacking = whole.join(taken, ["vh", "vg"]).select(F.col("vh").alias("h"), F.col("vg").alias("g"), "m")
-    having = variants.select("h", "g", "vh", "vg").join(whole, ["vh", "vg"]).select("h", "g", F.col("first").alias("m"))
-    best = by_replacing.unionByName(lacking).unionByName(having).groupBy("h", "g").agg(F.min("m").alias("m"))
-    found = best.join(texts, ["h", "g"]).where("m < first").select("h", "g", "m", "w")
+    variant = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.xxhash64(cut(i)).alias("v"), F.xxhash64(i, cut(i)).alias("vi")))
+    variants = written(texts.select("first", F.explode_outer(variant).alias("x")).select("first", "x.*"), "line-variants")
+    replaced = variants.groupBy("vi").agg(F.min("first").alias("m"), F.count("*").alias("n")).where("n > 1").select("vi", "m")
+    by_replacing = variants.select("vi", "first").join(replaced, "vi").select("first", "m")
+    # each variant is one distinct line at most
+    whole = texts.select(F.col("whole").alias("v"), F.col("first").alias("shorter"))
+    lacking = written(variants.select("v", "first").join(whole, "v").select("first", "shorter"), "line-lacking")
+    by_lacking = lacking.select(F.col("shorter").alias("first"), F.col("first").alias("m"))
+    best = by_replacing.unionByName(by_lacking).unionByName(lacking.withColumnRenamed("shorter", "m")).groupBy("first").agg(F.min("m").alias("m"))
     # the partner's words verify the edit
+    found = best.where("m < first").join(texts.select("first", "w"), "first")
     partner = texts.select(F.col("first").alias("m"), F.col("w").alias("w2"))
-    sure = written(found.join(partner, "m").where(near_copy(F.col("w"), F.col("w2"))).select("h", "g", "m"), "line-near")
-    of_line = distinct.join(sure, ["h", "g"], "left").select("h", "g", "first", F.coalesce("m", "first").alias("kept"), F.col("m").isNotNull().cast("int").alias("edits"))
+    sure = written(found.join(partner, "m").where(near_copy(F.col("w"), F.col("w2"))).select("first", "m").groupBy("first").agg(F.min("m").alias("m")), "line-near")
+    of_line = distinct.select("h", "g", "first").join(sure, "first", "left").select(
+        "h", "g", "first", F.coalesce("m", "first").alias("kept"), F.col("m").isNotNull().cast("int").alias("edits")
+    )
     gone = occurring.select("doc_id", "line_no", "h", "g").join(of_line, ["h", "g"])
     gone = gone.where((F.col("edits") == 1) | ~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
     return gone.select(
