@@ -78,13 +78,13 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     leaves = ended.join(parents, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("msg_id") == F.col("m")), "left_anti")
     order = Window.partitionBy("tree_id").orderBy(F.desc("sum"), F.desc("far"), "msg_id")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches)
-    paths = chosen.select("tree_id", "rank", "msg_id", F.col("far").alias("depth"))
+    paths = written(chosen.select("tree_id", "rank", "msg_id", F.col("far").alias("depth")), "chat-paths")
     for k in reversed(range(len(hops) - 1)):
         step = hops[k].select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), "up").where("up IS NOT NULL")
         above = paths.join(step, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("msg_id") == F.col("m"))).select(
             "tree_id", "rank", F.col("up").alias("msg_id"), (F.col("depth") - (1 << k)).alias("depth")
         )
-        paths = paths.unionByName(above)
+        paths = written(paths.unionByName(above), "chat-paths")
     paths = paths.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), "rank", "depth")
     return paths.join(
         messages.select("tree_id", "msg_id", "role", "text"), F.col("t").eqNullSafe(F.col("tree_id")) & (F.col("m") == F.col("msg_id"))
