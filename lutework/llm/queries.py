@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, linededup, mixing, quality, simhash, tokens
+from . import chat, decontam, linededup, mixing, quality, simhash, tokens, toxicity
 from .common import table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
@@ -37,6 +37,10 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame(CONTROL_TURNS, rows.schema)
@@ -51,6 +55,7 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_decontamination": op7_decontamination,
     "op8_token_ids": op8_token_ids,
+    "op9_toxicity": op9_toxicity,
     "op10_chat": op10_chat,
 }
 
