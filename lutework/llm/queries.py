@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, linededup, mixing, quality, simhash, tokens, toxicity
+from . import chat, decontam, htmlcrf, licenses, linededup, mixing, quality, simhash, tokens, toxicity
 from .common import table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
@@ -25,6 +25,14 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.repeated_lines(table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlcrf.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,6 +60,8 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
+    "op4_licenses": op4_licenses,
+    "op5_html_text": op5_html_text,
     "op6_simhash": op6_simhash,
     "op7_decontamination": op7_decontamination,
     "op8_token_ids": op8_token_ids,
