@@ -60,27 +60,28 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     n_nodes = nodes.count()
     there = nodes.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"))
     known = (F.col("tree_id").eqNullSafe(F.col("t"))) & (F.col("up") == F.col("m"))
-    # up is null at roots; far: steps that up stands for; sum: scores of the steps passed, the message's own included
-    hops = [written(nodes.join(there, known, "left").select("tree_id", "msg_id", F.col("m").alias("up"), F.lit(1).cast("long").alias("far"), "sum"), "chat-hops")]
-    while not hops[-1].where("up IS NOT NULL").isEmpty():
+    first = written(nodes.join(there, known, "left").select("tree_id", "msg_id", F.col("m").alias("up"), F.lit(1).cast("long").alias("far"), "sum"), "chat-hops")
+    # far: messages passed so far, the message's own included, and sum their scores; hops: those who still have an ancestor above,
+    # the 2^k-th; ended: those whose root is reached
+    hops, ended = [first.where("up IS NOT NULL")], first.where("up IS NULL").drop("up")
+    while not hops[-1].isEmpty() and 1 << (len(hops) - 1) <= n_nodes:  # beyond, only messages in cycles still have ancestors
         last = hops[-1]
-        upper = last.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), F.col("up").alias("up2"), F.col("far").alias("far2"), F.col("sum").alias("sum2"))
-        jumped = last.join(upper, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("up") == F.col("m")), "left").select(
-            "tree_id", "msg_id", F.col("up2").alias("up"),
-            F.when(F.col("up").isNull(), F.col("far")).otherwise(F.col("far") + F.col("far2")).alias("far"),
-            F.when(F.col("up").isNull(), F.col("sum")).otherwise(F.col("sum") + F.col("sum2")).alias("sum"),
-        )
-        hops.append(written(jumped, "chat-hops"))
-        if 1 << (len(hops) - 1) > max(2, n_nodes):  # only messages in cycles still have ancestors
-            break
-    ended = hops[-1].where("up IS NULL")
+
+        def jumped(to: DataFrame, up: Column, last: DataFrame = last) -> DataFrame:
+            above = to.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), up.alias("up2"), F.col("far").alias("far2"), F.col("sum").alias("sum2"))
+            both = last.join(above, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("up") == F.col("m")))
+            return both.select("tree_id", "msg_id", F.col("up2").alias("up"), (F.col("far") + F.col("far2")).alias("far"), (F.col("sum") + F.col("sum2")).alias("sum"))
+
+        done = written(jumped(ended, F.lit(None).cast(last.schema["up"].dataType)).drop("up"), "chat-ended")
+        hops.append(written(jumped(last, F.col("up")), "chat-hops"))
+        ended = ended.unionByName(done)
     parents = nodes.select(F.col("tree_id").alias("t"), F.col("up").alias("m")).where("m IS NOT NULL").distinct()
     leaves = ended.join(parents, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("msg_id") == F.col("m")), "left_anti")
     order = Window.partitionBy("tree_id").orderBy(F.desc("sum"), F.desc("far"), "msg_id")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches)
     paths = written(chosen.select("tree_id", "rank", "msg_id", F.col("far").alias("depth")), "chat-paths")
-    for k in reversed(range(len(hops) - 1)):
-        step = hops[k].select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), "up").where("up IS NOT NULL")
+    for k in reversed(range(len(hops))):
+        step = hops[k].select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), "up")
         above = paths.join(step, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("msg_id") == F.col("m"))).select(
             "tree_id", "rank", F.col("up").alias("msg_id"), (F.col("depth") - (1 << k)).alias("depth")
         )
