@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import curation, ordered_queries, pitch, scoring
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for module in (pitch, scoring, ordered_queries, curation):
+    QUERIES |= module.REGISTRY.queries
+    ORACLES |= module.REGISTRY.oracles
