@@ -47,13 +47,11 @@ def by_levels(df: DataFrame, keys: list[str], aggregates: list[Column]) -> DataF
 
 def distribution_similarity(df: DataFrame, reference: str, prediction: str) -> DataFrame:
     """1 - half the summed difference of the two columns' value distributions."""
-    total = df.select(F.count(reference).alias("nr"), F.count(prediction).alias("np"))
     both = df.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col(reference).alias("v")), F.struct(F.lit(1).alias("side"), F.col(prediction).alias("v")))).alias("x"))
     counts = both.where("x.v IS NOT NULL").groupBy("x.v").agg(F.count_if(F.col("x.side") == 0).alias("r"), F.count_if(F.col("x.side") == 1).alias("p"))
-    # one row of totals beside a row per label
+    # a row per label of the vocabulary
     sums = counts.agg(F.collect_list(F.struct("r", "p")).alias("rows"), F.sum("r").alias("nr"), F.sum("p").alias("np"))
     gap = F.aggregate("rows", F.lit(0.0), lambda a, x: a + F.abs(x["r"] / F.col("nr") - x["p"] / F.col("np")))
-    del total
     return sums.select(F.col("nr").alias("n_reference"), F.col("np").alias("n_prediction"), (1 - 0.5 * gap).alias("similarity"))
 
 
