@@ -49,3 +49,8 @@ def words(text: Column) -> Column:
 def n_words(text: Column) -> Column:
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, SPACES))).cast("long")
+
+
+def row_of(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, beside which an operator's own columns can't clash with any; `row.*` gives them back."""
+    return F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACES, written
+from .common import SPACE, SPACES, row_of, written
 
 LEAST_WORDS = 5
 #: Candidate lines up to which their places are broadcast; beyond it, the lines are joined to them by a shuffle.
@@ -103,11 +103,12 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 def without_repeated(docs: DataFrame) -> DataFrame:
     """docs with the lines that go taken out of their texts; other columns pass."""
-    gone = repeated_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i.cast("long")))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    gone = repeated_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    rows = docs.select(row_of(docs))
+    joined = rows.join(gone, F.col("row.doc_id").eqNullSafe(gone["doc_id"]), "left")
+    kept = F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("gone", i.cast("long")))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 ORACLE_SQL = r"""

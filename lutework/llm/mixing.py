@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, written
+from .common import n_words, row_of, written
 
 #: Keys of a source are ordered within these buckets, each a task's work at most, and then by the buckets' sums.
 BUCKETS = 4096
@@ -126,11 +126,10 @@ def mix_report(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: t
 def mix_documents(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = (3, 1, 2), seed: int = 1) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with its own columns. The texts aren't shuffled: the plan, a row
     per source, is joined to them (broadcast by Spark where its written size is below autoBroadcastJoinThreshold)."""
-    columns = [f"`{c}`" for c in docs.columns]
     plan = source_plan(written(docs.select("doc_id", *_keyed(docs, seed)), "mix-sizes"), share, cap, weights)
-    keyed = docs.select(*columns, *_keyed(docs, seed))
+    keyed = docs.select(row_of(docs), "doc_id", *_keyed(docs, seed))
     copies = keyed.join(plan, "__source").withColumn("__copies", _copies()).where("__copies > 0")
-    return copies.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*columns)
+    return copies.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select("row.*")
 
 
 ORACLE_SQL = r"""

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACES, words
+from .common import SPACE, SPACES, row_of, words
 
 WINDOW, LEAST_WORDS, REPEATED_PERCENT = 8, 20, 30
 SYMBOLS = "#*$%&|<>"
@@ -43,11 +43,9 @@ def line_fails(line: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """Adds to (doc_id, text, ...) columns the base measures and the verdict: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    n_lines, n_kept_lines, kept_words, base_failed and kept, each named __m_ and its name; __kept holds the lines that passed. A word stands in
-    a repeated window if one of the windows of WINDOW words over it comes twice or more in the text, the first time included."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    split = docs.withColumn("__w", words(F.col("text"))).withColumn("__lines", F.filter(F.split(text, "\n"), has_word))
+    """Of docs (text, ...): row, a struct of all its columns, kept_lines, those that passed, and the MEASURES. A word stands in a repeated window if one of the windows of WINDOW words over it comes twice or more in the text, the first time included."""
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    split = docs.select(row_of(docs)).withColumn("__w", words(F.col("row.text"))).withColumn("__lines", F.filter(F.split(text, "\n"), has_word))
     n = F.size("__w")
     # a window's hash from its words' hashes; none in texts shorter than a window
     hashed = split.withColumn("__wh", F.transform("__w", lambda w: F.xxhash64(w)))
@@ -83,10 +81,10 @@ def measured(docs: DataFrame) -> DataFrame:
         "n_kept_lines": F.size("__kept"),
         "kept_words": counted(F.col("__kept")),
     }
-    out = hashed.select(*[f"`{c}`" for c in docs.columns], "__kept", *[c.cast("long").alias(f"__m_{k}") for k, c in long.items()])
-    failed = (F.col("__m_n_words") < LEAST_WORDS) | (F.col("__m_n_repeat_words") * 100 > F.col("__m_n_words") * REPEATED_PERCENT)
-    enough = F.col("__m_kept_words") >= F.col("__m_n_words") * F.lit(KEPT_SHARE)
-    return out.withColumn("__m_base_failed", failed).withColumn("__m_kept", ~failed & enough)
+    out = hashed.select("row", F.col("__kept").alias("kept_lines"), *[c.cast("long").alias(k) for k, c in long.items()])
+    failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEATED_PERCENT)
+    enough = F.col("kept_words") >= F.col("n_words") * F.lit(KEPT_SHARE)
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & enough)
 
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_kept_lines", "kept_words"]
@@ -95,14 +93,14 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, the measures and the verdict."""
     found = measured(docs.select("doc_id", "text"))
-    return found.select("doc_id", *[F.col(f"__m_{m}").alias(m) for m in MEASURES])
+    return found.select("row.doc_id", *MEASURES)
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, their text being the lines that passed, and n_chars its length where docs has such a column."""
-    found = measured(docs).where("__m_kept").withColumn("__text", F.array_join("__kept", "\n"))
-    new = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
-    return found.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    text = F.array_join("kept_lines", "\n")
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return measured(docs).where("kept").select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 ORACLE_SQL = r"""

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import row_of, written
 
 #: Fingerprints that may meet in one group before its remaining bits are cut into blocks again.
 REFINE = 4096
@@ -262,12 +262,11 @@ def keep_one(docs: DataFrame, k: int = 3, radius: int = 3, seed: int = 42) -> Da
     """docs without near copies: of each group, the row with the smallest doc_id; of equal rows with that id, one."""
     found = near_duplicates(docs, k, radius, seed)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    columns = [f"`{c}`" for c in docs.columns]
     own = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    repeated = written(own.groupBy("doc_id").count().where(F.col("count") > 1).select(F.col("doc_id").alias("__id")), "simhash-repeated")
+    repeated = written(own.groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id"), "simhash-repeated")
     if repeated.isEmpty():
-        return own.select(*columns)
-    again = own.join(repeated, own["doc_id"].eqNullSafe(repeated["__id"]), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    once = again.withColumn("__row", F.row_number().over(first)).where("__row = 1").select(*columns)
-    return own.join(repeated, own["doc_id"].eqNullSafe(repeated["__id"]), "left_anti").select(*columns).unionByName(once)
+        return own
+    same = own["doc_id"].eqNullSafe(repeated["doc_id"])
+    again = own.join(repeated, same, "left_semi")
+    first = again.select(row_of(again)).withColumn("n", F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text")))
+    return own.join(repeated, same, "left_anti").unionByName(first.where("n = 1").select("row.*"))

@@ -25,7 +25,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import row_of, written
 
 #: The most labelled documents that are learned from, the learned lexicon's size and the lengths of word beginnings in it.
 MAX_SAMPLE, LEXICON_SIZE, BEGINNINGS = 20_000, 400, (7, 6, 5)
@@ -143,13 +143,12 @@ class ToxicityModel:
     constant: float
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """docs with __score from 0 to 1 beside its own columns."""
+        """Of docs (text, ...): row, a struct of all its columns, and score from 0 to 1."""
+        rows = docs.select(row_of(docs))
         if self.trees is None:
-            return docs.withColumn("__score", F.lit(self.constant))
-        raw = self._raw(docs.withColumn("__f", feature_column(F.col("text"), self.lexicon)))
-        return self.calibration.transform(raw).withColumn("__score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "__calibrated"))).select(
-            *[f"`{c}`" for c in docs.columns], "__score"
-        )
+            return rows.withColumn("score", F.lit(self.constant))
+        raw = self._raw(rows.withColumn("__f", feature_column(F.col("row.text"), self.lexicon)))
+        return self.calibration.transform(raw).select("row", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "__calibrated")).alias("score"))
 
     def _raw(self, rows: DataFrame) -> DataFrame:
         scored = self.trees.transform(rows.withColumn("__v", array_to_vector("__f")))
@@ -191,9 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE, seed:
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score and predicted."""
     scored = fit(docs, labels).score(docs.select("doc_id", "text"))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that score below 0.5."""
-    return fit(docs, labels).score(docs).where("__score < 0.5").select(*[f"`{c}`" for c in docs.columns])
+    return fit(docs, labels).score(docs).where("score < 0.5").select("row.*")
