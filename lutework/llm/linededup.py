@@ -43,6 +43,24 @@ def _halves() -> Column:
     return F.when(n >= LEAST_WORDS - 1, F.array_distinct(F.array(*keys)))
 
 
+def _variants(w: str) -> Column:
+    """Of a column of word arrays: whole, the hash of all the words, and variants, for each place the hash of the words but the one there. A
+    hash is the exclusive or of the hashes of the words with their places, so that one pass makes all of them: left of the word
+    taken out the words keep their places, right of it they move up by one."""
+    words = F.transform(w, lambda x, i: F.struct(F.xxhash64(x, i).alias("here"), F.xxhash64(x, i - 1).alias("moved")))
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("left"), zero.alias("moved"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        moved = s["moved"].bitwiseXOR(x["moved"])
+        return F.struct(s["left"].bitwiseXOR(x["here"]).alias("left"), moved.alias("moved"), F.concat(s["out"], F.array(s["left"].bitwiseXOR(moved))).alias("out"))
+
+    def finish(s: Column) -> Column:
+        return F.struct(s["left"].alias("whole"), F.transform(s["out"], lambda v: v.bitwiseXOR(s["moved"])).alias("variants"))
+
+    return F.aggregate(words, start, step, finish)
+
+
 def near_copy(a: Column, b: Column) -> Column:
     """Whether the word arrays a and b are within one edit."""
     n, m = F.size(a), F.size(b)
@@ -72,17 +90,16 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     wanted = F.broadcast(wanted) if near.count() <= BROADCAST_ROWS else wanted
     at = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l"))
     texts = lines.drop("w").join(wanted, at, "left_semi").withColumn("w", F.split("line", SPACES))
-    texts = written(texts.select(place.alias("first"), "line", F.xxhash64("w").alias("whole")), "line-texts").dropDuplicates(["first", "whole"])
+    texts = written(texts.select(place.alias("first"), "line", F.xxhash64("w").alias("name")), "line-texts").dropDuplicates(["first", "name"])
     texts = texts.withColumn("w", F.split("line", SPACES)).where(F.size("w") >= LEAST_WORDS)
-    # every variant: the line with the word at place i taken out; of one task, to be aggregated by hashes without and with the place
-    n = F.size("w")
-    cut = lambda i: F.concat(F.slice("w", F.lit(1), i), F.slice(F.col("w"), i + 2, n - i - 1))
-    variant = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.xxhash64(cut(i)).alias("v"), F.xxhash64(i, cut(i)).alias("vi")))
-    variants = written(texts.select("first", F.explode_outer(variant).alias("x")).select("first", "x.*"), "line-variants")
+    # every variant: the line with the word at place i taken out, by a hash without and one with the place
+    hashed = written(texts.select("first", _variants("w").alias("x")).select("first", "x.*"), "line-hashes")
+    each = F.transform("variants", lambda v, i: F.struct(v.alias("v"), F.xxhash64(i, v).alias("vi")))
+    variants = hashed.select("first", F.explode_outer(each).alias("x")).select("first", "x.*")
     replaced = variants.groupBy("vi").agg(F.min("first").alias("m"), F.count("*").alias("n")).where("n > 1").select("vi", "m")
     by_replacing = variants.select("vi", "first").join(replaced, "vi").select("first", "m")
     # each variant is one distinct line at most
-    whole = texts.select(F.col("whole").alias("v"), F.col("first").alias("shorter"))
+    whole = hashed.select(F.col("whole").alias("v"), F.col("first").alias("shorter"))
     lacking = written(variants.select("v", "first").join(whole, "v").select("first", "shorter"), "line-lacking")
     by_lacking = lacking.select(F.col("shorter").alias("first"), F.col("first").alias("m"))
     best = by_replacing.unionByName(by_lacking).unionByName(lacking.withColumnRenamed("shorter", "m")).groupBy("first").agg(F.min("m").alias("m"))
