@@ -29,7 +29,7 @@ from .common import shared_dir
 BLOCK, SEGMENT, WIDTH_SHARE = 1024, 1 << 16, 0.9
 HEAD = np.dtype([("least", "<u4"), ("n", "<u2"), ("width", "u1"), ("spare", "u1"), ("n_exc", "<u2")])
 SEGMENT_SCHEMA = "shard int, segment int, doc_ids array<bigint>, lengths array<bigint>, block_starts array<bigint>, payload binary"
-#: Pieces whose ids a worker keeps; beyond it the table is begun again.
+#: Words, and pieces of words, whose ids a worker keeps; beyond it the table is begun again.
 CACHE_WORDS = 600_000
 
 
@@ -120,39 +120,46 @@ class WordEncoder:
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         # a text that holds a special token's string goes to the library
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def _pieces(self, plain: str) -> bytes:
-        parts, known = self.PIECE.findall(plain), self.known
+    def _piece(self, p: str) -> bytes:
+        if p not in self.pieces:
+            written = p if p.isascii() else "".join([self.letters[b] for b in p.encode()])
+            self.pieces[p] = np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
+        return self.pieces[p]
+
+    def _words(self, plain: str) -> bytes:
+        words, known = plain.split(), self.known
         try:
-            return b"".join([known[p] for p in parts])
+            return b"".join([known[w] for w in words])
         except KeyError:
             pass
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for p in parts:
-            if p not in known:
-                written = p if p.isascii() else "".join([self.letters[b] for b in p.encode()])
-                known[p] = np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
-        return b"".join([known[p] for p in parts])
+        for some in (known, self.pieces):
+            if len(some) > CACHE_WORDS:
+                some.clear()
+        for w in words:
+            if w not in known:
+                known[w] = b"".join([self._piece(p) for p in self.PIECE.findall(w)])
+        return b"".join([known[w] for w in words])
 
     def __call__(self, text: str) -> np.ndarray:
         low = text.lower()
         special = any(x in low for x in self.special)
         if not special and not self.OTHER.search(text):
-            return np.frombuffer(self._pieces(low), "<u4")
+            return np.frombuffer(self._words(low), "<u4")
         out, run = [], []
         for w in text.replace("\t", " ").replace("\n", " ").split(" "):
             if special or self.OTHER.search(w):
                 if run:
-                    out.append(self._pieces(" ".join(run).lower()))
+                    out.append(self._words(" ".join(run).lower()))
                     run = []
                 out.append(np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes())
             else:
                 run.append(w)
-        out.append(self._pieces(" ".join(run).lower()))
+        out.append(self._words(" ".join(run).lower()))
         return np.frombuffer(b"".join(out), "<u4")
 
 
