@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import curation, ordered_queries, pitch, scoring
+from . import curation, notation, ordered_queries, pitch, scoring, source_queries
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (pitch, scoring, ordered_queries, curation):
+for module in (pitch, notation, scoring, ordered_queries, curation, source_queries):
     QUERIES |= module.REGISTRY.queries
     ORACLES |= module.REGISTRY.oracles
