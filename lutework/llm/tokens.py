@@ -14,6 +14,7 @@ empty one; other columns are ignored. Strings of special tokens in a text are en
 from __future__ import annotations
 
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,8 +30,8 @@ from .common import shared_dir
 BLOCK, SEGMENT, WIDTH_SHARE = 1024, 1 << 16, 0.9
 HEAD = np.dtype([("least", "<u4"), ("n", "<u2"), ("width", "u1"), ("spare", "u1"), ("n_exc", "<u2")])
 SEGMENT_SCHEMA = "shard int, segment int, doc_ids array<bigint>, lengths array<bigint>, block_starts array<bigint>, payload binary"
-#: Words, and pieces of words, whose ids a worker keeps; beyond it the table is begun again.
-CACHE_WORDS = 600_000
+#: Words whose ids a worker keeps, and those of them that came once so far; beyond it either table is begun again.
+CACHE_WORDS, YOUNG = 200_000, 150_000
 
 
 def pack(ids: np.ndarray) -> tuple[bytes, list[int]]:
@@ -120,30 +121,32 @@ class WordEncoder:
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         # a text that holds a special token's string goes to the library
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def _piece(self, p: str) -> bytes:
-        if p not in self.pieces:
+    def _new(self, word: str) -> bytes:
+        """The ids of a word that isn't known for long. Most words of a large corpus come once: one that comes again while it is
+        among the YOUNG latest new ones stays."""
+        found = self.young.pop(word, None)
+        if found is not None:
+            if len(self.known) >= CACHE_WORDS:
+                self.known.clear()
+            self.known[word] = found
+            return found
+        ids: list[int] = []
+        for p in self.PIECE.findall(word):
             written = p if p.isascii() else "".join([self.letters[b] for b in p.encode()])
-            self.pieces[p] = np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
-        return self.pieces[p]
+            ids += [t.id for t in self.model.tokenize(written)]
+        if len(self.young) >= YOUNG:
+            self.young.clear()
+        found = self.young[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
     def _words(self, plain: str) -> bytes:
-        words, known = plain.split(), self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        for some in (known, self.pieces):
-            if len(some) > CACHE_WORDS:
-                some.clear()
-        for w in words:
-            if w not in known:
-                known[w] = b"".join([self._piece(p) for p in self.PIECE.findall(w)])
-        return b"".join([known[w] for w in words])
+        get, new = self.known.get, self._new
+        return b"".join([get(w) or new(w) for w in plain.split()])
 
     def __call__(self, text: str) -> np.ndarray:
         low = text.lower()
