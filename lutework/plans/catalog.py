@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import curation, notation, ordered_queries, pitch, scoring, source_queries
+from . import curation, more, notation, ordered_queries, pitch, scoring, source_queries
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (pitch, notation, scoring, ordered_queries, curation, source_queries):
+for module in (pitch, notation, scoring, ordered_queries, curation, source_queries, more):
     QUERIES |= module.REGISTRY.queries
     ORACLES |= module.REGISTRY.oracles
