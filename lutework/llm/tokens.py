@@ -30,8 +30,8 @@ from .common import shared_dir
 BLOCK, SEGMENT, WIDTH_SHARE = 1024, 1 << 16, 0.9
 HEAD = np.dtype([("least", "<u4"), ("n", "<u2"), ("width", "u1"), ("spare", "u1"), ("n_exc", "<u2")])
 SEGMENT_SCHEMA = "shard int, segment int, doc_ids array<bigint>, lengths array<bigint>, block_starts array<bigint>, payload binary"
-#: Words whose ids a worker keeps, and those of them that came once so far; beyond it either table is begun again.
-CACHE_WORDS, YOUNG = 200_000, 150_000
+#: Pieces whose ids a worker keeps, and those of them that came once so far; beyond it either table is begun again.
+CACHE_PIECES, YOUNG = 200_000, 150_000
 
 
 def pack(ids: np.ndarray) -> tuple[bytes, list[int]]:
@@ -126,43 +126,41 @@ class WordEncoder:
         # a text that holds a special token's string goes to the library
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def _new(self, word: str) -> bytes:
-        """The ids of a word that isn't known for long. Most words of a large corpus come once: one that comes again while it is
+    def _new(self, piece: str) -> bytes:
+        """The ids of a piece that isn't known for long. Most pieces of a large corpus come once: one that comes again while it is
         among the YOUNG latest new ones stays."""
-        found = self.young.pop(word, None)
+        found = self.young.pop(piece, None)
         if found is not None:
-            if len(self.known) >= CACHE_WORDS:
+            if len(self.known) >= CACHE_PIECES:
                 self.known.clear()
-            self.known[word] = found
+            self.known[piece] = found
             return found
-        ids: list[int] = []
-        for p in self.PIECE.findall(word):
-            written = p if p.isascii() else "".join([self.letters[b] for b in p.encode()])
-            ids += [t.id for t in self.model.tokenize(written)]
+        written = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+        ids = [t.id for t in self.model.tokenize(written)]
         if len(self.young) >= YOUNG:
             self.young.clear()
-        found = self.young[word] = struct.pack(f"<{len(ids)}I", *ids)
+        found = self.young[piece] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
-    def _words(self, plain: str) -> bytes:
+    def _pieces(self, plain: str) -> bytes:
         get, new = self.known.get, self._new
-        return b"".join([get(w) or new(w) for w in plain.split()])
+        return b"".join([get(p) or new(p) for p in self.PIECE.findall(plain)])
 
     def __call__(self, text: str) -> np.ndarray:
         low = text.lower()
         special = any(x in low for x in self.special)
         if not special and not self.OTHER.search(text):
-            return np.frombuffer(self._words(low), "<u4")
+            return np.frombuffer(self._pieces(low), "<u4")
         out, run = [], []
         for w in text.replace("\t", " ").replace("\n", " ").split(" "):
             if special or self.OTHER.search(w):
                 if run:
-                    out.append(self._words(" ".join(run).lower()))
+                    out.append(self._pieces(" ".join(run).lower()))
                     run = []
                 out.append(np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes())
             else:
                 run.append(w)
-        out.append(self._words(" ".join(run).lower()))
+        out.append(self._pieces(" ".join(run).lower()))
         return np.frombuffer(b"".join(out), "<u4")
 
 
