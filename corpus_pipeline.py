@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lutework.llm import decontam, mixing, simhash, tokens, toxicity
+from lutework.llm import decontam, mixing, nearcopies, tokens, toxicity
 from lutework.llm.common import table, written
 from lutework.llm.queries import END_ID, TOKENIZER
 
@@ -16,8 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more), the one with the smallest id."""
+    return nearcopies.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

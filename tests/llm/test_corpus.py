@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lutework.llm import chat, decontam, htmlcrf, licenses, linededup, mixing, quality, simhash, tokens, toxicity
+from lutework.llm import chat, decontam, htmlcrf, licenses, linededup, mixing, nearcopies, quality, simhash, tokens, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, __size string, fp string, probability double"
 
@@ -297,6 +297,58 @@ def test_simhash_odd(odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def plain_shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def plain_survivors(rows):
+    """Of rows (id, text), the ids that stay, by comparing all pairs: a group's least id, null last."""
+    sets, root = [plain_shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for j in range(len(rows)):
+        for i in range(j):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                root[find(j)] = find(i)
+    groups = {}
+    for i, (doc_id, _) in enumerate(rows):
+        groups.setdefault(find(i), []).append((doc_id is None, doc_id or 0))
+    return sorted(min(g) for g in groups.values())
+
+
+@pytest.mark.parametrize("frequent", [20, 2])
+def test_pipeline_drops_similar_texts(spark, monkeypatch, frequent):
+    import corpus_pipeline
+
+    monkeypatch.setattr(nearcopies, "FREQUENT", frequent)
+    r = random.Random(16)
+    texts = []
+    for n in [5, 6, 9, 14, 40, 80, 150, 300, 600] * 3:
+        base = prose(r, n).split()
+        for _ in range(6):
+            w = list(base)
+            for _ in range(r.randrange(1 + n // 40)):
+                w[r.randrange(len(w))] = "changed"
+            texts.append(" ".join(w[r.randrange(2) :]))
+    texts += [None, "", "  ", "One", "one", "É a b c d e", "é a b c d e", "a b c d e", "A  b c\nd e"]
+    frame = docs(spark, texts)
+    kept = corpus_pipeline.drop_near_copies(spark, frame, "")
+    assert kept.columns == frame.columns
+    assert sorted((x["doc_id"] is None, x["doc_id"]) for x in kept.collect()) == plain_survivors(list(enumerate(texts)))
+
+
+def test_near_copies_odd(odd, none):
+    for frame in (odd, none):
+        rows = [(x["doc_id"], x["text"]) for x in frame.collect()]
+        kept = nearcopies.keep_one(frame)
+        assert kept.columns == frame.columns and sorted((x["doc_id"] is None, x["doc_id"] or 0) for x in kept.collect()) == plain_survivors(rows)
+
+
 # 7
 
 
