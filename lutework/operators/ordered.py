@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
+def _written(df: DataFrame, what: str) -> DataFrame:
+    """df, written once as Parquet in the shared folder and read again."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lutework-")
+    path = f"{shared.rstrip('/')}/lutework/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row of each key that comes last in the order: one aggregation, pre-aggregated before its shuffle."""
     rest = [c for c in df.columns if c not in keys]
@@ -99,3 +111,22 @@ def split_ranges(limit: int, slack: int):
         return F.aggregate(rows, empty, step, finish)
 
     return fold
+
+
+def ancestor_sums(parents: DataFrame) -> DataFrame:
+    """Of a lineage (node, up), one row for each node that has a parent, numbers without cycles: node, n_ancestors and ancestor_sum, the
+    number and sum of all nodes above. Self-joins, doubled: after the k-th a row stands for 2^k ancestors, or for all there are;
+    up is the last one of them, null where no more is above. Written after each step; no row per node and ancestor is made."""
+    one = F.lit(1).cast("long").alias("n_ancestors")
+    hops = _written(parents.select("node", "up", one, F.col("up").cast("long").alias("ancestor_sum")), "ancestors")
+    while True:
+        above = hops.select(F.col("node").alias("m"), F.col("up").alias("up2"), F.col("n_ancestors").alias("n2"), F.col("ancestor_sum").alias("sum2"))
+        more = lambda name: F.coalesce(name, F.lit(0))
+        hops = _written(
+            hops.join(above, hops["up"] == above["m"], "left").select(
+                "node", F.col("up2").alias("up"), (F.col("n_ancestors") + more("n2")).alias("n_ancestors"), (F.col("ancestor_sum") + more("sum2")).alias("ancestor_sum")
+            ),
+            "ancestors",
+        )
+        if hops.where("up IS NOT NULL").isEmpty():
+            return hops.drop("up")

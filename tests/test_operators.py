@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lutework.functions import music, text
 from lutework.operators import curation, metrics, ordered
 from lutework.operators.candidates import position_grid
+from lutework.plans import ordered_queries
 
 
 def value(spark, column, **given):
@@ -109,3 +110,21 @@ def test_edits_are_all_or_nothing(spark):
     edits = spark.createDataFrame([("a", 1, "x", "n"), ("a", 2, "?", "n"), ("b", 1, "z", "n")], "g string, k int, expected string, new string")
     got = {(r["g"], r["k"]): r["value"] for r in curation.applied_edits(plan, edits, "g", "k").collect()}
     assert got == {("a", 1): "x", ("a", 2): "y", ("b", 1): "n"}
+
+
+def test_ancestors_beyond_the_recursion_limit(spark, tmp_path):
+    keys = [1, 2, 3, 3, 7, 1000, 65_537, 2**30 + 5]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey int").write.parquet(f"{tmp_path}/part.parquet")
+    wanted = {}
+    for k in keys:
+        a, n, total = k // 2, *wanted.get(k, (0, 0))
+        while a:
+            a, n, total = a // 2, n + 1, total + a
+        if n:
+            wanted[k] = (n, total)
+    spark.conf.set("spark.sql.cteRecursionRowLimit", 20)
+    try:
+        got = ordered_queries.j15_ancestors(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert {x["c"]: (x["n_ancestors"], x["ancestor_sum"]) for x in got} == wanted and len(got) == len(wanted)
