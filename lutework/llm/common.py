@@ -5,19 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the word rule: a word is a run of anything else.
 SPACE = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bytes that a broadcast side may have, by its counted rows; larger sides are shuffled.
+BROADCAST_BYTES = 64 << 20
+#: A key with over a SPREAD-th of all rows is hot; so there are SPREAD hot keys at most.
+SPREAD = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a folder of its own,
+    and a cluster an error, since a local folder of one machine is none of the others'."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lutework-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -31,6 +38,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Deletes the folders of frames that written() gave and nobody reads any more."""
+    for df in frames:
+        for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -54,3 +69,52 @@ def n_words(text: Column) -> Column:
 def row_of(docs: DataFrame) -> Column:
     """All columns of docs as one struct, beside which an operator's own columns can't clash with any; `row.*` gives them back."""
     return F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+
+
+def fenced(df: DataFrame) -> DataFrame:
+    """df, through a generator of one row each: filters above it stay above it, so that Spark doesn't write the columns that they read, with all
+    that those need, once more into the filter."""
+    return df.select(F.inline_outer(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
+def within(df: DataFrame, row_bytes: int) -> bool:
+    """Whether df may be broadcast: its rows, counted, of row_bytes each."""
+    return df.count() * row_bytes <= BROADCAST_BYTES
+
+
+def hinted(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df with a broadcast hint where its counted size allows it."""
+    return F.broadcast(df) if within(df, row_bytes) else df
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], n: str) -> DataFrame:
+    """left.join(right, on), for a right side with one row per key and in column n how many rows left has of that key. The hot keys, those with over a
+    SPREAD-th of all rows, are broadcast, SPREAD rows at most, so that their rows of left stay where they are; all others are shuffled."""
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = right.where(F.col(n) * SPREAD > total)
+    if total < SPREAD or hot.isEmpty():
+        return left.join(right, on)
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(F.col(n) * SPREAD <= total), on)
+    return left.join(F.broadcast(hot), on).unionByName(rest)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ...) with one row of each group. found, written, has a row for each of docs: id, h (xxhash64 of the text) and root, the same
+    for all of a group. The row with the smallest id and then text hash stays, null ids last; of rows with the same id and text, one."""
+    order = F.struct(F.col("id").isNull(), "id", "h")
+    kept = found.groupBy("root").agg(F.min_by(F.struct("id", "h"), order).alias("x")).select(F.col("x.id").alias("i"), F.col("x.h").alias("t"))
+    per = found.groupBy("id", "h").agg(F.count("*").alias("m"))
+    marked = written(per.join(kept, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("t")), "left"), "kept")
+    gone = hinted(marked.where("t IS NULL").select("id", "h"), 40)
+    twice = hinted(marked.where("t IS NOT NULL AND m > 1").select("id", "h"), 40)
+
+    def same(these: DataFrame) -> Column:
+        return docs["doc_id"].eqNullSafe(these["id"]) & (F.xxhash64(docs["text"]) == these["h"])
+
+    own = docs.join(gone, same(gone), "left_anti")
+    if twice.isEmpty():
+        return own
+    again = docs.join(twice, same(twice), "left_semi")
+    order = Window.partitionBy("row.doc_id", F.xxhash64("row.text")).orderBy(F.xxhash64(F.to_json("row")))
+    first = again.select(row_of(again)).withColumn("r", F.row_number().over(order)).where("r = 1").select("row.*")
+    return own.join(twice, same(twice), "left_anti").unionByName(first)

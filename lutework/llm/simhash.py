@@ -5,7 +5,7 @@ links' connected components are the groups of near copies.
 
 Links are sought among distinct fingerprints only. Fingerprints within the radius agree in one block of bits at least, when there is one
 block more than the radius: each fingerprint goes once to every block's value. Where more than REFINE fingerprints meet, the remaining
-bits are cut into blocks in the same way, so that no group is left large; nothing is dropped. A group's fingerprints are sorted by Gray
+bits are cut into blocks in the same way, and again where far more do; nothing is dropped. A group's fingerprints are sorted by Gray
 rank, which sets those that share leading bits side by side; nodes over runs of them hold the bits that all below share (a mask and a
 pattern). Pairs of nodes are followed downwards: the shared bits in which two nodes differ are a lower bound that prunes both whole
 groups, and nodes whose leaves can't differ by more than the radius are linked without looking further.
@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_of, written
+from .common import discard, one_of_each, spread_join, written
 
 #: Fingerprints that may meet in one group before its remaining bits are cut into blocks again.
 REFINE = 4096
@@ -34,6 +34,15 @@ LEAF, FRONTIER = 16, 1 << 12
 SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits, as a signed long, that are set in over half of the hashes (unsigned)."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 15):  # bounded memory for texts of any length
+        raw = hashes[at : at + (1 << 15)].astype(">u8").view(np.uint8)
+        ones += np.unpackbits(raw.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+
+
 def fingerprint(text: str | None, k: int = 3, seed: int = 42) -> int:
     """The 64-bit fingerprint of one text, from all its k-word shingles."""
     import xxhash
@@ -45,23 +54,20 @@ def fingerprint(text: str | None, k: int = 3, seed: int = 42) -> int:
         parts = [b" ".join(x) for x in zip(*[words[i:] for i in range(k)], strict=False)]
     else:
         parts = [b" ".join(words)]
-    digest, ones = xxhash.xxh64_digest, np.zeros(64, np.int64)
-    for at in range(0, len(parts), 1 << 15):  # bounded memory for texts of any length
-        raw = np.frombuffer(b"".join([digest(x, seed) for x in parts[at : at + (1 << 15)]]), np.uint8)
-        ones += np.unpackbits(raw.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(parts)).tobytes(), "big", signed=True)
+    digest = xxhash.xxh64_digest
+    return majority(np.frombuffer(b"".join([digest(x, seed) for x in parts]), ">u8"))
 
 
 def fingerprints(docs: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
-    """Of docs (doc_id, text): doc_id and fp, the fingerprint as a signed long."""
+    """Of docs (doc_id, text): doc_id, h, the hash of the text, and fp, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(x.as_py(), k, seed) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.int64())], ["doc_id", "h", "fp"])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return narrow.mapInArrow(run, "doc_id bigint, fp bigint")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    return narrow.mapInArrow(run, "doc_id bigint, h bigint, fp bigint")
 
 
 # The index over the fingerprints of one task
@@ -199,74 +205,70 @@ def _cut(fixed: int, radius: int) -> list[int]:
 
 def links(distinct: DataFrame, radius: int = 3, refine: int = REFINE) -> DataFrame:
     """Of distinct fingerprints (fp), links (a, b) that connect just those that a chain of links within the radius connects."""
+    spark = distinct.sparkSession
     placed = distinct.select("fp", F.explode(F.array(*[F.lit(m) for m in _cut(0, radius)])).alias("fixed"))
-    # groups of equal fixed bits that are too large are cut again by the bits that aren't fixed, three times at most
-    done = []
-    for depth in range(3):
+    # groups of equal fixed bits that are too large are cut again by the bits that aren't fixed. A cut multiplies a group's rows by radius + 1 at most, so that
+    # the next one is worth its cost for much larger groups only; it ends, for f fixed bits leave 2 ** (64 - f) fingerprints at most
+    found, limit = None, refine
+    while True:
         key = F.xxhash64("fixed", F.col("fp").bitwiseAND(F.col("fixed")))
-        placed = written(placed.withColumn("key", key), f"simhash-blocks-{depth}")
-        large = written(placed.groupBy("key").count().where(F.col("count") > refine).select("key"), "simhash-large")
-        if depth == 2 or large.isEmpty():
-            done.append(placed.select("key", "fp"))
+        placed = written(placed.withColumn("key", key), "simhash-blocks")
+        counts = placed.groupBy("key", "fixed").count()
+        large = written(counts.where((F.col("count") > limit) & (F.bit_count("fixed") < 64 - radius)).select("key", "fixed"), "simhash-large")
+        masks = [r[0] for r in large.select("fixed").distinct().collect()]  # (radius + 1) ** cuts at most, whatever the input
+        done = placed.join(large, ["key", "fixed"], "left_anti").select("key", "fp") if masks else placed.select("key", "fp")
+        found = done if found is None else found.unionByName(done)
+        if not masks:
             break
-        done.append(placed.join(large, "key", "left_anti").select("key", "fp"))
-        again = placed.join(large, "key", "left_semi")
-
-        masks = [r[0] for r in again.select("fixed").distinct().collect()]  # (radius + 1) ** depth masks at most
-        finer = F.create_map(*[x for m in masks for x in (F.lit(m), F.array(*[F.lit(y) for y in _cut(m, radius)]))])
-        placed = again.select("fp", F.explode(finer[F.col("fixed")]).alias("fixed"))
-    found = done[0]
-    for x in done[1:]:
-        found = found.unionByName(x)
-    found = found.select("key", "fp").repartition("key").sortWithinPartitions("key")
+        finer = F.broadcast(spark.createDataFrame([(m, _cut(m, radius)) for m in masks], "fixed bigint, finer array<bigint>"))
+        again = placed.join(large, ["key", "fixed"], "left_semi")
+        placed, limit = again.join(finer, "fixed").select("fp", F.explode("finer").alias("fixed")), limit * (radius + 1) ** 2
+    found = found.repartition("key").sortWithinPartitions("key")
     return found.mapInArrow(_links(radius), "a bigint, b bigint").distinct()
 
 
 # Connected components
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Of links (a, b), the least node that each linked node reaches: (node, root). Large-star and small-star steps by turns, each an
     aggregation (pre-aggregated) and a join, until nothing moves; every round is written, so that its lineage is short."""
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "components")
+        last, edges = edges, written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "components")
+        discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % F.lit(1 << 31)), F.max("b")).first()
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components not found in {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, seed: int = 42, refine: int = REFINE) -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that a chain of links reaches."""
+def _classes(docs: DataFrame, k: int, radius: int, seed: int, refine: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h, fp), one for each of docs, and of each fingerprint (fp, root, component_id, m): the least fingerprint and the least id that a
+    chain of links reaches, and its number of rows."""
     prints = written(fingerprints(docs, k, seed), "simhash-prints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("m")), "simhash-distinct")
     found = written(components(links(distinct.select("fp"), radius, refine)), "simhash-components")
-    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", "m", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    # only fingerprints with links need the smallest id of their component
-    classes = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints, written(rooted.join(named, "root").select("fp", "root", "component_id", "m"), "simhash-classes")
+
+
+def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, seed: int = 42, refine: int = REFINE) -> DataFrame:
+    """One row per row of docs: doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that a chain of links reaches."""
+    prints, classes = _classes(docs, k, radius, seed, refine)
+    return spread_join(prints, classes, ["fp"], "m").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
-    """docs without near copies: of each group, the row with the smallest doc_id; of equal rows with that id, one."""
-    found = near_duplicates(docs, k, radius, seed)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    own = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    repeated = written(own.groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id"), "simhash-repeated")
-    if repeated.isEmpty():
-        return own
-    same = own["doc_id"].eqNullSafe(repeated["doc_id"])
-    again = own.join(repeated, same, "left_semi")
-    first = again.select(row_of(again)).withColumn("n", F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text")))
-    return own.join(repeated, same, "left_anti").unionByName(first.where("n = 1").select("row.*"))
+    """docs without near copies: of each group, the row with the smallest doc_id and then text hash; null ids come last."""
+    prints, classes = _classes(docs, k, radius, seed, REFINE)
+    found = spread_join(prints, classes, ["fp"], "m").select(F.col("doc_id").alias("id"), "h", "root")
+    return one_of_each(docs, written(found, "simhash-groups"))

@@ -321,11 +321,11 @@ def plain_survivors(rows):
     return sorted(min(g) for g in groups.values())
 
 
-@pytest.mark.parametrize("frequent", [20, 2])
-def test_pipeline_drops_similar_texts(spark, monkeypatch, frequent):
+@pytest.mark.parametrize("block", [4096, 2])
+def test_pipeline_drops_similar_texts(spark, monkeypatch, block):
     import corpus_pipeline
 
-    monkeypatch.setattr(nearcopies, "FREQUENT", frequent)
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
     r = random.Random(16)
     texts = []
     for n in [5, 6, 9, 14, 40, 80, 150, 300, 600] * 3:
