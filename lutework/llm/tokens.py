@@ -13,6 +13,7 @@ empty one; other columns are ignored. Strings of special tokens in a text are en
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -30,8 +31,22 @@ from .common import shared_dir
 BLOCK, SEGMENT, WIDTH_SHARE = 1024, 1 << 16, 0.9
 HEAD = np.dtype([("least", "<u4"), ("n", "<u2"), ("width", "u1"), ("spare", "u1"), ("n_exc", "<u2")])
 SEGMENT_SCHEMA = "shard int, segment int, doc_ids array<bigint>, lengths array<bigint>, block_starts array<bigint>, payload binary"
-#: Pieces whose ids a worker keeps, and those of them that came once so far; beyond it either table is begun again.
-CACHE_PIECES, YOUNG = 200_000, 150_000
+#: Pieces whose ids a worker keeps, and those of them that came once so far; beyond it either table is begun again. The latter ends with its task.
+CACHE_PIECES, YOUNG = 100_000, 60_000
+#: The rules that WordEncoder's own cutting follows, as a tokenizer file states them.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 def pack(ids: np.ndarray) -> tuple[bytes, list[int]]:
@@ -113,7 +128,8 @@ class WordEncoder:
     """Encodes texts as the library does, remembering pieces: for tokenizers with word_bpe_49k.json's rules (NFC, lower case, white space
     dropped, pieces of letters, single digits or other characters, byte letters). In texts of ASCII and Latin-1 letters without
     apostrophes those pieces are cut here and the library's model encodes each new one; words of any other kind the library
-    encodes whole. Words parted by a blank, tab or line feed never influence each other."""
+    encodes whole. Words parted by a blank, tab or line feed never influence each other. Of a tokenizer with other rules, which its file
+    tells, the library encodes every text whole."""
 
     OTHER = re.compile("[^\t\n\\x20-&(-~À-ÖØ-öø-ÿ]")
     PIECE = re.compile("[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\\[-`{-~]+")
@@ -123,6 +139,9 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        stated = json.loads(self.tokenizer.to_str())
+        rules = stated["normalizer"] == NORMALIZER and stated["pre_tokenizer"] == PRE_TOKENIZER and stated["post_processor"] is None
+        self.own_rules = rules and stated["model"]["type"] == "BPE" and stated["truncation"] is None and stated["padding"] is None
         # a text that holds a special token's string goes to the library
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -147,6 +166,8 @@ class WordEncoder:
         return b"".join([get(p) or new(p) for p in self.PIECE.findall(plain)])
 
     def __call__(self, text: str) -> np.ndarray:
+        if not self.own_rules:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         low = text.lower()
         special = any(x in low for x in self.special)
         if not special and not self.OTHER.search(text):
@@ -197,6 +218,7 @@ def _segments(path: str, end_id: int):
                     yield flush()
         if docs:
             yield flush()
+        encode.young.clear()
 
     return run
 
