@@ -2,7 +2,8 @@
 
 The features of a text: densities of a fixed lexicon and of one learned from the labelled sample (words and word beginnings that toxic
 texts hold far more often), second-person words near lexicon words, capitals, punctuation and obfuscated spellings. The trees are
-fitted on a sample of the labelled documents, MAX_SAMPLE at most, taken by the hash of their ids; a fifth of it is kept for the calibration.
+fitted on a sample of the labelled documents, MAX_SAMPLE at most, taken by the hash of their ids. The calibration is cross-fitted: each half of the
+sample is scored by a lexicon and trees that the other half taught, at every size.
 
 Defined results: null and empty texts have all-zero features and are scored like others; a document with several labels is toxic if one is;
 labels whose document isn't there and null labels are ignored; where the sample has one class or none, every score is the sample's
@@ -22,13 +23,15 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import row_of, written
 
 #: The most labelled documents that are learned from, the learned lexicon's size and the lengths of word beginnings in it.
 MAX_SAMPLE, LEXICON_SIZE, BEGINNINGS = 20_000, 400, (7, 6, 5)
+#: Texts whose terms a task counts at a time.
+PART = 64
 #: General insults in four languages.
 INSULTS = frozenset(
     "idiot idiots moron morons stupid dumb loser losers scum trash worthless pathetic disgusting clown fool freak jerk hate garbage ugly "
@@ -98,31 +101,33 @@ def _terms(text: str | None) -> set[str]:
     return found | {w[:k] + "*" for w in found for k in BEGINNINGS if len(w) > k}
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, toxic): how many toxic and other texts hold each term, by task."""
-    bad, good = Counter(), Counter()
-    for batch in batches:
-        for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            (bad if toxic else good).update(_terms(text.as_py()))
-    terms = list(bad)  # terms that no toxic text holds aren't wanted; the others' clean counts are summed below
-    if terms or good:
-        every = [*terms, *(t for t in good if t not in bad)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(every, pa.string()), pa.array([bad[t] for t in every], pa.int64()), pa.array([good[t] for t in every], pa.int64())], ["term", "bad", "good"]
-        )
+def _counted(wanted: frozenset[str] | None):
+    """Of (text): how many texts hold each term, those of wanted only, if given, by PART texts, so that a task never holds many terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PART):
+                seen: Counter[str] = Counter()
+                for text in batch.column(0).slice(at, PART):
+                    terms = _terms(text.as_py())
+                    seen.update(terms if wanted is None else terms & wanted)
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+
+    return run
 
 
 def learn_lexicon(sample: DataFrame, n_bad: int, n_good: int) -> dict[str, float]:
-    """The LEXICON_SIZE terms with the greatest log odds among those that one toxic text in 200 holds, three at least."""
-    counts = sample.select("text", "toxic").mapInArrow(_counted, "term string, bad bigint, good bigint")
+    """The LEXICON_SIZE terms with the greatest log odds among those that one toxic text in 200 holds, three at least: 200 times the terms of a
+    text at most, so that they fit the driver whatever the sample's size. Only those are sought in the other texts."""
     least = max(3, n_bad // 200)
-    odds = F.log((F.col("bad") + 0.5) / F.lit(n_bad + 1.0)) - F.log((F.col("good") + 0.5) / F.lit(n_good + 1.0))
-    ranked = (
-        counts.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        .where(F.col("bad") >= least).withColumn("odds", odds).where("odds > 2")
-        .orderBy(F.desc("odds"), "term").limit(LEXICON_SIZE)
-    )
-    return {r["term"]: float(r["odds"]) for r in ranked.collect()}
+
+    def counts(toxic: int, wanted: frozenset[str] | None) -> DataFrame:
+        return sample.where(F.col("toxic") == toxic).select("text").mapInArrow(_counted(wanted), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+
+    bad = {r["term"]: r["n"] for r in counts(1, None).where(F.col("n") >= least).collect()}
+    good = {r["term"]: r["n"] for r in counts(0, frozenset(bad)).collect()}
+    odds = {t: math.log((n + 0.5) / (n_bad + 1.0)) - math.log((good.get(t, 0) + 0.5) / (n_good + 1.0)) for t, n in bad.items()}
+    return dict(sorted(((t, x) for t, x in odds.items() if x > 2), key=lambda tx: (-tx[1], tx[0]))[:LEXICON_SIZE])
 
 
 def feature_column(text: Column, lexicon: dict[str, float]) -> Column:
@@ -164,26 +169,36 @@ def fit(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE, seed:
     """Learns from the labels of documents that aren't held out."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = written(known.orderBy(F.xxhash64("__id", F.lit(seed)), "__id").limit(max_sample), "toxicity-labels")
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("__id")))  # max_sample rows at most
-    sample = written(texts.select("text", "toxic", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("calibrates")), "toxicity-sample")
-    counts = {(r[0], r[1]): r[2] for r in sample.groupBy("toxic", "calibrates").count().collect()}
+    # halves, of either class alike; MAX_SAMPLE rows at most are numbered
+    halves = chosen.withColumn("half", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("__id", F.lit(seed + 1)), "__id")) % 2)
+    texts = docs.select("doc_id", "text").join(F.broadcast(halves), F.col("doc_id").eqNullSafe(F.col("__id")))
+    sample = written(texts.select("text", "toxic", "half"), "toxicity-sample")
+    counts = {(r[0], r[1]): r[2] for r in sample.groupBy("toxic", "half").count().collect()}
     n_bad, n_good = (sum(n for (t, _), n in counts.items() if t == x) for x in (1, 0))
     if not n_bad or not n_good:
         return ToxicityModel({}, None, None, n_bad / max(1, n_bad + n_good))
-    # with few labels all rows serve for both
-    apart = min(counts.get((t, c), 0) for t in (0, 1) for c in (True, False)) >= 20
-    learned = sample.where(~F.col("calibrates")) if apart else sample
-    sides = [sum(n for (t, c), n in counts.items() if t == x and not (apart and c)) for x in (1, 0)]
-    lexicon = learn_lexicon(learned, *sides)
-    rows = sample.withColumn("__f", feature_column(F.col("text"), lexicon)).select("toxic", "calibrates", "__f")
-    rows = written(rows, "toxicity-features").withColumn("label", F.col("toxic").cast("double")).withColumn("__v", array_to_vector("__f"))
-    train, other = (rows.where(~F.col("calibrates")), rows.where("calibrates")) if apart else (rows, rows)
-    gbt = GBTClassifier(featuresCol="__v", labelCol="label", predictionCol="__c", maxDepth=4, maxIter=20, stepSize=0.2, seed=seed, maxBins=64)
-    trees = gbt.fit(train.coalesce(8)).setProbabilityCol("__p").setRawPredictionCol("__r")
-    model = ToxicityModel(lexicon, trees, None, 0.0)
-    raw = model._raw(other.drop("__v")).select("label", "__raw_score")
+
+    def learned(rows: DataFrame, bad: int, good: int) -> ToxicityModel:
+        if not bad or not good:
+            return ToxicityModel({}, None, None, bad / max(1, bad + good))
+        lexicon = learn_lexicon(rows, bad, good)
+        known = written(rows.select("toxic", feature_column(F.col("text"), lexicon).alias("__f")), "toxicity-features")
+        known = known.withColumn("label", F.col("toxic").cast("double")).withColumn("__v", array_to_vector("__f"))
+        gbt = GBTClassifier(featuresCol="__v", labelCol="label", predictionCol="__c", maxDepth=4, maxIter=20, stepSize=0.2, seed=seed, maxBins=64)
+        return ToxicityModel(lexicon, gbt.fit(known.coalesce(8)).setProbabilityCol("__p").setRawPredictionCol("__r"), None, 0.0)
+
+    scored = None
+    for half in (0, 1):
+        part = learned(sample.where(F.col("half") != half), counts.get((1, 1 - half), 0), counts.get((0, 1 - half), 0))
+        rows = sample.where(F.col("half") == half).select(F.col("toxic").cast("double").alias("label"), "text")
+        if part.trees is None:
+            rows = rows.select("label", F.lit(part.constant).alias("__raw_score"))
+        else:
+            rows = part._raw(rows.withColumn("__f", feature_column(F.col("text"), part.lexicon))).select("label", "__raw_score")
+        scored = rows if scored is None else scored.unionByName(rows)
+    model = learned(sample, n_bad, n_good)
     isotonic = IsotonicRegression(featuresCol="__raw_score", labelCol="label", predictionCol="__calibrated")
-    model.calibration = isotonic.fit(raw)
+    model.calibration = isotonic.fit(written(scored, "toxicity-scored"))
     return model
 
 
