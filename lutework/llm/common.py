@@ -13,7 +13,7 @@ SPACE = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes that a broadcast side may have, by its counted rows; larger sides are shuffled.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 32 << 20
 #: A key with over a SPREAD-th of all rows is hot; so there are SPREAD hot keys at most.
 SPREAD = 1000
 
