@@ -13,17 +13,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACES, row_of, words
+from .common import SPACE, SPACES, fenced, row_of, words
 
 WINDOW, LEAST_WORDS, REPEATED_PERCENT = 8, 20, 30
 SYMBOLS = "#*$%&|<>"
 SYMBOLS_PER_WORD, SEPARATORS, KEPT_SHARE = 0.25, 3, 0.5
 NAVIGATION = r"\| |» |› |· | > | / |• "
-MENU = r"(?i)^\W*((home|menu|about( us)?|contact( us)?|log ?in|sign (in|up)|search|next|previous|back( to top)?|faq|help|news|share|sitemap|register)\W*)+$"
-BOILERPLATE = (
-    r"(?i)(all rights reserved|terms (of|and) (use|service|conditions)|privacy policy|cookies? policy|we use cookies|accept cookies"
-    r"|enable javascript|click here|subscribe to (our|the)|sign up for|follow us on|share (this|on)|read more|powered by|skip to content)"
+#: Words of menus and phrases of boilerplate in English, German, French and Spanish.
+MENU_WORDS = (
+    "home|menu|about( us)?|contact( us)?|log ?in|sign (in|up)|search|next|previous|back( to top)?|faq|help|news|share|sitemap|register"
+    "|startseite|menü|über uns|kontakt|impressum|anmelden|suche|weiter|zurück|hilfe|registrieren"
+    "|accueil|à propos|contactez-nous|connexion|recherche|suivant|précédent|aide|plan du site|inscription"
+    "|inicio|menú|acerca de|contacto|iniciar sesión|buscar|siguiente|anterior|ayuda|mapa del sitio|regístrate"
 )
+PHRASES = (
+    "all rights reserved|terms (of|and) (use|service|conditions)|privacy policy|cookies? policy|we use cookies|accept cookies"
+    "|enable javascript|click here|subscribe to (our|the)|sign up for|follow us on|share (this|on)|read more|powered by|skip to content"
+    "|alle rechte vorbehalten|nutzungsbedingungen|datenschutzerklärung|wir verwenden cookies|cookies akzeptieren|hier klicken|newsletter abonnieren"
+    "|weiterlesen|zum inhalt springen"
+    "|tous droits réservés|conditions (générales )?d'utilisation|politique de confidentialité|nous utilisons des cookies|cliquez ici|abonnez-vous"
+    "|lire la suite|aller au contenu"
+    "|todos los derechos reservados|términos y condiciones|política de privacidad|utilizamos cookies|haga clic aquí|suscríbete|leer más|saltar al contenido"
+)
+MENU, BOILERPLATE = rf"(?iu)^\W*(({MENU_WORDS})\W*)+$", rf"(?iu)({PHRASES})"
 
 
 def _count(text: Column, symbols: str) -> Column:
@@ -100,7 +112,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, their text being the lines that passed, and n_chars its length where docs has such a column."""
     text = F.array_join("kept_lines", "\n")
     new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return measured(docs).where("kept").select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
+    return fenced(measured(docs)).where("kept").select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 ORACLE_SQL = r"""
@@ -114,8 +126,8 @@ judged AS (SELECT *, list_filter(lines, lambda x: NOT (
       length(x) - length(translate(x, '#*$%&|<>', '')) > 0.25::DOUBLE * len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))
       OR NOT regexp_matches(x, '[\p{L}\p{N}]')
       OR len(regexp_extract_all(x, '\| |» |› |· | > | / |• ')) >= 3
-      OR regexp_matches(x, '(?i)^[^a-zA-Z0-9_]*((home|menu|about( us)?|contact( us)?|log ?in|sign (in|up)|search|next|previous|back( to top)?|faq|help|news|share|sitemap|register)[^a-zA-Z0-9_]*)+$')
-      OR regexp_matches(x, '(?i)(all rights reserved|terms (of|and) (use|service|conditions)|privacy policy|cookies? policy|we use cookies|accept cookies|enable javascript|click here|subscribe to (our|the)|sign up for|follow us on|share (this|on)|read more|powered by|skip to content)')
+      OR regexp_matches(x, '(?i)^[^a-zA-Z0-9_]*((MENU_WORDS)[^a-zA-Z0-9_]*)+$')
+      OR regexp_matches(x, '(?i)(PHRASES)')
     )) AS good FROM w),
 m AS (SELECT r, doc_id, len(w)::BIGINT AS n_words, length(translate(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))::BIGINT AS word_chars,
       (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
@@ -126,4 +138,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
   (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
   (NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND kept_words >= 0.5::DOUBLE * n_words) AS kept
 FROM m
-"""
+""".replace("MENU_WORDS", MENU_WORDS).replace("PHRASES", PHRASES.replace("'", "''"))
