@@ -98,6 +98,11 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], n: str) -> Dat
     return left.join(F.broadcast(hot), on).unionByName(rest)
 
 
+def sized_join(left: DataFrame, right: DataFrame, on: list[str], n: str, row_bytes: int) -> DataFrame:
+    """spread_join, or a broadcast of right where its counted size allows it."""
+    return left.join(F.broadcast(right), on) if within(right, row_bytes) else spread_join(left, right, on, n)
+
+
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) with one row of each group. found, written, has a row for each of docs: id, h (xxhash64 of the text) and root, the same
     for all of a group. The row with the smallest id and then text hash stays, null ids last; of rows with the same id and text, one."""

@@ -1,7 +1,7 @@
 """Near-duplicate lines by a deletion-neighbourhood join, in DataFrame functions throughout.
 
 Two lines are near copies if their words (lower case) are equal, or if both have LEAST_WORDS words or more and one word was replaced,
-added or taken away: the edit bound is one word. A line goes if any earlier line, by (doc_id, line number), is a near copy of it.
+added or taken away: the edit bound is one word, and none for shorter lines, of which a word is too large a part. A line goes if any earlier line, by (doc_id, line number), is a near copy of it.
 
 Each distinct line emits its variants, the line with one word taken out, as hashes. Lines whose variants are equal with the word
 taken from the same place differ by a replaced word; a line equal to another's variant lacks one of its words. Both are found by aggregating
@@ -19,11 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACES, row_of, written
+from .common import SPACE, SPACES, hinted, row_of, sized_join, spread_join, written
 
 LEAST_WORDS = 5
-#: Candidate lines up to which their places are broadcast; beyond it, the lines are joined to them by a shuffle.
-BROADCAST_ROWS = 1_000_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -81,13 +79,14 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     occurring = written(named, "line-occurrences")
     # a distinct line, its name two hashes of 96 bits together, is known by its first occurrence
     place = F.struct("doc_id", "line_no")
-    distinct = written(occurring.groupBy("h", "g").agg(F.min(place).alias("first"), F.first("halves").alias("halves")), "line-distinct")
+    each = occurring.groupBy("h", "g").agg(F.min(place).alias("first"), F.first("halves").alias("halves"), F.count("*").alias("n"))
+    distinct = written(each, "line-distinct")
     keys = distinct.select("first", F.explode_outer("halves").alias("key")).where("key IS NOT NULL")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    near = written(keys.join(shared, "key", "left_semi").select("first").distinct(), "line-candidates")
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "line-halves")
+    near = written(spread_join(keys, shared, ["key"], "n").select("first").distinct(), "line-candidates")
     # the candidates' words, from their first occurrence
     wanted = near.select(F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l")).distinct()
-    wanted = F.broadcast(wanted) if near.count() <= BROADCAST_ROWS else wanted
+    wanted = hinted(wanted, 48)
     at = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l"))
     texts = lines.drop("w").join(wanted, at, "left_semi").withColumn("w", F.split("line", SPACES))
     texts = written(texts.select(place.alias("first"), "line", F.xxhash64("w").alias("name")), "line-texts").dropDuplicates(["first", "name"])
@@ -96,21 +95,25 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     hashed = written(texts.select("first", _variants("w").alias("x")).select("first", "x.*"), "line-hashes")
     each = F.transform("variants", lambda v, i: F.struct(v.alias("v"), F.xxhash64(i, v).alias("vi")))
     variants = hashed.select("first", F.explode_outer(each).alias("x")).select("first", "x.*")
-    replaced = variants.groupBy("vi").agg(F.min("first").alias("m"), F.count("*").alias("n")).where("n > 1").select("vi", "m")
-    by_replacing = variants.select("vi", "first").join(replaced, "vi").select("first", "m")
-    # each variant is one distinct line at most
+    replaced = written(variants.groupBy("vi").agg(F.min("first").alias("m"), F.count("*").alias("n")).where("n > 1"), "line-replaced")
+    by_replacing = sized_join(variants.select("vi", "first"), replaced, ["vi"], "n", 96).select("first", "m")
+    # each variant is one distinct line at most; of the lines that are longer by a word, the earliest is the shorter one's
     whole = hashed.select(F.col("whole").alias("v"), F.col("first").alias("shorter"))
-    lacking = written(variants.select("v", "first").join(whole, "v").select("first", "shorter"), "line-lacking")
-    by_lacking = lacking.select(F.col("shorter").alias("first"), F.col("first").alias("m"))
-    best = by_replacing.unionByName(by_lacking).unionByName(lacking.withColumnRenamed("shorter", "m")).groupBy("first").agg(F.min("m").alias("m"))
+    longer = variants.groupBy("v").agg(F.min("first").alias("m"), F.count("*").alias("n"))
+    lacking = written(whole.join(longer, "v"), "line-lacking")
+    by_lacking = lacking.select(F.col("shorter").alias("first"), "m")
+    by_adding = sized_join(variants.select("v", "first"), lacking.select("v", "shorter", "n"), ["v"], "n", 96).select("first", F.col("shorter").alias("m"))
+    best = by_replacing.unionByName(by_lacking).unionByName(by_adding).groupBy("first").agg(F.min("m").alias("m"))
     # the partner's words verify the edit
     found = best.where("m < first").join(texts.select("first", "w"), "first")
     partner = texts.select(F.col("first").alias("m"), F.col("w").alias("w2"))
     sure = written(found.join(partner, "m").where(near_copy(F.col("w"), F.col("w2"))).select("first", "m").groupBy("first").agg(F.min("m").alias("m")), "line-near")
-    of_line = distinct.select("h", "g", "first").join(sure, "first", "left").select(
-        "h", "g", "first", F.coalesce("m", "first").alias("kept"), F.col("m").isNotNull().cast("int").alias("edits")
+    of_line = distinct.select("h", "g", "n", "first").join(sure, "first", "left").select(
+        "h", "g", "n", "first", F.coalesce("m", "first").alias("kept"), F.col("m").isNotNull().cast("int").alias("edits")
     )
-    gone = occurring.select("doc_id", "line_no", "h", "g").join(of_line, ["h", "g"])
+    # a line that comes once and has no near copy before it stays
+    of_line = written(of_line.where("n > 1 OR edits = 1"), "line-verdicts")
+    gone = spread_join(occurring.select("doc_id", "line_no", "h", "g"), of_line, ["h", "g"], "n")
     gone = gone.where((F.col("edits") == 1) | ~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
     return gone.select(
         "doc_id", F.col("line_no").cast("long").alias("line_no"),
@@ -123,7 +126,9 @@ def without_repeated(docs: DataFrame) -> DataFrame:
     gone = repeated_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
     rows = docs.select(row_of(docs))
     joined = rows.join(gone, F.col("row.doc_id").eqNullSafe(gone["doc_id"]), "left")
-    kept = F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("gone", i.cast("long")))
+    lines = F.split("row.text", "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1).cast("array<bigint>"), "gone")
+    kept = F.transform(stay, lambda i: F.get(lines, i.cast("int")))
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
     return joined.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
