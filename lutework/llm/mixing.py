@@ -13,19 +13,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, row_of, written
+from .common import SPACE, n_words, row_of, written
 
-#: Keys of a source are ordered within these buckets, each a task's work at most, and then by the buckets' sums.
-BUCKETS = 4096
+#: Buckets of keys for each doubling of the key, and the parts of a bucket: the words of a source are summed by bucket, those of the bucket in which its fraction
+#: ends by part, and only the rows of one part are ordered.
+BUCKETS, PARTS = 64, 4096
 #: Characters that lower a document's quality weight.
 SYMBOLS = "#*$%&|<>{}[]=_~^@"
 
 
 def quality_weight(text: Column) -> Column:
-    """1 for a text without symbols, less for a greater share of them."""
+    """1 for a clean text; less for a greater share of symbols, for repeated lines, and by half for words of an unlikely mean length or none."""
     text = F.coalesce(text, F.lit(""))
-    n = F.length(text)
-    return F.lit(1.0) / (F.lit(1.0) + F.lit(20.0) * (n - F.length(F.translate(text, SYMBOLS, ""))) / F.greatest(n, F.lit(1)))
+    n, lines = F.length(text), F.split(text, "\n")
+    symbols = F.lit(1.0) / (F.lit(1.0) + F.lit(20.0) * (n - F.length(F.translate(text, SYMBOLS, ""))) / F.greatest(n, F.lit(1)))
+    distinct = F.size(F.array_distinct(lines)) / F.size(lines)
+    mean = F.length(F.translate(text, SPACE, "")) / F.greatest(n_words(text), F.lit(1))
+    return symbols * distinct * F.when(mean.between(2, 15), F.lit(1.0)).otherwise(F.lit(0.5))
 
 
 def exponential_key(doc_id: Column, weight: Column, seed: int) -> Column:
@@ -62,48 +66,49 @@ def source_targets(sizes: DataFrame, share: float, cap: float, weights: tuple[fl
     return capped.select("__source", "__source_size", target.alias("__target"))
 
 
+def _part(key: Column) -> Column:
+    """The number of a key's part, ascending with the key."""
+    return F.floor(F.log2(key) * F.lit(float(BUCKETS * PARTS)))
+
+
 def source_plan(narrow: DataFrame, share: float, cap: float, weights: tuple[float, ...]) -> DataFrame:
     """One row per source: __source, __source_size, __target, __epochs and __cut, the last (key, id, size) of its fraction."""
     sizes = narrow.groupBy("__source").agg(F.sum("__size").alias("__source_size"))
     targets = written(source_targets(sizes, share, cap, weights), "mix-targets")
     epochs = F.when(F.col("__source_size") > 0, F.floor(F.col("__target") / F.col("__source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("__epochs", epochs)
-    bucket = F.least(F.lit(BUCKETS - 1), F.floor(F.lit(float(BUCKETS)) * (1 - F.exp(-F.col("__key"))))).cast("int")
     rows = (
-        narrow.withColumn("__bucket", bucket)
-        .groupBy("__source", "__bucket", "__key", "doc_id", "__size")
+        narrow.withColumn("__part", _part(F.col("__key"))).withColumn("__bucket", F.floor(F.col("__part") / PARTS))
+        .groupBy("__source", "__bucket", "__part", "__key", "doc_id", "__size")
         .agg((F.count("*") * F.col("__size")).alias("__words"))
     )
-    sums = rows.groupBy("__source", "__bucket").agg(F.sum("__words").alias("__words"))
-    earlier = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # of each source, only the bucket in which its remainder ends is ordered row by row
-    sums = sums.withColumn("__before", F.coalesce(F.sum("__words").over(earlier), F.lit(0)))
     rest = F.col("__target") - F.col("__epochs") * F.col("__source_size")
-    ends = (
-        sums.join(targets, "__source")
-        .withColumn("__rest", rest)
-        .where((F.col("__before") <= F.col("__rest")) & (F.col("__before") + F.col("__words") >= F.col("__rest")) & (F.col("__words") > 0))
-        .select("__source", "__bucket", "__before", "__rest")
-    )
-    ends = ends.withColumnRenamed("__source", "__s").withColumnRenamed("__bucket", "__b")
-    within = Window.partitionBy("__source", "__bucket").orderBy("__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    ends = targets.select(F.col("__source").alias("__s"), F.lit(0).alias("__start"), rest.alias("__rest"))
+    inside = rows.join(ends, F.col("__source") == F.col("__s"))
+    for unit in ("__bucket", "__part"):
+        # of each source, the bucket in which its remainder ends, and of that the part
+        sums = inside.groupBy("__source", "__rest", "__start", unit).agg(F.sum("__words").alias("__words"))
+        earlier = Window.partitionBy("__source", "__start").orderBy(unit).rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("__before", F.col("__start") + F.coalesce(F.sum("__words").over(earlier), F.lit(0)))
+        ends = sums.where((F.col("__before") <= F.col("__rest")) & (F.col("__before") + F.col("__words") >= F.col("__rest")) & (F.col("__words") > 0))
+        ends = written(ends.select(F.col("__source").alias("__s"), F.col(unit).alias("__b"), F.col("__before").alias("__start"), "__rest"), "mix-ends")
+        inside = rows.join(ends, (F.col("__source") == F.col("__s")) & (F.col(unit) == F.col("__b")))
+    within = Window.partitionBy("__source", "__part").orderBy("__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
     chosen = (
-        rows.join(ends, (F.col("__source") == F.col("__s")) & (F.col("__bucket") == F.col("__b")))
-        .withColumn("__at", F.col("__before") + F.coalesce(F.sum("__words").over(within), F.lit(0)))
+        inside.withColumn("__at", F.col("__start") + F.coalesce(F.sum("__words").over(within), F.lit(0)))
         .withColumn("__in", F.col("__at") + F.col("__words") / 2 <= F.col("__rest"))
     )
-    # a bucket of which nothing is taken still ends the fraction: it begins where the one before ends
+    # a part of which nothing is taken still ends the fraction: it begins where the one before ends
     order = F.struct("__key", F.col("doc_id").alias("__id"), "__size")
     cuts = chosen.groupBy("__source").agg(
-        F.max(F.when(F.col("__in"), order)).alias("__cut"), F.min("__bucket").alias("__from")
+        F.max(F.when(F.col("__in"), order)).alias("__cut"), F.min("__part").alias("__from")
     )
     return written(targets.join(cuts, "__source", "left"), "mix-plan")
 
 
 def _copies() -> Column:
     own = F.struct("__key", F.col("doc_id").alias("__id"), "__size")
-    bucket = F.least(F.lit(BUCKETS - 1), F.floor(F.lit(float(BUCKETS)) * (1 - F.exp(-F.col("__key"))))).cast("int")
-    part = (bucket < F.col("__from")) | (own <= F.col("__cut"))
+    part = (_part(F.col("__key")) < F.col("__from")) | (own <= F.col("__cut"))
     return (F.col("__epochs") + F.when(part, F.lit(1)).otherwise(F.lit(0))).cast("long")
 
 
@@ -138,7 +143,10 @@ WITH base AS (
          CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS s,
          -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':1'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
            / (1.0::DOUBLE / (1.0::DOUBLE + 20.0::DOUBLE * (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>{}[]=_~^@', '')))
-              / greatest(length(coalesce(text, '')), 1))) AS k
+              / greatest(length(coalesce(text, '')), 1))
+              * (len(list_distinct(string_split(coalesce(text, ''), chr(10)))) / len(string_split(coalesce(text, ''), chr(10))))
+              * CASE WHEN length(translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))
+                          / greatest(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0), 1) BETWEEN 2 AND 15 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) AS k
   FROM documents),
 src AS (SELECT s, sum(size)::BIGINT AS source_size FROM base GROUP BY s),
 numbered AS (SELECT *, [3.0, 1.0, 2.0][1 + ((row_number() OVER (ORDER BY s) - 1) % 3)]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap FROM src),
