@@ -1,10 +1,11 @@
 """Licence scans by a positional index of rare template words.
 
-The words of licence templates are posted with their places. Document frequencies of those words, over all documents, give their inverse
-document frequency. In a text the RARE licence words of the highest idf of each template are looked up; each (word place minus template place) is a relative
-position at which the template may stand, and a template whose rare words meet at one relative position, within SLACK words, is laid
-there: its mandatory key phrases must stand near by, and the share of its words that do gives the score. Set phrases, sought at
-every place, label by themselves.
+Document frequencies of the words of licence templates, over all documents, give their inverse document frequency. Of each template the words of
+highest idf are posted with their places: as many that, whichever of its words a text with LEAST_SCORE of them has, MEETING different ones of the
+posted ones are among them, so that no other word needs looking up. Of each text the posted words that it holds are looked up, the highest idf
+first; each (word place minus template place) is a relative position at which the template may stand, and a template of which MEETING different
+words meet at one relative position, within SLACK words, is laid there: its mandatory key phrases must stand near by, and the share of its words
+that do gives the score. Set phrases, sought at every place, label by themselves.
 
 Defined results: words are runs of letters a-z, digits and non-ASCII characters, A-Z lower-cased; null and empty texts have none, no label and
 score 0; equal rows get equal results; an empty table gives an empty result; other columns are ignored.
@@ -21,56 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .licence_texts import TEXTS
+
 #: Phrases that label by themselves.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Openings and set wording of well-known licences, and the phrases that each must hold.
-TEMPLATES = {
-    "mit": (
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the "
-        "software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies",
-        ["permission is hereby granted free of charge", "sublicense and or sell copies"],
-    ),
-    "apache-2": (
-        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of "
-        "the license at http www apache org licenses license 2 0",
-        ["apache license", "compliance with the license"],
-    ),
-    "bsd": (
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
-        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-        ["redistribution and use in source and binary forms", "following conditions are met"],
-    ),
-    "isc": (
-        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above "
-        "copyright notice and this permission notice appear in all copies",
-        ["for any purpose with or without fee is hereby granted"],
-    ),
-    "gpl": (
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the "
-        "free software foundation either version 3 of the license or at your option any later version",
-        ["gnu general public license", "free software foundation"],
-    ),
-    "gpl-3": ("this work is licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
-    "lgpl": (
-        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license",
-        ["gnu lesser general public license"],
-    ),
-    "agpl": ("licensed under the terms of the gnu affero general public license", ["gnu affero general public license"]),
-    "mpl-2": (
-        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can "
-        "obtain one at",
-        ["mozilla public license"],
-    ),
-    "cc-by-nc": ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", ["attribution noncommercial"]),
-    "cc-by-sa": ("this work is licensed under a creative commons attribution sharealike 4 0 international license", ["attribution sharealike"]),
-    "cc-by": ("this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4"]),
-    "cc0": ("to the extent possible under law the author has waived all copyright and related rights to this work cc0 public domain dedication", ["waived all copyright"]),
-    "unlicense": ("this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
-    "all-rights-reserved": ("copyright all rights reserved", ["all rights reserved"]),
-}
-#: Words by which relative positions may differ; rare words that must meet; rare words of a template looked up, at every place they have.
-SLACK, MEETING, RARE = 3, 2, 12
+#: Words by which relative positions may differ; rare words that must meet.
+SLACK, MEETING = 3, 2
 #: The share of a template's words that must stand near its place.
 LEAST_SCORE = 0.6
 
@@ -87,28 +45,44 @@ def plain(text: str | None) -> list[bytes]:
     return [w for w in words(text) if w]
 
 
+def posted_words(template: list[bytes], idf: dict[bytes, float]) -> set[bytes]:
+    """The words of highest idf, as many that a text without MEETING different ones of them has less than LEAST_SCORE of the template's words."""
+    counts, posted = Counter(template), []
+    lacking = len(template) - math.ceil(LEAST_SCORE * len(template))
+    for w in sorted(counts, key=lambda w: (-idf.get(w, 0.0), w)):
+        posted.append(w)
+        most = sorted((counts[x] for x in posted), reverse=True)[: MEETING - 1]
+        if sum(counts[x] for x in posted) - sum(most) > lacking:
+            break
+    return set(posted)
+
+
 @dataclass
 class Index:
     """Postings of the templates' words and what a scan needs beside them."""
 
     idf: dict[bytes, float]
-    postings: dict[tuple[str, bytes], list[int]] = field(default_factory=lambda: defaultdict(list))
-    keys: dict[str, list[list[bytes]]] = field(default_factory=dict)
-    templates: dict[str, list[bytes]] = field(default_factory=dict)
+    postings: dict[bytes, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
+    templates: list[tuple[str, list[bytes], list[list[bytes]]]] = field(default_factory=list)
+    meeting: list[int] = field(default_factory=list)
     vocabulary: set[bytes] = field(default_factory=set)
     phrases: dict[bytes, list[tuple[list[bytes], str]]] = field(default_factory=lambda: defaultdict(list))
 
     @classmethod
     def build(cls, idf: dict[bytes, float]) -> Index:
         index = cls(idf)
-        for label, (text, keys) in TEMPLATES.items():
-            index.templates[label] = plain(text)
-            index.keys[label] = [plain(k) for k in keys]
-            for at, w in enumerate(index.templates[label]):
-                index.postings[label, w].append(at)
+        for number, (label, text, keys) in enumerate(TEXTS):
+            template = plain(text)
+            index.templates.append((label, template, [plain(k) for k in keys]))
+            posted = posted_words(template, idf)
+            index.meeting.append(min(MEETING, len(posted)))
+            for at, w in enumerate(template):
+                if w in posted:
+                    index.postings[w].append((number, at))
         for phrase, label in PHRASES.items():
             index.phrases[plain(phrase)[0]].append((plain(phrase), label))
-        index.vocabulary = {w for _, w in index.postings} | {w for some in index.phrases.values() for phrase, _ in some for w in phrase}
+        index.vocabulary = {w for _, _, keys in index.templates for k in keys for w in k} | set(index.postings)
+        index.vocabulary |= {w for some in index.phrases.values() for phrase, _ in some for w in phrase}
         return index
 
     def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, list[str], list[str], float]:
@@ -136,19 +110,20 @@ class Index:
 
     def _templates(self, found: list[bytes], places: dict[bytes, list[int]]) -> tuple[set[str], float]:
         labels, best = set(), 0.0
-        for label, template in self.templates.items():
-            if not all(w in places for k in self.keys[label] for w in k):  # a key phrase can't stand
-                continue
-            rare = sorted({w for w in template if w in places}, key=lambda w: (-self.idf.get(w, 0.0), w))[:RARE]
-            cells: dict[int, set[bytes]] = defaultdict(set)
-            for w in rare:
-                for at in self.postings[label, w]:
+        able = {k for k, (_, _, keys) in enumerate(self.templates) if all(w in places for key in keys for w in key)}  # others can't stand
+        if not able:
+            return labels, best
+        cells: dict[tuple[int, int], set[bytes]] = defaultdict(set)
+        for w in sorted((w for w in places if w in self.postings), key=lambda w: (-self.idf.get(w, 0.0), w)):
+            for number, at in self.postings[w]:
+                if number in able:
                     for i in places[w]:
-                        cells[(i - at) // SLACK].add(w)
-            need = min(MEETING, len(rare))
-            for cell in [c for c, ws in cells.items() if len(ws | cells.get(c + 1, set())) >= need]:
+                        cells[number, (i - at) // SLACK].add(w)
+        for (number, cell), some in cells.items():
+            if len(some | cells.get((number, cell + 1), set())) >= self.meeting[number]:
+                label, template, keys = self.templates[number]
                 begin, end = cell * SLACK - SLACK, (cell + 2) * SLACK + len(template)
-                if all(self._stands(k, found, places, begin, end) for k in self.keys[label]):
+                if all(self._stands(k, found, places, begin, end) for k in keys):
                     near = Counter(found[max(0, begin) : max(0, end)])
                     share = sum((near & Counter(template)).values()) / len(template)
                     best = max(best, share)
@@ -164,7 +139,7 @@ class Index:
 
 def document_frequencies(docs: DataFrame) -> tuple[dict[bytes, float], int]:
     """The idf of every template word over all documents, and their number. A row per template word comes back, whatever the input."""
-    vocabulary = {w for text, keys in TEMPLATES.values() for w in plain(text)}
+    vocabulary = {w for _, text, _ in TEXTS for w in plain(text)}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
