@@ -39,6 +39,17 @@ CLOSES = {
     "p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"},
     **{t: {"p"} for t in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()},
 }
+#: What may stand in a head; any other tag, and text, ends one that is open. A select ends where a block begins, drawings and formulas where the tags begin
+#: that browsers let out of them, and what stands in for an object or canvas with the next part of the page.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
+OPTIONS = frozenset("select option optgroup".split())
+FOREIGN = frozenset("svg math".split())
+LEAVES = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong "
+    "strike sub sup table tt u ul var article section main footer header nav aside form".split()
+)
+STANDINS = frozenset("object canvas".split())
+PARTS = frozenset("article section main footer header nav aside body h1".split())
 BARRIER = frozenset("table ul ol dl div article section aside nav header footer main form body html blockquote".split())
 TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|$)|(?P<decl>[!?][^>]*)>?|(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -77,8 +88,17 @@ def blocks(page: str | None) -> list[Block]:
     def shown() -> bool:
         return not any(t in HIDDEN for t, _ in stack)
 
+    def leave(tags: frozenset[str]) -> None:
+        """Closes the outermost open one of tags, with all in it."""
+        for k, (t, _) in enumerate(stack):
+            if t in tags:
+                del stack[k:]
+                return
+
     def add(text: str) -> None:
         nonlocal linked
+        if stack and stack[-1][0] == "head" and not text.isspace():
+            stack.pop()
         if text and shown():
             plain = entities.unescape(text)
             parts.append(plain)
@@ -108,6 +128,16 @@ def blocks(page: str | None) -> list[Block]:
             if name in ("p", "br") and name not in INLINE:
                 close()
             continue
+        opened = {t for t, _ in stack}
+        if opened & HIDDEN:
+            if "head" in opened and name not in HEAD and "template" not in opened:
+                leave(frozenset(["head"]))
+            if opened & OPTIONS and name not in OPTIONS and name not in INLINE and name != "hr" or "select" in opened and name in ("input", "select", "textarea"):
+                leave(OPTIONS)
+            if opened & FOREIGN and name in LEAVES and "foreignobject" not in opened:
+                leave(FOREIGN)
+            if opened & STANDINS and name in PARTS:
+                leave(STANDINS)
         if name in INLINE:
             if name in ("br", "wbr", "img"):
                 parts.append(" " if parts and name == "br" else "")

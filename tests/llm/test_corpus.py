@@ -1,6 +1,7 @@
 """The corpus operators on small fixtures: brute force, round trips and odd inputs."""
 
 import hashlib
+import html
 import random
 import re
 import zlib
@@ -162,7 +163,7 @@ def test_line_dedup_odd(odd, none):
 
 
 def test_license_phrases_and_templates(odd, none, spark):
-    texts = ["Released Under the MIT-License!", "x apache license, version 2.0 CC BY-NC cc by nc", " ".join(["filler"] * 50) + " " + licenses.TEMPLATES["isc"][0] + " tail", "under the mit", "permission is granted"]
+    texts = ["Released Under the MIT-License!", "x apache license, version 2.0 CC BY-NC cc by nc", " ".join(["filler"] * 50) + " " + licenses.TEXTS[7][1] + " tail", "under the mit", "permission is granted"]
     got = {x["doc_id"]: x for x in licenses.scan(docs(spark, texts)).collect()}
     assert (got[0]["base_labels"], got[0]["n_base"], got[0]["first_word"], got[0]["n_words"]) == ("mit", 1, 1, 5)
     assert (got[1]["base_labels"], got[1]["n_base"], got[1]["first_word"], got[1]["last_word"]) == ("apache-2,cc-by-nc", 3, 1, 9)
@@ -171,6 +172,44 @@ def test_license_phrases_and_templates(odd, none, spark):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(none).count() == 0
 
 
+def plain_templates(text, idf):
+    """Labels and best share, every relative position of every template being looked at."""
+    found = [w for w in re.split("[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if w]
+    labels, best, slack = set(), 0.0, licenses.SLACK
+    for label, template, keys in licenses.TEXTS:
+        t, keys = [w.decode() for w in licenses.plain(template)], [[w.decode() for w in licenses.plain(k)] for k in keys]
+        posted = {w.decode() for w in licenses.posted_words(licenses.plain(template), idf)}
+        for cell in range(-len(t) // slack - 2, len(found) // slack + 2):
+            meet = {w for at, w in enumerate(t) if w in posted for d in range(2 * slack) if 0 <= (i := cell * slack + d + at) < len(found) and found[i] == w}
+            begin, end = cell * slack - slack, (cell + 2) * slack + len(t)
+            if len(meet) >= min(licenses.MEETING, len(posted)) and all(any(found[i : i + len(k)] == k for i in range(max(0, begin), end + 1)) for k in keys):
+                near = found[max(0, begin) : max(0, end)]
+                share = sum(min(near.count(w), t.count(w)) for w in set(t)) / len(t)
+                best = max(best, share)
+                labels |= {label} if share >= licenses.LEAST_SCORE else set()
+    return labels, best
+
+
+def test_license_index_against_every_position(spark):
+    r = random.Random(4)
+    texts = []
+    for label, text, keys in licenses.TEXTS:
+        w = text.split()
+        for loss in (0.0, 0.1, 0.3, 0.5):
+            kept = [x if r.random() >= loss else r.choice(["other", "the", ""]) for x in w]
+            texts.append(" ".join([prose(r, r.randrange(20)), *kept, *r.choice([[], keys]), prose(r, r.randrange(20))]))
+    frame = docs(spark, [*texts, *texts[:3], None, ""])
+    idf, total = licenses.document_frequencies(frame)
+    assert total == len(texts) + 5
+    labelled = 0
+    for x in licenses.scan(frame).collect():
+        labels, best = plain_templates([*texts, *texts[:3], None, ""][x["doc_id"]], idf)
+        assert set(filter(None, x["labels"].split(","))) == labels | set(filter(None, x["base_labels"].split(",")))
+        assert x["n_base"] or abs(x["score"] - best) < 1e-12
+        labelled += bool(labels)
+    assert labelled >= 2 * len(licenses.TEXTS)
+
+
 # 5
 
 
@@ -220,6 +259,46 @@ def test_pages(spark, field):
     assert texts[2] == "" and len(texts[4]) == 20_000 * 11 - 1
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>t</title><style>p{}</style><body><article><p>One of two<p>Two of two</article>",
+        "<title>t</title><meta charset=x><article><p>One of two</p><p>Two of two",
+        "<article><p>One of two</p><select><option>a<option>b<p>Two of two</p></article>",
+        "<article><p>One of two</p><svg><title>x</title><text>no</text><p>Two of two</p></article>",
+        "<article><ul><li>One of two<li>Two of two</ul></article>",
+        "<article><table><tr><td>One of two<td>Two of two</table></article>",
+        "<article><dl><dt>One of two<dd>Two of two</dl></article>",
+        "<section><object data=x><b>no</b><article><p>One of two</p><p>Two of two</p></article>",
+    ],
+)
+def test_pages_with_tags_left_out(page):
+    assert [b.text for b in htmlcrf.blocks(page)] == ["One of two", "Two of two"]
+
+
+def test_extracted_text_is_the_best_labelling(field):
+    weights, moves = field
+    for page, _ in htmlcrf.labelled_pages(60, seed=5):
+        found = htmlcrf.blocks(page)
+        if not 0 < len(found) <= 12:
+            continue
+        e = [[sum(weights[y, f] for f in feats) for y in (0, 1)] for feats in htmlcrf.featured(found)]
+        score = lambda k: sum(e[t][k >> t & 1] for t in range(len(e))) + sum(moves[k >> t & 1, k >> t + 1 & 1] for t in range(len(e) - 1))  # noqa: B023, E731
+        best = max(range(1 << len(found)), key=score)
+        assert htmlcrf.main_text(weights, moves, page) == "\n".join(b.text for t, b in enumerate(found) if best >> t & 1)
+
+
+def test_pages_table(field):
+    """The article of each page of the table, by a plain reading that knows their layout."""
+    import pyarrow.parquet as pq
+
+    for x in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()[:100]:
+        article = re.search("<article>(.*)</article>", x["html"], re.S)[1]
+        article = re.sub("(?s)<(script|style|nav|aside|form)\\b.*?</\\1>|<!--.*?-->|<div class=\"ad\">.*?</div>", "", article)
+        parts = [re.sub("\\s+", " ", html.unescape(re.sub("<[^>]*>", "", p.replace("<br>", " ")))).strip() for p in re.split("</?(?:p|h1|h2|div|ul|li|article)\\b[^>]*>", article)]
+        assert htmlcrf.main_text(*field, x["html"]) == "\n".join(p for p in parts if p), x["page_id"]
+
+
 # 6
 
 
