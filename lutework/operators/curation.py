@@ -92,3 +92,62 @@ def merged_turns(turns: DataFrame, keys: list[str], order: str) -> DataFrame:
     runs = turns.withColumn("__new", new).withColumn("position", F.sum("__new").over(w))
     texts = F.sort_array(F.collect_list(F.struct(order, F.coalesce("text", F.lit("")).alias("t"))))
     return runs.groupBy(*keys, "position").agg(F.first("role").alias("role"), F.array_join(F.transform(texts, lambda x: x["t"]), "\n").alias("text"))
+
+
+#: Kinds of patches; any other one is an error.
+PATCHES = ["REPOSITION", "ADD", "REMOVE", "NO_OP", "OTHER"]
+
+
+def replayed_patches(plan: DataFrame, patches: DataFrame, key: str) -> DataFrame:
+    """Of a plan (key, string, techniques) and patches (key, order, kind, before, after, technique), what each key's action is after its patches, how many
+    applied, and the errors of the others in their order: missing (no action, which only an added technique may begin), before (not what it
+    expects), absent (a technique to be removed) and unknown. A fold over a key's patches, one row of them."""
+    listed = patches.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("order", "kind", "before", "after", "technique"))).alias("p"))
+    none = F.array().cast("array<string>")
+    rows = listed.join(plan.withColumn("there", F.lit(True)), key, "left")
+    begin = F.struct(
+        F.col("string").cast("long").alias("string"), F.coalesce("techniques", none).alias("t"), F.lit(0).alias("applied"), none.alias("errors"), F.coalesce("there", F.lit(False)).alias("there")
+    )
+
+    def step(s: Column, p: Column) -> Column:
+        kind = p["kind"]
+        error = (
+            F.when(~s["there"] & (kind != "ADD"), "missing").when((kind == "REPOSITION") & p["before"].isNotNull() & ~p["before"].eqNullSafe(s["string"]), "before")
+            .when((kind == "REMOVE") & ~F.array_contains(s["t"], p["technique"]), "absent").when(~kind.isin(*PATCHES[:4]), "unknown")
+        )
+        good = error.isNull()
+        more = F.when(good & (kind == "ADD") & ~F.array_contains(s["t"], p["technique"]), F.array_append(s["t"], p["technique"])).when(good & (kind == "REMOVE"), F.array_remove(s["t"], p["technique"])).otherwise(s["t"])
+        return F.struct(
+            F.when(good & (kind == "REPOSITION"), p["after"].cast("long")).otherwise(s["string"]).alias("string"), more.alias("t"), (s["applied"] + good.cast("int")).alias("applied"),
+            F.when(good, s["errors"]).otherwise(F.array_append(s["errors"], error)).alias("errors"), (s["there"] | (kind == "ADD")).alias("there"),
+        )
+
+    return rows.select(key, F.aggregate("p", begin, step).alias("x")).select(key, "x.string", F.col("x.t").alias("techniques"), "x.applied", "x.errors")
+
+
+def warning_lifecycle(turns: DataFrame, key: str, order: str) -> DataFrame:
+    """Of turns (key, order, current: warnings, informed: edits that knew their candidates), the pending and attempted warnings of each key after the last one."""
+    none = F.array().cast("array<bigint>")
+
+    def step(s: Column, t: Column) -> Column:
+        later = F.array_intersect(t["informed"], s["pending"])
+        pending = F.array_except(F.array_union(s["pending"], t["current"]), F.array_except(later, t["current"]))
+        return F.struct(pending.alias("pending"), F.array_union(s["attempted"], later).alias("attempted"))
+
+    whole = turns.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, "current", "informed"))).alias("t"))
+    return whole.select(key, F.aggregate("t", F.struct(none.alias("pending"), none.alias("attempted")), step).alias("x")).select(key, "x.*")
+
+
+def keyed_merge(source: DataFrame, parts: list[DataFrame], keys: list[str], kept: list[str]) -> DataFrame:
+    """The rows of parts by key, with at, which sorts as the source does, and unchanged, whether the kept fields are the source's. A key that comes twice or
+    not at all fails the job."""
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    others = [c for c in whole.columns if c not in keys]
+    name = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+    one = whole.groupBy(*keys).agg(F.first(F.struct(*others)).alias("row"), F.count("*").alias("n"))
+    found = source.select(*keys, F.struct(*kept).alias("own"), F.monotonically_increasing_id().alias("at")).join(one, keys, "left")
+    wrong = F.when(F.col("n").isNull(), F.raise_error(F.concat(F.lit("missing key "), name)).cast("boolean")).when(F.col("n") > 1, F.raise_error(F.concat(F.lit("repeated key "), name)).cast("boolean"))
+    same = F.struct(*[F.col(f"row.{c}").alias(c) for c in kept]).eqNullSafe(F.col("own"))
+    return found.where(F.coalesce(wrong, F.lit(True))).select(*keys, "at", *[F.col(f"row.{c}").alias(c) for c in others], same.alias("unchanged"))

@@ -80,8 +80,8 @@ def nearest_before(df: DataFrame, keys: list[str], order: list[str], is_anchor:
 
 
 def split_ranges(limit: int, slack: int):
-    """A fold over a score's rows (sounding, is_bar, section) in order, by which phrases end: at a change of section, at the next bar
-    once limit sounding rows are in, or at limit + slack. Takes an ordered array of structs (idx, sounding, is_bar, section)."""
+    """A fold over a score's rows (sounding, is_bar, section) in order, by which phrases end: before a stated section other than the phrase's, at the next
+    bar once more than limit sounding rows are in, or at the row with which limit + slack are. Takes an ordered array of structs (idx, sounding, is_bar, section)."""
 
     def fold(rows: Column) -> Column:
         empty = F.struct(
@@ -89,18 +89,18 @@ def split_ranges(limit: int, slack: int):
         )
 
         def step(s: Column, r: Column) -> Column:
-            changed = (s["at"] > s["start"]) & ~r["section"].eqNullSafe(s["section"])
+            changed = (s["at"] > s["start"]) & r["section"].isNotNull() & ~r["section"].eqNullSafe(s["section"])
             done = F.struct(s["start"].alias("start"), s["at"].alias("stop"), s["n"].alias("n"))
             out = F.when(changed, F.concat(s["out"], F.array(done))).otherwise(s["out"])
             start = F.when(changed, s["at"]).otherwise(s["start"])
             n = F.when(changed, F.lit(0)).otherwise(s["n"]) + r["sounding"].cast("int")
-            full = ((n >= limit) & r["is_bar"]) | (n >= limit + slack)
+            full = ((n > limit) & r["is_bar"]) | (r["sounding"] & (n >= limit + slack))
             ended = F.struct(start.alias("start"), (s["at"] + 1).alias("stop"), n.alias("n"))
             return F.struct(
                 F.when(full, F.concat(out, F.array(ended))).otherwise(out).alias("out"),
                 F.when(full, s["at"] + 1).otherwise(start).alias("start"),
                 F.when(full, F.lit(0)).otherwise(n).alias("n"),
-                r["section"].alias("section"),
+                F.when(~full, F.coalesce(r["section"], F.when(~changed, s["section"]))).alias("section"),
                 (s["at"] + 1).alias("at"),
             )
 
@@ -113,6 +113,29 @@ def split_ranges(limit: int, slack: int):
     return fold
 
 
+# The markers of repeats, as a pattern with the longest first, and those that name an anchor.
+REPEAT_MARKERS, ANCHORS = "(从头再作|从ㄱ再作|再作三声|再作二声|再[作做](?:标记|起点)ㄱ?|再作)", "标记|起点"
+
+
+def repeats(rows: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
+    """rows with omitted, marker and anchor (the order value of the nearest anchor at or before the marker): what a repeat leaves out. A marker of a copy
+    leaves out the blank rows after it, and its own row where it isn't the plain one; a return to an anchor needs one."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.regexp_extract_all(F.col(text), F.lit(REPEAT_MARKERS), F.lit(1))
+    marked = rows.withColumn("__m", found)
+    is_anchor = F.exists("__m", lambda x: x.rlike(ANCHORS))
+    marked = marked.withColumn("anchor", F.last(F.when(is_anchor, F.col(order)), ignorenulls=True).over(w))
+    copies = F.filter("__m", lambda x: ~x.rlike(ANCHORS) & ((x != "从ㄱ再作") | F.col("anchor").isNotNull()))
+    wide = F.filter(copies, lambda x: x != "再作")
+    filled = F.trim(F.coalesce(F.col(text), F.lit(""))) != ""
+    last = lambda c: F.when(F.size(c) > 0, F.get(c, F.size(c) - 1))
+    state = F.struct(last(copies).alias("marker"), F.col("anchor").alias("anchor"))
+    marked = marked.withColumn("__own", last(wide)).withColumn("__b", F.last(F.when(filled, state), ignorenulls=True).over(w))
+    marker = F.when(filled, F.col("__own")).otherwise(F.col("__b.marker"))
+    out = marked.withColumn("marker", marker).withColumn("anchor", F.when(F.col("marker").isNotNull(), F.when(filled, F.col("anchor")).otherwise(F.col("__b.anchor"))))
+    return out.withColumn("omitted", F.col("marker").isNotNull()).drop("__m", "__own", "__b")
+
+
 def ancestor_sums(parents: DataFrame) -> DataFrame:
     """Of a lineage (node, up), one row for each node that has a parent, numbers without cycles: node, n_ancestors and ancestor_sum, the
     number and sum of all nodes above. Self-joins, doubled: after the k-th a row stands for 2^k ancestors, or for all there are;
@@ -130,3 +153,14 @@ def ancestor_sums(parents: DataFrame) -> DataFrame:
         )
         if hops.where("up IS NOT NULL").isEmpty():
             return hops.drop("up")
+
+
+def lineage(edges: DataFrame) -> DataFrame:
+    """Of edges (node, up) of a lineage, in which a node may have several parents, every pair (node, up) of a node and one above it: self-joins,
+    doubled, each written, until no pair is new."""
+    closed, n = _written(edges.select("node", "up").distinct(), "lineage"), -1
+    while (now := closed.count()) != n:
+        n = now
+        above = closed.select(F.col("node").alias("up"), F.col("up").alias("over"))
+        closed = _written(closed.unionByName(closed.join(above, "up").select("node", F.col("over").alias("up"))).distinct(), "lineage")
+    return closed

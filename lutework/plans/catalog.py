@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import curation, more, notation, ordered_queries, pitch, scoring, source_queries
+from . import choices, curation, more, notation, ordered_queries, phrases, pitch, scoring, source_queries, spellings
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (pitch, notation, scoring, ordered_queries, curation, source_queries, more):
+for module in (pitch, notation, scoring, ordered_queries, curation, source_queries, more, spellings, phrases, choices):
     QUERIES |= module.REGISTRY.queries
     ORACLES |= module.REGISTRY.oracles

@@ -22,14 +22,6 @@ def p1_stage_precedence(spark, sf_dir):
     return x.groupBy(curation.coalesced_stages(["direct", "single", "guq", "base"]).alias("stage")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {NOTES} SELECT structural, flag IN ('R') AND d = 0 AS bare_rest, NOT structural AND midi BETWEEN 48 AND 71 AS sounding, count(*) AS n FROM notes GROUP BY 1, 2, 3")
-def p3_p5_predicates(spark, sf_dir):
-    """Structural, rest and sounding rows."""
-    n = notes(spark, sf_dir)
-    rest, sounding = (F.col("flag") == "R") & (F.col("d") == 0), ~F.col("structural") & F.col("midi").between(48, 71)
-    return n.groupBy("structural", rest.alias("bare_rest"), sounding.alias("sounding")).agg(F.count("*").alias("n"))
-
-
 @query("""SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0 UNION SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
 def p6_p7_blacklist(spark, sf_dir):
     """Rows whose key is on none of several lists."""
@@ -187,13 +179,3 @@ def c9_merged_turns(spark, sf_dir):
     """Messages flattened, neighbours of one role merged and hashed."""
     found = curation.merged_turns(table(spark, sf_dir, "conversations"), ["conv_id"], "turn")
     return found.select("conv_id", "position", "role", F.sha2("text", 256).alias("digest"))
-
-
-@query("""WITH o AS (SELECT user_id, event_id, event_type, ts, max(CASE WHEN event_type = 'signup' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS marker FROM events)
-SELECT user_id, count(*) FILTER (marker IS NOT NULL AND event_type = 'error') AS repeated, count(*) AS n FROM o GROUP BY user_id""")
-def f4_repeat_flags(spark, sf_dir):
-    """rows that a marker before them repeats are flagged, none is added."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    marker = F.last(F.when(F.col("event_type") == "signup", F.col("ts")), ignorenulls=True).over(w)
-    rows = table(spark, sf_dir, "events").withColumn("marker", marker)
-    return rows.groupBy("user_id").agg(F.count_if(F.col("marker").isNotNull() & (F.col("event_type") == "error")).alias("repeated"), F.count("*").alias("n"))

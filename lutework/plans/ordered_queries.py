@@ -26,13 +26,6 @@ def w2_phrase_order(spark, sf_dir):
     return first.withColumn("phrase_rank", F.row_number().over(Window.partitionBy("score").orderBy("phrase_order")))
 
 
-@query("WITH e AS (SELECT user_id, event_id, ts, min((value < 90)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ok FROM events) SELECT user_id, count(*) AS kept, max(event_id) AS last_event FROM e WHERE ok = 1 GROUP BY user_id")
-def w3_valid_prefix(spark, sf_dir):
-    """The contiguous valid prefix of each sequence."""
-    kept = ordered.valid_prefix(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("value") < 90)
-    return kept.groupBy("user_id").agg(F.count("*").alias("kept"), F.max("event_id").alias("last_event"))
-
-
 @query(f"WITH {NOTES} SELECT score, idx FROM (SELECT *, lag(midi) OVER (PARTITION BY score ORDER BY idx) AS before FROM notes WHERE NOT structural) WHERE before = midi")
 def w4_reattacks(spark, sf_dir):
     """Notes that repeat the pitch of the note before, bars left out."""
@@ -76,29 +69,6 @@ def w9_w10_scopes(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id", "event_id", ordered.filled_forward(kind("purchase", "signup"), w).alias("section"), ordered.scope_open(kind("signup", "error"), "signup", w).alias("in_scope"))
 
 
-@query(f"""WITH {_RUNS}, n AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type, g ORDER BY ts, event_id) AS k FROM r) SELECT user_id, event_id, event_type FROM n WHERE k = 3""")
-def w11_consecutive(spark, sf_dir):
-    """The third event of a run of equal ones, once a run."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    new = (~F.col("event_type").eqNullSafe(F.lag("event_type").over(w))).cast("int")
-    rows = table(spark, sf_dir, "events").withColumn("new", new).withColumn("run", F.sum("new").over(w))
-    inside = Window.partitionBy("user_id", "run").orderBy("ts", "event_id")
-    return rows.withColumn("k", F.row_number().over(inside)).where("k = 3").select("user_id", "event_id", "event_type")
-
-
-@query(f"""WITH {NOTES}, s AS (SELECT score, idx, midi, lead(midi, 1) OVER w AS m2, lead(midi, 2) OVER w AS m3 FROM notes WINDOW w AS (PARTITION BY score ORDER BY idx)),
-p AS (SELECT a.score, a.idx AS i, b.idx AS j FROM s a JOIN s b ON a.score = b.score AND a.midi = b.midi AND a.m2 = b.m2 AND b.idx > a.idx)
-SELECT score, j - i AS shift, count(*) AS n, min(i) AS first FROM (SELECT *, i - row_number() OVER (PARTITION BY score, j - i ORDER BY i) AS g FROM p) GROUP BY score, j - i, g""")
-def w12_common_runs(spark, sf_dir):
-    """Stretches that come again later in a score, by pairs of notes, diagonals and their runs."""
-    w = Window.partitionBy("score").orderBy("idx")
-    s = notes(spark, sf_dir).select("score", "idx", "midi", F.lead("midi").over(w).alias("m2")).where("m2 IS NOT NULL")
-    a, b = s.select("score", "midi", "m2", F.col("idx").alias("i")), s.select("score", "midi", "m2", F.col("idx").alias("j"))
-    p = a.join(b, ["score", "midi", "m2"]).where("j > i").withColumn("shift", F.col("j") - F.col("i"))
-    g = F.col("i") - F.row_number().over(Window.partitionBy("score", "shift").orderBy("i"))
-    return p.withColumn("g", g).groupBy("score", "shift", "g").agg(F.count("*").alias("n"), F.min("i").alias("first")).drop("g")
-
-
 @query("""WITH p AS (SELECT o_custkey AS score, o_orderkey AS phrase, o_orderdate AS day, o_orderstatus AS exit FROM orders)
 SELECT score, phrase, lag(phrase) OVER w AS previous, lead(phrase) OVER w AS next, lag(exit) OVER w AS entry FROM p WINDOW w AS (PARTITION BY score ORDER BY day, phrase)""")
 def w13_handoffs(spark, sf_dir):
@@ -108,16 +78,6 @@ def w13_handoffs(spark, sf_dir):
     return p.select("score", "phrase", F.lag("phrase").over(w).alias("previous"), F.lead("phrase").over(w).alias("next"), F.lag("exit").over(w).alias("entry"))
 
 
-@query()
-def w14_phrase_ranges(spark, sf_dir):
-    """Phrases of a score by the resetting fold; tests hold it against a plain loop."""
-    rows = notes(spark, sf_dir).groupBy("score").agg(
-        F.sort_array(F.collect_list(F.struct("idx", (~F.col("structural")).alias("sounding"), F.col("structural").alias("is_bar"), F.col("status").alias("section")))).alias("rows")
-    )
-    found = rows.select("score", F.explode(ordered.split_ranges(3, 2)(F.col("rows"))).alias("x"))
-    return found.select("score", "x.start", "x.stop", "x.n")
-
-
 @query("""WITH v AS (SELECT c_mktsegment AS pool, c_custkey AS k, c_acctbal AS x, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) - 1 AS r, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer),
 c AS (SELECT pool, max(x) FILTER (r = n // 3) AS a, max(x) FILTER (r = 2 * n // 3) AS b FROM v GROUP BY pool) SELECT pool, k, CASE WHEN x < a THEN 0 WHEN x < b THEN 1 ELSE 2 END AS tercile FROM v JOIN c USING (pool)""")
 def w16_terciles(spark, sf_dir):
@@ -137,14 +97,6 @@ def j9_j10_nearest_anchor(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id", "event_id", anchor.alias("anchor"))
 
 
-@query("""WITH s AS (SELECT l_suppkey AS prog, l_linenumber AS val, avg(l_discount) AS score FROM lineitem GROUP BY 1, 2) SELECT val, prog, round(score, 9) AS score FROM s QUALIFY rank() OVER (PARTITION BY val ORDER BY round(score, 9) DESC) = 1""")
-def k11_instance_frontier(spark, sf_dir):
-    """The best programs of each instance, ties kept."""
-    s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("val"), F.col("l_suppkey").alias("prog")).agg(F.round(F.avg("l_discount"), 9).alias("score"))
-    best = s.groupBy("val").agg(F.max("score").alias("score"))
-    return s.join(best, ["val", "score"]).select("val", "prog", "score")
-
-
 @query("""WITH s AS (SELECT l_suppkey AS prog, avg(l_discount) AS a, avg(l_tax) AS b FROM lineitem GROUP BY 1), r AS (SELECT prog, round(a, 9) AS a, round(b, 9) AS b FROM s)
 SELECT prog, a, b FROM r x WHERE NOT EXISTS (SELECT 1 FROM r y WHERE y.a >= x.a AND y.b >= x.b AND (y.a > x.a OR y.b > x.b))""")
 def k11_k12_pareto(spark, sf_dir):

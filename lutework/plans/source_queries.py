@@ -70,17 +70,6 @@ def s8_sniffed(spark, sf_dir):
     return found.groupBy("c").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
 
 
-TUNES = ["C D E2|F/2G/2 A,^c'|[CE]4 z2|", "\"Am\"a b c' d'|=B _E x4|", "", "G3 [DGb]2|", "z8|z8|"]
-
-
-@query()
-def s7_tunes(spark, sf_dir):
-    """Events of tunes in letter notation."""
-    body = F.get(F.array(*[F.lit(t) for t in TUNES]), (F.col("p_partkey") % len(TUNES)).cast("int"))
-    found = readers.tune_events(table(spark, sf_dir, "part").select("p_partkey", body.alias("body")), "p_partkey", "body")
-    return found.select("p_partkey", "idx", "token", "kind", "bar", "onset", "duration", F.array_join(F.col("midis").cast("array<string>"), ",").alias("midis"))
-
-
 @query("""WITH w AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events)
 SELECT CASE WHEN r = 1 THEN 'start' WHEN r <= 4 THEN 'extends' ELSE 'slides' END AS step, count(*) AS n, count(*)::BIGINT AS added FROM w GROUP BY 1""")
 def s12_growth(spark, sf_dir):

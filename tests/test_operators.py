@@ -68,18 +68,21 @@ def test_wrong_predictions_count_twice(spark):
 
 
 def plain_ranges(rows, limit, slack):
-    out, start, n, section = [], 0, 0, None
-    for i, (sounding, bar, sec) in enumerate(rows):
-        if i > start and sec != section:
-            out.append((start, i, n))
-            start, n = i, 0
-        n += sounding
-        if (n >= limit and bar) or n >= limit + slack:
-            out.append((start, i + 1, n))
-            start, n = i + 1, 0
-        section = sec
-    if len(rows) > start:
-        out.append((start, len(rows), n))
+    out, start = [], 0
+    while start < len(rows):
+        section, n, end = None, 0, len(rows)
+        for i in range(start, len(rows)):
+            sounding, bar, own = rows[i]
+            if i > start and own is not None and own != section:
+                end = i
+                break
+            section = section if own is None else own
+            n += sounding
+            if sounding and n >= limit + slack or n > limit and bar:
+                end = i + 1
+                break
+        out.append((start, end, sum(r[0] for r in rows[start:end])))
+        start = end
     return out
 
 
@@ -89,6 +92,7 @@ def plain_ranges(rows, limit, slack):
         ([(1, 0, "a")] * 10 + [(0, 1, "a")] + [(1, 0, "a")] * 60, 32, 8),
         ([(1, 0, "1"), (1, 0, "1"), (1, 0, "2")], 32, 8),
         ([(1, 0, "a"), (0, 1, "a")] * 9, 3, 2),
+        ([(1, 0, None), (1, 0, "a"), (0, 1, None), (1, 0, None), (1, 0, "a"), (1, 0, "b")] * 3, 2, 8),
         ([], 3, 2),
     ],
 )
