@@ -14,6 +14,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes that a broadcast side may have, by its counted rows; larger sides are shuffled.
 BROADCAST_BYTES = 32 << 20
+#: Rows and bytes of a batch that goes to Python.
+BATCH, BATCH_BYTES = 512, 4 << 20
 #: A key with over a SPREAD-th of all rows is hot; so there are SPREAD hot keys at most.
 SPREAD = 1000
 
@@ -46,6 +48,15 @@ def discard(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, its session handing rows to Python in batches of BATCH rows and BATCH_BYTES at most, so that long texts don't fill the workers and the buffers that
+    the JVM keeps beside its heap."""
+    for name, most in (("maxRecordsPerBatch", BATCH), ("maxBytesPerBatch", BATCH_BYTES)):
+        if df.sparkSession.conf.get(f"spark.sql.execution.arrow.{name}", None) is None:  # what a session sets itself stays
+            df.sparkSession.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 TRAINING_PAGES, EPOCHS, RATE, PENALTY, SEED = 400, 12, 0.5, 1e-4, 11
 FEATURES = 1 << 12
 
@@ -440,4 +442,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text", "n_chars"])
 
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    return narrow.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return in_small_batches(narrow).mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")

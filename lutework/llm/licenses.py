@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
 from .licence_texts import TEXTS
 
 #: Phrases that label by themselves.
@@ -150,7 +151,7 @@ def document_frequencies(docs: DataFrame) -> tuple[dict[bytes, float], int]:
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
-    rows = docs.select("text").mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n")).collect()
+    rows = in_small_batches(docs.select("text")).mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n")).collect()
     n = {w.encode(): c for w, c in rows}
     total = n.pop(b"", 0)
     return {w: math.log((total + 1) / (n.get(w, 0) + 1)) for w in vocabulary}, total
@@ -172,4 +173,4 @@ def scan(docs: DataFrame) -> DataFrame:
             arrays += [pa.array([",".join(x) for x in columns[k]], pa.string()) for k in (4, 5)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(columns[6], pa.float64())], SCHEMA.replace(",", "").split()[::2])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, SCHEMA)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, one_of_each, spread_join, written
+from .common import hinted, in_small_batches, one_of_each, spread_join, written
 from .simhash import SPACES, components, links, majority
 
 #: Words of a shingle. Similarity is 0.8 or more: 9 * common >= 4 * (size + size).
@@ -185,7 +185,7 @@ def groups(docs: DataFrame) -> DataFrame:
     """Of docs (doc_id, text, ...), one row for each of its rows: id, h (the hash of the text), row (a number) and root, the same for all of a group."""
     text = docs.select("text", F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = text.mapInArrow(_first, f"key binary, n int, first array<bigint>, fp bigint, row bigint, id {id_type}, h bigint")
+    rows = in_small_batches(text).mapInArrow(_first, f"key binary, n int, first array<bigint>, fp bigint, row bigint, id {id_type}, h bigint")
     rows = written(rows, "nearcopies-rows")
     least = written(rows.groupBy("key").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id", "h", "row")).alias("row"), F.count("*").alias("m")), "nearcopies-distinct")
     again = rows.select("key", "row").join(least.where("m > 1").select("key", F.col("row").alias("r")), "key").where("row <> r").select("row")

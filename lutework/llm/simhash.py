@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, one_of_each, spread_join, written
+from .common import discard, in_small_batches, one_of_each, spread_join, written
 
 #: Fingerprints that may meet in one group before its remaining bits are cut into blocks again.
 REFINE = 4096
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.int64())], ["doc_id", "h", "fp"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    return narrow.mapInArrow(run, "doc_id bigint, h bigint, fp bigint")
+    return in_small_batches(narrow).mapInArrow(run, "doc_id bigint, h bigint, fp bigint")
 
 
 # The index over the fingerprints of one task

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import in_small_batches, shared_dir
 
 BLOCK, SEGMENT, WIDTH_SHARE = 1024, 1 << 16, 0.9
 HEAD = np.dtype([("least", "<u4"), ("n", "<u2"), ("width", "u1"), ("spare", "u1"), ("n_exc", "<u2")])
@@ -228,7 +228,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, s
     shards = shards or max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = docs.select("doc_id", "text").repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInArrow(_segments(tokenizer_path, end_id), SEGMENT_SCHEMA).write.parquet(path)
+    in_small_batches(ordered).mapInArrow(_segments(tokenizer_path, end_id), SEGMENT_SCHEMA).write.parquet(path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

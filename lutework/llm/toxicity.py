@@ -26,7 +26,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_of, written
+from .common import in_small_batches, row_of, written
 
 #: The most labelled documents that are learned from, the learned lexicon's size and the lengths of word beginnings in it.
 MAX_SAMPLE, LEXICON_SIZE, BEGINNINGS = 20_000, 400, (7, 6, 5)
@@ -149,7 +149,7 @@ class ToxicityModel:
 
     def score(self, docs: DataFrame) -> DataFrame:
         """Of docs (text, ...): row, a struct of all its columns, and score from 0 to 1."""
-        rows = docs.select(row_of(docs))
+        rows = in_small_batches(docs.select(row_of(docs)))
         if self.trees is None:
             return rows.withColumn("score", F.lit(self.constant))
         raw = self._raw(rows.withColumn("__f", feature_column(F.col("row.text"), self.lexicon)))
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE, seed:
     # halves, of either class alike; MAX_SAMPLE rows at most are numbered
     halves = chosen.withColumn("half", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("__id", F.lit(seed + 1)), "__id")) % 2)
     texts = docs.select("doc_id", "text").join(F.broadcast(halves), F.col("doc_id").eqNullSafe(F.col("__id")))
-    sample = written(texts.select("text", "toxic", "half"), "toxicity-sample")
+    sample = in_small_batches(written(texts.select("text", "toxic", "half"), "toxicity-sample"))
     counts = {(r[0], r[1]): r[2] for r in sample.groupBy("toxic", "half").count().collect()}
     n_bad, n_good = (sum(n for (t, _), n in counts.items() if t == x) for x in (1, 0))
     if not n_bad or not n_good:
