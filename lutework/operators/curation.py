@@ -151,3 +151,18 @@ def keyed_merge(source: DataFrame, parts: list[DataFrame], keys: list[str], kept
     wrong = F.when(F.col("n").isNull(), F.raise_error(F.concat(F.lit("missing key "), name)).cast("boolean")).when(F.col("n") > 1, F.raise_error(F.concat(F.lit("repeated key "), name)).cast("boolean"))
     same = F.struct(*[F.col(f"row.{c}").alias(c) for c in kept]).eqNullSafe(F.col("own"))
     return found.where(F.coalesce(wrong, F.lit(True))).select(*keys, "at", *[F.col(f"row.{c}").alias(c) for c in others], same.alias("unchanged"))
+
+
+#: Markers of state, which aren't techniques.
+STATE_MARKERS = ["泛起", "泛止"]
+
+
+def without_markers(techniques: Column) -> Column:
+    return F.filter(techniques, lambda x: ~x.isin(*STATE_MARKERS))
+
+
+def same_tuning(rows: DataFrame, key: str, one: str, other: str) -> DataFrame:
+    """rows whose two statements of seven open strings agree; any that don't fail the job."""
+    agree = (F.size(one) == 7) & (F.size(other) == 7) & F.forall(F.zip_with(one, other, lambda a, b: a.eqNullSafe(b) & a.isNotNull()), lambda x: x)
+    message = F.concat(F.lit("tuning differs for "), F.col(key).cast("string"))
+    return rows.where(F.when(F.coalesce(agree, F.lit(False)), True).otherwise(F.raise_error(message).cast("boolean")))

@@ -85,3 +85,25 @@ def composite(parts: dict[str, float], neutral: float = 0.5) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def incidence(df: DataFrame, prediction: str, reference: str) -> tuple[DataFrame, DataFrame]:
+    """technique, prediction_events and reference_events: events that have a label, once each, on either side; and the same for any label."""
+    sides = F.explode(F.array(F.struct(F.lit(1).alias("p"), F.array_distinct(prediction).alias("labels")), F.struct(F.lit(0).alias("p"), F.array_distinct(reference).alias("labels")))).alias("s")
+    each = df.select(sides).select("s.p", F.explode("s.labels").alias("technique"))
+    counts = each.groupBy("technique").agg(F.count_if(F.col("p") == 1).alias("prediction_events"), F.count_if(F.col("p") == 0).alias("reference_events"))
+    some = lambda c: F.count_if(F.size(c) > 0)
+    return counts, df.agg(F.lit("any").alias("technique"), some(prediction).alias("prediction_events"), some(reference).alias("reference_events"))
+
+
+#: Blocks in which stated queries meet all rows.
+BLOCKS = 16
+
+
+def searched(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """Every row beside each stated query, those whose key is divisible by 100, but the query itself: query_id, sim (cosine, nine digits) and the row without its
+    vector. Queries are dealt to BLOCKS blocks and the rows go to each, so that neither side is broadcast, whatever its size."""
+    asked = rows.where(F.col(key) % 100 == 0).select(F.col(key).alias("query_id"), F.col(vector).alias("q"), F.pmod(F.xxhash64(key), F.lit(BLOCKS)).alias("block"))
+    each = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))))
+    met = each.join(asked.hint("merge"), "block").where(F.col(key) != F.col("query_id"))
+    return met.withColumn("sim", F.round(cosine(F.col("q"), F.col(vector)), 9)).drop("q", vector, "block")

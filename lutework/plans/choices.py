@@ -62,7 +62,7 @@ def k11_frontiers(spark, sf_dir):
 g AS (SELECT l_suppkey AS prog, round(avg(l_discount), 9) AS score FROM lineitem WHERE l_suppkey IN (SELECT unnest(front) FROM f) GROUP BY 1), r AS (SELECT prog, row_number() OVER (ORDER BY score, prog) AS n FROM g),
 w AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS out UNION ALL
   SELECT r.n, CASE WHEN NOT EXISTS (SELECT 1 FROM f WHERE list_contains(front, r.prog) AND len(list_filter(front, lambda p: p <> r.prog AND NOT list_contains(w.out, p))) = 0) THEN list_append(w.out, r.prog::BIGINT) ELSE w.out END FROM w JOIN r ON r.n = w.n + 1)
-SELECT val, array_to_string(list_filter(front, lambda p: NOT list_contains((SELECT arg_max(out, n) FROM w), p::BIGINT)), ',') AS front FROM f""")
+SELECT val, array_to_string(list_filter(front, lambda p: NOT list_contains(gone, p)), ',') AS front FROM f, (SELECT arg_max(out, n) AS gone FROM w)""")
 def k12_undominated(spark, sf_dir):
     """Fronts without the candidates that others replace on every front, the lowest score being tried first."""
     l = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("long").alias("prog"), F.col("l_linenumber").cast("string").alias("key"), "l_discount")

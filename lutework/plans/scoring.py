@@ -40,13 +40,6 @@ def a4_a13_set_rates(spark, sf_dir):
     return _rounded(metrics.rates(found))
 
 
-@query(f"""WITH {LABELLED}, c AS (SELECT v, count(*) FILTER (s = 0) AS r, count(*) FILTER (s = 1) AS p FROM (SELECT reference AS v, 0 AS s FROM labelled UNION ALL SELECT prediction, 1 FROM labelled) WHERE v IS NOT NULL GROUP BY v)
-SELECT sum(r)::BIGINT AS n_reference, sum(p)::BIGINT AS n_prediction, round(1 - 0.5 * sum(abs(r / (SELECT sum(r) FROM c) - p / (SELECT sum(p) FROM c))), 6) AS similarity FROM c""")
-def a6_tone_similarity(spark, sf_dir):
-    """Similarity of the label distributions."""
-    return _rounded(metrics.distribution_similarity(labelled(spark, sf_dir), "reference", "prediction"), ("similarity",))
-
-
 @query(f"""WITH {LABELLED}, e AS (SELECT piece, count(*) AS n_events FROM labelled GROUP BY piece),
 c AS (SELECT piece, v, count(*) AS n FROM (SELECT piece, unnest(prediction_set) AS v FROM labelled) GROUP BY piece, v),
 m AS (SELECT piece, sum(n) AS mass, count(*) AS n_labels, sum(n * ln(n)) AS nlogn, sum(n * n) AS nn FROM c GROUP BY piece)
@@ -78,15 +71,6 @@ def a9_adjusted_rate(spark, sf_dir):
     return each.agg(F.round(F.sum(F.col("n") * F.col("rate") * F.coalesce("simpson", F.lit(0.0))) / F.sum("n"), 6).alias("adjusted"), F.sum("n").alias("n_events"), F.count("*").alias("n_pieces"))
 
 
-@query(f"""WITH {LABELLED} SELECT piece, count(*) AS n_pairs, count(*) FILTER (cents <= 50) AS matched, round(count(*) FILTER (cents <= 50) / count(*), 6) AS accuracy, round(avg(cents), 6) AS mae FROM labelled WHERE prediction IS NOT NULL GROUP BY piece""")
-def a10_pitch_accuracy(spark, sf_dir):
-    """A10: accuracy at 50 cents and mean error over resolvable events."""
-    rows = labelled(spark, sf_dir).where("prediction IS NOT NULL").groupBy("piece")
-    return rows.agg(
-        F.count("*").alias("n_pairs"), F.count_if(F.col("cents") <= 50).alias("matched"), F.round(F.count_if(F.col("cents") <= 50) / F.count("*"), 6).alias("accuracy"), F.round(F.avg("cents"), 6).alias("mae")
-    )
-
-
 @query(f"WITH {LABELLED} SELECT reference AS code, count(*) AS n, count(DISTINCT (piece, phrase)) AS n_phrases, count(DISTINCT piece) AS n_pieces FROM labelled WHERE warned GROUP BY reference")
 def a11_warning_stats(spark, sf_dir):
     """Warnings by code, and the phrases and pieces that have them."""
@@ -110,18 +94,6 @@ def a16_distribution(spark, sf_dir):
     return _rounded(metrics.distribution(table(spark, sf_dir, "events"), "value", ["event_type"]), ("mean", "p10", "p25", "median", "p75", "p90"))
 
 
-@query("""WITH t AS (SELECT lang, len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS n FROM documents)
-SELECT lang, count(*) AS n, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.95), 6) AS p95, max(n)::BIGINT AS longest, count(*) FILTER (n < 128) AS under_128, count(*) FILTER (n >= 128 AND n < 512) AS under_512, count(*) FILTER (n >= 512) AS longer FROM t GROUP BY lang""")
-def a17_token_lengths(spark, sf_dir):
-    """Token-length percentiles and fixed bins."""
-    n = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\S+"), F.lit(0)))
-    rows = table(spark, sf_dir, "documents").select("lang", n.alias("n")).groupBy("lang")
-    return rows.agg(
-        F.count("*").alias("n"), F.round(F.percentile("n", 0.5), 6).alias("p50"), F.round(F.percentile("n", 0.95), 6).alias("p95"), F.max("n").cast("long").alias("longest"),
-        F.count_if(F.col("n") < 128).alias("under_128"), F.count_if(F.col("n").between(128, 511)).alias("under_512"), F.count_if(F.col("n") >= 512).alias("longer"),
-    )
-
-
 @query("""SELECT o_orderpriority AS arm, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS protocol_ok, round(avg(o_totalprice), 4) AS mean_score, round(count(*) FILTER (o_totalprice > 100000) / count(*), 6) AS coverage FROM orders GROUP BY o_orderpriority""")
 def a19_arm_summary(spark, sf_dir):
     """What each arm reached."""
@@ -184,11 +156,3 @@ def k10_a24_vector_search(spark, sf_dir):
 def a1_latest(spark, sf_dir):
     """The last row of each key wins."""
     return latest(table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
-
-
-@query("""WITH l AS (SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
-SELECT event_type, count(*) AS n_traces, count(*) FILTER (value > 50) AS warned FROM l GROUP BY event_type""")
-def a12_last_receipts(spark, sf_dir):
-    """What each trace's last receipt says."""
-    last = latest(table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"])
-    return last.groupBy("event_type").agg(F.count("*").alias("n_traces"), F.count_if(F.col("value") > 50).alias("warned"))

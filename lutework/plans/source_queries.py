@@ -89,20 +89,6 @@ def s13_lexicon(spark, sf_dir):
     return readers.lexicon(entries, "term", "aliases", "category")
 
 
-@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
-def st_windowed_counts(spark, sf_dir):
-    """Hourly counts by kind, as the stream computes them."""
-    found = stream.windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type", "1 hour", "2 hours")
-    return found.select("start", "event_type", "n", F.round("total", 4).alias("total"))
-
-
-@query("""WITH g AS (SELECT user_id, ts, (lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL '1 day')::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '1 day' AS stop, count(*) AS n FROM s GROUP BY user_id, s""")
-def st_sessions(spark, sf_dir):
-    """Sessions of users, a day's pause ending one."""
-    return stream.sessions(table(spark, sf_dir, "events"), "ts", "user_id", "1 day", "1 day")
-
-
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
 def st_latest_upsert(spark, sf_dir):
     """A file stream appended batch by batch; the latest row of each user wins."""

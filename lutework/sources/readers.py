@@ -146,6 +146,18 @@ def growth_joins(windows: DataFrame, key: str, order: str, hashes: str) -> DataF
     return both.select(key, order, step.alias("step"), new.alias("new"))
 
 
+def merged_calls(calls: DataFrame, windows: DataFrame, keys: list[str], note: str, order: list[str], window_order: list[str]) -> DataFrame:
+    """Note calls beside the events of captured windows with equal notes, by hash: within each key the k-th call of a note with its k-th event."""
+    from pyspark.sql import Window
+
+    def numbered(df: DataFrame, by: list[str]) -> DataFrame:
+        hashed = df.withColumn("__h", event_hash(F.col(note)))
+        return hashed.withColumn("__k", F.row_number().over(Window.partitionBy(*keys, "__h").orderBy(*by)))
+
+    found = numbered(windows, window_order).select(*keys, "__h", "__k", *[c for c in windows.columns if c not in (*keys, *calls.columns)])
+    return numbered(calls, order).join(found, [*keys, "__h", "__k"], "left").drop("__h", "__k")
+
+
 # Sinks
 
 

@@ -34,14 +34,26 @@ def latest_view(history: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return history.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("x")).select(*keys, "x.*")
 
 
-def append_batches(stream: DataFrame, path: str, checkpoint: str):
+def run_to_end(counted: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """What an aggregated stream says once all that is there is taken in: each batch writes the whole result anew under its number, and the last one counts."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    counted.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    found = counted.sparkSession.read.option("basePath", path).parquet(path)
+    last = found.agg(F.max("batch")).first()[0]
+    return found.where(F.col("batch") == F.lit(last)).drop("batch")
+
+
+def append_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Appends each batch to a folder of its own number, so that a batch that is run again replaces itself; later rows supersede earlier
     ones when latest_view reads the history. Runs until all that is there is taken in."""
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def valid_prefixes(events: DataFrame, key: str, number: str, valid: str) -> DataFrame:
