@@ -61,39 +61,30 @@ def tokens(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
-    """The N_FEATURES measures of one text. lexicon: weights of learned words, and of word beginnings, marked by a star."""
+def features(text: str | None, lexicons: list[dict[str, float]]) -> list[list[float]]:
+    """The N_FEATURES measures of one text by each lexicon: weights of learned words, and of word beginnings, marked by a star."""
     if not text or not (found := tokens(text)):
-        return [0.0] * N_FEATURES
+        return [[0.0] * N_FEATURES for _ in lexicons]
     n = len(found)
     hits = [i for i, w in enumerate(found) if w in INSULTS]
-    learned = weights(found, lexicon)
-    near = 0
-    for i in {*hits, *(i for i, _ in learned)}:
-        near += any(w in SECOND_PERSON for w in found[max(0, i - 3) : i + 4])
-    hidden = mixed = 0
-    for w in MIXED.findall(text.lower()):
-        mixed += 1
-        plain = re.sub(r"[^\w]|_", "", w)
-        hidden += w.translate(LEET) in INSULTS or plain in INSULTS or plain in lexicon
+    mixed = MIXED.findall(text.lower())
+    plain = [(w.translate(LEET), re.sub(r"[^\w]|_", "", w)) for w in mixed]
     letters = sum(map(len, found))
     upper = sum(map(str.isupper, text)) if not text.islower() else 0
-    return [
-        math.log1p(n),
-        100 * len(hits) / n,
-        min(len(hits), 50),
-        100 * len(learned) / n,
-        min(len(learned), 50),
-        100 * sum(x for _, x in learned) / n,
-        max((x for _, x in learned), default=0.0),
-        float(len({found[i] for i in hits} | {found[i] for i, _ in learned})),
-        100 * near / n,
-        upper / letters,
-        100 * (text.count("!") + text.count("?")) / n,
-        100 * sum(text.count(x) for x in "!?.,;:") / n,
-        100 * mixed / n,
-        float(hidden),
-    ]
+    before = [math.log1p(n), 100 * len(hits) / n, min(len(hits), 50)]
+    after = [upper / letters, 100 * (text.count("!") + text.count("?")) / n, 100 * sum(text.count(x) for x in "!?.,;:") / n, 100 * len(mixed) / n]
+    out = []
+    for lexicon in lexicons:
+        learned = weights(found, lexicon)
+        places = {*hits, *(i for i, _ in learned)}
+        near = sum(any(w in SECOND_PERSON for w in found[max(0, i - 3) : i + 4]) for i in places)
+        hidden = sum(x in INSULTS or p in INSULTS or p in lexicon for x, p in plain)
+        own = [
+            100 * len(learned) / n, min(len(learned), 50), 100 * sum(x for _, x in learned) / n, max((x for _, x in learned), default=0.0),
+            float(len({found[i] for i in places})), 100 * near / n,
+        ]
+        out.append([*before, *own, *after, float(hidden)])
+    return out
 
 
 def _terms(text: str | None) -> set[str]:
@@ -102,38 +93,51 @@ def _terms(text: str | None) -> set[str]:
 
 
 def _counted(wanted: frozenset[str] | None):
-    """Of (text): how many texts hold each term, those of wanted only, if given, by PART texts, so that a task never holds many terms."""
+    """Of (text, half): how many texts of each half hold each term, those of wanted only, if given, by PART texts, so that a task never holds many terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, PART):
-                seen: Counter[str] = Counter()
-                for text in batch.column(0).slice(at, PART):
+                seen: Counter[tuple[str, int]] = Counter()
+                for text, half in zip(batch.column(0).slice(at, PART), batch.column(1).slice(at, PART).to_pylist(), strict=True):
                     terms = _terms(text.as_py())
-                    seen.update(terms if wanted is None else terms & wanted)
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+                    seen.update((t, half) for t in (terms if wanted is None else terms & wanted))
+                arrays = [pa.array([t for t, _ in seen], pa.string()), pa.array([h for _, h in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, ["term", "half", "n"])
 
     return run
 
 
-def learn_lexicon(sample: DataFrame, n_bad: int, n_good: int) -> dict[str, float]:
-    """The LEXICON_SIZE terms with the greatest log odds among those that one toxic text in 200 holds, three at least: 200 times the terms of a
-    text at most, so that they fit the driver whatever the sample's size. Only those are sought in the other texts."""
-    least = max(3, n_bad // 200)
+def learn_lexicons(sample: DataFrame, counts: dict[tuple[int, int], int]) -> list[dict[str, float]]:
+    """Of a sample (text, toxic, half) with so many rows by (toxic, half), the lexicons that the halves without half 0, without half 1, and the whole teach: the
+    LEXICON_SIZE terms with the greatest log odds among those that one toxic text in 200 holds, three at least. These are 200 times the terms of a
+    text at most, so that they fit the driver whatever the sample's size; only they are sought in the other texts."""
+    sizes = [{t: sum(n for (x, h), n in counts.items() if x == t and h in halves) for t in (0, 1)} for halves in ((1,), (0,), (0, 1))]
+    least = [max(3, n[1] // 200) for n in sizes]
+
+    def held(toxic: int, wanted: frozenset[str] | None) -> DataFrame:
+        each = sample.where(F.col("toxic") == toxic).select("text", "half").mapInArrow(_counted(wanted), "term string, half int, n bigint")
+        part = lambda h: F.sum(F.when(F.col("half") == h, F.col("n")).otherwise(0))
+        return each.groupBy("term").agg(part(1).alias("n0"), part(0).alias("n1"), F.sum("n").alias("n2"))
 
-    def counts(toxic: int, wanted: frozenset[str] | None) -> DataFrame:
-        return sample.where(F.col("toxic") == toxic).select("text").mapInArrow(_counted(wanted), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    frequent = F.lit(False)
+    for k in range(3):
+        frequent = frequent | (F.col(f"n{k}") >= least[k])
+    bad = {r["term"]: r[1:] for r in held(1, None).where(frequent).collect()}
+    good = {r["term"]: r[1:] for r in held(0, frozenset(bad)).collect()}
+    out = []
+    for k, n in enumerate(sizes):
+        odds = {t: math.log((x[k] + 0.5) / (n[1] + 1.0)) - math.log((good.get(t, (0, 0, 0))[k] + 0.5) / (n[0] + 1.0)) for t, x in bad.items() if x[k] >= least[k]}
+        out.append(dict(sorted(((t, x) for t, x in odds.items() if x > 2), key=lambda tx: (-tx[1], tx[0]))[:LEXICON_SIZE]))
+    return out
 
-    bad = {r["term"]: r["n"] for r in counts(1, None).where(F.col("n") >= least).collect()}
-    good = {r["term"]: r["n"] for r in counts(0, frozenset(bad)).collect()}
-    odds = {t: math.log((n + 0.5) / (n_bad + 1.0)) - math.log((good.get(t, 0) + 0.5) / (n_good + 1.0)) for t, n in bad.items()}
-    return dict(sorted(((t, x) for t, x in odds.items() if x > 2), key=lambda tx: (-tx[1], tx[0]))[:LEXICON_SIZE])
 
+def feature_columns(text: Column, lexicons: list[dict[str, float]]) -> Column:
+    """An array of features for each lexicon."""
 
-def feature_column(text: Column, lexicon: dict[str, float]) -> Column:
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf("array<array<double>>")
     def computed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: features(t, lexicon))
+        return texts.map(lambda t: features(t, lexicons))
 
     return computed(text)
 
@@ -152,7 +156,7 @@ class ToxicityModel:
         rows = in_small_batches(docs.select(row_of(docs)))
         if self.trees is None:
             return rows.withColumn("score", F.lit(self.constant))
-        raw = self._raw(rows.withColumn("__f", feature_column(F.col("row.text"), self.lexicon)))
+        raw = self._raw(rows.withColumn("__f", feature_columns(F.col("row.text"), [self.lexicon])[0]))
         return self.calibration.transform(raw).select("row", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "__calibrated")).alias("score"))
 
     def _raw(self, rows: DataFrame) -> DataFrame:
@@ -178,25 +182,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE, seed:
     if not n_bad or not n_good:
         return ToxicityModel({}, None, None, n_bad / max(1, n_bad + n_good))
 
-    def learned(rows: DataFrame, bad: int, good: int) -> ToxicityModel:
+    lexicons = learn_lexicons(sample, counts)
+    label = F.col("toxic").cast("double").alias("label")
+    rows = written(sample.select("half", label, feature_columns(F.col("text"), lexicons).alias("f")), "toxicity-features")
+
+    def learned(part: DataFrame, k: int, bad: int, good: int) -> ToxicityModel:
         if not bad or not good:
             return ToxicityModel({}, None, None, bad / max(1, bad + good))
-        lexicon = learn_lexicon(rows, bad, good)
-        known = written(rows.select("toxic", feature_column(F.col("text"), lexicon).alias("__f")), "toxicity-features")
-        known = known.withColumn("label", F.col("toxic").cast("double")).withColumn("__v", array_to_vector("__f"))
+        known = part.select("label", array_to_vector(F.col("f")[k]).alias("__v"))
         gbt = GBTClassifier(featuresCol="__v", labelCol="label", predictionCol="__c", maxDepth=4, maxIter=20, stepSize=0.2, seed=seed, maxBins=64)
-        return ToxicityModel(lexicon, gbt.fit(known.coalesce(8)).setProbabilityCol("__p").setRawPredictionCol("__r"), None, 0.0)
+        return ToxicityModel(lexicons[k], gbt.fit(known.coalesce(8)).setProbabilityCol("__p").setRawPredictionCol("__r"), None, 0.0)
 
     scored = None
     for half in (0, 1):
-        part = learned(sample.where(F.col("half") != half), counts.get((1, 1 - half), 0), counts.get((0, 1 - half), 0))
-        rows = sample.where(F.col("half") == half).select(F.col("toxic").cast("double").alias("label"), "text")
-        if part.trees is None:
-            rows = rows.select("label", F.lit(part.constant).alias("__raw_score"))
-        else:
-            rows = part._raw(rows.withColumn("__f", feature_column(F.col("text"), part.lexicon))).select("label", "__raw_score")
-        scored = rows if scored is None else scored.unionByName(rows)
-    model = learned(sample, n_bad, n_good)
+        model = learned(rows.where(F.col("half") != half), half, counts.get((1, 1 - half), 0), counts.get((0, 1 - half), 0))
+        other = rows.where(F.col("half") == half).select("label", F.col("f")[half].alias("__f"))
+        other = other.withColumn("__raw_score", F.lit(model.constant)) if model.trees is None else model._raw(other)
+        other = other.select("label", "__raw_score")
+        scored = other if scored is None else scored.unionByName(other)
+    model = learned(rows, 2, n_bad, n_good)
     isotonic = IsotonicRegression(featuresCol="__raw_score", labelCol="label", predictionCol="__calibrated")
     model.calibration = isotonic.fit(written(scored, "toxicity-scored"))
     return model
