@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 
 def checked_union(parts: list[DataFrame], key: str) -> DataFrame:
     """The union of parts that must not share a key: fails when it runs into a repeated one."""
@@ -59,10 +61,8 @@ def hashed_split(df: DataFrame, group: str, shares: dict[str, float], seed: int)
 def balanced_shards(weights: DataFrame, key: str, weight: str, n_shards: int) -> DataFrame:
     """Whole keys dealt to shards, the heaviest first, forwards and backwards by turns: within one heaviest key of balance, without
     a running choice over all keys. Ranks come from sorted ranges and their sizes."""
-    order = Window.orderBy(F.desc(weight), key)
-    r = F.row_number().over(order) - 1
     turn, place = F.floor(F.col("__r") / n_shards), F.col("__r") % n_shards
-    return weights.withColumn("__r", r).withColumn("shard", F.when(turn % 2 == 0, place).otherwise(n_shards - 1 - place).cast("int")).drop("__r")
+    return numbered(weights, [F.desc(weight), F.col(key)], "__r").withColumn("shard", F.when(turn % 2 == 0, place).otherwise(n_shards - 1 - place).cast("int")).drop("__r")
 
 
 def last_targets(patches: DataFrame, keys: list[str], order: str) -> DataFrame:

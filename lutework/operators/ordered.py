@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame, what: str) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read again."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lutework-")
-    path = f"{shared.rstrip('/')}/lutework/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.folders import written
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -141,11 +131,11 @@ def ancestor_sums(parents: DataFrame) -> DataFrame:
     number and sum of all nodes above. Self-joins, doubled: after the k-th a row stands for 2^k ancestors, or for all there are;
     up is the last one of them, null where no more is above. Written after each step; no row per node and ancestor is made."""
     one = F.lit(1).cast("long").alias("n_ancestors")
-    hops = _written(parents.select("node", "up", one, F.col("up").cast("long").alias("ancestor_sum")), "ancestors")
+    hops = written(parents.select("node", "up", one, F.col("up").cast("long").alias("ancestor_sum")), "ancestors")
     while True:
         above = hops.select(F.col("node").alias("m"), F.col("up").alias("up2"), F.col("n_ancestors").alias("n2"), F.col("ancestor_sum").alias("sum2"))
         more = lambda name: F.coalesce(name, F.lit(0))
-        hops = _written(
+        hops = written(
             hops.join(above, hops["up"] == above["m"], "left").select(
                 "node", F.col("up2").alias("up"), (F.col("n_ancestors") + more("n2")).alias("n_ancestors"), (F.col("ancestor_sum") + more("sum2")).alias("ancestor_sum")
             ),
@@ -158,9 +148,36 @@ def ancestor_sums(parents: DataFrame) -> DataFrame:
 def lineage(edges: DataFrame) -> DataFrame:
     """Of edges (node, up) of a lineage, in which a node may have several parents, every pair (node, up) of a node and one above it: self-joins,
     doubled, each written, until no pair is new."""
-    closed, n = _written(edges.select("node", "up").distinct(), "lineage"), -1
+    closed, n = written(edges.select("node", "up").distinct(), "lineage"), -1
     while (now := closed.count()) != n:
         n = now
         above = closed.select(F.col("node").alias("up"), F.col("up").alias("over"))
-        closed = _written(closed.unionByName(closed.join(above, "up").select("node", F.col("over").alias("up"))).distinct(), "lineage")
+        closed = written(closed.unionByName(closed.join(above, "up").select("node", F.col("over").alias("up"))).distinct(), "lineage")
     return closed
+
+
+def in_ranges(df: DataFrame, order: list) -> DataFrame:
+    """df, dealt to ranges of the order and written: adds __range, whose numbers ascend with it. What is counted by range can be carried over from one range to
+    the next, a row each, so that no task orders all rows."""
+    return written(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+
+
+def numbered(df: DataFrame, order: list, number: str = "number") -> DataFrame:
+    """df with the number of each row, from 0, in the order."""
+    ranged = in_ranges(df, order)
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    base = ranged.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return ranged.join(F.broadcast(base), "__range").withColumn(number, F.col("__base") + own).drop("__range", "__base")
+
+
+def undominated_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
+    """The rows that no other one matches in a and b and beats in one of them: by a running maximum over the values of a, range by range."""
+    front = df.groupBy(a).agg(F.max(b).alias("__top"))
+    ranged = in_ranges(front, [F.desc(a)])
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    base = ranged.groupBy("__range").agg(F.max("__top").alias("__m")).select("__range", F.max("__m").over(before).alias("__above"))
+    own = F.max("__top").over(Window.partitionBy("__range").orderBy(F.desc(a)).rowsBetween(Window.unboundedPreceding, -1))
+    beaten = ranged.join(F.broadcast(base), "__range").withColumn("__beaten", F.greatest("__above", own))
+    kept = beaten.where("__beaten IS NULL OR __top > __beaten").select(a, "__top")
+    return df.join(kept, a).where(F.col(b) == F.col("__top")).drop("__top")

@@ -179,3 +179,13 @@ def c9_merged_turns(spark, sf_dir):
     """Messages flattened, neighbours of one role merged and hashed."""
     found = curation.merged_turns(table(spark, sf_dir, "conversations"), ["conv_id"], "turn")
     return found.select("conv_id", "position", "role", F.sha2("text", 256).alias("digest"))
+
+
+@query("""WITH o AS (SELECT user_id, event_id, event_type, ts, max(CASE WHEN event_type = 'signup' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS marker FROM events)
+SELECT user_id, count(*) FILTER (marker IS NOT NULL AND event_type = 'error') AS repeated, count(*) AS n FROM o GROUP BY user_id""")
+def w9_after_marker(spark, sf_dir):
+    """Rows of one kind that a marker stands before."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    marker = F.last(F.when(F.col("event_type") == "signup", F.col("ts")), ignorenulls=True).over(w)
+    rows = table(spark, sf_dir, "events").withColumn("marker", marker)
+    return rows.groupBy("user_id").agg(F.count_if(F.col("marker").isNotNull() & (F.col("event_type") == "error")).alias("repeated"), F.count("*").alias("n"))

@@ -202,3 +202,23 @@ def c7_refresh(spark, sf_dir):
     guard = F.sha2(F.array_join(F.sort_array(F.collect_set("p")), ","), 256)
     near = F.count_if(F.col("cents") <= 50)
     return rows.groupBy("piece").agg(near.alias("matched"), F.round(near / F.count("*"), 6).alias("accuracy"), guard.alias("guard"))
+
+
+@query("""WITH r AS (SELECT o_custkey AS score, o_orderkey AS phrase, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n, o_totalprice AS cost FROM orders)
+SELECT score, count(*) AS phrases, round(sum(cost), 2) AS total, max(n)::BIGINT AS last FROM r GROUP BY score""")
+def a14_phrase_totals(spark, sf_dir):
+    """A score's phrases numbered and summed."""
+    w = Window.partitionBy("score").orderBy("day", "phrase")
+    r = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("score"), F.col("o_orderkey").alias("phrase"), F.col("o_orderdate").alias("day"), F.col("o_totalprice").alias("cost"))
+    return r.withColumn("n", F.row_number().over(w)).groupBy("score").agg(F.count("*").alias("phrases"), F.round(F.sum("cost"), 2).alias("total"), F.max("n").cast("long").alias("last"))
+
+
+@query("""WITH p AS (SELECT user_id, event_type, ts, event_id, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS after FROM events)
+SELECT user_id, coalesce(array_to_string(list_sort(list(DISTINCT event_type) FILTER (after = 0 AND event_type IN ('error', 'signup'))), ','), '') AS pending, count(*) FILTER (event_type = 'purchase') AS attempts FROM p GROUP BY user_id""")
+def w6_pending_after_attempt(spark, sf_dir):
+    """Warnings pending after each user's turns: new ones join the set, an attempt settles all that were there. A fold over the
+    turns as a window: only what came after the last attempt counts."""
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    e = table(spark, sf_dir, "events").withColumn("after", F.count_if(F.col("event_type") == "purchase").over(w))
+    pending = F.collect_set(F.when((F.col("after") == 0) & F.col("event_type").isin("error", "signup"), F.col("event_type")))
+    return e.groupBy("user_id").agg(F.array_join(F.sort_array(pending), ",").alias("pending"), F.count_if(F.col("event_type") == "purchase").alias("attempts"))

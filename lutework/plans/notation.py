@@ -9,7 +9,7 @@ from ..functions import music
 from ..operators import replay
 from ..operators.candidates import best_positions, position_grid
 from ..operators.routes import routes
-from .adapters import notes
+from .adapters import notes, table
 from .registry import Registry
 
 REGISTRY = query = Registry()
@@ -61,6 +61,27 @@ def lint_warnings(spark, sf_dir):
     return found.groupBy("code").agg(F.count("*").alias("n"), F.countDistinct("score").alias("n_scores"))
 
 
+_FORMS = """r AS (SELECT l_orderkey * 10 + l_linenumber AS id, trunc(l_quantity)::INT % 6 AS form, l_partkey % 7 + 1 AS a, l_suppkey % 7 + 1 AS b, (l_partkey + l_suppkey) % 7 + 1 AS c, trunc(l_quantity)::INT % 13 + 1 AS h FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) = 1))"""
+
+
+@query(f"""WITH {_FORMS} SELECT id, unnest(list_filter([CASE WHEN form = 0 AND abs(a - b) > 1 THEN 'nonadjacent_pluck_pair' END, CASE WHEN form = 1 AND a = b THEN 'same_string_cuo_pair' END,
+  CASE WHEN form = 2 AND (abs(a - b) > 1 OR abs(b - c) > 1) THEN 'li_nonadjacent_strings' END, CASE WHEN form = 3 AND a = 1 THEN 'tiao_on_first_string' END,
+  CASE WHEN form = 4 AND ((a <= 4 AND h <= 4) OR (a = 5 AND h < 4)) THEN 'low_hui_stopped_too_cramped' END, CASE WHEN form = 5 THEN 'invalid_string_number' END], lambda x: x IS NOT NULL)) AS code FROM r""")
+def lint_rows(spark, sf_dir):
+    """Lint codes that a row has by itself, over cells that its numbers generate."""
+    q = F.col("l_quantity").cast("int")
+    zh = lambda n: F.get(F.array(*[F.lit(z) for z in list(music.ZH_NUMBERS)]), (n - 1).cast("int"))
+    numbers = {"a": F.col("l_partkey") % 7 + 1, "b": F.col("l_suppkey") % 7 + 1, "c": (F.col("l_partkey") + F.col("l_suppkey")) % 7 + 1}
+    a, b, c = (zh(x) for x in numbers.values())
+    forms = [
+        F.concat(F.lit("拨"), a, b, F.lit("弦")), F.concat(F.lit("撮（"), a, F.lit("弦＋"), b, F.lit("弦）")), F.concat(F.lit("历"), a, b, c, F.lit("弦")), F.concat(F.lit("散挑"), a, F.lit("弦")),
+        F.concat(F.lit("大指"), zh(q % 13 + 1), F.lit("徽勾"), a, F.lit("弦")), F.concat(F.lit("勾"), F.when(q % 4 < 2, "八").otherwise("十二"), F.lit("弦")),
+    ]
+    one = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity")).alias("x")).select("l_orderkey", "l_linenumber", "x.*")
+    rows = one.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("score"), F.lit(0).alias("idx"), F.get(F.array(*forms), q % 6).alias("text"), F.lit(False).alias("structural"), F.lit(False).alias("rest"), F.array().cast("array<double>").alias("targets"))
+    return replay.warnings(replay.audited(replay.replayed(rows))).select(F.col("score").alias("id"), "code")
+
+
 @query()
 def k2_routes(spark, sf_dir):
     """K2: the three cheapest routes over the candidates of each phrase of eight notes."""

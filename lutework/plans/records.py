@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import curation
 from ..sources import readers
+from ..sources.folders import scratch
 from ..streaming import stream
 from .adapters import LABELLED, labelled, table
 from .registry import Registry
-from .source_queries import scratch
 
 REGISTRY = query = Registry()
 

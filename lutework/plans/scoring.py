@@ -101,11 +101,11 @@ def a19_arm_summary(spark, sf_dir):
     return rows.agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("protocol_ok"), F.round(F.avg("o_totalprice"), 4).alias("mean_score"), F.round(F.count_if(F.col("o_totalprice") > 100000) / F.count("*"), 6).alias("coverage"))
 
 
-@query("""WITH r AS (SELECT l_orderkey AS k, max(l_returnflag) AS r FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1), p AS (SELECT o_orderkey AS k, max(CASE o_orderstatus WHEN 'F' THEN 'R' ELSE 'N' END) AS p FROM orders GROUP BY 1)
+@query("""WITH r AS (SELECT l_orderkey AS k, max(l_returnflag) AS r FROM lineitem WHERE l_linenumber >= 5 GROUP BY 1), p AS (SELECT o_orderkey AS k, max(CASE o_orderstatus WHEN 'F' THEN 'R' ELSE 'N' END) AS p FROM orders GROUP BY 1)
 SELECT count(*) AS n_cells, count(*) FILTER (coalesce(r, '') = coalesce(p, '')) AS exact, count(*) FILTER (r IS NULL) AS only_prediction, count(*) FILTER (p IS NULL) AS only_reference, round(count(*) FILTER (coalesce(r, '') = coalesce(p, '')) / count(*), 6) AS rate FROM r FULL JOIN p USING (k)""")
 def j3_a20_exact_cells(spark, sf_dir):
     """Exact cells over the union of both sides' keys."""
-    r = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").groupBy(F.col("l_orderkey").alias("k")).agg(F.max("l_returnflag").alias("r"))
+    r = table(spark, sf_dir, "lineitem").where("l_linenumber >= 5").groupBy(F.col("l_orderkey").alias("k")).agg(F.max("l_returnflag").alias("r"))
     p = table(spark, sf_dir, "orders").groupBy(F.col("o_orderkey").alias("k")).agg(F.max(F.when(F.col("o_orderstatus") == "F", "R").otherwise("N")).alias("p"))
     same = F.coalesce("r", F.lit("")) == F.coalesce("p", F.lit(""))
     both = r.join(p, "k", "outer")
@@ -144,8 +144,8 @@ SELECT query_id, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / 10
 def k10_a24_vector_search(spark, sf_dir):
     """The ten nearest vectors of each stated query (ids divisible by 100) among all, and how well they hit."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"), F.col("embedding").alias("q"))
-    near = rows.join(asked, F.col("vec_id") != F.col("query_id")).withColumn("sim", F.round(metrics.cosine(F.col("q"), F.col("embedding")), 9)).drop("q", "embedding")
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
+    near = metrics.searched(rows, "vec_id", "embedding").join(asked, "query_id")
     best = top_k(near, ["query_id"], [F.desc("sim"), F.col("vec_id")], 10).withColumn("hit", F.col("label") == F.col("wanted"))
     return best.groupBy("query_id").agg(
         F.count_if("hit").alias("hits"), F.round(F.count_if("hit") / 10.0, 6).alias("precision"), F.round(F.coalesce(1.0 / F.min(F.when(F.col("hit"), F.col("rank"))), F.lit(0.0)), 6).alias("mrr"), F.round(F.max("sim"), 6).alias("best")
@@ -156,3 +156,39 @@ def k10_a24_vector_search(spark, sf_dir):
 def a1_latest(spark, sf_dir):
     """The last row of each key wins."""
     return latest(table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
+
+
+@query(f"""WITH {LABELLED}, c AS (SELECT v, count(*) FILTER (s = 0) AS r, count(*) FILTER (s = 1) AS p FROM (SELECT reference AS v, 0 AS s FROM labelled UNION ALL SELECT prediction, 1 FROM labelled) WHERE v IS NOT NULL GROUP BY v)
+SELECT sum(r)::BIGINT AS n_reference, sum(p)::BIGINT AS n_prediction, round(1 - 0.5 * sum(abs(r / (SELECT sum(r) FROM c) - p / (SELECT sum(p) FROM c))), 6) AS similarity FROM c""")
+def a6_tone_similarity(spark, sf_dir):
+    """Similarity of the label distributions."""
+    return _rounded(metrics.distribution_similarity(labelled(spark, sf_dir), "reference", "prediction"), ("similarity",))
+
+
+@query(f"""WITH {LABELLED} SELECT piece, count(*) AS n_pairs, count(*) FILTER (cents <= 50) AS matched, round(count(*) FILTER (cents <= 50) / count(*), 6) AS accuracy, round(avg(cents), 6) AS mae FROM labelled WHERE prediction IS NOT NULL GROUP BY piece""")
+def a10_pitch_accuracy(spark, sf_dir):
+    """A10: accuracy at 50 cents and mean error over resolvable events."""
+    rows = labelled(spark, sf_dir).where("prediction IS NOT NULL").groupBy("piece")
+    return rows.agg(
+        F.count("*").alias("n_pairs"), F.count_if(F.col("cents") <= 50).alias("matched"), F.round(F.count_if(F.col("cents") <= 50) / F.count("*"), 6).alias("accuracy"), F.round(F.avg("cents"), 6).alias("mae")
+    )
+
+
+@query("""WITH t AS (SELECT lang, len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS n FROM documents)
+SELECT lang, count(*) AS n, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.95), 6) AS p95, max(n)::BIGINT AS longest, count(*) FILTER (n < 128) AS under_128, count(*) FILTER (n >= 128 AND n < 512) AS under_512, count(*) FILTER (n >= 512) AS longer FROM t GROUP BY lang""")
+def a17_token_lengths(spark, sf_dir):
+    """Token-length percentiles and fixed bins."""
+    n = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\S+"), F.lit(0)))
+    rows = table(spark, sf_dir, "documents").select("lang", n.alias("n")).groupBy("lang")
+    return rows.agg(
+        F.count("*").alias("n"), F.round(F.percentile("n", 0.5), 6).alias("p50"), F.round(F.percentile("n", 0.95), 6).alias("p95"), F.max("n").cast("long").alias("longest"),
+        F.count_if(F.col("n") < 128).alias("under_128"), F.count_if(F.col("n").between(128, 511)).alias("under_512"), F.count_if(F.col("n") >= 512).alias("longer"),
+    )
+
+
+@query("""WITH l AS (SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT event_type, count(*) AS n_traces, count(*) FILTER (value > 50) AS warned FROM l GROUP BY event_type""")
+def a12_last_receipts(spark, sf_dir):
+    """What each trace's last receipt says."""
+    last = latest(table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"])
+    return last.groupBy("event_type").agg(F.count("*").alias("n_traces"), F.count_if(F.col("value") > 50).alias("warned"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..sources import readers
+from ..sources.folders import scratch
 from ..streaming import stream
 from .adapters import table
 from .registry import Registry
@@ -16,12 +14,6 @@ from .registry import Registry
 REGISTRY = query = Registry()
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for a query's files, among those that driver and executors share where a cluster names them."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lutework-")
-    return f"{shared.rstrip('/')}/lutework/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(round(value, 3), event_id) AS value FROM events GROUP BY user_id")
 def s1_s11_latest_lines(spark, sf_dir):
     """JSON lines written in the order of events; of each user the last line wins."""
