@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import pandas as pd
 import pyarrow as pa
@@ -190,17 +191,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE, seed:
         if not bad or not good:
             return ToxicityModel({}, None, None, bad / max(1, bad + good))
         known = part.select("label", array_to_vector(F.col("f")[k]).alias("__v"))
-        gbt = GBTClassifier(featuresCol="__v", labelCol="label", predictionCol="__c", maxDepth=4, maxIter=20, stepSize=0.2, seed=seed, maxBins=64)
-        return ToxicityModel(lexicons[k], gbt.fit(known.coalesce(8)).setProbabilityCol("__p").setRawPredictionCol("__r"), None, 0.0)
+        gbt = GBTClassifier(featuresCol="__v", labelCol="label", predictionCol="__c", maxDepth=4, maxIter=20, stepSize=0.2, seed=seed, maxBins=64, checkpointInterval=-1)
+        return ToxicityModel(lexicons[k], gbt.fit(known.coalesce(4)).setProbabilityCol("__p").setRawPredictionCol("__r"), None, 0.0)
 
+    # the three fits are many small jobs each: side by side
+    parts = [(rows.where(F.col("half") != h), h, counts.get((1, 1 - h), 0), counts.get((0, 1 - h), 0)) for h in (0, 1)]
+    with ThreadPool(3) as pool:
+        *halves, model = pool.starmap(learned, [*parts, (rows, 2, n_bad, n_good)])
     scored = None
-    for half in (0, 1):
-        model = learned(rows.where(F.col("half") != half), half, counts.get((1, 1 - half), 0), counts.get((0, 1 - half), 0))
-        other = rows.where(F.col("half") == half).select("label", F.col("f")[half].alias("__f"))
-        other = other.withColumn("__raw_score", F.lit(model.constant)) if model.trees is None else model._raw(other)
+    for h, taught in enumerate(halves):
+        other = rows.where(F.col("half") == h).select("label", F.col("f")[h].alias("__f"))
+        other = other.withColumn("__raw_score", F.lit(taught.constant)) if taught.trees is None else taught._raw(other)
         other = other.select("label", "__raw_score")
         scored = other if scored is None else scored.unionByName(other)
-    model = learned(rows, 2, n_bad, n_good)
     isotonic = IsotonicRegression(featuresCol="__raw_score", labelCol="label", predictionCol="__calibrated")
     model.calibration = isotonic.fit(written(scored, "toxicity-scored"))
     return model
