@@ -10,7 +10,7 @@ from .music import ZH_NUMBERS, _lookup
 _ONE = "一二三四五六七1-7"
 
 
-def _number(token: Column) -> Column:
+def number(token: Column) -> Column:
     return _lookup(ZH_NUMBERS | {str(i): i for i in range(1, 10)})[token]
 
 
@@ -19,7 +19,7 @@ def string_numbers(text: Column) -> Column:
     bare = F.replace(text, F.lit("如一"), F.lit(""))
     found = F.regexp_extract_all(bare, F.lit(f"([{_ONE}]{{2,}}|十[一二三]?|[{_ONE}])弦"), F.lit(1))
     each = F.flatten(F.transform(found, lambda x: F.when(x.startswith("十"), F.array(x)).otherwise(F.filter(F.split(x, ""), lambda c: c != ""))))
-    return F.filter(F.transform(each, lambda x: _number(x)), lambda n: n.between(1, 7))
+    return F.filter(F.transform(each, lambda x: number(x)), lambda n: n.between(1, 7))
 
 
 def sweep_strings(text: Column) -> Column:
@@ -28,14 +28,14 @@ def sweep_strings(text: Column) -> Column:
     b = F.regexp_extract(text, f"[历歷厉]([{_ONE}])弦?至([{_ONE}])弦", 2)
     listed = F.regexp_extract(text, f"[历歷厉]([{_ONE}](?:[、，,＋+]?\\s*[{_ONE}])+)", 1)
     tokens = F.regexp_extract_all(listed, F.lit(f"[{_ONE}]"), F.lit(0))
-    return F.when(a != "", F.sequence(_number(a), _number(b))).otherwise(F.transform(tokens, lambda x: _number(x)))
+    return F.when(a != "", F.sequence(number(a), number(b))).otherwise(F.transform(tokens, lambda x: number(x)))
 
 
 def stud(text: Column) -> Column:
     """The numeric stud position in a cell, tenths after 徽; null if none or outside."""
     pattern = "(十三|十二|十一|十|九|八|七|六|五|四|三|二|一)徽(?:([一二三四五六七八九])分)?"
     whole, tenth = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
-    value = _number(whole) + F.coalesce(_number(F.when(tenth != "", tenth)), F.lit(0)) / 10
+    value = number(whole) + F.coalesce(number(F.when(tenth != "", tenth)), F.lit(0)) / 10
     return F.when(~text.contains("徽外") & (whole != ""), value)
 
 

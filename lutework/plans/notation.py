@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import music
-from ..operators import replay
+from ..operators import ordered, repeats, replay
 from ..operators.candidates import best_positions, position_grid
 from ..operators.routes import routes
 from .adapters import notes, table
@@ -82,14 +82,60 @@ def lint_rows(spark, sf_dir):
     return replay.warnings(replay.audited(replay.replayed(rows))).select(F.col("score").alias("id"), "code")
 
 
+#: Cells with repeats' commands, anchors, omissions and finite gestures.
+REPEATS = [
+    "", "勾三弦", "", "〔再作标记ㄱ〕", "", "再作", "从ㄱ再作", "无（由于是再作部分，省略）", "", "", "从头再作", "", "从3再作", "", "", "挑六弦", "掐撮三声再作", "再作起点，再作", "", "历七六弦", "", "从9再作", "", "勾剔一弦", "滚一弦至三弦", "",
+    "至三弦",
+]
+_C = "(从[0-9]+再[作做]|从头再[作做]|从ㄱ再[作做]|再[作做](?:[二三]声)?)"
+_O = "无（由于是再作部分，省略）"
+_REPEAT_ROWS = f"""b AS (SELECT user_id AS score, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, event_id, value FROM events),
+r AS (SELECT score, idx, {REPEATS}[1 + (idx * 7 + event_id % 5) % {len(REPEATS)}] AS t, event_id % 13 = 0 AS structural, CASE WHEN event_id % 13 = 0 OR value > 88 THEN NULL ELSE 60 + event_id % 2 END AS midi, idx // 24 AS section FROM b),
+e AS (SELECT *, CASE WHEN NOT structural THEN sum((NOT structural)::INT) OVER (PARTITION BY score ORDER BY idx) - 1 END AS e, CASE WHEN midi IS NOT NULL THEN count(midi) OVER (PARTITION BY score ORDER BY idx) END AS p, regexp_replace(t, '再[作做](?:起点|标记)ㄱ?', '', 'g') AS plain,
+  max(CASE WHEN regexp_matches(t, '再[作做](起点|标记)') THEN idx END) OVER (PARTITION BY score ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anchored FROM r),
+c AS (SELECT *, CASE WHEN t <> '{_O}' THEN nullif(regexp_extract(plain, '{_C}', 1), '') END AS command, trim(regexp_replace(plain, '{_C}', '', 'g'), '〔〕【】[]()（） 。；;：:、' || chr(9) || chr(10)) = '' AS bare FROM e),
+s AS (SELECT *, count(command) OVER (PARTITION BY score ORDER BY idx) AS seg FROM c),
+f AS (SELECT *, first_value(idx) OVER w AS a, first_value(bare) OVER w AS lone, first_value(section) OVER w AS own FROM s WINDOW w AS (PARTITION BY score, seg ORDER BY idx)),
+o AS (SELECT *, max((idx > a AND (section IS DISTINCT FROM own OR (t NOT IN ('', '{_O}') AND midi IS NOT NULL)))::INT) OVER (PARTITION BY score, seg ORDER BY idx) AS over FROM f),
+tail AS (SELECT score, seg, a, idx, midi, t, row_number() OVER (PARTITION BY score, seg ORDER BY idx) AS k FROM o WHERE seg > 0 AND over = 0 AND NOT structural AND midi IS NOT NULL AND (idx > a OR lone)),
+cmd AS (SELECT score, seg, a, command, anchored, TRY_CAST(regexp_extract(command, '^从([0-9]+)', 1) AS BIGINT) AS number, (SELECT min(x.idx) FROM e x WHERE x.score = o.score AND x.section = o.section) AS head FROM o WHERE command IS NOT NULL),
+st AS (SELECT cmd.score, cmd.seg, 'numbered' AS kind, arg_max(e.p, e.idx) AS start FROM cmd JOIN e ON e.score = cmd.score AND e.e = cmd.number AND e.midi IS NOT NULL AND e.idx < cmd.a GROUP BY 1, 2
+  UNION ALL SELECT cmd.score, cmd.seg, kind, min(e.p) FROM (SELECT *, 'anchor' AS kind, anchored AS b FROM cmd WHERE command LIKE '%ㄱ%' UNION ALL SELECT *, 'section', head FROM cmd WHERE command LIKE '%头%' UNION ALL SELECT *, 'score', 0 FROM cmd WHERE command LIKE '%头%') cmd
+  JOIN e ON e.score = cmd.score AND e.midi IS NOT NULL AND e.idx >= b AND e.idx < cmd.a GROUP BY 1, 2, 3),
+met AS (SELECT tail.score, tail.seg, tail.a, tail.idx, k, kind, tail.midi, CASE WHEN e.idx < tail.a THEN e.midi END AS src FROM tail JOIN st USING (score, seg) LEFT JOIN e ON e.score = tail.score AND e.p = start + k - 1),
+bad AS (SELECT score, a AS idx, 'repeat_numbered_start_missing' AS code, seg FROM cmd WHERE number IS NOT NULL AND (score, seg) NOT IN (SELECT score, seg FROM st WHERE kind = 'numbered')
+  UNION ALL SELECT score, a, 'repeat_numbered_pitch_mismatch', seg FROM cmd JOIN (SELECT score, seg FROM st WHERE kind = 'numbered') USING (score, seg) WHERE (score, seg) NOT IN (SELECT score, seg FROM tail) OR (score, seg) IN (SELECT score, seg FROM met WHERE kind = 'numbered' AND midi IS DISTINCT FROM src)
+  UNION ALL SELECT score, idx, 'repeat_anchor_pitch_mismatch', seg FROM met WHERE kind = 'anchor' AND midi IS DISTINCT FROM src
+  UNION ALL SELECT score, a, 'repeat_from_head_pitch_mismatch', seg FROM (SELECT score, seg, a, kind, count(*) FILTER (midi <> src) AS w, count(*) FILTER (src IS NULL) AS u FROM met WHERE kind IN ('section', 'score') AND k <= 5 GROUP BY ALL) GROUP BY score, seg, a HAVING count(*) FILTER (u > 0) = 0 AND count(*) FILTER (w = 0) = 0 AND count(*) = 2),
+said AS (SELECT *, last_value(CASE WHEN t <> '' AND NOT structural THEN t END IGNORE NULLS) OVER w AS told, coalesce(last_value(CASE WHEN t NOT IN ('', '{_O}') AND NOT structural THEN t END IGNORE NULLS) OVER w, '') AS said FROM o WINDOW w AS (PARTITION BY score ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+own_ AS (SELECT score, idx, seg, regexp_replace(t, '再[作做](起点|标记)', '', 'g') AS w, regexp_replace(said, '再[作做](起点|标记)', '', 'g') AS sw, t, told, structural, anchored FROM said),
+loc AS (SELECT score, idx, 'repeat_anchor_instruction_overlap' AS code, seg FROM own_ WHERE t <> w AND regexp_matches(w, '再[作做]') UNION ALL SELECT score, idx, 'compound_repeat_instruction_overlap', seg FROM own_ WHERE t LIKE '%掐撮三声%' AND regexp_matches(w, '再[作做]')
+  UNION ALL SELECT score, idx, 'missing_repeat_anchor', seg FROM own_ WHERE t LIKE '%从ㄱ再作%' AND anchored IS NULL UNION ALL SELECT score, idx, 'missing_repeat_instruction', -1 FROM own_ WHERE t = '{_O}' AND NOT structural AND told IS DISTINCT FROM '{_O}' AND NOT regexp_matches(sw, '再[作做]')),
+mis AS (SELECT score, min(idx) AS idx, 'repeat_omission_marker_missing' AS code FROM tail WHERE t = '' AND (score, seg) NOT IN (SELECT score, seg FROM bad) AND (score, seg) NOT IN (SELECT score, seg FROM loc) GROUP BY score, seg),
+anc AS (SELECT score, min(idx) FILTER (NOT blank) AS idx, 'repeat_anchor_followed_by_blanks' AS code FROM (SELECT *, sum((NOT blank)::INT) OVER (PARTITION BY score ORDER BY idx) AS g FROM (SELECT *, t IN ('', '{_O}') AND midi IS NOT NULL AS blank FROM r WHERE NOT structural)) GROUP BY score, g
+  HAVING bool_or(NOT blank AND t = '〔再作标记ㄱ〕') AND count(*) FILTER (blank) >= 2),
+gest AS (SELECT score, idx, 'finite_gesture_uncovered_note' AS code FROM (SELECT *, row_number() OVER w AS used, first_value(CASE WHEN begins AND midi IS NOT NULL THEN CASE t WHEN '历七六弦' THEN 2 WHEN '勾剔一弦' THEN 2 WHEN '滚一弦至三弦' THEN 3 END END) OVER w AS covers FROM
+  (SELECT *, sum(begins::INT) OVER (PARTITION BY score ORDER BY idx) AS g FROM (SELECT *, t NOT IN ('', '至三弦') OR midi IS NULL AS begins FROM r WHERE NOT structural)) WINDOW w AS (PARTITION BY score, g ORDER BY idx)) WHERE used = covers + 1)"""
+
+
+@query(f"WITH {_REPEAT_ROWS} SELECT score, idx, code FROM bad UNION ALL SELECT score, idx, code FROM loc UNION ALL SELECT * FROM mis UNION ALL SELECT * FROM anc UNION ALL SELECT * FROM gest")
+def lint_repeats(spark, sf_dir):
+    """Lint codes of repeats, anchors, omissions and finite gestures, each user's events being a score."""
+    w = Window.partitionBy("score").orderBy("ts", "event_id")
+    b = table(spark, sf_dir, "events").select(F.col("user_id").alias("score"), "ts", "event_id", "value").withColumn("idx", F.row_number().over(w) - 1)
+    e = F.col("event_id")
+    cell = F.get(F.array(*[F.lit(x) for x in REPEATS]), ((F.col("idx") * 7 + e % 5) % len(REPEATS)).cast("int"))
+    rows = b.select("score", "idx", cell.alias("text"), (e % 13 == 0).alias("structural"), F.when((e % 13 != 0) & (F.col("value") <= 88), 60 + e % 2).alias("midi"), F.floor(F.col("idx") / 24).alias("section"))
+    rows = ordered.event_ordinals(rows, ["score"], ["idx"], F.col("structural"))
+    return repeats.repeat_warnings(rows).unionByName(repeats.uncovered_notes(rows))
+
+
 @query()
 def k2_routes(spark, sf_dir):
     """K2: the three cheapest routes over the candidates of each phrase of eight notes."""
     sounding = notes(spark, sf_dir).where("NOT structural").withColumn("phrase", F.floor(F.col("idx") / 8).cast("int"))
     best = best_positions(sounding.withColumnRenamed("midi", "note"), F.col("note"), position_grid(spark, music.STANDARD_TUNING))
     cand = best.select("score", "phrase", "idx", F.col("rank").alias("cand"), "string", "hui", music.node_cost(F.col("cents"), F.col("region_cost")).alias("cost"))
-    from pyspark.sql import Window
-
     # the next sounding note of the phrase, whatever its index
     steps = cand.select("score", "phrase", "idx").distinct()
     steps = steps.withColumn("to", F.lead("idx").over(Window.partitionBy("score", "phrase").orderBy("idx"))).where("to IS NOT NULL")
