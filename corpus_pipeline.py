@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lutework.llm import decontam, mixing, nearcopies, tokens, toxicity
-from lutework.llm.common import table, written
+from lutework.llm.common import MADE, discard, table, written
 from lutework.llm.queries import END_ID, TOKENIZER
 
 
@@ -16,7 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more), the one with the smallest id."""
+    """One document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more), the one with the smallest id: the links of the
+    SimHash index and, since it can't see so far, those that counts of all shingles find."""
     return nearcopies.keep_one(docs)
 
 
@@ -48,8 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to documents. What a stage and its operators wrote is deleted when the next stage's output is there."""
+    docs, before = table(spark, sf_dir, "documents"), len(MADE)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        discard(spark, MADE[before:-1])
+        del MADE[before:-1]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import scratch
+
 #: White space of the word rule: a word is a run of anything else.
 SPACE = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -20,32 +19,23 @@ BATCH, BATCH_BYTES = 512, 4 << 20
 SPREAD = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a folder of its own,
-    and a cluster an error, since a local folder of one machine is none of the others'."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="lutework-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: The folders that were written so far, in order.
+MADE: list[str] = []
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lutework/{what}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, what)
+    MADE.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(*frames: DataFrame) -> None:
-    """Deletes the folders of frames that written() gave and nobody reads any more."""
-    for df in frames:
-        for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders that nobody reads any more."""
+    for x in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(x)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, in_small_batches, one_of_each, spread_join, written
+from .common import MADE, discard, in_small_batches, one_of_each, spread_join, written
 
 #: Fingerprints that may meet in one group before its remaining bits are cut into blocks again.
 REFINE = 4096
@@ -241,8 +241,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        last, edges = edges, written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "components")
-        discard(last)
+        edges = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "components")
+        discard(edges.sparkSession, [MADE.pop(-2)])
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % F.lit(1 << 31)), F.max("b")).first()
         if now == before:
             break

@@ -16,7 +16,6 @@ from __future__ import annotations
 import json
 import re
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, shared_dir
+from ..sources.folders import scratch
+from .common import in_small_batches
 
 BLOCK, SEGMENT, WIDTH_SHARE = 1024, 1 << 16, 0.9
 HEAD = np.dtype([("least", "<u4"), ("n", "<u2"), ("width", "u1"), ("spare", "u1"), ("n_exc", "<u2")])
@@ -268,6 +268,6 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
     """Writes docs to a folder of its own among the shared ones and returns what the files hold."""
-    path = f"{shared_dir(docs.sparkSession)}/lutework/tokens-{uuid.uuid4().hex}"
+    path = scratch(docs.sparkSession, "tokens")
     write_tokens(docs, tokenizer_path, end_id, path)
     return read_documents(docs.sparkSession, path)

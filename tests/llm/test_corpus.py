@@ -5,6 +5,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -539,6 +540,14 @@ def test_toxicity_held_out(spark):
     assert sum(x["predicted"] == toxic[x["doc_id"]] for x in out) >= 0.95 * len(out)
 
 
+def test_toxicity_of_the_table(spark):
+    """Held-out documents of the table, whose labels aren't learned."""
+    sf = "/root/testdata/sf0.01"
+    frame, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = toxicity.report(frame, labels).where("held_out").join(labels.where("toxic IS NOT NULL"), "doc_id").collect()
+    assert len(got) >= 50 and sum(x["predicted"] == x["toxic"] for x in got) >= 0.9 * len(got)  # from some 330 labels
+
+
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([(3, 0, 1), (3, 0, 1), (5, 0, 1)], "doc_id long, toxic int, quality int")
     got = toxicity.report(odd, labels).collect()
@@ -582,6 +591,31 @@ def test_reply_trees(spark):
     assert chat.best_paths(frame.where("false")).count() == 0
 
 
+# All of them
+
+
+def test_clashing_columns(spark):
+    r = random.Random(20)
+    names = ["row", "n", "h", "id", "i", "t", "m", "key", "root", "kept", "kept_lines", "score", "label", "doc", "hits", "gone", "x", "__w", "__id", "__copies", "count"]
+    rows = [(i, prose(r, 40), "s", *names) for i in range(6)] + [(None, None, None, *names), (3, "", None, *names)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    labels = spark.createDataFrame([(i, i % 2, "x") for i in range(6)], "doc_id long, toxic int, text string")
+    benchmark = spark.createDataFrame([(0, prose(r, 20), "x")], "item_id long, text string, doc string")
+    outputs = [
+        quality.cleaned(frame), linededup.without_repeated(frame), nearcopies.keep_one(frame), simhash.keep_one(frame), decontam.without_leaks(frame, benchmark),
+        mixing.mix_documents(frame), toxicity.without_toxic(frame, labels),
+    ]
+    for out in outputs:
+        assert out.columns == frame.columns and all(x["kept_lines"] == "kept_lines" for x in out.collect())
+    for report in (mixing.mix_report, quality.report, licenses.scan, simhash.near_duplicates):
+        assert report(frame).count() == 8
+    assert tokens.encoded(frame, PATH).count() == 8 and linededup.repeated_lines(frame).count() >= 0
+    pages = spark.createDataFrame([(1, "u", "<article><p>Some text that stands here.</p></article>", "x", "y", "z")], "page_id long, url string, html string, text string, n_chars string, block string")
+    assert [c for c in htmlcrf.extract(pages).columns] == ["page_id", "url", "text", "n_chars"] and htmlcrf.extract(pages).count() == 1
+    turns = spark.createDataFrame([(1, k, "user", f"t{k}", 1, 2, 3.0, 4, 5) for k in range(3)], "conv_id long, turn long, role string, text string, tree_id long, msg_id long, score double, rank long, depth long")
+    assert [x["n_turns"] for x in chat.digest(chat.formatted(chat.best_paths(chat.linear_messages(turns)))).collect()] == [3]
+
+
 # The pipeline
 
 
@@ -597,11 +631,19 @@ def test_pipeline_stages(spark):
         assert frame.columns == columns, name
         frame = spark.createDataFrame(frame.collect(), frame.schema)
         assert {x["doc_id"] for x in frame.collect()} <= before
+        if name == "toxicity":
+            toxic = {x["doc_id"]: x["toxic"] for x in spark.read.parquet(f"{sf}/labels.parquet").where("toxic IS NOT NULL").collect() if x["doc_id"] in before}
+            kept = {x["doc_id"] for x in frame.collect()}
+            assert sum((i in kept) != bool(t) for i, t in toxic.items()) >= 0.9 * len(toxic)
         if name == "simhash":
-            prints = {x["doc_id"]: plain_fingerprint(x["text"]) for x in frame.collect()}
-            assert set(reached(prints).values()) == set(prints) == {x["doc_id"] for x in frame.collect()}
+            rows = [(x["doc_id"], x["text"]) for x in frame.collect()]
+            assert plain_survivors(rows) == sorted((i is None, i) for i, _ in rows)
+        if name == "mixing":
+            copies = Counter(x["doc_id"] for x in frame.collect())
+            assert all(copies[x["doc_id"]] * x["size"] == x["taken"] for x in report)
         if name == "decontamination":
             items = [x["text"] for x in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
             assert not any(plain_leaks(x["text"], t) for x in frame.collect() for t in items)
+            report = mixing.mix_report(frame).collect()
     out = corpus_pipeline.STAGES[-1][1](spark, frame, sf)
     assert out.count() == frame.count() and corpus_pipeline.run(spark, sf).count() == frame.count()
