@@ -7,8 +7,12 @@ the rows before, so that a score is replayed by a handful of windows over one pa
 State after a row: held (string, stud, label of the left hand's contact), finger, manner (open or stopped), scope (whether a harmonic
 region is open) and origin (the contact that a walk left, to which 复 returns). Phrases don't reset it; a bare rest does.
 
+A gesture that plucks two strings at once sounds both parts, each in its own manner, and leaves the stopped one held, or what both share. A gesture that lifts a
+finger lets its string sound open beside what the cell plucks.
+
 Bounds of the windows: of several returns in a row after one walk only the first moves the contact, and a walk that starts from a contact
-which an earlier 复 restored is followed through one such return; deeper nests keep the contact that was last stated.
+which an earlier 复 restored is followed through one such return; deeper nests keep the contact that was last stated. A finger that is named to be lifted
+is taken for the one that holds the contact.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ PLUCKS = ["抹挑", "挑", "勾", "抹", "剔", "托", "擘", "劈", "打", "摘
 COMPOUNDS = ["掐撮三声", "历拂", "拨剌三声", "拂历"]
 UP, DOWN = ["引上", "绰", "浒", "进", "上"], ["注", "淌", "退", "下"]
 ORNAMENTS = ["吟", "猱", "撞"]
-STANDALONE = ["绰上", "注下"]
+STANDALONE, LIFTS = ["绰上", "注下"], ["爪起", "抓起"]
 
 PLACE = "struct<string:int,hui:double,label:string>"
 
@@ -37,17 +41,50 @@ def _walks(t: Column, words: list[str]) -> Column:
     return t.rlike(f"^(急|缓|少)?({'|'.join(words)})")
 
 
+def paired(t: Column) -> Column:
+    """The two parts of a gesture that plucks two strings at once, each with its string, stud, finger and manner; null for any other cell."""
+    inner = F.regexp_extract(t, r"[撮泼剌]\s*[（(]([^）)]*)[）)]", 1)
+    parts = F.filter(F.transform(F.split(inner, "[＋+、]"), lambda p: F.trim(p)), lambda p: p != "")
+
+    def part(p: Column) -> Column:
+        strings = text.string_numbers(p)
+        mode = F.when(p.contains("泛音"), "harmonic").when(p.contains("散音"), "open").when(p.contains("按音"), "stopped")
+        return F.struct(
+            F.when(F.size(strings) == 1, F.get(strings, 0)).alias("string"), text.stud(p).cast("double").alias("hui"), text.stud_label(p).alias("label"), text.first_of(p, FINGERS).alias("finger"), mode.alias("mode")
+        )
+
+    return F.when(F.size(parts) == 2, F.transform(parts, part))
+
+
+def pair_kind(pair: Column) -> Column:
+    """harmonic, stopped or mixed (one part open, the other stopped); null where the parts don't say enough."""
+    all_ = lambda f: F.forall(pair, f)
+    placed = lambda p: p["hui"].isNotNull() | p["label"].isNotNull()
+    strings = all_(lambda p: p["string"].isNotNull())
+    opened = F.size(F.filter(pair, lambda p: p["mode"] == "open"))
+    held = F.size(F.filter(pair, lambda p: placed(p) & F.coalesce(p["mode"] == "stopped", F.lit(True))))
+    return (
+        F.when(strings & all_(lambda p: (p["mode"] == "harmonic") & p["hui"].isNotNull()), "harmonic").when(strings & all_(lambda p: (p["mode"] == "stopped") & placed(p)), "stopped")
+        .when(strings & (opened == 1) & (held == 1), "mixed")
+    )
+
+
 def stated(notes: DataFrame) -> DataFrame:
     """What each row says by itself. notes: score, idx, text (null where nothing is filled in), structural, rest, targets."""
     t = F.trim(F.coalesce(F.col("text"), F.lit("")))
     rows = notes.withColumn("t", F.when(F.col("structural"), F.lit("")).otherwise(t))
-    t = F.col("t")
-    starts, ends = F.locate("泛起", t), F.locate("泛止", t)
+    full = F.col("t")
+    starts, ends = F.locate("泛起", full), F.locate("泛止", full)
+    # what is left of a cell beside the gesture that lifts a finger
+    lifts = F.when(_any(full, LIFTS), "thumb").when(full.contains("带起"), "named")
+    rows = rows.withColumn("lifts", lifts).withColumn("o", F.trim(F.regexp_replace(full, "|".join([*LIFTS, "带起", "同声", "同起"]), "")))
+    t = F.when(F.col("lifts").isNotNull(), F.col("o")).otherwise(full)
     opens = (starts > 0) & ((ends == 0) | (starts < ends) | (ends == 1))
-    closed = F.coalesce(F.col("rest"), F.lit(False)) & (t == "")
+    closed = F.coalesce(F.col("rest"), F.lit(False)) & (full == "")
     sweep = text.sweep_strings(t)
     return rows.withColumns({
         "rest_here": closed,
+        "pair": paired(t),
         "strings": F.when(F.size(sweep) > 0, sweep).otherwise(text.string_numbers(t)),
         "swept": F.size(sweep) > 1,
         "pluck": text.first_of(t, PLUCKS),
@@ -60,6 +97,7 @@ def stated(notes: DataFrame) -> DataFrame:
         # what the row leaves of the region: the later marker counts
         "leaves": F.when(closed, F.lit(False)).when((starts > 0) | (ends > 0), starts > ends),
     }).withColumns({
+        "pair_kind": pair_kind(F.col("pair")),
         "compound": _any(t, COMPOUNDS) | (t == "拨"),
         "walk": F.when(F.col("pluck").isNull() & _walks(t, UP), "up").when(F.col("pluck").isNull() & _walks(t, DOWN), "down"),
         "returns": (t == "复"),
@@ -79,18 +117,25 @@ def replayed(notes: DataFrame, open_midi: list[float] = music.STANDARD_TUNING) -
     rows = rows.withColumn("scope", scope)
     t, own = F.col("t"), F.col("own_hui").isNotNull() | F.col("own_label").isNotNull()
     attack = F.col("pluck").isNotNull() & ~F.col("compound") & ~F.col("bad_string")
+    pair, kind = F.col("pair"), F.col("pair_kind")
+    lifted = F.col("lifts").isNotNull()
     said = (
-        F.when(F.col("opened"), "open").when(t.contains("按音"), "stopped").when(t.contains("泛音") | F.col("scope"), "harmonic")
+        F.when(kind.isNotNull(), kind).when(F.col("opened"), "open").when(t.contains("按音"), "stopped").when(t.contains("泛音") | F.col("scope"), "harmonic")
         .when(F.col("own_finger").isNotNull() | own | t.contains("就"), "stopped")
     )
     rows = rows.withColumn("said", F.when(attack, said))
     reset = F.col("rest_here") | F.col("opens")
-    manner = F.when(reset, "").when(F.col("said").isin("open", "stopped"), F.col("said"))
+    # a pair of an open and a stopped string leaves no manner, nor do harmonics; a lifted finger leaves an open string
+    manner = F.when(reset, "").when(lifted, "open").when(kind.isin("mixed", "harmonic"), "").when(F.col("said").isin("open", "stopped"), F.col("said"))
     rows = rows.withColumn("before_mode", F.nullif(last(manner), F.lit("")))
-    rows = rows.withColumn("mode", F.when(attack, F.coalesce("said", "before_mode", F.lit("stopped"))))
+    rows = rows.withColumn("mode", F.when(attack & ~F.coalesce(kind == "mixed", F.lit(False)), F.coalesce("said", "before_mode", F.lit("stopped"))))
     # the string that is held: of the last single stopped attack
     one = F.when((F.size("strings") == 1) & attack & (F.col("mode") == "stopped"), F.col("strings")[0])
-    held = F.when(reset, F.lit(-1)).when(one.isNotNull(), one)
+    stopped_part = F.get(F.filter(pair, lambda p: ~F.coalesce(p["mode"] == "open", F.lit(False))), 0)
+    both_hui = F.get(pair, 0)["hui"].eqNullSafe(F.get(pair, 1)["hui"]) & F.get(pair, 0)["label"].eqNullSafe(F.get(pair, 1)["label"])
+    both_finger = F.get(pair, 0)["finger"] == F.get(pair, 1)["finger"]
+    shared = F.coalesce((kind == "stopped") & both_hui & both_finger, F.lit(False))
+    held = F.when(reset | lifted, F.lit(-1)).when(kind == "mixed", stopped_part["string"]).when(kind.isNotNull(), F.lit(-1)).when(one.isNotNull(), one)
     rows = rows.withColumn("held", F.nullif(last(held), F.lit(-1)))
     string = F.when(F.size("strings") > 0, F.when(F.size("strings") == 1, F.col("strings")[0])).when(attack & own & (F.col("mode") == "stopped"), F.col("held")).when(F.col("walk").isNotNull(), F.col("held"))
     rows = rows.withColumn("string", string)
@@ -98,17 +143,24 @@ def replayed(notes: DataFrame, open_midi: list[float] = music.STANDARD_TUNING) -
     released = reset | (attack & (F.col("mode") == "open") & F.array_contains("strings", F.col("held")))
     place = lambda s, h, x: F.struct(s.cast("int").alias("string"), h.cast("double").alias("hui"), x.cast("string").alias("label"))
     touches = own & ((attack & (F.col("mode") == "stopped")) | F.col("walk").isNotNull())
-    contact = F.when(released, place(none, none, none)).when(touches, place(F.col("string"), F.col("own_hui"), F.col("own_label")))
+    contact = (
+        F.when(released | lifted, place(none, none, none)).when(kind == "mixed", place(stopped_part["string"], stopped_part["hui"], stopped_part["label"]))
+        .when(shared, place(none, F.get(pair, 0)["hui"], F.get(pair, 0)["label"])).when(kind.isNotNull(), place(none, none, none))
+        .when(touches, place(F.col("string"), F.col("own_hui"), F.col("own_label")))
+    )
     rows = rows.withColumn("touch", contact).withColumn("contact0", last(F.col("touch")))
     gone = F.when(attack | reset, place(none, none, none))
     origin = lambda c: last(F.when(F.col("walk").isNotNull(), F.col(c)).otherwise(gone))
     rows = rows.withColumn("origin0", origin("contact0"))
     back = F.when(F.col("returns") & F.col("origin0.string").isNotNull(), F.col("origin0"))
     rows = rows.withColumn("contact", last(F.coalesce("touch", back))).withColumn("origin", origin("contact"))
-    finger = F.when(reset, "").when(F.col("own_finger").isNotNull() & ~F.col("scope"), F.col("own_finger"))
+    finger = (
+        F.when(reset | lifted, "").when(kind == "mixed", stopped_part["finger"]).when(kind.isNotNull(), F.when(shared, F.get(pair, 0)["finger"]).otherwise(""))
+        .when(F.col("own_finger").isNotNull() & ~F.col("scope"), F.col("own_finger"))
+    )
     rows = rows.withColumn("before_finger", F.nullif(last(finger), F.lit(""))).withColumn("finger", F.coalesce("own_finger", "before_finger"))
     stopped = F.col("mode") == "stopped"
-    hui = F.when(own, F.col("own_hui")).when(stopped & (F.col("contact.string").isNotNull()), F.col("contact.hui"))
+    hui = F.when(own, F.col("own_hui")).when(stopped, F.col("contact.hui"))
     label = F.when(own, F.col("own_label")).when(stopped, F.col("contact.label"))
     hui = F.when(F.col("returns"), F.col("origin.hui")).otherwise(hui)
     label = F.when(F.col("returns"), F.col("origin.label")).otherwise(label)
@@ -117,10 +169,18 @@ def replayed(notes: DataFrame, open_midi: list[float] = music.STANDARD_TUNING) -
     sound = lambda s, mode: music.position_pitch(F.get(tuning, s - 1), F.col("hui"), F.col("label"), mode)
     each = F.transform(F.when(F.size("strings") > 0, F.col("strings")).otherwise(F.array(F.col("string"))), lambda s: sound(s, F.col("mode")))
     moved = F.when(F.col("returns"), F.array(sound(F.col("origin.string"), F.lit("stopped")))).when(F.col("walk").isNotNull() & own, F.array(sound(F.col("string"), F.lit("stopped"))))
-    pitches = F.filter(F.when(attack, each).otherwise(moved), lambda p: p.isNotNull())
+    two = F.transform(pair, lambda p: music.position_pitch(F.get(tuning, p["string"] - 1), p["hui"], p["label"], F.coalesce(p["mode"], F.lit("stopped"))))
+    pitches = F.filter(F.when(kind.isNotNull(), two).when(attack, each).otherwise(moved), lambda p: p.isNotNull())
+    # the string that a lifted finger lets sound, beside what the cell plucks; a thumb must have held it
+    free = F.get(tuning, F.col("contact.string") - 1)
+    may = F.col("contact.string").isNotNull() & ((F.col("lifts") == "named") | F.coalesce(F.col("before_finger") == "大指", F.lit(False)))
+    alone = F.col("o") == ""
+    with_free = F.when(may & (alone | (F.size(pitches) > 0)), F.array_distinct(F.concat(F.coalesce(pitches, F.array().cast("array<double>")), F.array(free))))
+    pitches = F.when(lifted, F.coalesce(with_free, F.array().cast("array<double>"))).otherwise(pitches)
     several = (F.size("strings") > 1) & ~F.col("swept") & own & ~F.col("pluck").isin("撮", "泼", "剌", "拨")
     reason = (
         F.when(F.col("bad_string"), "invalid_string_number").when(t == "", "empty_jianzi").when(F.col("compound"), "context_dependent_compound_gesture")
+        .when(lifted & ~may, F.when(F.col("lifts") == "thumb", "zhuaqi_requires_previous_thumb_stopped_note").otherwise("daiqi_requires_previous_stopped_note"))
         .when(~attack & t.contains("至"), "context_dependent_transition")
         .when(~attack & (F.coalesce(F.size(pitches), F.lit(0)) == 0), F.when(F.col("walk").isNotNull(), "slide_without_position").otherwise("ornament_or_control"))
         .when(attack & several, "ambiguous_multiple_strings")

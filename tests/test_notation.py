@@ -48,6 +48,20 @@ def test_walk_and_return(spark):
     assert replayed(spark, "散勾三弦")[0]["pitches"] == [53.0]
 
 
+def test_pairs_and_lifted_fingers(spark):
+    got = replayed(spark, "撮（大指九徽三弦按音＋五弦散音）", "挑七徽", "撮（二弦泛音七徽＋四弦泛音七徽）", "撮（大指七徽二弦按音＋大指七徽四弦按音）", "勾三弦")
+    alone = replayed(spark, "大指九徽勾三弦")
+    assert got[0]["pitches"] == pytest.approx([alone[0]["pitches"][0], 57.0]) and got[0]["mode"] is None
+    assert (got[1]["string"], got[1]["hui"]) == (3, 7.0)
+    assert got[2]["pitches"] == [62.0, 67.0] and got[2]["mode"] == "harmonic"
+    assert got[3]["pitches"] == pytest.approx([62.0, 67.0]) and (got[4]["hui"], got[4]["finger"]) == (7.0, "大指")
+    lifted = replayed(spark, "大指九徽勾三弦", "散挑七弦爪起", "勾三弦")
+    assert lifted[1]["pitches"] == [62.0, 53.0] and lifted[2]["mode"] == "open"
+    assert replayed(spark, "名指九徽勾三弦", "爪起")[1]["reason"] == "zhuaqi_requires_previous_thumb_stopped_note"
+    assert replayed(spark, "名指九徽勾三弦", "带起")[1]["pitches"] == [53.0]
+    assert replayed(spark, "散勾三弦", "带起")[1]["reason"] == "daiqi_requires_previous_stopped_note"
+
+
 def test_status(spark):
     got = replayed(spark, ("散勾一弦", [48]), ("散勾一弦", [50]), ("历七六弦", [62]), ("", [60]), ("", [1]))
     assert [got[i]["status"] for i in range(5)] == ["matched", "mismatched", "matched", "skipped", "skipped"]
