@@ -86,11 +86,11 @@ def w12_related_phrases(spark, sf_dir):
 
 
 LIMIT, SLACK = 3, 2
-_RANGES = f"""r AS (SELECT score, idx, NOT structural AS sounding, structural AS is_bar, CASE WHEN d > 3 THEN status END AS section FROM notes),
+_NEW = "(f.full OR (r.section IS NOT NULL AND r.section IS DISTINCT FROM f.section))"
+_RANGES = f"""r AS MATERIALIZED (SELECT score, idx, NOT structural AS sounding, structural AS is_bar, CASE WHEN d > 3 THEN status END AS section FROM notes),
 f AS (SELECT score, idx, 0 AS start, sounding::INT AS n, section, sounding AND 1 >= {LIMIT + SLACK} AS full FROM r WHERE idx = 0
   UNION ALL SELECT score, idx, start, n + sounding::INT, coalesce(section, current), (sounding AND n + 1 >= {LIMIT + SLACK}) OR (is_bar AND n > {LIMIT}) FROM
-    (SELECT r.score, r.idx, r.sounding, r.is_bar, r.section, CASE WHEN f.full OR c THEN r.idx ELSE f.start END AS start, CASE WHEN f.full OR c THEN 0 ELSE f.n END AS n, CASE WHEN NOT (f.full OR c) THEN f.section END AS current
-     FROM (SELECT f.*, r.section IS NOT NULL AND r.section IS DISTINCT FROM f.section AS c, r.idx AS next FROM f JOIN r ON r.score = f.score AND r.idx = f.idx + 1) f JOIN r ON r.score = f.score AND r.idx = f.next)),
+    (SELECT r.score, r.idx, r.sounding, r.is_bar, r.section, CASE WHEN {_NEW} THEN r.idx ELSE f.start END AS start, CASE WHEN {_NEW} THEN 0 ELSE f.n END AS n, CASE WHEN NOT {_NEW} THEN f.section END AS current FROM f JOIN r ON r.score = f.score AND r.idx = f.idx + 1)),
 ranges AS (SELECT score, start::INT AS start, (max(idx) + 1)::INT AS stop, max(n)::INT AS n FROM f GROUP BY score, start)"""
 
 
