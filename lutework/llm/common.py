@@ -18,6 +18,12 @@ BATCH, BATCH_BYTES = 512, 4 << 20
 #: A key with over a SPREAD-th of all rows is hot; so there are SPREAD hot keys at most.
 SPREAD = 1000
 
+#: DuckDB SQL: the table of crc32, made from its polynomial, as one row crc_table (t).
+CRC_SQL = """
+crc_table AS MATERIALIZED (
+    SELECT list(list_reduce([b, 1, 1, 1, 1, 1, 1, 1, 1], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY b) AS t
+    FROM (SELECT range::BIGINT AS b FROM range(256))
+)"""
 
 #: The folders that were written so far, in order.
 MADE: list[str] = []
@@ -51,6 +57,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def crc_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a text's UTF-8 bytes, beside crc_table."""
+    each = f"list_transform(range(1, length(hex({text})), 2), lambda i: ('0x' || substr(hex({text}), i, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {each}), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295)"
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(text, UPPER, UPPER.lower())

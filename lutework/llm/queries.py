@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, htmlcrf, licenses, linededup, mixing, quality, simhash, tokens, toxicity
+from . import chat, decontam, htmlcrf, importance, licenses, linededup, mixing, quality, simhash, tokens, toxicity
 from .common import table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
@@ -56,6 +56,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.formatted(paths))
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
@@ -67,6 +71,7 @@ QUERIES = {
     "op8_token_ids": op8_token_ids,
     "op9_toxicity": op9_toxicity,
     "op10_chat": op10_chat,
+    "op12_importance": op12_importance,
 }
 
 ORACLES = {
@@ -75,4 +80,5 @@ ORACLES = {
     "op3_line_dedup": linededup.ORACLE_SQL,
     "op7_decontamination": decontam.ORACLE_SQL,
     "op10_chat": chat.ORACLE_SQL,
+    "op12_importance": importance.ORACLE_SQL,
 }
