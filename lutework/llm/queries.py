@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, htmlcrf, importance, licenses, linededup, mixing, quality, simhash, tokens, toxicity
+from . import chat, decontam, htmlcrf, importance, licenses, linededup, mixing, quality, simhash, spelling, tokens, toxicity
 from .common import table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
@@ -56,6 +56,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.formatted(paths))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op8_token_ids": op8_token_ids,
     "op9_toxicity": op9_toxicity,
     "op10_chat": op10_chat,
+    "op11_spelling": op11_spelling,
     "op12_importance": op12_importance,
 }
 
@@ -80,5 +85,6 @@ ORACLES = {
     "op3_line_dedup": linededup.ORACLE_SQL,
     "op7_decontamination": decontam.ORACLE_SQL,
     "op10_chat": chat.ORACLE_SQL,
+    "op11_spelling": spelling.ORACLE_SQL,
     "op12_importance": importance.ORACLE_SQL,
 }
