@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, htmlcrf, importance, licenses, linededup, mixing, quality, simhash, spelling, tokens, toxicity
+from . import chat, decontam, htmlcrf, importance, licenses, linededup, mixing, pii, quality, simhash, spelling, tokens, toxicity
 from .common import table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
@@ -64,6 +64,10 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
@@ -77,6 +81,7 @@ QUERIES = {
     "op10_chat": op10_chat,
     "op11_spelling": op11_spelling,
     "op12_importance": op12_importance,
+    "op13_pii": op13_pii,
 }
 
 ORACLES = {
