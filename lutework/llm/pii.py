@@ -86,9 +86,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # Candidates
 
 #: Numbers in groups: whole runs of them, digits and short separators by turns.
-NUMBERS = re.compile(r"(?<![\w.+])\(?[0-9](?:[ ().\-/]{0,2}+[0-9])++")
-#: An at between words, in brackets or bare.
-AT = re.compile(r"\s?[\[({<]\s?at\s?[\])}>]\s?|\s@\s|\sat\s", re.I)
+NUMBERS = re.compile(r"[(0-9](?:[ ().\-/]{0,2}+[0-9])++")
+#: An at between words, in brackets or bare: what is sought, and what it must be part of.
+AT, AROUND_AT = re.compile(r"(?:[aA][tT]|@)(?=[\s\])}>])"), re.compile(r"\s?[\[({<]\s?at\s?[\])}>]\s?|\s@\s|\sat\s", re.I)
+#: All candidates but spelled-out addresses have a digit, and no more than so many code points before or after it.
+DIGITS, REACH = re.compile("[0-9]+"), 220
 HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\s?[\[({<]\s?dot\s?[\])}>]\s?|\sdot\s|\s?\.\s?)[A-Za-z0-9-]{1,63}){1,4}", re.I)
 NAME = re.compile(r"[A-Za-z0-9_+-]{1,64}(?:(?:\s?[\[({<]\s?dot\s?[\])}>]\s?|\sdot\s|\.)[A-Za-z0-9_+-]{1,64}){0,4}$", re.I)
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){10,32}(?!\w)")
@@ -98,26 +100,32 @@ DEVICE = re.compile(r"(?<![\w:.-])[0-9A-Fa-f]{1,4}(?:[:-][0-9A-Fa-f]{0,4}){5,7}(
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Spans that may be personal data, as kind, start and end: many more than there are, and overlapping."""
-    out = []
-    for m in NUMBERS.finditer(text):
-        if m.end() - m.start() > 40:
-            continue
-        n = sum(map(str.isdigit, m[0]))
-        if 7 <= n <= 15:
-            out.append(("phone", *m.span()))
-        if 13 <= n <= 19:
-            out.append(("card", *m.span()))
-        if n == 9:
-            out.append(("ssn", *m.span()))
-    for m in AT.finditer(text):
-        head, tail = NAME.search(text[max(0, m.start() - 96) : m.start()]), HOST.match(text, m.end())
-        if head and tail:
-            out.append(("email", m.start() - len(head[0]), tail.end()))
-    out += [("iban", *m.span()) for m in IBAN.finditer(text)]
-    for m in SECRET.finditer(text):
-        if any(map(str.isdigit, m[0])) and not m[0].isdigit():
-            out.append(("secret", *m.span()))
-    out += [("device", *m.span()) for m in DEVICE.finditer(text)]
+    out, windows = [], []
+    for m in DIGITS.finditer(text):
+        if windows and m.start() - REACH <= windows[-1][1]:
+            windows[-1][1] = m.end() + REACH
+        else:
+            windows.append([max(0, m.start() - REACH), m.end() + REACH])
+    for w in windows:
+        for m in NUMBERS.finditer(text, *w):
+            n = sum(map(str.isdigit, m[0])) if m.end() - m.start() <= 40 else 0
+            before = text[m.start() - 1 : m.start()]
+            if n < 7 or before in (".", "+", "_") or before.isalnum():
+                continue
+            if n <= 15:
+                out.append(("phone", *m.span()))
+            if n >= 13 and n <= 19:
+                out.append(("card", *m.span()))
+            if n == 9:
+                out.append(("ssn", *m.span()))
+        out += [("iban", *m.span()) for m in IBAN.finditer(text, *w)]
+        out += [("secret", *m.span()) for m in SECRET.finditer(text, *w) if any(map(str.isdigit, m[0])) and not m[0].isdigit()]
+        out += [("device", *m.span()) for m in DEVICE.finditer(text, *w)]
+    for x in AT.finditer(text):
+        if x.start() and text[x.start() - 1] in " \t\n\r[({<" and (m := AROUND_AT.search(text, max(0, x.start() - 3), x.end() + 3)):
+            head, tail = NAME.search(text[max(0, m.start() - 96) : m.start()]), HOST.match(text, m.end())
+            if head and tail:
+                out.append(("email", m.start() - len(head[0]), tail.end()))
     return out
 
 
