@@ -59,8 +59,8 @@ def crcs(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarra
     """The crc32 of data[start : start + length] for each start."""
     out = np.zeros(len(starts), np.uint32)
     order = np.argsort(lengths, kind="stable")
-    edges = np.flatnonzero(np.diff(lengths[order], prepend=-1)) if len(order) else order
-    for at, end in zip(edges, [*edges[1:], len(order)], strict=True):
+    edges = [*np.flatnonzero(np.diff(lengths[order], prepend=-1)).tolist(), len(order)]
+    for at, end in zip(edges, edges[1:], strict=False):
         length = int(lengths[order[at]])
         step = max(1, CELLS // max(1, length))
         for k in range(at, end, step):

@@ -439,6 +439,9 @@ def _joined(spans: Column) -> Column:
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, numbers of base spans by kind, their digest, and all spans."""
+
+    def n(kind: str) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     base = F.filter("spans", lambda x: x["base"])
-    n = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
-    return found(docs).withColumn("base", base).select("doc_id", *n, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found(docs).withColumn("base", base).select("doc_id", *map(n, BASE), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
