@@ -29,20 +29,6 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("score", "idx", F.when(rest, "").otherwise(dealt).alias("text"), "structural", rest.alias("rest"), targets.alias("targets"))
 
 
-@query()
-def f1_replay(spark, sf_dir):
-    """manner, string, stud, finger and pitch of each row, stated or inherited."""
-    found = replay.replayed(cells(spark, sf_dir))
-    pitches = F.array_join(F.transform("pitches", lambda p: F.round(p, 3).cast("string")), ",")
-    return found.select("score", "idx", "text", "mode", "string", "hui", "label", "finger", "scope", pitches.alias("pitches"), "reason")
-
-
-@query()
-def f2_audit(spark, sf_dir):
-    """Sounding pitches held against the targets."""
-    return replay.audited(replay.replayed(cells(spark, sf_dir))).select("score", "idx", "status", "reason", "error")
-
-
 @query()
 def f3_reference_fields(spark, sf_dir):
     """which fields a row states and which it inherits, and how far it can be trusted."""
