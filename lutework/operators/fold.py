@@ -14,7 +14,7 @@ equal idx in any order; a place between studs beyond the thirteenth has no pitch
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
@@ -88,7 +88,7 @@ def facts(t: Column) -> Column:
     suffix = F.regexp_extract(t, f"^(.*?)((?:绰上|注下){_STUD.replace('|徽外半|徽外', '')})", 2)
     embedded = F.regexp_instr(t, F.lit("绰上|注下|退|进|引上|淌下"))
     return F.struct(
-        (t == "").alias("blank"), (F.size(text.invalid_strings(t)) > 0).alias("bad"), text.gesture(t).isNotNull().alias("compound"), _parts(t).alias("parts"), _mixed(t).alias("mixed"),
+        (t == "").alias("blank"), F.regexp_extract(t, "(?s)^.*(泛起|泛止)", 1).alias("last_marker"), (F.size(text.invalid_strings(t)) > 0).alias("bad"), text.gesture(t).isNotNull().alias("compound"), _parts(t).alias("parts"), _mixed(t).alias("mixed"),
         (t.contains("爪起") | t.contains("抓起")).alias("thumb_lifts"), t.contains("带起").alias("lifts"), text.first_of(t, FINGERS).alias("finger"), ((starts > 0) & ((stops == 0) | (starts < stops))).alias("opens"),
         (starts > 0).alias("names_start"), (stops > 0).alias("stops"), (stops == 1).alias("stops_first"), (t == "泛止").alias("only_stops"), strings.cast("array<int>").alias("strings"), (F.size(numbers) > 0).alias("names_string"), (F.size(sweep) > 0).alias("sweep"),
         text.number(F.nullif(F.regexp_extract(t, f"散如一\\s*({_N})弦", 1), F.lit(""))).alias("unison"), (t.startswith("至") & pluck.isNull()).alias("arrives"), pluck.isNotNull().alias("plucked"),
@@ -98,15 +98,17 @@ def facts(t: Column) -> Column:
     )
 
 
-def read(notes: DataFrame) -> DataFrame:
-    """notes (score, idx, text, rest, ...) with t, the cell's text, and cells, an array of what it says and, of one that lifts fingers, what is said beside that."""
-    t = F.trim(F.coalesce(F.col("text"), F.lit("")))
-    rows = notes.withColumn("t", t)
-    without_thumb = F.trim(F.regexp_replace("t", "爪起|抓起", ""))
+def cells_of(t: Column) -> Column:
+    """What a cell says and, of one that lifts fingers, what is said beside that."""
+    without_thumb = F.trim(F.regexp_replace(t, "爪起|抓起", ""))
     beside = F.trim(F.regexp_replace(without_thumb, "带起|同声|同起", ""))
-    thumb, named = F.col("t").rlike("爪起|抓起"), F.col("t").contains("带起")
-    listed = F.when(thumb & named, F.array(F.col("t"), without_thumb, beside)).when(thumb, F.array(F.col("t"), without_thumb)).when(named, F.array(F.col("t"), beside)).otherwise(F.array("t"))
-    return rows.withColumn("cells", F.transform(listed, facts))
+    thumb, named = t.rlike("爪起|抓起"), t.contains("带起")
+    return F.transform(F.when(thumb & named, F.array(t, without_thumb, beside)).when(thumb, F.array(t, without_thumb)).when(named, F.array(t, beside)).otherwise(F.array(t)), facts)
+
+
+def read(notes: DataFrame) -> DataFrame:
+    """notes (score, idx, text, rest, ...) with t, the cell's text, and cells."""
+    return notes.withColumn("t", F.trim(F.coalesce(F.col("text"), F.lit("")))).withColumn("cells", cells_of(F.col("t")))
 
 
 # The hand
@@ -182,6 +184,8 @@ def _place(at: dict) -> Place | None:
 
 def _fault(place: Place | None, mode: str) -> str | None:
     """Why a place has no pitch in a mode."""
+    if place == History.SEED:
+        return None
     if isinstance(place, str):
         return "hui_outside_not_valid_for_harmonic" if mode == "harmonic" else None
     if place is not None and mode != "open" and not 1 <= place <= 13:
@@ -430,22 +434,70 @@ def step(hand: Hand, cells: list[dict], rest: bool) -> dict:
     }
 
 
-def folded(notes: DataFrame) -> DataFrame:
-    """notes (score, idx, text, rest, ...) with, of each row, sounds, attacks, freed, reason, the region, and the hand after it: string, hui, label, finger, manner,
-    origin_string and places by finger; and pitches are added by `sounded`."""
-    rows = read(notes)
-    kept = [c for c in rows.columns if c != "cells"]
+class Replay:
+    """The fold of one score."""
+
+    def __init__(self) -> None:
+        self.hand = Hand()
+
+    def row(self, cells: list[dict], rest: bool) -> dict:
+        return step(self.hand, cells, rest)
+
+
+class History:
+    """The fold of one score's predicted phrases, each after the reference of all that comes before it.
+
+    The reference's hand goes through the whole score once; where a phrase begins, the prediction's hand is a copy of it. With seeds, a region may be forced at
+    the border: of a phrase that begins in a harmonic region, by its own say or else by the markers before it, the copy is that of a second hand, which went through
+    the reference as though it had begun within a region, touched where the reference last sounded a harmonic (SEED stands for that until then); any other phrase
+    that has a history begins outside every region, as after a 泛止."""
+
+    SEED = "seed"
+
+    def __init__(self, seeds: bool) -> None:
+        self.seeds, self.phrase, self.begun = seeds, None, False
+        self.reference, self.prediction = Hand(), Hand()
+        self.seeded = Hand(scope=True, manner="harmonic", touch=self.SEED)
+        self.marked, self.touched = False, None
+
+    def border(self, region: bool | None) -> Hand:
+        allowed = self.marked if region is None else region
+        seeded = self.seeds and allowed and self.touched is not None
+        hand = self.seeded if seeded else self.reference
+        hand = replace(hand, places=dict(hand.places), touch=self.touched if hand.touch == self.SEED else hand.touch)
+        if self.seeds and self.begun and not allowed:
+            hand.leave_region()
+            hand.origin = None
+        return hand
+
+    def row(self, cells: list[dict], rest: bool, reference: list[dict], phrase: object, region: bool | None) -> dict:
+        if not self.begun or phrase != self.phrase:
+            self.prediction, self.phrase = self.border(region), phrase
+        out = step(self.prediction, cells, rest)
+        said_so = step(self.reference, reference, rest)
+        if self.seeds:
+            step(self.seeded, reference, rest)
+            self.touched = next((_place(x) for x in reversed(said_so["sounds"]) if x["mode"] == "harmonic"), self.touched)
+            marker = reference[0]["last_marker"]
+            self.marked = (marker == "泛起" if marker else self.marked) and not (rest and reference[0]["blank"])
+        self.begun = True
+        return out
+
+
+def _carried(rows: DataFrame, start: Callable[[], Replay | History], inputs: list[str], drop: list[str]) -> DataFrame:
+    """rows without drop, and with what the fold gives, which takes inputs of each row in the order of score and idx."""
+    kept = [c for c in rows.columns if c not in drop]
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hand, score, first = Hand(), None, True
+        state, score = None, None
         for batch in batches:
             out: dict[str, list] = {k: [] for k in _OUT}
-            scores, cells, rests = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("score", "cells", "rest"))
-            for own, cell, rest in zip(scores, cells, rests, strict=True):
-                if first or own != score:
-                    hand, score, first = Hand(), own, False
-                for k, v in step(hand, cell, bool(rest)).items():
+            own, *given = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("score", *inputs))
+            for new, *values in zip(own, *given, strict=True):
+                if state is None or new != score:
+                    state, score = start(), new
+                for k, v in state.row(*values).items():
                     out[k].append(v)
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept] + [pa.array(out[k], t) for k, t in _OUT.items()]
             yield pa.RecordBatch.from_arrays(columns, [*kept, *_OUT])
@@ -453,6 +505,21 @@ def folded(notes: DataFrame) -> DataFrame:
     return rows.repartition("score").sortWithinPartitions("score", "idx").mapInArrow(run, f"{schema}, {_DDL}")
 
 
+def folded(notes: DataFrame) -> DataFrame:
+    """notes (score, idx, text, rest, ...) with, of each row, sounds, attacks, freed, reason, the region, and the hand after it: string, hui, label, finger, manner,
+    origin_string and places by finger; and pitches are added by `sounded`."""
+    return _carried(read(notes), Replay, ["cells", "rest"], ["cells"])
+
+
+def after_history(notes: DataFrame, seeds: bool = False) -> DataFrame:
+    """notes (score, idx, phrase, text (predicted), reference, rest, and with seeds region: whether the phrase begins in one, null if that isn't said), each predicted phrase folded after the
+    reference of all rows before it, in time linear in the rows: the reference is gone through once, not once for each phrase."""
+    rows = read(notes).withColumn("said", cells_of(F.trim(F.coalesce(F.col("reference"), F.lit("")))))
+    if not seeds:
+        rows = rows.withColumn("region", F.lit(None).cast("boolean"))
+    return _carried(rows, lambda: History(seeds), ["cells", "rest", "said", "phrase", "region"], ["cells", "said"])
+
+
 # Pitches and the audit
 
 
@@ -474,14 +541,15 @@ def sounded(rows: DataFrame, open_midi: list[float] | Column = music.STANDARD_TU
     return rows.withColumns({"pitches": _pitches(F.col("sounds"), F.col("freed"), tuning), "stopped_pitches": _pitches(F.col("stopped_sounds"), none, tuning), "tuning": tuning})
 
 
-def audited(rows: DataFrame, cents: float = 50.0) -> DataFrame:
+def audited(rows: DataFrame, cents: float = 50.0, keys: tuple[str, ...] = ("score",)) -> DataFrame:
     """Sounded rows (with structural and targets, the pitches that are wanted) with status (matched, mismatched or skipped), verdict (why), error and mean_error in cents,
     covered (the idx of the rows that a sweep or a double stroke sounds) and resolved (string, place and pitch of each sound that is known).
 
     Sweeps and double strokes are held against the targets of as many rows as they sound, in order, up to the first row without one; bars don't count. Other
-    pitches are paired in the order of height, which no other pairing beats. A row with one target and several sounds matches by any of them."""
+    pitches are paired in the order of height, which no other pairing beats. A row with one target and several sounds matches by any of them. keys: what rows a sweep
+    may go on to share."""
     t = F.col("t")
-    ahead = Window.partitionBy("score", "structural").orderBy("idx")
+    ahead = Window.partitionBy(*keys, "structural").orderBy("idx")
     following = F.lead(F.trim(F.coalesce("text", F.lit("")))).over(ahead)
     numbers = text.string_numbers(t)
     clean = F.col("reason").isNull()
@@ -533,6 +601,31 @@ def audited(rows: DataFrame, cents: float = 50.0) -> DataFrame:
     return out.drop("twice", "swept", "coming", "why", "sequential", "run", "errors", "tuning", "stopped_pitches", "stopped_sounds")
 
 
+#: What the parts of a phrase's score weigh.
+WEIGHTS = {"pitch": 0.45, "tone": 0.15, "playability": 0.15}
+
+
+def phrase_report(both: DataFrame, keys: list[str], fails: list[str]) -> DataFrame:
+    """Of rows (keys, own and tried, structs of status, reason, attacks, sounds and rest: what the reference and the prediction audit to), a row for each phrase: how many events,
+    those that the reference itself fails (mismatched, or for one of the reasons fails), and of the others the share of matched pitches and of playable cells; the share of
+    equal manners of all cells of one sound; and the mean of these parts, by WEIGHTS of those that can be judged."""
+    broken = lambda side: (F.col(f"{side}.status") == "mismatched") | F.coalesce(F.col(f"{side}.reason").isin(fails), F.lit(False))
+
+    def tone(side: str) -> Column:
+        return F.when(F.col(f"{side}.reason").isNull() & (F.size(f"{side}.sounds") == 1), F.get(f"{side}.sounds", 0)["mode"])
+
+    event, clean, status = ~F.coalesce(F.col("own.rest"), F.lit(False)), ~broken("own"), F.col("tried.status")
+    counted = both.groupBy(*keys).agg(
+        F.count_if(event).alias("n_events"), F.count_if(event & ~clean).alias("n_excluded"), F.count_if(event & clean & (status != "skipped")).alias("n_pitch"), F.count_if(event & clean & (status == "matched")).alias("n_matched"),
+        F.count_if(event & clean & broken("tried")).alias("n_broken"), F.count_if(event & clean).alias("n_clean"), F.count_if(event & tone("own").isNotNull()).alias("n_tone"), F.count_if(event & (tone("own") == tone("tried"))).alias("n_same"),
+    )
+    share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
+    parts = counted.withColumns({"pitch": share("n_matched", "n_pitch"), "tone": share("n_same", "n_tone"), "playability": 1 - share("n_broken", "n_clean")})
+    sums = [sum((F.coalesce(x, F.lit(0.0)) for x in some), F.lit(0.0)) for some in ([w * F.col(k) for k, w in WEIGHTS.items()], [F.when(F.col(k).isNotNull(), w) for k, w in WEIGHTS.items()])]
+    shown = [F.round(F.try_divide(*sums), 6).alias("total"), *[F.round(k, 6).alias(k) for k in WEIGHTS]]
+    return parts.select(*keys, "n_events", "n_excluded", "n_pitch", "n_broken", *shown)
+
+
 def example(*cells: str) -> list[Row]:
     """Rows of one score for trying things out: a cell each, or None for a bare rest."""
     return [Row(score=1, idx=i, text=c or "", rest=c is None, structural=False, targets=[]) for i, c in enumerate(cells)]

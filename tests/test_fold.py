@@ -185,3 +185,45 @@ def test_odd_inputs(spark):
     assert found.count() == 6 and found.where("score = 7 AND size(pitches) = 1").count() == 2
     named = spark.createDataFrame(fold.example("大指九徽勾三弦", None, "勾三弦"), SCHEMA)
     assert [x["hui"] for x in fold.folded(named).orderBy("idx").collect()] == [9.0, 9.0, 9.0]
+
+
+@pytest.mark.parametrize("seeds", [False, True])
+def test_phrases_after_their_history_are_as_the_whole_prefix_replayed(spark, seeds):
+    """Against the plain way: for each phrase all reference rows before it are gone through again, with the synthetic rows that force or end a region."""
+    r = random.Random(9)
+    cells = ["大指九徽勾三弦", "名指十徽挑四弦", "勾一弦", "散挑七弦", "绰上七徽", "复", "退", "泛起中指七徽勾二弦", "泛止", "泛起五徽", "名指带起散挑七弦", "爪起", "", REST, "大指七徽勾二弦", "挑六徽"]
+    zh, rows, want_rows = list(music.ZH_NUMBERS), [], []
+    plain = []
+    for k in range(10):
+        own = [r.choice(cells) for _ in range(24)]
+        tried = [c if isinstance(c, tuple) else r.choice([x for x in cells if not isinstance(x, tuple)]) for c in own]
+        says = {p: r.choice([None, True, False]) for p in range(6)}
+        for i, (a, b) in enumerate(zip(own, tried, strict=True)):
+            rows.append((k, i, i // 4, b[0] if isinstance(b, tuple) else b, a[0] if isinstance(a, tuple) else a, isinstance(a, tuple), says[i // 4]))
+        plain.append((own, tried, says))
+    frame = spark.createDataFrame(rows, "score long, idx int, phrase int, text string, reference string, rest boolean, region boolean")
+    names = ["reason", "string", "hui", "finger", "manner", "scope", "origin_string"]
+    got = {(x["score"], x["idx"]): [*(x[n] for n in names), [tuple(y) for y in x["sounds"]]] for x in fold.after_history(frame, seeds).collect()}
+    alone = fold.folded(rows_of(spark, [x[0] for x in plain])).orderBy("score", "idx").collect()
+    harmonics = {k: [] for k in range(10)}
+    for x in alone:
+        harmonics[x["score"]].append(next((y["hui"] for y in reversed(x["sounds"]) if y["mode"] == "harmonic"), None))
+    keys = []
+    for k, (own, tried, says) in enumerate(plain):
+        for p in range(6):
+            history, marked, touched = own[: p * 4], False, None
+            for c, h in zip(history, harmonics[k], strict=False):
+                last = [m for m in ("泛起", "泛止") if not isinstance(c, tuple) and m in c]
+                marked = False if isinstance(c, tuple) else last[-1] == "泛起" if last else marked
+                touched = h if h is not None else touched
+            allowed = marked if says[p] is None else says[p]
+            before = [f"泛起勾1弦{zh[int(touched) - 1]}徽"] if seeds and allowed and touched is not None else []
+            after = ["泛止"] if seeds and history and not allowed else []
+            want_rows.append([*before, *history, *after, *tried[p * 4 : p * 4 + 4]])
+            keys.append((k, p))
+    found = {}
+    for x in fold.folded(rows_of(spark, want_rows)).collect():
+        found.setdefault(x["score"], []).append((x["idx"], [*(x[n] for n in names), [tuple(y) for y in x["sounds"]]]))
+    for n, (k, p) in enumerate(keys):
+        last = [x for _, x in sorted(found[n])][-4:]
+        assert [got[(k, p * 4 + i)] for i in range(4)] == last, (k, p, want_rows[n])
