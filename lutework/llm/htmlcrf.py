@@ -6,8 +6,8 @@ other, and Viterbi decoding picks the labels. The field is trained by gradient s
 over TRAINING_PAGES labelled pages, which labelled_pages() writes from a seed in many layouts. Scripts, styles and markup are no
 text and never make blocks.
 
-Defined results: null and empty html give an empty text; broken markup is read as browsers do where it matters here (unclosed and stray tags,
-unquoted attributes, character references without semicolon, comments, CDATA); repeated rows are pages of their own; an empty table
+Defined results: null and empty html give an empty text; broken markup is read as browsers do where it matters here (unclosed and stray tags, quotes within unquoted
+values and names, tags that the page ends in, character references without semicolon, comments with any of their ends, declarations); a page of any depth costs its length; repeated rows are pages of their own; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 
 from .common import in_small_batches
 
-TRAINING_PAGES, EPOCHS, RATE, PENALTY, SEED = 400, 12, 0.5, 1e-4, 11
+TRAINING_PAGES, EPOCHS, RATE, PENALTY, SEED = 700, 10, 0.5, 1e-4, 11
 FEATURES = 1 << 12
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas select option textarea".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
+#: What stands in a text without parting it.
+SILENT = frozenset("script style noscript template".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter q rp rt ruby s samp small span strike strong "
     "sub sup time tt u var wbr".split()
@@ -52,120 +54,160 @@ LEAVES = frozenset(
 )
 STANDINS = frozenset("object canvas".split())
 PARTS = frozenset("article section main footer header nav aside body h1".split())
+SCOPED = frozenset("p li b i a span td tr".split())
+KNOWN = LEAVES | frozenset(
+    "address figure figcaption fieldset form form details summary dialog label legend button tr td th tbody thead tfoot caption colgroup hgroup html q hr select option textarea iframe "
+    "object canvas svg math search center dir frameset noscript template title script style".split()
+)
 BARRIER = frozenset("table ul ol dl div article section aside nav header footer main form body html blockquote".split())
-TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|$)|(?P<decl>[!?][^>]*)>?|(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: Markup begins with one of these; attributes are read one by one, a quote being one only where a value begins, as browsers do.
+MARKUP = re.compile(r"<(?:(?P<comment>!--)|(?P<bogus>[!?]|/(?![a-zA-Z]))|(?P<end>/)?(?P<name>[a-zA-Z][^\t\n\f\r />]*))")
+COMMENT_END = re.compile(r"(?<=<!--)-?>|--!?>")
+ATTRIBUTE = re.compile(r"[\t\n\f\r /]*+(?:(?P<close>>)|(?P<key>[^\t\n\f\r />][^\t\n\f\r />=]*+)(?:[\t\n\f\r ]*+=[\t\n\f\r ]*+(?:\"(?P<a>[^\"]*+)(?P<a_end>\"|$)|'(?P<b>[^']*+)(?P<b_end>'|$)|(?P<c>[^\t\n\f\r >]*+)))?)")
 WORDS = re.compile(r"[a-z]+")
 BLANKS = re.compile(r"\s+")
 
 
+class Node:
+    """An open element: its tag, and what its content inherits: the names of its features, the number of elements around it and of the nearest barrier."""
+
+    __slots__ = ("tag", "names", "depth", "barrier", "last")
+
+    def __init__(self, tag: str, above: "Node | None", marks: set[str], at: int):
+        self.tag = tag
+        block = tag not in INLINE
+        own = {f"in:{tag if tag in KNOWN else 'other'}"} if block else set()
+        if tag not in ("html", "body"):  # what these are called says nothing of a part
+            own |= {f"cue:{c}" for w in marks if (c := CUE_OF.get(w))} | ({"hidden"} if "hidden" in marks else set())
+        own |= {"inside"} if tag in ("article", "main") else set()
+        around = above.names if above else frozenset()
+        self.names = around if own <= around else around | own  # shared all the way down where nothing is new
+        self.depth = (above.depth if above else 0) + block
+        self.barrier = at if tag in BARRIER else above.barrier if above else -1
+        self.last = (tag if tag in KNOWN else "other") if block else above.last if above else ""
+
+
 class Block:
-    """A leaf block: its text, white space made one blank; its ancestors' tags and class words, outermost first; words inside links."""
+    """A leaf block: its text, white space made one blank; the innermost element around it; words inside links."""
+
+    __slots__ = ("text", "node", "linked")
 
-    __slots__ = ("text", "path", "marks", "linked")
+    def __init__(self, text: str, node: Node | None, linked: int):
+        self.text, self.node, self.linked = text, node, linked
 
-    def __init__(self, text: str, path: tuple[str, ...], marks: frozenset[str], linked: int):
-        self.text, self.path, self.marks, self.linked = text, path, marks, linked
+
+def _attributes(page: str, at: int) -> tuple[int, set[str], bool]:
+    """From behind a tag's name: where the tag ends (-1 if it doesn't), the words that its attributes mark it with, and whether it closes itself."""
+    marks: set[str] = set()
+    while (m := ATTRIBUTE.match(page, at)) is not None:
+        at = m.end()
+        if m["close"]:
+            return at, marks, page[at - 2] == "/"
+        key, value = m["key"].lower(), m["a"] or m["b"] or m["c"] or ""
+        if m["a_end"] == "" or m["b_end"] == "":
+            return -1, marks, False
+        if key in ("class", "id", "role", "itemprop"):
+            marks.update(WORDS.findall(value.lower()))
+        elif key == "hidden" or key == "style" and "display:none" in value.lower().replace(" ", ""):
+            marks.add("hidden")
+    return -1, marks, False
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page that show text, in order."""
+    """The leaf blocks of a page that show text, in order. Every step costs what it reads or closes, however deep elements are nested."""
     page = page or ""
     found: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[Node] = []
+    open_at: dict[str, list[int]] = {}  # by tag, the places of open elements in the stack
     parts: list[str] = []
-    linked = 0
+    linked = hidden = 0
+
+    def cut(k: int) -> None:
+        """Closes the k-th open element with all in it."""
+        nonlocal hidden
+        while len(stack) > k:
+            tag = stack.pop().tag
+            open_at[tag].pop()
+            hidden -= tag in HIDDEN
 
     def close() -> None:
         nonlocal linked
         if parts:
             text = BLANKS.sub(" ", "".join(parts)).strip()
             if text:
-                path = tuple(t for t, _ in stack if t not in INLINE)
-                marks = frozenset().union(*(m for _, m in stack)) if stack else frozenset()
-                found.append(Block(text, path, marks, linked))
+                found.append(Block(text, stack[-1] if stack else None, linked))
             parts.clear()
         linked = 0
 
-    def shown() -> bool:
-        return not any(t in HIDDEN for t, _ in stack)
+    def is_open(tags: frozenset[str]) -> bool:
+        return any(open_at.get(t) for t in tags)
 
     def leave(tags: frozenset[str]) -> None:
         """Closes the outermost open one of tags, with all in it."""
-        for k, (t, _) in enumerate(stack):
-            if t in tags:
-                del stack[k:]
-                return
+        cut(min(open_at[t][0] for t in tags if open_at.get(t)))
 
     def add(text: str) -> None:
         nonlocal linked
-        if stack and stack[-1][0] == "head" and not text.isspace():
-            stack.pop()
-        if text and shown():
+        if stack and stack[-1].tag == "head" and not text.isspace():
+            cut(len(stack) - 1)
+        if text and not hidden:
             plain = entities.unescape(text)
             parts.append(plain)
-            if any(t == "a" for t, _ in stack):
+            if open_at.get("a"):
                 linked += len(plain.split())
 
     at, n = 0, len(page)
     while at < n:
-        m = TAG.search(page, at)
+        m = MARKUP.search(page, at)
         if not m:
             add(page[at:])
             break
-        add(page[at : m.start()])
+        if m.start() > at:
+            add(page[at : m.start()])
         at = m.end()
-        if not m["name"]:
+        if m["comment"] or m["bogus"]:
+            end = (COMMENT_END if m["comment"] else re.compile(">")).search(page, at if m["comment"] else at - 1)
+            at = end.end() if end else n
             continue
         name = m["name"].lower()
+        at, marks, closed = _attributes(page, at)
+        if at < 0:
+            break  # a tag that the page ends in
         if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if name not in INLINE:
-                        close()
-                    del stack[k:]
-                    break
-                if stack[k][0] in BARRIER and name in ("p", "li", "b", "i", "a", "span", "td", "tr"):
-                    break
-            if name in ("p", "br") and name not in INLINE:
+            places = open_at.get(name)
+            if places and not (name in SCOPED and stack[-1].barrier > places[-1]):
+                if name not in INLINE and name not in SILENT:
+                    close()
+                cut(places[-1])
+            elif name in ("p", "br"):
                 close()
             continue
-        opened = {t for t, _ in stack}
-        if opened & HIDDEN:
-            if "head" in opened and name not in HEAD and "template" not in opened:
+        if hidden:
+            if open_at.get("head") and name not in HEAD and not open_at.get("template"):
                 leave(frozenset(["head"]))
-            if opened & OPTIONS and name not in OPTIONS and name not in INLINE and name != "hr" or "select" in opened and name in ("input", "select", "textarea"):
+            if is_open(OPTIONS) and (name not in OPTIONS and name not in INLINE and name != "hr" or open_at.get("select") and name in ("input", "select", "textarea")):
                 leave(OPTIONS)
-            if opened & FOREIGN and name in LEAVES and "foreignobject" not in opened:
+            if is_open(FOREIGN) and name in LEAVES and not open_at.get("foreignobject"):
                 leave(FOREIGN)
-            if opened & STANDINS and name in PARTS:
+            if is_open(STANDINS) and name in PARTS:
                 leave(STANDINS)
         if name in INLINE:
             if name in ("br", "wbr", "img"):
                 parts.append(" " if parts and name == "br" else "")
                 continue
-        else:
+        elif name not in SILENT:
             close()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CLOSES.get(name, ()):
-                    del stack[k:]
-                    break
-                if stack[k][0] in BARRIER:
-                    break
-        if name in VOID or m["attrs"].rstrip().endswith("/") and name not in ("p", "div", "a", "li", "span"):
+            ends = [open_at[t][-1] for t in CLOSES.get(name, ()) if open_at.get(t)]
+            if ends and max(ends) > stack[-1].barrier:
+                cut(max(ends))
+        if name in VOID or closed and (is_open(FOREIGN) or name not in KNOWN and name not in INLINE):
             continue
-        marks: set[str] = set()
-        for key, value in ATTRIBUTE.findall(m["attrs"]):
-            marks |= {f"{w}" for w in WORDS.findall(value.lower())} if key.lower() in ("class", "id", "role", "itemprop") else set()
-            if key.lower() == "hidden" or "display:none" in value.replace(" ", ""):
-                marks.add("hidden")
-        stack.append((name, frozenset(marks)))
+        open_at.setdefault(name, []).append(len(stack))
+        stack.append(Node(name, stack[-1] if stack else None, marks, len(stack)))
+        hidden += name in HIDDEN
         if name in RAW:
-            end = re.compile(rf"</{name}", re.I).search(page, at)
-            stop = end.start() if end else n
-            if name not in HIDDEN:
-                add(page[at:stop])
-            at = stop
+            end = re.compile(rf"</{name}(?=[\t\n\f\r />]|$)", re.I).search(page, at)
+            at = end.start() if end else n
     close()
     return found
 
@@ -199,32 +241,36 @@ def _bucket(name: str) -> int:
     return h % FEATURES
 
 
+#: Tags and cues of what isn't the main text.
+ASIDE = frozenset(["in:nav", "in:aside", "in:footer", "in:form", "in:header", "in:button", "in:dialog", "hidden", *(f"cue:{c}" for c in ("nav", "ad", "side", "foot", "head", "talk", "note", "form", "share"))])
+
+
 @lru_cache(maxsize=100_000)
-def _context(path: tuple[str, ...], marks: frozenset[str]) -> tuple[int, ...]:
-    names = {f"in:{t}" for t in path} | {f"last:{path[-1] if path else ''}", f"depth:{min(8, len(path))}"}
-    names |= {f"cue:{c}" for w in marks if (c := CUE_OF.get(w))}
-    if "article" in path or "main" in path:
-        names.add("inside")
-    return tuple(_bucket(x) for x in names)
+def _context(names: frozenset[str], depth: int, last: str) -> tuple[int, ...]:
+    own = names | {f"last:{last}", f"depth:{min(8, depth)}"}
+    if not names & ASIDE:
+        own |= {"plain"}
+    return tuple(_bucket(x) for x in sorted(own))
 
 
 def featured(found: list[Block]) -> list[list[int]]:
     """The features of each block of a page."""
     out = []
     longest = max((len(b.text) for b in found), default=1)
-    for i, b in enumerate(found):
+    inside = any(b.node is not None and "inside" in b.node.names for b in found)
+    for b in found:
         n = len(b.text.split())
-        names = [f"n:{min(7, n.bit_length())}", f"links:{round(4 * min(1.0, b.linked / max(1, n)))}", f"stop:{b.text[-1] in '.!?…。:\"”'}", f"share:{round(4 * len(b.text) / longest)}"]
-        if SET_TEXT.search(b.text):
-            names.append("set")
-            names.append(f"set:{min(7, n.bit_length())}")
+        names, depth, last = (b.node.names, b.node.depth, b.node.last) if b.node else (frozenset(), 0, "")
+        plain = not names & ASIDE
+        links = round(4 * min(1.0, b.linked / max(1, n)))
+        own = [f"n:{min(7, n.bit_length())}", f"links:{links}", f"stop:{b.text[-1] in '.!?…。:\"”'}", f"share:{round(4 * len(b.text) / longest)}"]
+        if plain:
+            own += ["plain:links" if links > 2 else "plain:text", f"plain:n:{min(7, n.bit_length())}", f"plain:{inside}:{'inside' in names}"]
+        if m := SET_TEXT.search(b.text):
+            own += ["set", f"set:{min(7, n.bit_length())}", f"set:{m.start() == 0}", f"set:plain:{plain}:{'inside' in names}"]
         if "|" in b.text or "»" in b.text or "·" in b.text:
-            names.append("bars")
-        if i == 0:
-            names.append("first")
-        if i == len(found) - 1:
-            names.append("last")
-        out.append([*_context(b.path, b.marks), *(_bucket(x) for x in names)])
+            own.append("bars")
+        out.append([*_context(names, depth, last), *(_bucket(x) for x in own)])
     return out
 
 
@@ -299,6 +345,12 @@ def train(pages: list[tuple[list[list[int]], list[int]]], epochs: int = EPOCHS,
 # Labelled pages to train on
 
 
+SAID = (
+    "Subscribe to our newsletter was the title of", "The cookies were baked and", "Sign in to the church, said", "They replied that", "The terms of the peace were", "Her comment on the copyright of", "Privacy is what",
+    "Related to this is", "An advertisement in the paper of", "Share this with", "Follow us, they said, and",
+)
+
+
 def _prose(r: random.Random, n: int) -> str:
     syllables = "an be ca do er fi go ha in ka lo ment ne on pa que re sch ti un ver wo é ü ñ th".split()
     words = ["".join(r.choices(syllables, k=r.randint(1, 4))) for _ in range(n)]
@@ -376,6 +428,8 @@ def labelled_page(r: random.Random) -> tuple[str, list[int]]:
         for _ in range(r.choice([1, 1, 2, 3, 5, 8, 15, 40])):
             kind = r.random()
             s = _sentence(r, 1, r.choice([3, 20, 150]))
+            if r.random() < 0.12:  # what parts around a text say, said by the text
+                s = r.choice(SAID) + " " + _sentence(r, 3, 30)
             if kind < 0.5:
                 out.append(f"<p>{text(1, s)}</p>")
             elif kind < 0.6:
@@ -398,9 +452,37 @@ def labelled_page(r: random.Random) -> tuple[str, list[int]]:
                 out.append(side() if r.random() < 0.5 else notice())
         return "".join(out)
 
+    def bare() -> str:
+        """A text without any element of its own, or in few."""
+        kind = r.random()
+        s = " ".join(_sentence(r, 3, 40) for _ in range(r.randint(1, 4)))
+        if kind < 0.3:
+            return text(1, s)
+        if kind < 0.6:
+            return f"<p>{text(1, s)}</p>"
+        return "".join(f"<p>{text(1, _sentence(r, 3, 60))}</p>" for _ in range(r.randint(1, 6)))
+
+    def marks() -> str:
+        """Footing and menus that no name tells apart."""
+        kind = r.random()
+        if kind < 0.5:
+            return f"<p>{text(0, r.choice(['&copy; ', 'Copyright ', '(c) ', 'All rights reserved. ']) + _sentence(r, 1, 6))}</p>"
+        return f"<ul>{links(r.randint(3, 8))}</ul>"
+
     def optional(*parts, p: float = 0.5) -> str:
         return "".join(x() for x in r.sample(parts, len(parts)) if r.random() < p)
 
+    shell = r.random()
+    if shell < 0.3:  # few parts or none around the text
+        top = optional(header, menu, notice, p=0.2)
+        inner = bare() if r.random() < 0.6 else article()
+        tag, name = r.choice(["article", "main", "div", "div", "section", "", "", "td"]), r.choice(["", "", ' class="x1"', ' id="c"'])
+        inner = f"<table><tr><td>{inner}</td></tr></table>" if tag == "td" else f"<{tag}{name}>{inner}</{tag}>" if tag else inner
+        bottom = optional(comments, footer, marks, side, p=0.25)
+        page = f"{top}{inner}{bottom}"
+        return r.choice([page, f"<html><body>{page}</body></html>", f'<!DOCTYPE html><body class="home has-sidebar">{page}']), labels
+    if shell < 0.36:  # no text of its own
+        return f"<html><body>{optional(header, menu, notice, form, advert, p=0.6)}{optional(side, comments, footer, p=0.6)}</body></html>", labels
     top = optional(header, menu, notice, form, advert, p=0.55)
     wrap = r.choice(["article", "article", "article", "main", "div", "section"])
     name = attrs("post", "content", "entry") if wrap != "div" else r.choice([' class="content"', ' id="main"', ' class="post-body"', ""])
@@ -420,8 +502,9 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> list[tuple[str,
     return [labelled_page(r) for _ in range(n)]
 
 
+@lru_cache(maxsize=4)
 def trained(n: int = TRAINING_PAGES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """The field's weights. Pages whose blocks and labels don't match one to one, as broken layouts may, aren't learned from."""
+    """The field's weights, once for the same parameters. Pages whose blocks and labels don't match one to one, as broken layouts may, aren't learned from."""
     pages = [(featured(blocks(p)), y) for p, y in labelled_pages(n, seed)]
     return train([(f, y) for f, y in pages if len(f) == len(y)])
 

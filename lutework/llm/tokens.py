@@ -38,6 +38,9 @@ NORMALIZER = {
     "type": "Sequence",
     "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
 }
+MODEL = {
+    "type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False,
+}
 PRE_TOKENIZER = {
     "type": "Sequence",
     "pretokenizers": [
@@ -141,7 +144,7 @@ class WordEncoder:
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         stated = json.loads(self.tokenizer.to_str())
         rules = stated["normalizer"] == NORMALIZER and stated["pre_tokenizer"] == PRE_TOKENIZER and stated["post_processor"] is None
-        self.own_rules = rules and stated["model"]["type"] == "BPE" and stated["truncation"] is None and stated["padding"] is None
+        self.own_rules = rules and {k: v for k, v in stated["model"].items() if k not in ("vocab", "merges")} == MODEL and stated["truncation"] is None and stated["padding"] is None
         # a text that holds a special token's string goes to the library
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -195,18 +198,18 @@ def _segments(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, encode, number = TaskContext.get().partitionId(), _encoder(path), 0
+        shard, encode, number, held = TaskContext.get().partitionId(), _encoder(path), 0, 0
         ids: list[np.ndarray] = []
         docs: list[int | None] = []
         lengths: list[int] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal number
+            nonlocal number, held
             payload, starts = pack(np.concatenate(ids))
             row = [[shard], [number], [list(docs)], [list(lengths)], [starts], [payload]]
             types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             names = ["shard", "segment", "doc_ids", "lengths", "block_starts", "payload"]
-            number += 1
+            number, held = number + 1, 0
             ids.clear(), docs.clear(), lengths.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names)
 
@@ -214,7 +217,8 @@ def _segments(path: str, end_id: int):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype(np.uint32)
                 ids.append(own), docs.append(doc_id), lengths.append(len(own))
-                if sum(lengths) >= SEGMENT:
+                held += len(own)
+                if held >= SEGMENT:
                     yield flush()
         if docs:
             yield flush()

@@ -277,6 +277,44 @@ def test_pages_with_tags_left_out(page):
     assert [b.text for b in htmlcrf.blocks(page)] == ["One of two", "Two of two"]
 
 
+PARA = "This is an ordinary paragraph of a text that says something, however little."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><p>{PARA}</p></article>", PARA),
+        (f"<div><p>{PARA}</p><p>{PARA}</p><p>{PARA}</p></div>", "\n".join([PARA] * 3)),
+        (PARA, PARA),
+        (f"<html><body>{PARA}</body></html>", PARA),
+        (f"<main><p>{PARA}</p></main><section id=comments><div class=comment><p>Nice one, I say.</p></div></section>", PARA),
+        (f"<article><p>{PARA}</p><p>Subscribe to our newsletter was the title of the film that they saw.</p></article>", f"{PARA}\nSubscribe to our newsletter was the title of the film that they saw."),
+        (f"<!-- x --!><p>{PARA}</p>", PARA),
+        (f"<!--><p>{PARA}</p>", PARA),
+        (f"<!---><p>{PARA}</p><!-- unclosed <p>no</p>", PARA),
+        (f'<p class="a"b">{PARA}</p><p>{PARA}</p>', f"{PARA}\n{PARA}"),
+        (f"<p title=it's>{PARA}</p><p>{PARA}</p>", f"{PARA}\n{PARA}"),
+        (f"<p a='x > y' b=c>{PARA}</p></ nothing><p>{PARA}</p><p class='never closed>{PARA}", f"{PARA}\n{PARA}"),
+        (f'<body class="home has-sidebar"><div><p>{PARA}</p></div></body>', PARA),
+        (f"<table><tr><td>{PARA}</table>", PARA),
+        (f"<div class=header><h1>Site</h1></div><div><h1>A title</h1><p>{PARA}</p></div><div class=sidebar><h3>Related</h3><ul><li><a href=/>x</a></ul></div><p>&copy; 2020 us</p>", f"A title\n{PARA}"),
+        ("<nav><ul><li><a href=/>Home</a></li></ul></nav><form><p>Search here</p></form><footer>&copy; 2020 us</footer>", ""),
+        (f"<p>{PARA}<script>'</p>'; if (a<b) </script >{PARA}", f"{PARA}{PARA}"),
+    ],
+)
+def test_pages_of_other_shells(field, page, text):
+    assert htmlcrf.main_text(*field, page) == text
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "x", "<span>" * 50_000 + "</p>" * 50_000, "<x1><x2>" * 25_000, "<p><b>" * 25_000, "<div></em>" * 50_000, "<a b='" * 50_000, "<!--" * 50_000, "<p class=" * 50_000, "< " * 50_000, "&" * 50_000])
+def test_deep_and_broken_pages_cost_their_length(field, page):
+    import time
+
+    began = time.process_time()
+    htmlcrf.main_text(*field, page)
+    assert time.process_time() - began < 2
+
+
 def test_extracted_text_is_the_best_labelling(field):
     weights, moves = field
     for page, _ in htmlcrf.labelled_pages(60, seed=5):
@@ -293,7 +331,7 @@ def test_pages_table(field):
     """The article of each page of the table, by a plain reading that knows their layout."""
     import pyarrow.parquet as pq
 
-    for x in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()[:100]:
+    for x in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist():
         article = re.search("<article>(.*)</article>", x["html"], re.S)[1]
         article = re.sub("(?s)<(script|style|nav|aside|form)\\b.*?</\\1>|<!--.*?-->|<div class=\"ad\">.*?</div>", "", article)
         parts = [re.sub("\\s+", " ", html.unescape(re.sub("<[^>]*>", "", p.replace("<br>", " ")))).strip() for p in re.split("</?(?:p|h1|h2|div|ul|li|article)\\b[^>]*>", article)]
@@ -518,6 +556,31 @@ def test_token_files(spark, odd, none):
     assert tokens.encoded(odd, PATH).count() == odd.count() and tokens.encoded(none, PATH).count() == 0
 
 
+def test_very_many_tiny_documents(spark):
+    import time
+
+    from lutework.llm.queries import END_ID, TOKENIZER
+
+    frame = spark.range(200_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("").alias("text"))
+    began = time.time()
+    got = tokens.encoded(frame, public_tokenizers.path(TOKENIZER), END_ID).agg(F.count("*"), F.sum("n_tokens"), F.max("start")).first()
+    assert tuple(got) == (200_000, 200_000 + 66_667, 266_665) and time.time() - began < 60
+
+
+@pytest.mark.parametrize("change", [{"dropout": 0.1}, {"ignore_merges": True}, {"unk_token": "<unk>"}, {"byte_fallback": True}, {}])
+def test_tokenizers_with_other_models_encode_whole_texts(tmp_path, change):
+    import json
+
+    from lutework.llm.queries import TOKENIZER
+
+    stated = json.load(open(public_tokenizers.path(TOKENIZER)))
+    stated["model"] |= change
+    if "unk_token" in change:
+        stated["model"]["vocab"]["<unk>"] = 49408
+    (tmp_path / "t.json").write_text(json.dumps(stated))
+    assert tokens.WordEncoder(str(tmp_path / "t.json")).own_rules == (not change)
+
+
 # 9
 
 
