@@ -81,6 +81,18 @@ def direction(hui: Column, prev_hui: Column) -> Column:
     return F.coalesce(F.sign(hui - prev_hui), F.lit(0.0)).cast("int")
 
 
+# The names of lengths and their ticks, each sought before the names that are part of it.
+LENGTHS = {"六十四分": 60, "三十二分": 120, "十六分": 240, "八分": 480, "四分": 960, "二分": 1920, "全音": 3840}
+
+
+def ticks(name: Column) -> Column:
+    """The ticks of a length by its name; a quarter's where none is named."""
+    out = F.lit(LENGTHS["四分"])
+    for word, n in reversed(LENGTHS.items()):
+        out = F.when(name.contains(word), F.lit(n)).otherwise(out)
+    return out
+
+
 def degree_midi(text: Column, tonic: Column) -> Column:
     """Numbered notation to MIDI; combining dots move octaves; null for rests, ties and texts without a degree."""
     count = lambda ch: F.length(text) - F.length(F.translate(text, ch, ""))

@@ -1,45 +1,117 @@
-"""Routes over candidate positions: the k cheapest sequences of a phrase, one group of a grouped map per phrase.
+"""Routes over candidate positions: the k cheapest sequences of a phrase, and the baseline that they give.
 
-A phrase's length is bounded by the splitter (limit and slack), and candidates by the top-k, so that a group never grows with the data.
+A phrase's length is bounded by the splitter (limit and slack), and candidates by the top-k, so that what a task holds of a phrase never grows with the data.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import music
+from .candidates import best_positions, position_grid
+
+_ROUTE = [pa.field("route", pa.int32()), *(pa.field(x, pa.float64()) for x in ("cost", "own_cost", "move_cost")), pa.field("ids", pa.list_(pa.int32())), pa.field("cands", pa.list_(pa.int32()))]
+
+
+#: What a change of string, a skipped string, the way along the string, a fast move and a turn of direction cost: fixed values.
+CHANGE, SKIP, WAY, FAST, TURN = 0.75, 0.30, 8.0, 4.0, 0.35
+LEAST_BEATS, FAST_BEATS = 0.125, 0.5
+
+Candidate = tuple[int, int, float | None, float, float]  # number, string, stud, fraction of the string, own cost
 
-def k_best(steps: list[list[tuple[int, float]]], moves: list[dict[tuple[int, int], float]], k: int) -> list[tuple[float, tuple[int, ...]]]:
-    """The k cheapest paths, one candidate per step: steps has (candidate, cost), moves[i] the cost from a candidate of step i to one
-    of step i + 1 (dear where it is missing). Ties go to the smaller candidates."""
-    if not steps:
+
+def move_cost(a: Candidate, b: Candidate, beats: float) -> tuple[float, int]:
+    """What a move from a to b within the beats costs, a turn apart, and its direction: 1 towards higher studs, -1 back, 0 from or to an open string or in place."""
+    strings, way = abs(b[1] - a[1]), abs(b[3] - a[3])
+    cost = strings * CHANGE + max(0, strings - 1) * SKIP + way * WAY
+    if beats < FAST_BEATS:
+        cost += way * FAST / max(beats, LEAST_BEATS)
+    return cost, 0 if a[2] is None or b[2] is None else (b[2] > a[2]) - (b[2] < a[2])
+
+
+def k_best_directed(steps: list[tuple[float, list[Candidate]]], k: int) -> list[tuple[float, float, float, tuple[int, ...]]]:
+    """The k cheapest paths, one candidate per step, as total, own costs, costs of moves, and candidates; ties, to nine digits, go to smaller candidates. A step is the beats that the
+    move to it has, and its candidates. A move against the direction of the last one that had a direction costs TURN more, so that the k best are kept
+    for each candidate and direction: none of the best can be lost."""
+    if not steps or any(not found for _, found in steps):
         return []
-    paths = {c: [(cost, (c,))] for c, cost in steps[0]}
-    for step, move in zip(steps[1:], moves, strict=True):
-        paths = {
-            c: sorted((total + move.get((b, c), 1e9) + cost, (*path, c)) for b, some in paths.items() for total, path in some)[:k]
-            for c, cost in step
-        }
-    return sorted(x for some in paths.values() for x in some)[:k]
-
-
-def routes(candidates: DataFrame, transitions: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
-    """Of candidates (keys, idx, cand, cost) and transitions (keys, idx, cand, next, cost: from cand at idx to next at the following
-    step), the k cheapest routes: keys, route (from 1), cost and cands."""
-    rows = candidates.select(*keys, "idx", "cand", F.lit(None).cast("int").alias("next"), "cost").unionByName(transitions.select(*keys, "idx", "cand", "next", "cost"))
-
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        own, moved = group[group["next"].isna()].sort_values(["idx", "cand"]), group[group["next"].notna()]
-        order = sorted(own["idx"].unique())
-        steps = [[(int(c), float(x)) for c, x in zip(g["cand"], g["cost"], strict=True)] for _, g in own.groupby("idx")]
-        by_step = {i: {(int(a), int(b)): float(x) for a, b, x in zip(g["cand"], g["next"], g["cost"], strict=True)} for i, g in moved.groupby("idx")}
-        found = k_best(steps, [by_step.get(i, {}) for i in order[:-1]], k)
-        out = pd.DataFrame({"route": range(1, len(found) + 1), "cost": [c for c, _ in found], "cands": [",".join(map(str, p)) for _, p in found]})
-        for key in keys:
-            out[key] = group[key].iloc[0]
-        return out
-
-    kinds = dict(candidates.dtypes)
-    schema = "route int, cost double, cands string, " + ", ".join(f"{key} {kinds[key]}" for key in keys)
-    return rows.groupBy(*keys).applyInPandas(solve, schema)
+    rank = lambda x: (round(x[0], 9), x[3])
+    held: dict[tuple[Candidate, int], list] = {(c, 0): [(c[4], c[4], 0.0, (c[0],))] for c in steps[0][1]}
+    for beats, found in steps[1:]:
+        after: dict[tuple[Candidate, int], list] = {}
+        sources = {a for a, _ in held}
+        for b in found:
+            moves = {a: move_cost(a, b, beats) for a in sources}
+            for (a, before), some in held.items():
+                cost, direction = moves[a]
+                if direction and before and direction != before:
+                    cost += TURN
+                after.setdefault((b, direction or before), []).extend((t + b[4] + cost, o + b[4], m + cost, (*path, b[0])) for t, o, m, path in some)
+        held = {s: sorted(some, key=rank)[:k] for s, some in after.items()}
+    return sorted((x for some in held.values() for x in some), key=rank)[:k]
+
+
+def directed_routes(steps: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
+    """Of steps (keys, idx, beats, candidates: array of struct<cand, string, hui, place, cost>, sorted), a row for each of the k cheapest routes of each key: keys, route (from 1), cost, own_cost,
+    move_cost, ids and cands; none where a step has no candidate. Rows of a key are read one after another in a sorted partition; a phrase, which its splitter bounds, is held at a time.
+
+    Null candidates are none; equal idx stand in any order; extra columns are ignored."""
+    kinds = dict(steps.dtypes)
+    names = [*keys, "route", "cost", "own_cost", "move_cost", "ids", "cands"]
+
+    def solved(key: tuple, ids: list, own: list) -> list[tuple]:
+        return [(*key, n + 1, *costs, ids, list(path)) for n, (*costs, path) in enumerate(k_best_directed(own, k))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, own = None, [], []
+        schema = None
+        for batch in batches:
+            schema = pa.schema([*(batch.schema.field(i) for i in range(len(keys))), *_ROUTE])
+            rows: list[tuple] = []
+            for *new, idx, beats, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key is not None and tuple(new) != key:
+                    rows += solved(key, ids, own)
+                    ids, own = [], []
+                key = tuple(new)
+                ids.append(idx)
+                own.append((beats, [tuple(c.values()) for c in found or []]))
+            if rows:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
+        if key is not None and (rows := solved(key, ids, own)):
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
+
+    ddl = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
+    ordered = steps.select(*keys, F.col("idx").cast("int"), F.col("beats").cast("double"), "candidates").repartition(*keys).sortWithinPartitions(*keys, "idx")
+    return ordered.mapInArrow(run, f"{ddl}, route int, cost double, own_cost double, move_cost double, ids array<int>, cands array<int>")
+
+
+def candidate_steps(notes: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Steps of notes (keys, idx, ticks) and their ranked positions found (keys, idx, rank, string, hui, cents, region_cost): the beats of a move are the
+    length of the sounding note before it."""
+    w = Window.partitionBy(*keys).orderBy("idx")
+    beats = F.greatest(F.coalesce(F.lag("ticks").over(w), F.lit(960)) / 960.0, F.lit(LEAST_BEATS))
+    one = F.struct(
+        F.col("rank").alias("cand"), "string", "hui", F.coalesce(music.stud_fraction(F.col("hui")), F.lit(0.0)).alias("place"), music.node_cost(F.round("cents", 3), F.col("region_cost")).alias("cost")
+    )
+    listed = found.groupBy(*keys, "idx").agg(F.array_sort(F.collect_list(one)).alias("candidates"))  # as many as the ranking keeps
+    return notes.select(*keys, "idx", beats.alias("beats")).join(listed, [*keys, "idx"], "left")
+
+
+def baseline(notes: DataFrame, tuning: list[float], keys: list[str], k: int = 14, cents: float = 50.0) -> DataFrame:
+    """The stopped route of each phrase, from its pitches alone. notes: keys, idx, pitches (array, empty where nothing sounds) and ticks. One row per sounding note: keys, idx, mode, string,
+    hui, label, cost (of the phrase's route) and missing, whether the note has no position; a phrase with such a note has no route, and null positions.
+
+    Of several pitches the highest, rounded, is sought. Null and empty pitches are rests; a phrase of rests only has no rows."""
+    heard = notes.where(F.size(F.coalesce("pitches", F.array().cast("array<double>"))) > 0).select(*keys, "idx", F.coalesce("ticks", F.lit(960)).alias("ticks"), F.rint(F.array_max("pitches")).alias("pitch"))
+    spark = notes.sparkSession
+    found = best_positions(heard, F.col("pitch"), position_grid(spark, tuning, ("stopped",)), k, cents)
+    routes_ = directed_routes(candidate_steps(heard, found, keys), keys, 1)
+    taken = routes_.select(*keys, "cost", F.explode(F.arrays_zip("ids", "cands")).alias("x")).select(*keys, "cost", F.col("x.ids").alias("idx"), F.col("x.cands").alias("rank"))
+    placed = found.select(*keys, "idx", "rank", "mode", "string", "hui", "label").join(taken, [*keys, "idx", "rank"])
+    known = found.select(*keys, "idx").where("rank = 1").withColumn("has", F.lit(True))
+    out = heard.select(*keys, "idx").join(known, [*keys, "idx"], "left").join(placed.drop("rank"), [*keys, "idx"], "left")
+    return out.select(*keys, "idx", "mode", "string", "hui", "label", "cost", F.col("has").isNull().alias("missing"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import music
 from ..operators import ordered, repeats, replay
 from ..operators.candidates import best_positions, position_grid
-from ..operators.routes import routes
-from .adapters import notes, table
+from ..operators.routes import baseline, candidate_steps, directed_routes
+from .adapters import NOTES, notes, table
+from .pitch import GRID, REGION
 from .registry import Registry
 
 REGISTRY = query = Registry()
@@ -116,17 +117,44 @@ def lint_repeats(spark, sf_dir):
     return repeats.repeat_warnings(rows).unionByName(repeats.uncovered_notes(rows))
 
 
-@query()
+_LENGTH_NAMES = ["四分", "八分", "十六分", "三十二分", "附点八分", "二分", ""]
+_TICKS = [960, 480, 240, 120, 480, 1920, 960]
+_POSITIONS = f"""t AS (SELECT DISTINCT midi::DOUBLE AS target FROM notes),
+near AS (SELECT target, string, hui, label, (g.midi - target) * 100 AS cents, {REGION} AS region FROM t JOIN grid g ON abs((g.midi - target) * 100) <= WIDE WHERE KIND),
+pos AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(abs(cents), 3), CASE WHEN hui IS NULL THEN 0 ELSE 1 END, region, string, coalesce(hui, 0), coalesce(label, '')) AS rank FROM near),
+frac AS (SELECT rank, target, string, hui, label, CASE WHEN hui IS NULL THEN 0 ELSE c[floor(hui)::INT] + (hui - floor(hui)) * (c[least(floor(hui)::INT + 1, 13)] - c[floor(hui)::INT]) END AS place, abs(round(cents, 3)) * 0.03::DOUBLE + region AS own FROM pos, fr WHERE rank <= MOST),
+steps AS (SELECT score, idx // 5 AS phrase, idx, midi, row_number() OVER w AS n, count(*) OVER (PARTITION BY score, idx // 5) AS size, greatest(coalesce(lag({_TICKS}[1 + d % 7]) OVER w, 960) / 960.0::DOUBLE, 0.125::DOUBLE) AS beats FROM notes WHERE NOT structural WINDOW w AS (PARTITION BY score, idx // 5 ORDER BY idx))"""
+_MOVE = """abs(f.string - w.string) * 0.75::DOUBLE + greatest(0, abs(f.string - w.string) - 1) * 0.3::DOUBLE + abs(f.place - w.place) * 8.0::DOUBLE + CASE WHEN s.beats < 0.5 THEN abs(f.place - w.place) * 4.0::DOUBLE / greatest(s.beats, 0.125::DOUBLE) ELSE 0 END
+  + CASE WHEN coalesce(sign(f.hui - w.hui), 0) * w.dir < 0 THEN 0.35::DOUBLE ELSE 0 END"""
+
+
+def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score, phrase (five rows), idx, pitches and ticks of each sounding note."""
+    n = notes(spark, sf_dir).where("NOT structural")
+    name = F.get(F.array(*[F.lit(x) for x in _LENGTH_NAMES]), F.col("d") % 7)
+    return n.select("score", F.floor(F.col("idx") / 5).cast("int").alias("phrase"), "idx", F.array(F.col("midi").cast("double")).alias("pitches"), music.ticks(name).alias("ticks"))
+
+
+@query(f"""WITH RECURSIVE {NOTES}, {GRID}, {_POSITIONS.replace("WIDE", "35").replace("KIND", "TRUE").replace("MOST", "3")},
+walks AS (SELECT score, phrase, 1 AS n, string, hui, place, 0 AS dir, own AS cost, own, 0::DOUBLE AS moved, [rank] AS cands FROM steps s JOIN frac f ON f.target = s.midi WHERE n = 1
+  UNION ALL SELECT w.score, w.phrase, w.n + 1, f.string, f.hui, f.place, CASE WHEN coalesce(sign(f.hui - w.hui), 0) <> 0 THEN sign(f.hui - w.hui)::INT ELSE w.dir END, w.cost + f.own + ({_MOVE}), w.own + f.own, w.moved + ({_MOVE}), list_append(w.cands, f.rank)
+  FROM walks w JOIN steps s ON s.score = w.score AND s.phrase = w.phrase AND s.n = w.n + 1 JOIN frac f ON f.target = s.midi),
+ranked AS (SELECT w.*, row_number() OVER (PARTITION BY w.score, w.phrase ORDER BY round(cost, 9), cands) AS route FROM walks w JOIN (SELECT DISTINCT score, phrase, size FROM steps) z ON z.score = w.score AND z.phrase = w.phrase AND z.size = w.n)
+SELECT score, phrase, route, round(cost, 6) AS cost, round(own, 6) AS own_cost, round(moved, 6) AS move_cost, list_aggregate(cands, 'string_agg', ',') AS cands FROM ranked WHERE route <= 3""")
 def k2_routes(spark, sf_dir):
-    """K2: the three cheapest routes over the candidates of each phrase of eight notes."""
-    sounding = notes(spark, sf_dir).where("NOT structural").withColumn("phrase", F.floor(F.col("idx") / 8).cast("int"))
-    best = best_positions(sounding.withColumnRenamed("midi", "note"), F.col("note"), position_grid(spark, music.STANDARD_TUNING))
-    cand = best.select("score", "phrase", "idx", F.col("rank").alias("cand"), "string", "hui", music.node_cost(F.col("cents"), F.col("region_cost")).alias("cost"))
-    # the next sounding note of the phrase, whatever its index
-    steps = cand.select("score", "phrase", "idx").distinct()
-    steps = steps.withColumn("to", F.lead("idx").over(Window.partitionBy("score", "phrase").orderBy("idx"))).where("to IS NOT NULL")
-    after = cand.select("score", "phrase", F.col("idx").alias("to"), F.col("cand").alias("next"), F.col("string").alias("s2"), F.col("hui").alias("h2"))
-    pairs = cand.join(steps, ["score", "phrase", "idx"]).join(after, ["score", "phrase", "to"])  # three candidates by three
-    cost = music.transition_cost(F.col("s2"), F.col("h2"), F.col("string"), F.col("hui"), F.lit(1.0), F.lit(0))
-    moves = pairs.select("score", "phrase", "idx", "cand", "next", cost.alias("cost"))
-    return routes(cand.select("score", "phrase", "idx", "cand", "cost"), moves, ["score", "phrase"], 3).select("score", "phrase", "route", F.round("cost", 6).alias("cost"), "cands")
+    """K2: the three cheapest routes over the candidates of each phrase of five rows, with the beats that the notes leave and the direction carried on; the SQL walks all of them."""
+    heard = _phrases(spark, sf_dir).withColumn("note", F.get("pitches", 0))
+    found = best_positions(heard, F.col("note"), position_grid(spark, music.STANDARD_TUNING))
+    found = directed_routes(candidate_steps(heard, found, ["score", "phrase"]), ["score", "phrase"], 3)
+    return found.select("score", "phrase", "route", *[F.round(c, 6).alias(c) for c in ("cost", "own_cost", "move_cost")], F.array_join("cands", ",").alias("cands"))
+
+
+@query(f"""WITH RECURSIVE {NOTES}, {GRID}, {_POSITIONS.replace("WIDE", "50").replace("KIND", "mode = 'stopped'").replace("MOST", "14")},
+walks AS (SELECT score, phrase, 1 AS n, string, hui, place, 0 AS dir, own AS cost, [rank] AS cands FROM steps s JOIN frac f ON f.target = s.midi WHERE n = 1
+  UNION ALL SELECT * FROM (SELECT w.score, w.phrase, w.n + 1, f.string, f.hui, f.place, CASE WHEN coalesce(sign(f.hui - w.hui), 0) <> 0 THEN sign(f.hui - w.hui)::INT ELSE w.dir END AS dir, w.cost + f.own + ({_MOVE}) AS cost, list_append(w.cands, f.rank) AS cands
+    FROM walks w JOIN steps s ON s.score = w.score AND s.phrase = w.phrase AND s.n = w.n + 1 JOIN frac f ON f.target = s.midi) QUALIFY row_number() OVER (PARTITION BY score, phrase, cands[-1], dir ORDER BY round(cost, 9), cands) = 1),
+best AS (SELECT score, phrase, min_by(cost, (round(cost, 9), cands)) AS cost, arg_min(cands, (round(cost, 9), cands)) AS cands FROM (SELECT w.* FROM walks w JOIN (SELECT DISTINCT score, phrase, size FROM steps) z ON z.score = w.score AND z.phrase = w.phrase AND z.size = w.n) GROUP BY ALL)
+SELECT s.score, s.phrase, s.idx, p.string, p.hui, p.label, round(b.cost, 6) AS cost, NOT EXISTS (SELECT 1 FROM frac x WHERE x.target = s.midi) AS missing FROM steps s LEFT JOIN best b ON b.score = s.score AND b.phrase = s.phrase LEFT JOIN frac p ON p.target = s.midi AND p.rank = b.cands[s.n]""")
+def f9_baseline(spark, sf_dir):
+    """the cheapest stopped route of each phrase, a position per sounding note, from the pitches alone."""
+    return baseline(_phrases(spark, sf_dir), music.STANDARD_TUNING, ["score", "phrase"]).select("score", "phrase", "idx", "string", "hui", "label", F.round("cost", 6).alias("cost"), "missing")

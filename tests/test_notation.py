@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lutework.operators import replay
-from lutework.operators.routes import k_best
+from lutework.operators.routes import baseline, k_best_directed
 from lutework.sources import readers
 from lutework.streaming import stream
 
@@ -137,16 +137,38 @@ def test_replay_of_nothing(spark):
     assert replay.warnings(replay.audited(replay.replayed(spark.createDataFrame([], SCHEMA)))).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(5))
+@pytest.mark.parametrize("seed", range(8))
 def test_routes_are_the_cheapest(seed):
+    """Against all sequences, the direction being carried over moves that have none."""
     r = random.Random(seed)
-    steps = [[(c, r.random()) for c in range(1, 4)] for _ in range(4)]
-    moves = [{(a, b): r.random() for a in range(1, 4) for b in range(1, 4)} for _ in range(3)]
+    steps = []
+    for _ in range(5):
+        found = [(n + 1, r.randint(1, 7), h, 0.0 if h is None else h / 14, r.choice([0.25, r.random()])) for n, h in enumerate(r.choice([None, 4.0, 7.0, 9.5]) for _ in range(r.randint(1, 4)))]
+        steps.append((r.choice([0.125, 0.25, 0.5, 1.0, 2.0]), found))
     every = []
-    for path in itertools.product(range(1, 4), repeat=4):
-        cost = sum(dict(s)[c] for s, c in zip(steps, path, strict=True)) + sum(m[x] for m, x in zip(moves, itertools.pairwise(path), strict=True))
-        every.append((round(cost, 9), path))
-    assert [(round(c, 9), p) for c, p in k_best(steps, moves, 5)] == sorted(every)[:5]
+    for path in itertools.product(*(f for _, f in steps)):
+        own, moved, total, direction = path[0][4], 0.0, path[0][4], 0
+        for (beats, _), a, b in zip(steps[1:], path, path[1:], strict=False):
+            cost = abs(a[1] - b[1]) * 0.75 + max(0, abs(a[1] - b[1]) - 1) * 0.3 + abs(a[3] - b[3]) * (8.0 + (4.0 / beats if beats < 0.5 else 0.0))
+            turn = 0 if a[2] is None or b[2] is None else (b[2] > a[2]) - (b[2] < a[2])
+            cost += 0.35 if turn * direction < 0 else 0.0
+            direction = turn or direction
+            own, moved, total = own + b[4], moved + cost, total + cost + b[4]
+        every.append((round(total, 6), round(own, 6), round(moved, 6), tuple(c[0] for c in path)))
+    for k in (1, 3, 7):
+        got = [(*(round(x, 6) for x in costs), path) for *costs, path in k_best_directed(steps, k)]
+        assert got == sorted(every, key=lambda x: (x[0], x[3]))[:k]
+    assert k_best_directed([], 2) == [] and k_best_directed([*steps, (1.0, [])], 2) == []
+
+
+def test_baseline_of_odd_phrases(spark):
+    rows = [(1, 0, [60.0], 480), (1, 1, [], 480), (1, 2, [55.0, 62.4], None), (1, 3, None, 1), (2, 0, [60.0], 960), (2, 1, [130.0], 960), (None, 0, [60.0], 960), (3, 0, None, None)]
+    frame = spark.createDataFrame(rows, "score long, idx int, pitches array<double>, ticks int").withColumn("string", F.lit("clash")).withColumn("cost", F.lit(1))
+    got = {(x["score"], x["idx"]): x for x in baseline(frame, [48.0, 50.0, 53.0, 55.0, 57.0, 60.0, 62.0], ["score"]).collect()}
+    assert set(got) == {(1, 0), (1, 2), (2, 0), (2, 1), (None, 0)}
+    assert got[(1, 0)]["string"] and got[(1, 2)]["mode"] == "stopped" and not got[(1, 2)]["missing"]
+    assert got[(2, 0)]["string"] is None and not got[(2, 0)]["missing"] and got[(2, 1)]["missing"]
+    assert baseline(frame.limit(0), [48.0] * 7, ["score"]).count() == 0
 
 
 def test_tunes(spark):
