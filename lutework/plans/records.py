@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import curation
-from ..sources import readers
+from ..sources import readers, score_text
 from ..sources.folders import scratch
 from ..streaming import stream
 from .adapters import LABELLED, labelled, table
@@ -101,3 +101,36 @@ def st_valid_prefixes(spark, sf_dir):
     rows = stream.file_stream(spark, f"{path}/in", "user_id long, number long, valid boolean", 2)
     stream.append_batches(stream.valid_prefixes(rows, "user_id", "number", "valid"), f"{path}/history", f"{path}/state", "update").awaitTermination()
     return stream.latest_view(spark.read.parquet(f"{path}/history"), ["user_id"], ["batch"]).select("user_id", "length", "closed")
+
+
+_ABC = ["C", "^d", "[CE]", "|", "z", "||", "|]"]
+_SCORE_ROWS = """r AS (SELECT l_suppkey::VARCHAR AS score, (row_number() OVER w - 1)::INT AS pos, l_orderkey AS o, l_linenumber AS l, trunc(l_quantity)::INT AS q FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_extendedprice)),
+s AS (SELECT *, q % 7 IN (3, 5, 6) AS structural, CASE WHEN q % 7 = 5 THEN '||' WHEN q % 7 = 6 THEN '|]' END AS token, pos // 40 AS part FROM r)"""
+
+
+@query(f"""WITH {_SCORE_ROWS}, f AS (SELECT *, CASE WHEN o % 9 = 0 THEN pos * 2 ELSE pos END AS _i, CASE WHEN q % 7 = 3 THEN '|' WHEN structural THEN '|' ELSE CASE WHEN l % 3 = 0 THEN NULL ELSE l || '"' || chr(10) END END AS jianpu, CASE WHEN q % 7 = 3 THEN '|' WHEN structural THEN token ELSE {_ABC}[1 + q % 7] END AS abc FROM s)
+SELECT score, count(*) AS n_rows, count(*) FILTER (structural) AS n_bars, count(DISTINCT part) FILTER (part % 3 <> 2) AS n_sections,
+  sha256(string_agg(concat_ws('|', pos::VARCHAR, CASE WHEN score::INT % 4 = 0 THEN pos * 2 ELSE pos + 5 END, coalesce(jianpu, '~'), coalesce(abc, '~'), coalesce(token, '~'), CASE WHEN part % 3 = 2 THEN '~' ELSE '第' || part || '段' END), ';' ORDER BY pos)) AS digest FROM f GROUP BY score""")
+def s6_score_text(spark, sf_dir):
+    """Each supplier's line items as a score, written as text files, read back, and digested row by row; the SQL digests the rows themselves."""
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice")
+    q = F.col("l_quantity").cast("int")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("score"), (F.row_number().over(w) - 1).alias("pos"), F.col("l_linenumber").alias("l"), q.alias("q"))
+    structural, token, part = (F.col("q") % 7).isin(3, 5, 6), F.when(F.col("q") % 7 == 5, "||").when(F.col("q") % 7 == 6, "|]"), F.floor(F.col("pos") / 40)
+    own = F.when(F.col("l") % 3 != 0, F.concat(F.col("l").cast("string"), F.lit('"\n')))
+    section = F.struct((part + 1).cast("int").alias("number"), F.concat(F.lit("第"), part.cast("string"), F.lit("段")).alias("label"), F.lit("题").alias("title"), F.lit(None).cast("string").alias("marker"), (F.col("pos") % 40 == 0).alias("start"))
+    word = lambda x: F.lit(x).cast("string")
+    index = F.when(F.col("score").cast("int") % 4 == 0, F.col("pos") * 2).otherwise(F.col("pos") + 5)
+    plain = F.col("q") % 7 == 3
+    notes = rows.select(
+        "score", "pos", index.cast("int").alias("index"), structural.alias("structural"), token.alias("structure_token"), F.when(part % 3 != 2, section).alias("section"), F.when(structural, "|").otherwise(own).alias("jianpu"), word(None).alias("jianpu_alt"),
+        F.when(plain, "|").when(structural, token).otherwise(F.get(F.array(*[F.lit(x) for x in _ABC]), F.col("q") % 7)).alias("abc"), F.when(plain, "小节线").otherwise("四分").alias("duration"), F.lit("").alias("lyric"), F.lit("").alias("jianzi"), word(None).alias("jianzi_text"),
+    )
+    titles = rows.select("score").distinct().select("score", F.concat(F.lit("谱"), F.col("score")).alias("title"), F.to_json(F.struct(F.col("score").alias("score_title"))).alias("metadata"))
+    path = scratch(spark, "scores")
+    score_text.write(score_text.texts(notes, titles), path)
+    back = score_text.rows_of(score_text.read(spark, path))
+    some = lambda c: F.coalesce(c, F.lit("~"))
+    line = F.concat_ws("|", F.col("pos").cast("string"), F.col("index").cast("string"), some("jianpu"), some("abc"), some("structure_token"), some(F.col("section.label")))
+    found = back.groupBy("score").agg(F.count("*").alias("n_rows"), F.count_if("structural").alias("n_bars"), F.countDistinct("section.label").alias("n_sections"), F.array_sort(F.collect_list(F.struct("pos", line.alias("x")))).alias("r"))
+    return found.select("score", "n_rows", "n_bars", "n_sections", F.sha2(F.array_join(F.transform("r", lambda x: x["x"]), ";"), 256).alias("digest"))
