@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from ..functions import music, text
+from ..functions import glyphs, music, text
 from ..sources import readers
 from .adapters import NOTES, notes, table
 from .registry import Registry
@@ -195,3 +195,44 @@ def farr_differences(spark, sf_dir):
         "score", F.size(F.filter(differs, lambda x: x)).alias("n_differ"), (F.array_sort("a") == F.array_sort("b")).alias("same_bag"),
         (F.array_position(differs, True) - 1).cast("int").alias("first"),
     )
+
+
+def _map(values: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in values.items()) + "}"
+
+
+_GLYPH_TYPES = [*glyphs.FORMS, "", "pair", "raw", "compact"]
+_CODES = {"left": [*glyphs.LEFT, "?"], "right": [*glyphs.RIGHT, ""], "slide": [*glyphs.SLIDES], "mark": [*glyphs.MARKS, ":new"], "stud": ["7", "79", "X", "X8", "X23", "X1", "Y", "", "96"], "front": [*glyphs.FRONTS, *glyphs.OPENS, "zhi:", "jiu:", "s:", ""], "pair": [*glyphs.PAIRS]}
+_STUDS = {"7": "七徽", "79": "七徽九分", "X": "十徽", "X8": "十徽八分", "X23": "十二徽三分", "X1": "十一徽", "Y": "徽外", "": "", "96": "九徽六分"}
+_CODED = ", ".join(f"{v}[1 + (n // {i * 2 + 1}) % {len(v)}] AS {k}_" for i, (k, v) in enumerate(_CODES.items()))
+_EITHER = "coalesce({table}[{code}], {code})"
+
+
+@query(f"""WITH r AS (SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey + 3 * l_partkey + 7 * l_suppkey + trunc(l_quantity)::INT AS n, l_suppkey % 7 + 1 AS a, l_partkey % 8 AS b FROM lineitem),
+c AS (SELECT DISTINCT id, {_GLYPH_TYPES}[1 + n % {len(_GLYPH_TYPES)}] AS tp, a::VARCHAR AS s1, CASE WHEN b = 0 THEN '' ELSE b::VARCHAR END AS s2, {_CODED} FROM r),
+w AS (SELECT *, {_EITHER.format(table=_map(glyphs.LEFT), code="left_")} AS lw, {_EITHER.format(table=_map(glyphs.RIGHT), code="right_")} AS rw, {_map(_STUDS)}[stud_] AS hw, {_map(glyphs.PAIRS)}[pair_] AS pw, {_map(glyphs.FRONTS)}[front_] AS fw FROM c)
+SELECT id, CASE tp WHEN 'zhyx' THEN lw || hw || rw || s1 || '弦' WHEN 'zhtyx' THEN CASE WHEN front_ = 'c:' AND left_ = 'm' AND stud_ = 'X' AND right_ = 'd' AND s1 = '2' THEN '' ELSE coalesce(fw, {_map(glyphs.OPENS)}[front_], '') END || lw || hw || rw || s1 || '弦'
+  WHEN 'zht' THEN lw || hw || '滔起' WHEN 'th' THEN {_map(glyphs.SLIDES)}[slide_] || hw WHEN 'tyx' THEN CASE front_ WHEN 'jiu:' THEN '就' WHEN 's:' THEN '散' ELSE '' END || rw || s1 || '弦' WHEN 'd' THEN {_EITHER.format(table=_map(glyphs.MARKS), code="mark_")}
+  WHEN '' THEN lw || {_map(glyphs.SLIDES)}[slide_] || {_EITHER.format(table=_map(glyphs.MARKS), code="mark_")} || s1
+  WHEN 'pair' THEN CASE WHEN stud_ = '' AND s2 = '' THEN pw || '（' || s1 || '弦散音）' WHEN s2 = '' THEN pw || '（' || lw || hw || s1 || '弦按音）' WHEN pair_ = 'pfc:' THEN pw || '[' || CASE WHEN stud_ = '' THEN s1 || '弦散音' ELSE lw || hw || s1 || '弦' END || '+' || s2 || '弦散音]'
+    ELSE pw || '（' || CASE WHEN stud_ = '' THEN s1 || '弦散音' ELSE lw || hw || s1 || '弦按音' END || '＋' || s2 || '弦散音）' END
+  WHEN 'raw' THEN CASE WHEN stud_ = '' THEN pw WHEN s2 = '' THEN pw || '（' || lw || hw || s1 || '弦按音）' WHEN pair_ = 'pfc:' THEN pw || '[' || lw || hw || s1 || '弦+' || '大指' || hw || s2 || '弦按音]' ELSE pw || '（' || lw || hw || s1 || '弦按音＋大指' || hw || s2 || '弦按音）' END
+  WHEN 'compact' THEN CASE WHEN left_ = '?' OR stud_ = '' THEN CASE WHEN s2 = '' THEN pw || '（' || CASE WHEN stud_ = '' OR left_ = '?' THEN s1 || '弦散音' END || '）' ELSE pw || '（' || s2 || '弦散音＋' || CASE WHEN stud_ <> '' THEN stud_ || s1 || '弦按音' ELSE s1 || '弦散音' END || '）' END
+    ELSE pw || '（' || CASE WHEN s2 = '' THEN '' ELSE s2 || '弦散音' END || '＋' || lw || hw || s1 || '弦按音）' END
+  ELSE CASE WHEN front_ = 'zhi:' THEN '至' ELSE coalesce(fw, '') END || rw || s1 || '弦' END AS cell FROM w WHERE NOT (tp = 'compact' AND (left_ = '?' OR stud_ = ''))""")
+def fmus9_glyphs(spark, sf_dir):
+    """F-mus9: glyphs of every type and layout, decoded to cell texts."""
+    n = F.col("l_orderkey") + 3 * F.col("l_partkey") + 7 * F.col("l_suppkey") + F.col("l_quantity").cast("int")
+    code = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), (F.floor(F.col("n") / (2 * i + 1)) % len(values)).cast("int"))
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), n.alias("n"), (F.col("l_suppkey") % 7 + 1).cast("string").alias("s1"), F.when(F.col("l_partkey") % 8 == 0, "").otherwise((F.col("l_partkey") % 8).cast("string")).alias("s2"))
+    rows = rows.withColumns({"tp": code(_GLYPH_TYPES, 0), **{k: code(v, i) for i, (k, v) in enumerate(_CODES.items())}}).drop("n").distinct()
+    kinds = {"left": "left", "right": "right", "stud": "stud", "string": "s1", "front": "front", "lead": "front", "arrive": "front", "slide": "slide", "mark": "mark"}
+    made = lambda *pairs: F.create_map(*[x for k, c in pairs for x in (F.lit(k), F.col(c) if isinstance(c, str) else c)])
+    slots = F.when(F.col("tp") == "", made(("c", "left"), ("d", "slide"), ("e", "mark"), ("f", "s1"))).when(F.col("tp") == "pair", made(("a", "pair"), ("b", "left"), ("c", "stud"), ("d", "s1"), ("g", "s2"))).when(F.col("tp") == "raw", made(("a", "pair")))
+    slots = slots.when(F.col("tp") == "compact", made(("a", "pair"), ("d", "s2"), ("e", F.concat("left", F.lit(":"))), ("f", "stud"), ("g", "s1")))
+    for tp, form in glyphs.FORMS.items():
+        parts = [x.split(":") for x in form.split()]
+        slots = slots.when(F.col("tp") == tp, made(*[(slot, F.lit("tq:") if kind == "lift" else kinds[kind]) for slot, kind in parts]))
+    raw = F.when(F.col("tp") == "raw", made(("off_8", "pair"), ("off_c", "left"), ("off_10", "stud"), ("off_14", "s1"), ("off_1c", F.lit("d")), ("off_20", "stud"), ("off_24", "s2")))
+    whole = rows.where(~((F.col("tp") == "compact") & ((F.col("left") == "?") | (F.col("stud") == ""))))
+    return glyphs.decoded(whole, F.col("tp"), slots, raw).select("id", "cell")

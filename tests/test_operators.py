@@ -132,3 +132,21 @@ def test_ancestors_beyond_the_recursion_limit(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.cteRecursionRowLimit")
     assert {x["c"]: (x["n_ancestors"], x["ancestor_sum"]) for x in got} == wanted and len(got) == len(wanted)
+
+
+def test_glyphs(spark):
+    from lutework.functions import glyphs
+
+    cases = [
+        ("zhyx", {"a": "d", "b": "79", "d": "g", "e": "4"}, None, "大指七徽九分勾4弦"), ("zhyx", {"a": "d", "e": "4"}, None, "大指4弦"), ("zhtyx", {"z": "m", "h": "X", "t": "c:", "y": "d", "x": "2"}, None, "名指十徽打2弦"),
+        ("zhtyx", {"z": "m", "h": "X", "t": "c:", "y": "d", "x": "3"}, None, "绰名指十徽打3弦"), ("zhtyx", {"z": "m", "h": "9", "t": "pc:", "y": "g", "x": "3"}, None, "撮[名指九徽勾3弦"), ("zht", {"a": "g", "b": "5", "c": "tq:"}, None, "跪指五徽滔起"), ("th", {"h": "X8", "t": "u:"}, None, "绰上十徽八分"),
+        ("tyx", {"c": "s:", "d": "t", "e": "7"}, None, "散挑7弦"), ("tyx", {"c": "jiu:", "d": "q", "e": "4"}, None, "就剔4弦"), ("tx", {"c": "zhi:", "e": "5"}, None, "至5弦"), ("yx", {"c": "f:", "d": "g", "e": "5"}, None, "泛音勾5弦"), ("d", {"d": ":yin:fei"}, None, "飞吟"), ("d", {"d": ":none"}, None, ":none"),
+        (None, {"a": "pc:", "b": "d", "c": "9", "d": "3", "g": "5"}, None, "撮（大指九徽3弦按音＋5弦散音）"), (None, {"a": "pc:", "d": "3", "g": "5"}, None, "撮（3弦散音＋5弦散音）"), (None, {"a": "pc:", "d": "4", "e": "s", "f": "9", "g": "6"}, None, "撮（4弦散音＋食指九徽6弦按音）"),
+        (None, {"a": "pfc:", "b": "d", "c": "9", "d": "3", "g": "5"}, None, "反撮[大指九徽3弦+5弦散音]"), (None, {"a": "pl:"}, None, "剌"), (None, {"a": "pc:", "d": "3"}, None, "撮（3弦散音）"), (None, {"a": "pst:", "b": "d", "c": "9", "d": "3", "f": "m", "g": "5"}, None, "三弹（大指九徽3弦按音＋名指九徽5弦按音）"),
+        (None, {"a": "pc:"}, {"off_8": "pc:", "off_c": "d", "off_10": "7", "off_14": "1", "off_1c": "m", "off_20": "77", "off_24": "4"}, "撮（大指七徽1弦按音＋名指七徽七分4弦按音）"), (None, {"x": "d", "y": ":fu", "z": "7", "w": None, "v": ""}, None, "大指复7"), (None, None, None, ""), ("x", None, None, "弦"),
+        ("zhyx", {"a": "d", "b": "145", "d": "g", "e": "4"}, None, "大指十四徽五分勾4弦"),
+    ]
+    frame = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "id int, kind string, slots map<string,string>, raw map<string,string>, want string").withColumn("form", F.lit("clash"))
+    got = {x["id"]: x for x in glyphs.decoded(frame, F.col("kind"), F.col("slots"), F.col("raw")).collect()}
+    assert [(c, got[i]["cell"]) for i, c in enumerate(cases) if got[i]["cell"] != c[3]] == [] and got[0]["form"] == "clash"
+    assert glyphs.decoded(frame.limit(0), F.col("kind"), F.col("slots"), F.col("raw")).count() == 0
