@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import curation
-from ..sources import readers, score_text
+from ..sources import readers, score_text, tunes
 from ..sources.folders import scratch
 from ..streaming import stream
 from .adapters import LABELLED, labelled, table
@@ -134,3 +134,29 @@ def s6_score_text(spark, sf_dir):
     line = F.concat_ws("|", F.col("pos").cast("string"), F.col("index").cast("string"), some("jianpu"), some("abc"), some("structure_token"), some(F.col("section.label")))
     found = back.groupBy("score").agg(F.count("*").alias("n_rows"), F.count_if("structural").alias("n_bars"), F.countDistinct("section.label").alias("n_sections"), F.array_sort(F.collect_list(F.struct("pos", line.alias("x")))).alias("r"))
     return found.select("score", "n_rows", "n_bars", "n_sections", F.sha2(F.array_join(F.transform("r", lambda x: x["x"]), ";"), 256).alias("digest"))
+
+
+_TUNE_TOKENS = ["z2", "^F", "F", "B", "|", "F2-", "[CE]", "c/2"]
+
+
+@query("""WITH r AS (SELECT l_suppkey AS score, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_extendedprice) - 1 AS pos, trunc(l_quantity)::INT % 8 AS k FROM lineitem),
+t AS (SELECT *, [960, 480, 480, 480, 0, 960, 480, 240][1 + k] AS ticks, count(*) FILTER (k = 4) OVER w AS scope, k <> 4 AS timed, k NOT IN (0, 4) AS heard, sum([960, 480, 480, 480, 0, 960, 480, 240][1 + k]) OVER w - [960, 480, 480, 480, 0, 960, 480, 240][1 + k] AS onset FROM r WINDOW w AS (PARTITION BY score ORDER BY pos)),
+m AS (SELECT *, CASE WHEN k IN (1, 2, 5) THEN [65 + CASE WHEN score % 3 = 1 OR count(*) FILTER (k = 1) OVER (PARTITION BY score, scope ORDER BY pos) > 0 THEN 1 ELSE 0 END] WHEN k = 3 THEN [71 - CASE WHEN score % 3 = 2 THEN 1 ELSE 0 END] WHEN k = 6 THEN [60, 64] WHEN k = 7 THEN [72] ELSE [] END AS midis,
+  k = 4 AND onset > coalesce(max(CASE WHEN k = 4 THEN onset END) OVER (PARTITION BY score ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS counts, timed AND ((pos % 16 = 0 AND pos // 16 % 5 = 0) OR count(*) FILTER (timed) OVER (PARTITION BY score ORDER BY pos) = 1) AS begins FROM t),
+b AS (SELECT *, last_value(CASE WHEN heard THEN {'m': midis, 'k': k} END IGNORE NULLS) OVER (PARTITION BY score ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, count(*) FILTER (counts) OVER w + 1 AS bar, count(*) FILTER (begins) OVER w AS section FROM m WINDOW w AS (PARTITION BY score ORDER BY pos)),
+g AS (SELECT *, heard AND coalesce(before.k = 5 AND before.m = midis, FALSE) AS merged FROM b WHERE timed),
+h AS (SELECT *, CASE WHEN heard THEN sum((heard AND NOT merged)::INT) OVER (PARTITION BY score ORDER BY pos) ELSE -pos - 1 END AS grp FROM g)
+SELECT score, row_number() OVER (PARTITION BY score ORDER BY min(pos)) AS n, CASE WHEN len(first(midis ORDER BY pos)) = 0 THEN 'rest' WHEN len(first(midis ORDER BY pos)) = 2 THEN 'chord' ELSE 'note' END AS kind, array_to_string(first(midis ORDER BY pos), ',') AS midis, min(onset)::INT AS onset, sum(ticks)::INT AS duration, first(bar ORDER BY pos) AS bar, first(section ORDER BY pos) AS section, count(*) AS n_tied FROM h GROUP BY score, grp""")
+def s7_tune_events(spark, sf_dir):
+    """Each supplier's line items as a tune of letters with a key, bars, accidentals, ties and sections, read back as events; the SQL makes the events of the numbers."""
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("score"), (F.row_number().over(w) - 1).alias("pos"), (F.col("l_quantity").cast("int") % 8).alias("k"))
+    token = F.get(F.array(*[F.lit(x) for x in _TUNE_TOKENS]), F.col("k"))
+    line = F.floor(F.col("pos") / 16)
+    mark = F.when(line % 5 == 0, F.concat(F.lit("\n%<"), (line / 5).cast("int").cast("string"), F.lit(">"))).otherwise("")
+    part = F.concat(F.when(F.col("pos") % 16 == 0, F.concat(mark, F.lit("\n"))).otherwise(" "), token)
+    bodies = rows.groupBy("score").agg(F.array_sort(F.collect_list(F.struct("pos", part.alias("t")))).alias("x"))
+    key = F.when(F.col("score") % 3 == 0, "C").when(F.col("score") % 3 == 1, "G").otherwise("F")
+    made = bodies.select("score", F.concat(F.lit("T: tune\nL: 1/8\nK: "), key, F.array_join(F.transform("x", lambda x: x["t"]), "")).alias("text"))
+    found = tunes.events(tunes.headers(made, "score", "text"), "score")
+    return found.select("score", "n", "kind", F.array_join(F.col("midis").cast("array<string>"), ",").alias("midis"), "onset", "duration", "bar", "section", "n_tied")
