@@ -10,13 +10,14 @@ one by one, so that ties and repeated rows don't matter; an empty table gives an
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, SPACES, fenced, row_of, words
 
 WINDOW, LEAST_WORDS, REPEATED_PERCENT = 8, 20, 30
-SYMBOLS = "#*$%&|<>"
 SYMBOLS_PER_WORD, SEPARATORS, KEPT_SHARE = 0.25, 3, 0.5
 NAVIGATION = r"\| |» |› |· | > | / |• "
 #: Words of menus and phrases of boilerplate in English, German, French and Spanish.
@@ -35,23 +36,38 @@ PHRASES = (
     "|lire la suite|aller au contenu"
     "|todos los derechos reservados|términos y condiciones|política de privacidad|utilizamos cookies|haga clic aquí|suscríbete|leer más|saltar al contenido"
 )
+#: What a text with a phrase has, in lower case: each phrase holds one of these. A long s, which lower case leaves, counts as one, too.
+STEMS = (
+    "rights reserved|terms |privacy policy|cookie|javascript|click here|subscribe to |sign up for|follow us on|share |read more|powered by|skip to content|rechte vorbehalten|nutzungsbed|datenschutzerkl|hier klicken"
+    "|newsletter|weiterlesen|zum inhalt|droits réservés|conditions |politique de|cliquez ici|abonnez-vous|lire la suite|aller au contenu|los derechos|términos y|política de|haga clic|suscríbete|leer más|saltar al|ſ"
+).split("|")
 MENU, BOILERPLATE = rf"(?iu)^\W*(({MENU_WORDS})\W*)+$", rf"(?iu)({PHRASES})"
 
 
-def _count(text: Column, symbols: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, symbols, ""))
+def _symbols(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("[#*$%&|<>]"))
+
+
+def _n_words(line: Column) -> Column:
+    return F.size(F.split(F.btrim(line, F.lit(SPACE)), SPACES))
 
 
 def has_word(line: Column) -> Column:
     return F.btrim(line, F.lit(SPACE)) != ""
 
 
-def line_fails(line: Column) -> Column:
-    """Whether the line fails one of the three rules; line has a word."""
-    n = F.size(F.split(F.btrim(line, F.lit(SPACE)), SPACES))
-    punctuation = (_count(line, SYMBOLS) > n * F.lit(SYMBOLS_PER_WORD)) | ~line.rlike(r"[\p{L}\p{N}]")
+def line_fails(line: Column, phrased: Column | None = None) -> Column:
+    """Whether the line fails one of the three rules; line has a word. phrased: whether its text may hold a phrase at all, where that is known."""
+    # the words are counted of lines with symbols only
+    punctuation = ((_symbols(line) > 0) & (_symbols(line) > _n_words(line) * F.lit(SYMBOLS_PER_WORD))) | ~line.rlike(r"[\p{L}\p{N}]")
     separators = F.size(F.split(line, NAVIGATION)) - 1 >= SEPARATORS
-    return punctuation | separators | line.rlike(MENU) | line.rlike(BOILERPLATE)
+    boilerplate = line.rlike(BOILERPLATE)
+    return punctuation | separators | line.rlike(MENU) | (boilerplate if phrased is None else phrased & boilerplate)
+
+
+def _paired(hashes: Column, step: int) -> Column:
+    """Each hash with the one so many places behind it."""
+    return F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + step)))
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -60,14 +76,23 @@ def measured(docs: DataFrame) -> DataFrame:
     split = docs.select(row_of(docs)).withColumn("__w", words(F.col("row.text"))).withColumn("__lines", F.filter(F.split(text, "\n"), has_word))
     n = F.size("__w")
     # a window's hash from its words' hashes; none in texts shorter than a window
+    # of pairs, then of pairs of pairs, and of those: three hashes of two, whatever the words
     hashed = split.withColumn("__wh", F.transform("__w", lambda w: F.xxhash64(w)))
-    wh = F.col("__wh")
-    starts = F.when(n >= WINDOW, F.sequence(F.lit(0), n - WINDOW)).otherwise(F.array().cast("array<int>"))
-    hashed = hashed.withColumn("__win", F.transform(starts, lambda i: F.xxhash64(*[F.get(wh, i + k) for k in range(WINDOW)])))
+    for step in (1, 2, 4):
+        hashed = hashed.withColumn("__wh", _paired(F.col("__wh"), step))
+    none = F.array().cast("array<bigint>")
+    hashed = hashed.withColumn("__win", F.when(n >= WINDOW, F.slice("__wh", F.lit(1), n - WINDOW + 1)).otherwise(none))
     # most texts repeat no window: only the others are sorted
     some = F.size(F.array_distinct("__win")) < F.size("__win")
     ordered = F.when(some, F.sort_array(F.transform("__win", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    hashed = hashed.withColumn("__ord", ordered).withColumn("__kept", F.filter("__lines", lambda x: ~line_fails(x)))
+    hashed = hashed.withColumn("__ord", ordered)
+    lower = F.lower(text)
+    phrased = reduce(lambda a, b: a | b, [F.contains(lower, F.lit(x)) for x in STEMS])
+    # each line beside the text's flag, which array_repeat evaluates once
+    flags = F.array_repeat(phrased, F.size("__lines"))
+    judged = F.zip_with("__lines", flags, lambda x, p: F.struct(x.alias("line"), line_fails(x, p).alias("fails")))
+    hashed = hashed.withColumn("__judged", judged)
+    hashed = hashed.withColumn("__kept", F.transform(F.filter("__judged", lambda x: ~x["fails"]), lambda x: x["line"])).withColumn("__gone", F.filter("__judged", lambda x: x["fails"]))
     last = F.size("__ord")
 
     def twice(x: Column, k: Column) -> Column:
@@ -82,16 +107,16 @@ def measured(docs: DataFrame) -> DataFrame:
         F.transform(at, lambda p, k: F.when(k < F.size(at) - 1, F.least(F.lit(WINDOW), F.get(at, k + 1) - p)).otherwise(F.lit(WINDOW))),
         F.lit(0), lambda a, x: a + x,
     )
-    counted = lambda lines: F.aggregate(lines, F.lit(0), lambda a, x: a + F.size(F.split(F.btrim(x, F.lit(SPACE)), SPACES)))
+    gone = F.aggregate("__gone", F.lit(0), lambda a, x: a + _n_words(x["line"]))
     long = {
         "n_words": n,
-        "word_chars": F.length(F.translate(text, SPACE, "")),
-        "n_symbols": _count(text, SYMBOLS),
+        "word_chars": F.length(F.array_join("__w", "")),
+        "n_symbols": _symbols(text),
         "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")),
         "n_repeat_words": repeats,
         "n_lines": F.size("__lines"),
         "n_kept_lines": F.size("__kept"),
-        "kept_words": counted(F.col("__kept")),
+        "kept_words": n - gone,
     }
     out = hashed.select("row", F.col("__kept").alias("kept_lines"), *[c.cast("long").alias(k) for k, c in long.items()])
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEATED_PERCENT)
