@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -96,14 +100,58 @@ def incidence(df: DataFrame, prediction: str, reference: str) -> tuple[DataFrame
     return counts, df.agg(F.lit("any").alias("technique"), some(prediction).alias("prediction_events"), some(reference).alias("reference_events"))
 
 
-#: Blocks in which stated queries meet all rows.
-BLOCKS = 16
-
-
-def searched(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """Every row beside each stated query, those whose key is divisible by 100, but the query itself: query_id, sim (cosine, nine digits) and the row without its
-    vector. Queries are dealt to BLOCKS blocks and the rows go to each, so that neither side is broadcast, whatever its size."""
-    asked = rows.where(F.col(key) % 100 == 0).select(F.col(key).alias("query_id"), F.col(vector).alias("q"), F.pmod(F.xxhash64(key), F.lit(BLOCKS)).alias("block"))
-    each = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))))
-    met = each.join(asked.hint("merge"), "block").where(F.col(key) != F.col("query_id"))
-    return met.withColumn("sim", F.round(cosine(F.col("q"), F.col(vector)), 9)).drop("q", vector, "block")
+#: Bytes of a block of stated queries, which goes to where the rows are.
+BLOCK_BYTES = 16 << 20
+
+
+def nearest(rows: DataFrame, key: str, label: str, vector: str, k: int, kind: str = "all") -> DataFrame:
+    """Of each stated query, a row whose key is divisible by 100, its k best other rows: query_id, key, score (nine digits), same (whether their labels are equal) and rank, ties to the smaller key.
+    The score is the cosine; of kind filtered only rows of the query's label are looked at, and of kind hybrid it is 0.7 of the cosine and 0.3 for an equal label.
+
+    The queries are taken in blocks of BLOCK_BYTES, each broadcast; a task multiplies its batches with a block and keeps k rows a query, so that no row is copied or moved, and what meets for a query is k
+    rows from each task. Every query meets every row. Rows without a vector, or with one of zeros, are in no result; null labels are equal to none."""
+    spark = rows.sparkSession
+    asked = rows.where((F.col(key) % 100 == 0) & F.col(vector).isNotNull()).select(F.col(key).alias("q"), F.col(label).cast("string").alias("l"), F.col(vector).cast("array<double>").alias("v"))
+    size = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    n_blocks = max(1, -(-size[0] * 8 * (size[1] or 1) // BLOCK_BYTES))
+    narrow = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(label).cast("string").alias("l"), F.col(vector).cast("array<double>").alias("v"))
+    found = None
+    for b in range(n_blocks):
+        block = asked.where(F.pmod(F.xxhash64("q"), F.lit(n_blocks)) == b).collect()  # BLOCK_BYTES of vectors, or so
+        if block:
+            sent = spark.sparkContext.broadcast(([x["q"] for x in block], [x["l"] for x in block], np.array([x["v"] for x in block])))
+            own = narrow.mapInArrow(_met(sent, k, kind), "query_id bigint, key bigint, score double, same boolean")
+            found = own if found is None else found.unionByName(own)
+    if found is None:
+        return spark.createDataFrame([], f"query_id bigint, `{key}` bigint, score double, same boolean, rank int")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
+    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.withColumnRenamed("key", key)
+
+
+def _met(sent, k: int, kind: str):
+    """Of rows (key, l, v), the k best of each query of a block, by task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, labels, matrix = sent.value
+        queries, labels = np.array(queries, np.int64), np.array(labels, object)
+        norms = np.linalg.norm(matrix, axis=1)
+        score = np.full((len(queries), k), -np.inf)
+        keys, same = np.full((len(queries), k), np.iinfo(np.int64).max), np.zeros((len(queries), k), bool)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, names = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object)
+            vectors = np.array(batch.column(2).to_pylist(), float)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                cosine_ = np.round(matrix @ vectors.T / (norms[:, None] * np.linalg.norm(vectors, axis=1)[None]), 9)
+            equal = (labels[:, None] == names[None]) & (names != None)[None]  # noqa: E711
+            value = np.round(0.7 * cosine_ + 0.3 * equal, 9) if kind == "hybrid" else cosine_
+            value[np.isnan(cosine_) | (queries[:, None] == own[None]) | (~equal if kind == "filtered" else False)] = -np.inf
+            score, keys, same = (np.concatenate(x, axis=1) for x in ((score, value), (keys, np.broadcast_to(own, value.shape)), (same, equal)))
+            order = np.lexsort((keys, -score), axis=1)[:, :k]
+            score, keys, same = (np.take_along_axis(x, order, axis=1) for x in (score, keys, same))
+        q, at = np.nonzero(np.isfinite(score))
+        yield pa.RecordBatch.from_arrays([pa.array(queries[q]), pa.array(keys[q, at]), pa.array(score[q, at]), pa.array(same[q, at])], ["query_id", "key", "score", "same"])
+
+    return run

@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import metrics
-from ..operators.ordered import top_k
 from .adapters import LABELLED, NOTES, labelled, notes, table
 from .registry import Registry
 
@@ -132,10 +131,10 @@ SELECT query_id, round(tp / 10.0::DOUBLE, 6) AS precision, round(coalesce(tp / n
 def a24_retrieval(spark, sf_dir):
     """Precision, recall, F1 and reciprocal rank of the ten nearest vectors of each stated query (ids divisible by 100), its own label's being relevant."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    best = top_k(metrics.searched(rows, "vec_id", "embedding"), ["query_id"], [F.desc("sim"), F.col("vec_id")], 10)
+    best = metrics.nearest(rows, "vec_id", "label", "embedding", 10)
     relevant = rows.groupBy("label").agg((F.count("*") - 1).alias("relevant"))
     asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
-    hit = F.col("label") == F.col("wanted")
+    hit = F.col("same")
     g = best.join(asked, "query_id").groupBy("query_id", "wanted").agg(F.count_if(hit).alias("tp"), F.min(F.when(hit, F.col("rank"))).alias("first")).join(relevant.withColumnRenamed("label", "wanted"), "wanted")
     return g.select(
         "query_id", F.round(F.col("tp") / 10.0, 6).alias("precision"), F.round(F.coalesce(metrics.ratio(F.col("tp"), F.col("relevant")), F.lit(0.0)), 6).alias("recall"),
@@ -149,9 +148,5 @@ SELECT * FROM f UNION ALL SELECT query_id, 'hybrid', vec_id, score FROM h QUALIF
 def s14_filtered_hybrid(spark, sf_dir):
     """The five nearest vectors of each stated query among those of its label, the filter coming first, and the five best by similarity and label together."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    wanted = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
-    found = metrics.searched(rows, "vec_id", "embedding").join(wanted, "query_id").withColumn("same", F.col("label") == F.col("wanted"))
-    five = lambda df, kind: top_k(df, ["query_id"], [F.desc("score"), F.col("vec_id")], 5).select("query_id", F.lit(kind).alias("kind"), "vec_id", "score")
-    filtered = five(found.where("same").withColumn("score", F.col("sim")), "filtered")
-    mixed = F.round(0.7 * F.col("sim") + F.when(F.col("same"), 0.3).otherwise(0.0), 9)
-    return filtered.unionByName(five(found.withColumn("score", mixed), "hybrid"))
+    five = lambda kind: metrics.nearest(rows, "vec_id", "label", "embedding", 5, kind).select("query_id", F.lit(kind).alias("kind"), "vec_id", "score")
+    return five("filtered").unionByName(five("hybrid"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics
-from ..operators.ordered import latest, top_k
+from ..operators.ordered import latest
 from .adapters import LABELLED, labelled, table
 from .registry import Registry
 
@@ -144,9 +144,7 @@ SELECT query_id, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / 10
 def k10_a24_vector_search(spark, sf_dir):
     """The ten nearest vectors of each stated query (ids divisible by 100) among all, and how well they hit."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
-    near = metrics.searched(rows, "vec_id", "embedding").join(asked, "query_id")
-    best = top_k(near, ["query_id"], [F.desc("sim"), F.col("vec_id")], 10).withColumn("hit", F.col("label") == F.col("wanted"))
+    best = metrics.nearest(rows, "vec_id", "label", "embedding", 10).withColumnsRenamed({"same": "hit", "score": "sim"})
     return best.groupBy("query_id").agg(
         F.count_if("hit").alias("hits"), F.round(F.count_if("hit") / 10.0, 6).alias("precision"), F.round(F.coalesce(1.0 / F.min(F.when(F.col("hit"), F.col("rank"))), F.lit(0.0)), 6).alias("mrr"), F.round(F.max("sim"), 6).alias("best")
     )

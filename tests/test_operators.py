@@ -150,3 +150,35 @@ def test_glyphs(spark):
     got = {x["id"]: x for x in glyphs.decoded(frame, F.col("kind"), F.col("slots"), F.col("raw")).collect()}
     assert [(c, got[i]["cell"]) for i, c in enumerate(cases) if got[i]["cell"] != c[3]] == [] and got[0]["form"] == "clash"
     assert glyphs.decoded(frame.limit(0), F.col("kind"), F.col("slots"), F.col("raw")).count() == 0
+
+
+def test_nearest_by_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    from lutework.operators import metrics
+
+    r = np.random.default_rng(3)
+    rows = [(i, None if i % 17 == 0 else "ab"[i % 2], [float(x) for x in r.integers(-2, 3, 4)]) for i in range(0, 1200, 4)] + [(50, "a", None), (100, "a", [0.0] * 4), (7, "b", [1.0, 1.0, 0.0, 0.0]), (7, "b", [1.0, 1.0, 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "id long, label string, v array<double>").withColumn("q", F.lit(1)).withColumn("score", F.lit("clash")).repartition(5)
+
+    def plain(k, kind):
+        out = []
+        for q, ql, qv in rows:
+            if q % 100 or qv is None or not any(qv):
+                continue
+            found = []
+            for i, label, v in rows:
+                if i == q or v is None or not any(v):
+                    continue
+                cos, same = round(float(np.dot(qv, v) / (np.linalg.norm(qv) * np.linalg.norm(v))), 9), label is not None and label == ql
+                if kind != "filtered" or same:
+                    found.append((round(0.7 * cos + 0.3 * same, 9) if kind == "hybrid" else cos, i))
+            out += [(q, i, s) for s, i in sorted(found, key=lambda x: (-x[0], x[1]))[:k]]
+        return sorted(out)
+
+    for size in (16 << 20, 100):
+        monkeypatch.setattr(metrics, "BLOCK_BYTES", size)
+        for kind in ("all", "filtered", "hybrid"):
+            got = metrics.nearest(frame, "id", "label", "v", 5, kind).collect()
+            assert sorted((x["query_id"], x["id"], round(x["score"], 8)) for x in got) == [(q, i, round(s, 8)) for q, i, s in plain(5, kind)]
+    assert metrics.nearest(frame.where("id % 100 <> 0"), "id", "label", "v", 5).count() == 0 and metrics.nearest(frame.limit(0), "id", "label", "v", 5).count() == 0
