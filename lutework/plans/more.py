@@ -116,23 +116,25 @@ def k16_minibatches(spark, sf_dir):
     return at.select("shard", F.floor(F.col("at") / 8).alias("batch"), "id", (F.col("at") >= F.col("n")).alias("padded"))
 
 
-@query(f"""WITH {GRID} SELECT t.target, string, hui, label, round((midi - t.target) * 100, 3) AS cents FROM grid JOIN (SELECT unnest(range(50, 75))::DOUBLE AS target) t ON abs((midi - t.target) * 100) <= 35 WHERE mode = 'stopped' AND string = 3""")
+@query(f"""WITH {GRID}, t AS (SELECT (l_suppkey % 7 + 1)::INT AS held, (45 + trunc(l_quantity)::INT)::DOUBLE AS target, count(*) AS n_notes FROM lineitem GROUP BY ALL)
+SELECT held AS string, target, n_notes, hui, label, round((midi - target) * 100, 3) AS cents FROM t JOIN grid ON string = held AND mode = 'stopped' AND abs((midi - target) * 100) <= 35""")
 def f13_feasible_endpoints(spark, sf_dir):
-    """where on the held string a walk may end for each pitch."""
-    targets = spark.range(50, 75).select(F.col("id").cast("double").alias("target"))
-    found = near_positions(targets, position_grid(spark, music.STANDARD_TUNING, ("stopped",)).where("string = 3"))
-    return found.select("target", "string", "hui", "label", F.round("cents", 3).alias("cents"))
+    """where on the held string a walk may end, for each string and pitch of the line items."""
+    notes_ = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 7 + 1).cast("int").alias("held"), (45 + F.col("l_quantity").cast("int")).cast("double").alias("target")).agg(F.count("*").alias("n_notes"))
+    found = near_positions(notes_.select("target").distinct(), position_grid(spark, music.STANDARD_TUNING, ("stopped",)))
+    met = notes_.join(found, "target").where(F.col("string") == F.col("held"))
+    return met.select("string", "target", "n_notes", "hui", "label", F.round("cents", 3).alias("cents"))
 
 
-@query(f"""WITH {GRID}, s AS (SELECT k AS tonic, d AS degree, (48 + k + {music.MAJOR}[d] + 12 * o)::DOUBLE AS target FROM (SELECT unnest(range(12)) AS k), (SELECT unnest(range(1, 8)) AS d), (SELECT unnest(range(3)) AS o))
-SELECT tonic, degree, count(*) FILTER (mode = 'open') AS n_open, count(*) FILTER (mode = 'harmonic') AS n_harmonic, count(*) FILTER (mode = 'stopped') AS n_stopped FROM s JOIN grid ON abs((midi - target) * 100) <= 35 GROUP BY 1, 2""")
+@query(f"""WITH {GRID}, k AS (SELECT (p_partkey % 12)::INT AS tonic, count(*) AS n_parts FROM part GROUP BY 1), s AS (SELECT tonic, n_parts, d AS degree, (48 + tonic + {music.MAJOR}[d] + 12 * o)::DOUBLE AS target FROM k, (SELECT unnest(range(1, 8)) AS d), (SELECT unnest(range(3)) AS o))
+SELECT tonic, degree, n_parts, count(*) FILTER (mode = 'open') AS n_open, count(*) FILTER (mode = 'harmonic') AS n_harmonic, count(*) FILTER (mode = 'stopped') AS n_stopped FROM s JOIN grid ON abs((midi - target) * 100) <= 35 GROUP BY 1, 2, 3""")
 def c6_scale_resources(spark, sf_dir):
-    """How many positions of each kind a tuning gives for the degrees of each scale."""
-    one = spark.range(12).select(F.col("id").alias("tonic"), F.posexplode(F.array(*[F.lit(m) for m in music.MAJOR])).alias("p", "m"))
-    s = one.select("tonic", (F.col("p") + 1).cast("long").alias("degree"), F.explode(F.transform(F.array(F.lit(0), F.lit(12), F.lit(24)), lambda o: (48 + F.col("tonic") + F.col("m") + o).cast("double"))).alias("target"))
+    """How many positions of each kind a tuning gives for the degrees of the parts' scales, and how many parts have each scale."""
+    one = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 12).cast("int").alias("tonic")).agg(F.count("*").alias("n_parts")).select("tonic", "n_parts", F.posexplode(F.array(*[F.lit(m) for m in music.MAJOR])).alias("p", "m"))
+    s = one.select("tonic", "n_parts", (F.col("p") + 1).cast("long").alias("degree"), F.explode(F.transform(F.array(F.lit(0), F.lit(12), F.lit(24)), lambda o: (48 + F.col("tonic") + F.col("m") + o).cast("double"))).alias("target"))
     found = near_positions(s.select("target").distinct(), position_grid(spark, music.STANDARD_TUNING))
     n = lambda m: F.count_if(F.col("mode") == m).alias(f"n_{m}")
-    return s.join(found, "target").groupBy("tonic", "degree").agg(n("open"), n("harmonic"), n("stopped"))
+    return s.join(found, "target").groupBy("tonic", "degree", "n_parts").agg(n("open"), n("harmonic"), n("stopped"))
 
 
 @query(f"""WITH g AS (SELECT d, o FROM (SELECT unnest(range(1, 8)) AS d), (SELECT unnest(range(-4, 5)) AS o)), p AS (SELECT p_partkey, p_partkey % 60 - 24 AS s FROM part),

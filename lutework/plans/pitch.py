@@ -36,34 +36,41 @@ def k1_candidates_top3(spark, sf_dir):
     return found.select("score", "idx", "rank", "string", "mode", "hui", "label", F.round("cents", 3).alias("cents"))
 
 
-@query(f"WITH {GRID}, t AS (SELECT unnest(range(40, 100))::DOUBLE AS target) SELECT target, mode, count(*) AS n, round(min(abs((midi - target) * 100)), 3) AS nearest FROM t JOIN grid ON abs((midi - target) * 100) <= 35 GROUP BY target, mode")
+@query(f"""WITH {GRID}, t AS (SELECT (40 + trunc(l_quantity)::INT)::DOUBLE AS target, count(*) AS n_notes FROM lineitem GROUP BY 1)
+SELECT target, n_notes, mode, count(*) AS n, round(min(abs((midi - target) * 100)), 3) AS nearest FROM t JOIN grid ON abs((midi - target) * 100) <= 35 GROUP BY target, n_notes, mode""")
 def j7_reverse_lookup(spark, sf_dir):
-    """Which kinds of position give a pitch."""
-    targets = spark.range(40, 100).select(F.col("id").cast("double").alias("target"))
+    """Which kinds of position give the pitches of the line items, and how many notes have each."""
+    targets = table(spark, sf_dir, "lineitem").groupBy((40 + F.col("l_quantity").cast("int")).cast("double").alias("target")).agg(F.count("*").alias("n_notes"))
     found = near_positions(targets, position_grid(spark, music.STANDARD_TUNING))
-    return found.groupBy("target", "mode").agg(F.count("*").alias("n"), F.round(F.min(F.abs("cents")), 3).alias("nearest"))
+    return found.groupBy("target", "n_notes", "mode").agg(F.count("*").alias("n"), F.round(F.min(F.abs("cents")), 3).alias("nearest"))
 
 
-@query(f"WITH {GRID} SELECT string, mode, hui, label, round(midi, 6) AS midi, {REGION} AS region_cost FROM grid")
+@query(f"""WITH {GRID}, p AS (SELECT p_partkey, p_partkey % 7 + 1 AS s, ['open', 'stopped', 'harmonic'][1 + p_partkey % 3] AS m, CASE p_partkey % 3 WHEN 1 THEN (10 + p_partkey % 121) / 10.0::DOUBLE WHEN 2 THEN 1 + p_partkey % 13 END AS h FROM part)
+SELECT p_partkey, string, mode, hui, round(midi, 6) AS midi, {REGION} AS region_cost FROM p JOIN grid ON string = s AND mode = m AND hui IS NOT DISTINCT FROM h AND label IS NULL""")
 def fmus_position_grid(spark, sf_dir):
-    """F-mus3, F-mus4 and F-mus12: every position's pitch and region cost."""
-    grid = position_grid(spark, music.STANDARD_TUNING)
-    return grid.select("string", "mode", "hui", "label", F.round("midi", 6).alias("midi"), music.tone_region_cost(F.col("hui"), F.col("mode")).alias("region_cost"))
-
-
-@query(f"""WITH {GRID}, p AS (SELECT string, mode, hui, label, round(midi)::INT AS m, midi, {REGION} AS region FROM grid WHERE mode <> 'open')
-SELECT a.string, a.hui, b.string AS string2, b.hui AS hui2, round(abs(a.string - b.string) * 0.75::DOUBLE + greatest(0, abs(a.string - b.string) - 1) * 0.3::DOUBLE + x * 8 + x * 4 / 0.25::DOUBLE
-  + CASE WHEN sign(b.hui - a.hui) < 0 THEN 0.35::DOUBLE ELSE 0 END, 6) AS cost
-FROM (SELECT *, row_number() OVER (ORDER BY string, hui) r FROM p WHERE mode = 'harmonic') a JOIN (SELECT *, row_number() OVER (ORDER BY string, hui) r FROM p WHERE mode = 'harmonic') b ON b.r = a.r + 9,
-  fr, LATERAL (SELECT abs(c[b.hui::INT] - c[a.hui::INT]) AS x) l""")
+    """F-mus3, F-mus4 and F-mus12: the pitch and region cost of the position that each part names."""
+    k = F.col("p_partkey")
+    mode = F.get(F.array(F.lit("open"), F.lit("stopped"), F.lit("harmonic")), (k % 3).cast("int"))
+    hui = F.when(k % 3 == 1, (10 + k % 121) / 10.0).when(k % 3 == 2, (1 + k % 13).cast("double"))
+    rows = table(spark, sf_dir, "part").select(k, (k % 7 + 1).cast("int").alias("string"), mode.alias("mode"), hui.alias("hui"))
+    opened = F.get(F.array(*[F.lit(x) for x in music.STANDARD_TUNING]), F.col("string") - 1)
+    midi = music.position_pitch(opened, F.col("hui"), F.lit(None).cast("string"), F.col("mode"))
+    return rows.select("p_partkey", "string", "mode", "hui", F.round(midi, 6).alias("midi"), music.tone_region_cost(F.col("hui"), F.col("mode")).alias("region_cost"))
+
+
+@query(f"""WITH fr AS (SELECT {_FRACTIONS} AS c), m AS (SELECT l_orderkey, l_linenumber, l_partkey, (l_suppkey % 7 + 1)::INT AS s1, (l_partkey % 7 + 1)::INT AS s2, trunc(l_quantity)::INT % 13 + 1 AS h1, CASE WHEN l_partkey % 5 > 0 THEN l_partkey % 13 + 1 END AS h2, ([0.125, 0.25, 0.5, 1.0]::DOUBLE[])[1 + l_linenumber % 4] AS beats, l_orderkey % 3 - 1 AS dir FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, s1, h1, s2, h2, round(abs(s2 - s1) * 0.75::DOUBLE + greatest(0, abs(s2 - s1) - 1) * 0.3::DOUBLE + x * 8 + CASE WHEN beats < 0.5 THEN x * 4 / greatest(beats, 0.125::DOUBLE) ELSE 0 END + CASE WHEN sign(h2 - h1) * dir < 0 THEN 0.35::DOUBLE ELSE 0 END, 6) AS cost
+FROM m, fr, LATERAL (SELECT abs(coalesce(c[h2], 0) - c[h1]) AS x) l""")
 def fmus_transition_cost(spark, sf_dir):
-    """F-mus12: the cost of moves between harmonic positions nine apart, in a quarter beat after an upward move."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy("string", "hui")  # 91 positions
-    grid = position_grid(spark, music.STANDARD_TUNING, ("harmonic",)).select("string", "hui", F.lead("string", 9).over(w).alias("string2"), F.lead("hui", 9).over(w).alias("hui2")).where("string2 IS NOT NULL")
-    cost = music.transition_cost(F.col("string2"), F.col("hui2"), F.col("string"), F.col("hui"), F.lit(0.25), F.lit(1))
-    return grid.select("string", "hui", "string2", "hui2", F.round(cost, 6).alias("cost"))
+    """F-mus12: the cost of the move that each line item names, in its beats and after its direction."""
+    q = F.col("l_quantity").cast("int")
+    beats = F.get(F.array(*[F.lit(x) for x in (0.125, 0.25, 0.5, 1.0)]), F.col("l_linenumber") % 4)
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_suppkey") % 7 + 1).cast("int").alias("s1"), (q % 13 + 1).alias("h1"), (F.col("l_partkey") % 7 + 1).cast("int").alias("s2"), F.when(F.col("l_partkey") % 5 > 0, F.col("l_partkey") % 13 + 1).alias("h2"),
+        beats.alias("beats"), (F.col("l_orderkey") % 3 - 1).alias("dir"),
+    )
+    cost = music.transition_cost(F.col("s2"), F.col("h2").cast("double"), F.col("s1"), F.col("h1").cast("double"), F.col("beats"), F.col("dir"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "s1", "h1", "s2", "h2", F.round(cost, 6).alias("cost"))
 
 
 def _dealt(spark, sf_dir, values, name):
