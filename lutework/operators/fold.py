@@ -1,7 +1,7 @@
 """Replay of reduced tablature as an ordered fold: each row is read by Spark's expressions, and a small state is carried from row to row of a score.
 
 `read` turns each cell into facts (strings, stud, finger, markers, pairs, walks) by column expressions; cells that lift a finger also have the facts of what is left
-beside that gesture. `folded` sorts each score's rows within its partition and carries one Hand along, across the borders of batches; a new score begins a new
+beside that gesture. The facts of the VOCABULARY commonest texts are found once and sent to the tasks; any other cell is read in its row. `folded` sorts each score's rows within its partition and carries one Hand along, across the borders of batches; a new score begins a new
 Hand, so that a task holds one row and one state at a time, however long a score is. Pitches and the audit against targets are column expressions over what it gives.
 
 State: the place of each finger in the order of their last use, the contact (string and place) that abbreviated cells inherit, the finger, the manner of the last
@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -108,7 +109,26 @@ def cells_of(t: Column) -> Column:
 
 def read(notes: DataFrame) -> DataFrame:
     """notes (score, idx, text, rest, ...) with t, the cell's text, and cells."""
-    return notes.withColumn("t", F.trim(F.coalesce(F.col("text"), F.lit("")))).withColumn("cells", cells_of(F.col("t")))
+    return notes.withColumn("t", _plain("text")).withColumn("cells", cells_of(F.col("t")))
+
+
+def _plain(name: str) -> Column:
+    return F.trim(F.coalesce(F.col(name), F.lit("")))
+
+
+#: How many texts' facts are sent to the tasks: some MB.
+VOCABULARY = 8192
+
+
+def _spoken(rows: DataFrame, names: dict[str, str]) -> tuple[DataFrame, Broadcast]:
+    """The facts of the VOCABULARY commonest texts of the columns that names has, by text; and rows with, by names, a column of the facts of each text that isn't among them, null for those that are."""
+    every = rows.select(F.explode(F.array(*names)).alias("t"))
+    common = every.groupBy("t").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "t").limit(VOCABULARY)
+    facts = {t: [c.asDict(True) for c in cells] for t, cells in common.select("t", cells_of(F.col("t"))).collect()}
+    known = rows.sparkSession.createDataFrame(pa.table({"t": pa.array(list(facts), pa.string())})).withColumn("__known", F.lit(True))
+    for name, facts_of in names.items():
+        rows = rows.join(F.broadcast(known.withColumnRenamed("t", name)), name, "left").withColumn(facts_of, F.when(F.col("__known").isNull(), cells_of(F.col(name)))).drop("__known")
+    return rows, rows.sparkSession.sparkContext.broadcast(facts)
 
 
 # The hand
@@ -128,6 +148,10 @@ class Hand:
     origin: tuple[int | None, Place] | None = None
     open_before_rest: bool = False
 
+    def copy(self) -> Hand:
+        """Another hand with fingers of its own."""
+        return Hand(dict(self.places), self.string, self.place, self.finger, self.manner, self.scope, self.touch, self.origin, self.open_before_rest)
+
     def remember(self, string: int, place: Place | None, finger: str | None = None) -> None:
         own = finger or self.finger
         if place is not None and own is not None:
@@ -262,7 +286,7 @@ def _lift_finger(hand: Hand, cells: list[dict]) -> Said:
     release = hand.lifted(cells[0]["finger"])
     if release is None:
         return Said(reason="daiqi_requires_previous_stopped_note")
-    beside = Said() if cells[1]["blank"] else said(replace(hand, places=dict(hand.places)), cells[1:])
+    beside = Said() if cells[1]["blank"] else said(hand.copy(), cells[1:])
     if beside.reason:
         return Said(reason=beside.reason)
     finger, freed = release
@@ -295,12 +319,12 @@ def _moved(hand: Hand, cell: dict) -> Said:
     return Said(reason=fault) if fault else Said([(hand.string, place, "stopped")])
 
 
-def _mode(hand: Hand, cell: dict) -> str:
+def _mode(hand: Hand, cell: dict, strings: list[int]) -> str:
     """How a pluck sounds, and what that does to the hand."""
     if cell["opened"] and not cell["opens"] and cell["unison"] is None:
-        elsewhere = hand.string is not None and hand.place is not None and hand.string not in cell["strings"]
+        elsewhere = hand.string is not None and hand.place is not None and hand.string not in strings
         hand.manner = "open"
-        hand.places = {f: x for f, x in hand.places.items() if x[0] not in cell["strings"]}
+        hand.places = {f: x for f, x in hand.places.items() if x[0] not in strings}
         hand.finger = hand.finger if hand.finger in hand.places else None
         if not elsewhere:
             hand.let_go()
@@ -325,7 +349,7 @@ def _plucked(hand: Hand, cell: dict, strings: list[int]) -> Said:
     if cell["opens"]:
         hand.enter_region(place)
     hand.finger = cell["finger"] or hand.finger
-    mode, out = _mode(hand, cell | {"strings": strings}), Said()
+    mode, out = _mode(hand, cell, strings), Said()
     for string in strings:
         own = "open" if string == cell["unison"] else mode
         at = None if own == "open" else place if place is not None else hand.touch if own == "harmonic" else hand.place
@@ -415,23 +439,54 @@ def _sound(x: Sound) -> dict:
     return {"string": string, "hui": None if isinstance(place, str) else place, "label": place if isinstance(place, str) else None, "mode": mode}
 
 
-def step(hand: Hand, cells: list[dict], rest: bool) -> dict:
-    """One row: what it sounds and the hand after it. stopped_sounds is what it would have sounded outside the region, of rows within one that state no manner."""
+def _advance(hand: Hand, cells: list[dict], rest: bool) -> Said:
+    """Carries the hand over one row."""
+    out = said(hand, cells)
+    if rest and cells[0]["blank"]:
+        hand.rest()
+    return out
+
+
+def _stepped(hand: Hand, cells: list[dict], rest: bool) -> tuple:
+    """One row: what it sounds and the hand after it, as values in the order of _OUT that are hashed. stopped_sounds is what it would have sounded outside the region, of rows within one that state no manner."""
     scope_before, other = hand.scope, None
     cell = cells[0]
     if scope_before and not (cell["stopped"] or cell["opened"] or cell["names_start"] or cell["stops"]):
-        other = replace(hand, places=dict(hand.places))
+        other = hand.copy()
         other.leave_region()
         other = said(other, cells)
     shown = hand.scope or cell["opens"]
-    out = said(hand, cells)
-    if rest and cell["blank"]:
-        hand.rest()
-    return {
-        "sounds": [_sound(x) for x in out.sounds] if out.reason is None else [], "attacks": [_sound(x) for x in out.attacks], "stopped_sounds": [_sound(x) for x in other.sounds] if other and other.reason is None else None, "freed": out.freed if out.reason is None else None,
-        "reason": out.reason, "scope": shown and not cell["stops_first"], "scope_before": scope_before, "string": hand.string, "hui": None if isinstance(hand.place, str) else hand.place, "label": hand.place if isinstance(hand.place, str) else None,
-        "finger": hand.finger, "manner": hand.manner, "origin_string": hand.origin[0] if hand.origin else None, "places": [(f, _sound((s, p, "stopped"))) for f, (s, p) in hand.places.items()],
-    }
+    out = _advance(hand, cells, rest)
+    place, named = hand.place, isinstance(hand.place, str)
+    return (
+        tuple(out.sounds) if out.reason is None else (), tuple(out.attacks), tuple(other.sounds) if other and other.reason is None else None, out.freed if out.reason is None else None, out.reason,
+        shown and not cell["stops_first"], scope_before, hand.string, None if named else place, place if named else None, hand.finger, hand.manner, hand.origin[0] if hand.origin else None, tuple(hand.places.items()),
+    )
+
+
+def _sounds(some: tuple[Sound, ...] | None) -> list[dict] | None:
+    return None if some is None else [_sound(x) for x in some]
+
+
+def _places(some: tuple) -> list[tuple[str, dict]]:
+    return [(f, _sound((s, p, "stopped"))) for f, (s, p) in some]
+
+
+_NESTED = {"sounds": _sounds, "attacks": _sounds, "stopped_sounds": _sounds, "places": _places}
+
+
+def step(hand: Hand, cells: list[dict], rest: bool) -> dict:
+    """One row, by name."""
+    return {k: _NESTED[k](v) if k in _NESTED else v for k, v in zip(_OUT, _stepped(hand, cells, rest), strict=True)}
+
+
+def _column(name: str, values: tuple, kind: pa.DataType) -> pa.Array:
+    """A column of the output: nested values are built once for all rows of a batch that share them."""
+    if name not in _NESTED:
+        return pa.array(values, kind)
+    own: dict = {}
+    at = [own.setdefault(v, len(own)) for v in values]
+    return pa.array([_NESTED[name](v) for v in own], kind).take(pa.array(at, pa.int32()))
 
 
 class Replay:
@@ -440,8 +495,8 @@ class Replay:
     def __init__(self) -> None:
         self.hand = Hand()
 
-    def row(self, cells: list[dict], rest: bool) -> dict:
-        return step(self.hand, cells, rest)
+    def row(self, cells: list[dict], rest: bool) -> tuple:
+        return _stepped(self.hand, cells, rest)
 
 
 class History:
@@ -464,43 +519,53 @@ class History:
         allowed = self.marked if region is None else region
         seeded = self.seeds and allowed and self.touched is not None
         hand = self.seeded if seeded else self.reference
-        hand = replace(hand, places=dict(hand.places), touch=self.touched if hand.touch == self.SEED else hand.touch)
+        hand = hand.copy()
+        hand.touch = self.touched if hand.touch == self.SEED else hand.touch
         if self.seeds and self.begun and not allowed:
             hand.leave_region()
             hand.origin = None
         return hand
 
-    def row(self, cells: list[dict], rest: bool, reference: list[dict], phrase: object, region: bool | None) -> dict:
+    def row(self, cells: list[dict], reference: list[dict], rest: bool, phrase: object, region: bool | None) -> tuple:
         if not self.begun or phrase != self.phrase:
             self.prediction, self.phrase = self.border(region), phrase
-        out = step(self.prediction, cells, rest)
-        said_so = step(self.reference, reference, rest)
+        out = _stepped(self.prediction, cells, rest)
+        said_so = _advance(self.reference, reference, rest)
         if self.seeds:
-            step(self.seeded, reference, rest)
-            self.touched = next((_place(x) for x in reversed(said_so["sounds"]) if x["mode"] == "harmonic"), self.touched)
+            _advance(self.seeded, reference, rest)
+            self.touched = next((place for _, place, mode in reversed(said_so.sounds) if mode == "harmonic"), self.touched) if said_so.reason is None else self.touched
             marker = reference[0]["last_marker"]
             self.marked = (marker == "泛起" if marker else self.marked) and not (rest and reference[0]["blank"])
         self.begun = True
         return out
 
 
-def _carried(rows: DataFrame, start: Callable[[], Replay | History], inputs: list[str], drop: list[str]) -> DataFrame:
-    """rows without drop, and with what the fold gives, which takes inputs of each row in the order of score and idx."""
+def _carried(rows: DataFrame, start: Callable[[], Replay | History], texts: list[str], inputs: list[str], drop: list[str]) -> DataFrame:
+    """rows without drop, and with what the fold gives, which takes the facts of texts and inputs of each row in the order of score and idx."""
     kept = [c for c in rows.columns if c not in drop]
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    facts_of = {c: f"__{c}_facts" for c in texts}
+    rows, sent = _spoken(rows, facts_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, score = None, None
+        state, score, known = None, None, sent.value
+
+        def facts_in(batch: pa.RecordBatch, name: str) -> Iterator[list[dict]]:
+            own = batch.column(facts_of[name])
+            for i, t in enumerate(batch.column(name).to_pylist()):
+                yield known[t] if t in known else own[i].as_py()
+
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in _OUT}
-            own, *given = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("score", *inputs))
-            for new, *values in zip(own, *given, strict=True):
+            if not batch.num_rows:
+                continue
+            out = []
+            own, *given = (batch.column(c).to_pylist() for c in ("score", *inputs))
+            for new, *values in zip(own, *[facts_in(batch, c) for c in texts], *given, strict=True):
                 if state is None or new != score:
                     state, score = start(), new
-                for k, v in state.row(*values).items():
-                    out[k].append(v)
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept] + [pa.array(out[k], t) for k, t in _OUT.items()]
-            yield pa.RecordBatch.from_arrays(columns, [*kept, *_OUT])
+                out.append(state.row(*values))
+            made = [_column(name, values, kind) for (name, kind), values in zip(_OUT.items(), zip(*out, strict=True), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made, [*kept, *_OUT])
 
     return rows.repartition("score").sortWithinPartitions("score", "idx").mapInArrow(run, f"{schema}, {_DDL}")
 
@@ -508,16 +573,16 @@ def _carried(rows: DataFrame, start: Callable[[], Replay | History], inputs: lis
 def folded(notes: DataFrame) -> DataFrame:
     """notes (score, idx, text, rest, ...) with, of each row, sounds, attacks, freed, reason, the region, and the hand after it: string, hui, label, finger, manner,
     origin_string and places by finger; and pitches are added by `sounded`."""
-    return _carried(read(notes), Replay, ["cells", "rest"], ["cells"])
+    return _carried(notes.withColumn("t", _plain("text")), Replay, ["t"], ["rest"], [])
 
 
 def after_history(notes: DataFrame, seeds: bool = False) -> DataFrame:
     """notes (score, idx, phrase, text (predicted), reference, rest, and with seeds region: whether the phrase begins in one, null if that isn't said), each predicted phrase folded after the
     reference of all rows before it, in time linear in the rows: the reference is gone through once, not once for each phrase."""
-    rows = read(notes).withColumn("said", cells_of(F.trim(F.coalesce(F.col("reference"), F.lit("")))))
+    rows = notes.withColumns({"t": _plain("text"), "__said": _plain("reference")})
     if not seeds:
         rows = rows.withColumn("region", F.lit(None).cast("boolean"))
-    return _carried(rows, lambda: History(seeds), ["cells", "rest", "said", "phrase", "region"], ["cells", "said"])
+    return _carried(rows, lambda: History(seeds), ["t", "__said"], ["rest", "phrase", "region"], ["__said"])
 
 
 # Pitches and the audit

@@ -227,3 +227,14 @@ def test_phrases_after_their_history_are_as_the_whole_prefix_replayed(spark, see
     for n, (k, p) in enumerate(keys):
         last = [x for _, x in sorted(found[n])][-4:]
         assert [got[(k, p * 4 + i)] for i in range(4)] == last, (k, p, want_rows[n])
+
+
+def test_the_facts_of_common_texts_are_found_once_and_others_in_their_rows(spark, monkeypatch):
+    frame = rows_of(spark, [["大指九徽勾三弦", "散挑七弦", "爪起", "复", "名指十徽勾一弦", "泛起中指七徽勾二弦", "挑一弦", "泛止"], ["大指九徽勾三弦", "大指九徽勾三弦", "退", "复"]])
+    names = ["score", "idx", "sounds", "reason", "string", "hui", "finger", "manner", "places"]
+    whole = fold.folded(frame).select(*names).orderBy("score", "idx").collect()
+    monkeypatch.setattr(fold, "VOCABULARY", 2)
+    rows, facts = fold._spoken(frame.withColumn("t", F.trim(F.coalesce("text", F.lit("")))), {"t": "own"})
+    assert set(facts.value) == {"大指九徽勾三弦", "复"}
+    assert {x["t"] for x in rows.where("own IS NULL").collect()} == set(facts.value)
+    assert fold.folded(frame).select(*names).orderBy("score", "idx").collect() == whole
