@@ -102,6 +102,8 @@ def incidence(df: DataFrame, prediction: str, reference: str) -> tuple[DataFrame
 
 #: Bytes of a block of stated queries, which goes to where the rows are.
 BLOCK_BYTES = 16 << 20
+#: Scores that a task holds at a time, of some queries and so many rows of a batch at most.
+TILE_SCORES, TILE_ROWS = 1 << 19, 1024
 
 
 def nearest(rows: DataFrame, key: str, label: str, vector: str, k: int, kind: str = "all") -> DataFrame:
@@ -142,15 +144,22 @@ def _met(sent, k: int, kind: str):
             if not batch.num_rows:
                 continue
             own, names = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object)
-            vectors = np.array(batch.column(2).to_pylist(), float)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                cosine_ = np.round(matrix @ vectors.T / (norms[:, None] * np.linalg.norm(vectors, axis=1)[None]), 9)
-            equal = (labels[:, None] == names[None]) & (names != None)[None]  # noqa: E711
-            value = np.round(0.7 * cosine_ + 0.3 * equal, 9) if kind == "hybrid" else cosine_
-            value[np.isnan(cosine_) | (queries[:, None] == own[None]) | (~equal if kind == "filtered" else False)] = -np.inf
-            score, keys, same = (np.concatenate(x, axis=1) for x in ((score, value), (keys, np.broadcast_to(own, value.shape)), (same, equal)))
-            order = np.lexsort((keys, -score), axis=1)[:, :k]
-            score, keys, same = (np.take_along_axis(x, order, axis=1) for x in (score, keys, same))
+            for at in range(0, batch.num_rows, TILE_ROWS):
+                some = slice(at, at + TILE_ROWS)
+                part, called = own[some], names[some]
+                vectors = np.array(batch.column(2)[some].to_pylist(), float)
+                lengths = np.linalg.norm(vectors, axis=1)[None]
+                step = max(1, TILE_SCORES // len(part))
+                for first in range(0, len(queries), step):
+                    q = slice(first, first + step)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        cosine_ = np.round(matrix[q] @ vectors.T / (norms[q, None] * lengths), 9)
+                    equal = (labels[q, None] == called[None]) & (called != None)[None]  # noqa: E711
+                    value = np.round(0.7 * cosine_ + 0.3 * equal, 9) if kind == "hybrid" else cosine_
+                    value[np.isnan(cosine_) | (queries[q, None] == part[None]) | (~equal if kind == "filtered" else False)] = -np.inf
+                    both, whose, hit = (np.concatenate(x, axis=1) for x in ((score[q], value), (keys[q], np.broadcast_to(part, value.shape)), (same[q], equal)))
+                    order = np.lexsort((whose, -both), axis=1)[:, :k]
+                    score[q], keys[q], same[q] = (np.take_along_axis(x, order, axis=1) for x in (both, whose, hit))
         q, at = np.nonzero(np.isfinite(score))
         yield pa.RecordBatch.from_arrays([pa.array(queries[q]), pa.array(keys[q, at]), pa.array(score[q, at]), pa.array(same[q, at])], ["query_id", "key", "score", "same"])
 

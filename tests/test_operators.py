@@ -182,3 +182,25 @@ def test_nearest_by_brute_force(spark, monkeypatch):
             got = metrics.nearest(frame, "id", "label", "v", 5, kind).collect()
             assert sorted((x["query_id"], x["id"], round(x["score"], 8)) for x in got) == [(q, i, round(s, 8)) for q, i, s in plain(5, kind)]
     assert metrics.nearest(frame.where("id % 100 <> 0"), "id", "label", "v", 5).count() == 0 and metrics.nearest(frame.limit(0), "id", "label", "v", 5).count() == 0
+
+
+def test_vector_search_holds_tiles_of_scores_and_not_all(monkeypatch):
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    vectors, labels = rng.integers(-3, 4, (4000, 16)).astype(float), [None if i % 11 == 0 else f"l{i % 3}" for i in range(4000)]
+    sent = SimpleNamespace(value=(list(range(2000)), labels[:2000], vectors[:2000]))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(labels), pa.array(list(vectors))], ["key", "l", "v"])
+    for kind in ("all", "filtered", "hybrid"):
+        tracemalloc.start()
+        found = [x.to_pydict() for x in metrics._met(sent, 5, kind)(iter([rows]))]
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+        tracemalloc.stop()
+        monkeypatch.setattr(metrics, "TILE_ROWS", 4000)
+        monkeypatch.setattr(metrics, "TILE_SCORES", 1 << 30)
+        assert [x.to_pydict() for x in metrics._met(sent, 5, kind)(iter([rows]))] == found
+        monkeypatch.undo()
