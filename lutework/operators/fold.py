@@ -657,7 +657,7 @@ def audited(rows: DataFrame, cents: float = 50.0, keys: tuple[str, ...] = ("scor
     with_pitch = F.transform("attacks", lambda x: F.struct(x["string"].alias("string"), x["hui"].alias("hui"), x["label"].alias("label"), x["mode"].alias("mode"), F.get(_pitches(F.array(x), F.lit(None).cast("int"), F.col("tuning")), 0).alias("midi")))
     contact = F.struct("string", "hui", "label", F.lit("stopped").alias("mode"), F.get(_pitches(F.array(F.struct("string", "hui", "label", F.lit("stopped").alias("mode"))), F.lit(None).cast("int"), F.col("tuning")), 0).alias("midi"))
     own = F.filter(with_pitch, close)
-    held = F.filter(F.array(contact), lambda x: x["string"].isNotNull() & (x["hui"].isNotNull() | x["label"].isNotNull()) & close(x))
+    held = F.filter(F.array(contact), lambda x: (F.size("sounds") > 0) & x["string"].isNotNull() & (x["hui"].isNotNull() | x["label"].isNotNull()) & close(x))
     resolved = F.when(F.size(own) > 0, own).when((F.size("actual") == 1) & F.col("why").isNull(), held).otherwise(F.filter(own, lambda x: F.lit(False)))
     outside = F.zip_with(F.array_sort("wanted"), F.array_sort("stopped_pitches"), lambda a, b: F.abs(a - b) * 100)
     hint = F.col("verdict").isNull() & (F.size("stopped_pitches") == n_wanted) & (F.array_max(outside) <= cents)

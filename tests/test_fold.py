@@ -238,3 +238,9 @@ def test_the_facts_of_common_texts_are_found_once_and_others_in_their_rows(spark
     assert set(facts.value) == {"大指九徽勾三弦", "复"}
     assert {x["t"] for x in rows.where("own IS NULL").collect()} == set(facts.value)
     assert fold.folded(frame).select(*names).orderBy("score", "idx").collect() == whole
+
+
+def test_a_string_set_free_is_not_the_contact_that_sounds_alike(spark):
+    *_, last = run(spark, ["中指七徽勾六弦", "泛起名指七徽勾二弦", "撮（大指七徽一弦按音＋三弦散音）", "名指九徽勾四弦", "散挑三弦", "带起", ("带起", [60])])[0]
+    assert (last["freed"], last["string"], last["hui"], last["status"]) == (6, 1, 7.0, "matched")
+    assert last["resolved"] == []
