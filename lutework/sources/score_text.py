@@ -55,7 +55,8 @@ def texts(notes: DataFrame, metadata: DataFrame) -> DataFrame:
     part = lambda name: F.transform("r", lambda x: x[name])
     bars, sounds = F.filter("r", lambda x: x["structural"]), F.filter("r", lambda x: ~x["structural"])
     defined = F.array_distinct(part("section"))
-    per = per.withColumns({"defined": defined, "ids": F.transform("r", lambda x: (F.array_position(defined, x["section"]) - 1).cast("int"))})
+    per = per.withColumn("defined", defined)  # once a score, not once a row
+    per = per.withColumn("ids", F.transform("r", lambda x: (F.array_position("defined", x["section"]) - 1).cast("int")))
     starts = F.filter(F.transform("ids", lambda x, i: F.when((i == 0) | ~x.eqNullSafe(F.get("ids", i - 1)), i)), lambda i: i.isNotNull())
     per = per.withColumn("starts", starts)
     runs = F.transform("starts", lambda s, k: F.array(s, F.coalesce(F.get("starts", k + 1), F.size("r")), F.get("ids", s)))
@@ -83,14 +84,21 @@ def rows_of(read: DataFrame) -> DataFrame:
     lines = F.split("text", "\n")
     is_bar, is_sound = lambda x: (x == "小节线") | x.startswith("结构｜"), lambda x: x.startswith("音｜")
     one = read.select("score", F.get(lines, 0).alias("scheme"), lines.alias("lines"), F.from_json(_after(lines, "索引映射"), MAP).alias("map"))
-    own = one.where(F.col("scheme") == SCHEME).select("score", "map", F.posexplode(F.filter("lines", lambda x: is_bar(x) | is_sound(x))).alias("pos", "line"))
-    w = Window.partitionBy("score").orderBy("pos")
-    own = own.withColumns({"bar": is_bar(F.col("line")), "map": F.col("map")})
-    own = own.withColumns({"nth_bar": F.count_if("bar").over(w) - 1, "nth": F.count_if(~F.col("bar")).over(w) - 1, "values": F.from_json(F.substring("line", 3, 1 << 30), "array<string>")})
-    given = F.get(F.col("map")["线字段"], F.col("nth_bar").cast("int"))
-    section = F.get(F.col("map")["节定义"], F.get(F.filter(F.col("map")["节段"], lambda r: (F.get(r, 0) <= F.col("pos")) & (F.col("pos") < F.get(r, 1))), 0)[2])
-    at = F.when(F.col("map")["音起点"].isNotNull(), F.col("map")["音起点"] + F.col("pos"))
-    index = F.when(F.col("bar"), F.coalesce(given["index"], F.get(F.col("map")["线"], F.col("nth_bar").cast("int")))).otherwise(F.coalesce(F.get(F.col("map")["音"], F.col("nth").cast("int")), at))
+    # what the map says of a line is put beside it within the text's row, so that no line carries the map along
+    own = one.where(F.col("scheme") == SCHEME).withColumn("lines", F.transform(F.filter("lines", lambda x: is_bar(x) | is_sound(x)), lambda x, i: F.struct(i.alias("pos"), x.alias("line"))))
+    own = own.withColumns({"bars": F.filter("lines", lambda x: is_bar(x["line"])), "sounds": F.filter("lines", lambda x: ~is_bar(x["line"]))})
+    said = F.col("map")
+    section = lambda pos: F.get(said["节定义"], F.get(F.filter(said["节段"], lambda r: (F.get(r, 0) <= pos) & (pos < F.get(r, 1))), 0)[2])
+    at = lambda pos: F.when(said["音起点"].isNotNull(), said["音起点"] + pos)
+    given = lambda k: F.get(said["线字段"], k)
+
+    def placed(x: Column, bar: bool, index: Column, fields: Column) -> Column:
+        return F.struct(x["pos"].alias("pos"), x["line"].alias("line"), F.lit(bar).alias("bar"), index.alias("index"), fields.alias("given"), section(x["pos"]).alias("section"))
+
+    bars = F.transform("bars", lambda x, k: placed(x, True, F.coalesce(given(k)["index"], F.get(said["线"], k)), given(k)))
+    sounds = F.transform("sounds", lambda x, k: placed(x, False, F.coalesce(F.get(said["音"], k), at(x["pos"])), F.when(F.lit(False), given(k))))
+    own = own.select("score", F.explode(F.concat(bars, sounds)).alias("x")).select("score", "x.*").withColumn("values", F.from_json(F.substring("line", 3, 1 << 30), "array<string>"))
+    given, section, index = F.col("given"), F.col("section"), F.col("index")
     stated = lambda i, name: F.when(F.col("bar"), F.when(given.isNotNull(), given[name]).otherwise(F.lit(BAR[name]).cast("string"))).otherwise(F.get("values", F.lit(i + 1)))
     fields = [stated(i, name).alias(name) for i, name in enumerate(FIELDS)]
     new = own.select("score", "pos", index.cast("int").alias("index"), F.col("bar").alias("structural"), F.when(F.col("bar"), given["structure_token"]).alias("structure_token"), section.alias("section"), *fields)

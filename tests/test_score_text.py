@@ -64,3 +64,8 @@ def test_older_text(spark):
     text = "\n".join(["GQS｜teacher-gqs-1.1", "元数据｜{}", "列｜index｜jianpu｜jianpu_alt｜abc｜duration｜lyric｜jianzi｜jianzi_text｜section", *(f"音｜{json.dumps(x, ensure_ascii=False)}" for x in rows)])
     got = score_text.rows_of(spark.createDataFrame([("s", text), ("t", "GQS｜unknown\n音｜[1]"), ("u", ""), ("v", None)], "score string, text string")).orderBy("pos").collect()
     assert [(x["index"], x["structural"], x["jianpu"], x["section"] and x["section"]["label"]) for x in got] == [(4, False, "1", "一"), (5, True, "|", None)]
+
+
+def test_lines_are_read_within_their_text_and_carry_no_map(spark):
+    plan = score_text.rows_of(spark.createDataFrame([("a", "")], "score string, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
