@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,33 +56,128 @@ def k_best_directed(steps: list[tuple[float, list[Candidate]]], k: int) -> list[
     return sorted((x for some in held.values() for x in some), key=rank)[:k]
 
 
+#: Moves that are held at a time, of as many phrases as that takes.
+MOVES = 1 << 19
+
+
+def k_best_of_many(phrases: list[list[tuple[float, list[Candidate]]]], k: int) -> list[list[tuple[float, float, float, tuple[int, ...]]]]:
+    """k_best_directed of each of many phrases: those of as many steps go through the same sums together, as arrays of (phrase, state, rank), a state being a candidate and a direction."""
+    out: list[list] = [[] for _ in phrases]
+    alike: dict[int, list[int]] = {}
+    for i, steps in enumerate(phrases):
+        if steps and all(found for _, found in steps):
+            alike.setdefault(len(steps), []).append(i)
+    for n, own in alike.items():
+        wide = max(len(found) for i in own for _, found in phrases[i])
+        together = max(1, MOVES // (3 * wide * wide * k))
+        for first in range(0, len(own), together):
+            some = own[first : first + together]
+            for i, found in zip(some, _k_best([phrases[i] for i in some], n, k), strict=True):
+                out[i] = found
+    return out
+
+
+def _k_best(phrases: list[list[tuple[float, list[Candidate]]]], n: int, k: int) -> list[list[tuple[float, float, float, tuple[int, ...]]]]:
+    size, wide = len(phrases), max(len(found) for steps in phrases for _, found in steps)
+    one = np.full((5, n, size, wide), np.nan)  # number, string, stud, fraction, own cost; nan where there is no candidate
+    beats = np.array([[b for b, _ in steps] for steps in phrases], float).T
+    for p, steps in enumerate(phrases):
+        for i, (_, found) in enumerate(steps):
+            one[:, i, p, : len(found)] = np.array(found, float).T
+    number, string, stud, way, cost = one
+    total = np.full((size, 3, wide, 1), np.inf)  # by direction (-1, 0, 1), candidate and rank
+    total[:, 1, :, 0] = np.where(np.isnan(cost[0]), np.inf, cost[0])
+    owns, moves = np.where(np.isfinite(total), total, 0.0), np.zeros_like(total)
+    order = np.where(np.isfinite(total), number[0][:, None, :, None], np.inf)  # how the paths so far sort
+    back: list[np.ndarray] = []
+    at = np.arange(size)[:, None]
+    for i in range(1, n):
+        held = total.shape[3]
+        flat = lambda x: x.reshape(size, 1, 3, wide, held)
+        strings, ways = (np.abs(x[i][:, :, None] - x[i - 1][:, None, :]) for x in (string, way))
+        move = strings * CHANGE + np.maximum(0, strings - 1) * SKIP + ways * WAY
+        fast = beats[i][:, None, None]
+        move = np.where(fast < FAST_BEATS, move + ways * FAST / np.maximum(fast, LEAST_BEATS), move)
+        heading = np.nan_to_num(np.sign(stud[i][:, :, None] - stud[i - 1][:, None, :])).astype(int)
+        before = np.array([-1, 0, 1])[None, None, :, None]
+        turn = (heading[:, :, None, :] != 0) & (before != 0) & (heading[:, :, None, :] != before)
+        each = np.where(turn, move[:, :, None, :] + TURN, move[:, :, None, :])[..., None]
+        to = np.broadcast_to(np.where(heading[:, :, None, :] != 0, heading[:, :, None, :], before)[..., None], (size, wide, 3, wide, held)).reshape(size, wide, -1)
+        sums = (flat(total) + cost[i][:, :, None, None, None] + each).reshape(size, wide, -1)
+        sums = np.where(np.isnan(sums), np.inf, sums)
+        # sources in the order of their paths, so that a stable sort by cost leaves ties in it
+        by_path = np.argsort(order.reshape(size, -1), axis=1, kind="stable")
+        sums, to = (np.take_along_axis(x, by_path[:, None, :], axis=2) for x in (sums, to))
+        rounded = np.round(sums, 9)
+        kept = min(k, sums.shape[2])
+        picked = np.empty((size, 3, wide, kept), int)
+        best = np.empty((size, 3, wide, kept))
+        for d in (-1, 0, 1):
+            own = np.where(to == d, rounded, np.inf)
+            found = np.argmin(own, axis=2)[..., None] if kept == 1 else np.argsort(own, axis=2, kind="stable")[..., :kept]
+            picked[:, d + 1], best[:, d + 1] = found, np.where(np.isfinite(np.take_along_axis(own, found, axis=2)), np.take_along_axis(sums, found, axis=2), np.inf)
+        there = np.isfinite(best)
+        source = by_path[at, picked.reshape(size, -1)].reshape(picked.shape)  # the flat (direction, candidate, rank) before
+        back.append(source)
+        took = lambda x: x.reshape(size, -1)[at, source.reshape(size, -1)].reshape(source.shape)
+        b = np.arange(wide)[None, None, :, None]
+        moved = _taken(each, source, wide, held, b)
+        total, owns, moves = best, np.where(there, took(owns) + cost[i][:, None, :, None], 0.0), np.where(there, took(moves) + moved, 0.0)
+        paths = np.lexsort((np.broadcast_to(number[i][:, None, :, None], source.shape).reshape(size, -1), np.where(there, took(order), np.inf).reshape(size, -1)), axis=1)
+        place = np.empty_like(paths)
+        place[at, paths] = np.arange(paths.shape[1])[None]
+        order = np.where(there, place.reshape(source.shape), np.inf)
+    ends = np.lexsort((order.reshape(size, -1), np.round(total, 9).reshape(size, -1)), axis=1)[:, :k]
+    out = []
+    for p in range(size):
+        rows = []
+        for end in ends[p]:
+            if not np.isfinite(total[p].flat[end]):
+                break
+            where, path = int(end), []
+            for i in range(n - 1, -1, -1):
+                ranks = back[i - 1].shape[3] if i else 1
+                path.append(int(number[i, p, where // ranks % wide]))
+                if i:
+                    where = int(back[i - 1][p].flat[where])
+            rows.append((float(total[p].flat[end]), float(owns[p].flat[end]), float(moves[p].flat[end]), tuple(reversed(path))))
+        out.append(rows)
+    return out
+
+
+def _taken(each: np.ndarray, source: np.ndarray, wide: int, held: int, b: np.ndarray) -> np.ndarray:
+    """The cost of the move from each source, a flat (direction, candidate, rank), to candidate b."""
+    return each[np.arange(len(source))[:, None, None, None], b, source // (wide * held), source // held % wide, 0]
+
+
 def directed_routes(steps: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
     """Of steps (keys, idx, beats, candidates: array of struct<cand, string, hui, place, cost>, sorted), a row for each of the k cheapest routes of each key: keys, route (from 1), cost, own_cost,
-    move_cost, ids and cands; none where a step has no candidate. Rows of a key are read one after another in a sorted partition; a phrase, which its splitter bounds, is held at a time.
+    move_cost, ids and cands; none where a step has no candidate. Rows of a key are read one after another in a sorted partition; the phrases of a batch, which their splitter bounds, are held at a time.
 
     Null candidates are none; equal idx stand in any order; extra columns are ignored."""
     kinds = dict(steps.dtypes)
     names = [*keys, "route", "cost", "own_cost", "move_cost", "ids", "cands"]
 
-    def solved(key: tuple, ids: list, own: list) -> list[tuple]:
-        return [(*key, n + 1, *costs, ids, list(path)) for n, (*costs, path) in enumerate(k_best_directed(own, k))]
+    def solved(done: list[tuple]) -> list[tuple]:
+        found = k_best_of_many([own for *_, own in done], k)
+        return [(*key, n + 1, *costs, ids, list(path)) for (key, ids, _), some in zip(done, found, strict=True) for n, (*costs, path) in enumerate(some)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, own = None, [], []
         schema = None
         for batch in batches:
             schema = pa.schema([*(batch.schema.field(i) for i in range(len(keys))), *_ROUTE])
-            rows: list[tuple] = []
+            done: list[tuple] = []
             for *new, idx, beats, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key is not None and tuple(new) != key:
-                    rows += solved(key, ids, own)
+                    done.append((key, ids, own))
                     ids, own = [], []
                 key = tuple(new)
                 ids.append(idx)
                 own.append((beats, [tuple(c.values()) for c in found or []]))
-            if rows:
+            if rows := solved(done):
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
-        if key is not None and (rows := solved(key, ids, own)):
+        if key is not None and (rows := solved([(key, ids, own)])):
             yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
 
     ddl = ", ".join(f"`{c}` {kinds[c]}" for c in keys)

@@ -204,3 +204,24 @@ def test_vector_search_holds_tiles_of_scores_and_not_all(monkeypatch):
         monkeypatch.setattr(metrics, "TILE_SCORES", 1 << 30)
         assert [x.to_pydict() for x in metrics._met(sent, 5, kind)(iter([rows]))] == found
         monkeypatch.undo()
+
+
+def test_routes_of_many_phrases_are_those_of_each_and_take_less_time(monkeypatch):
+    import random
+    import time
+
+    from lutework.operators import routes
+
+    r = random.Random(3)
+    studs = [None, *(x / 2 for x in range(2, 27))]
+    one = lambda i: (i + 1, r.randint(1, 7), r.choice(studs), r.randint(0, 8) / 8, r.choice([0.25, 0.5, 1.0, round(r.random(), 3)]))
+    phrase = lambda wide: [(r.choice([0.125, 0.25, 0.5, 2.0]), [one(i) for i in range(r.choice([0, *[wide] * 30, 1, 2]))]) for _ in range(r.choice([1, 2, 5, 5, 9]))]
+    for wide, k in ((14, 1), (3, 3), (4, 5), (2, 20)):
+        phrases, began = [*(phrase(wide) for _ in range(600)), []], time.process_time()
+        plain, middle = [routes.k_best_directed(x, k) for x in phrases], time.process_time()
+        assert routes.k_best_of_many(phrases, k) == plain
+        if wide == 14:
+            assert time.process_time() - middle < (middle - began) / 2
+        monkeypatch.setattr(routes, "MOVES", 2000)
+        assert routes.k_best_of_many(phrases, k) == plain
+        monkeypatch.undo()
