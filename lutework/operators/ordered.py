@@ -146,14 +146,20 @@ def ancestor_sums(parents: DataFrame) -> DataFrame:
 
 
 def lineage(edges: DataFrame) -> DataFrame:
-    """Of edges (node, up) of a lineage, in which a node may have several parents, every pair (node, up) of a node and one above it: self-joins,
-    doubled, each written, until no pair is new."""
-    closed, n = written(edges.select("node", "up").distinct(), "lineage"), -1
-    while (now := closed.count()) != n:
+    """Of edges (node, up) of a lineage, in which a node may have several parents, every pair (node, up) of a node and one above it, until no pair is new.
+    Steps are doubled: one frame holds the pairs that fewer than 2^k steps make, another those of just 2^k. A pair of many steps is so made of the greatest power
+    of two in them and the rest, not of every two parts that they can be cut into. Each is written."""
+    closed = written(edges.select("node", "up").distinct(), "lineage")
+    joined = lambda a, b: a.join(b.select(F.col("node").alias("up"), F.col("up").alias("over")), "up").select("node", F.col("over").alias("up"))
+    hops, n = closed, closed.count()  # one step
+    while True:
+        hops = written(joined(hops, hops).distinct(), "lineage")
+        if hops.isEmpty():
+            return closed
+        closed = written(closed.unionByName(hops).unionByName(joined(closed, hops)).distinct(), "lineage")
+        if (now := closed.count()) == n:  # a lineage that leads back to itself has steps without end
+            return closed
         n = now
-        above = closed.select(F.col("node").alias("up"), F.col("up").alias("over"))
-        closed = written(closed.unionByName(closed.join(above, "up").select("node", F.col("over").alias("up"))).distinct(), "lineage")
-    return closed
 
 
 def in_ranges(df: DataFrame, order: list) -> DataFrame:
