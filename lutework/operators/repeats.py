@@ -45,37 +45,46 @@ def commanded(rows: DataFrame) -> DataFrame:
     return out.withColumn("k", F.when(tail, F.sum(tail.cast("int")).over(inside)))
 
 
+def merged(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left.join(right, on, how), by shuffling both: files of a few numbers over and over are small while their rows are not, so that their size would have Spark
+    broadcast them through the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def repeat_warnings(rows: DataFrame) -> DataFrame:
     """score, idx and code of the repeats that don't hold."""
     c = commanded(rows).withColumn("anchor", F.col("t").rlike("再[作做](起点|标记)"))
     w = Window.partitionBy("score").orderBy("idx")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     p = F.when(F.col("midi").isNotNull(), F.count("midi").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    head = F.first("idx").over(Window.partitionBy("score", "section").orderBy("idx"))
-    c = c.withColumns({"p": p, "anchored": F.last(F.when(F.col("anchor"), F.col("idx")), ignorenulls=True).over(before), "head": head})
+    c = c.withColumns({"p": p, "heard": F.count("midi").over(before)})  # pitched rows before this one
+    head = F.first("heard").over(Window.partitionBy("score", "section").orderBy("idx"))
+    anchored = F.last(F.when(F.col("anchor"), F.struct("idx", "heard")), ignorenulls=True).over(before)
+    c = c.withColumns({"x": anchored, "head_heard": head}).withColumns({"anchored": F.col("x.idx"), "anchor_heard": F.col("x.heard")}).drop("x")
     c = written(c, "repeats")  # read by every rule
     pitched = c.where("midi IS NOT NULL").select("score", F.col("idx").alias("i2"), "p", F.col("midi").alias("m2"), F.col("event_index").alias("e2"))
     own = c.where("command IS NOT NULL").select(
-        "score", "seg", "at", "command", "anchored", "head", F.regexp_extract("command", "^从([0-9]+)", 1).try_cast("long").alias("number"), F.col("event_index").alias("e")
+        "score", "seg", "at", "command", "heard", "anchor_heard", "head_heard", F.regexp_extract("command", "^从([0-9]+)", 1).try_cast("long").alias("number"), F.col("event_index").alias("e")
     )
-    # the ordinal of the first pitched row of each source: numbered, at or after the anchor, of the section and of the score
-    numbered = own.where("number IS NOT NULL").join(pitched.withColumnRenamed("score", "s"), (F.col("score") == F.col("s")) & (F.col("number") == F.col("e2")) & (F.col("i2") < F.col("at")))
+    # the ordinal of the first pitched row of each source: numbered, at or after the anchor, of the section and of the score. All but the first are the ordinal
+    # after those of the pitched rows before the source, if a pitched row stands between there and the command
+    numbered = merged(own.where("number IS NOT NULL").withColumn("e2", F.col("number")), pitched.where("e2 IS NOT NULL"), ["score", "e2"]).where("i2 < at")
     starts = numbered.groupBy("score", "seg").agg(F.max_by("p", "i2").alias("start")).withColumn("kind", F.lit("numbered"))
-    first_at = lambda by, kind, rows_: rows_.join(pitched.withColumnRenamed("score", "s"), (F.col("score") == F.col("s")) & (F.col("i2") >= F.col(by)) & (F.col("i2") < F.col("at"))).groupBy("score", "seg").agg(F.min("p").alias("start")).withColumn("kind", F.lit(kind))
-    starts = starts.unionByName(first_at("anchored", "anchor", own.where(F.col("command").rlike("ㄱ") & F.col("anchored").isNotNull())))
-    heads = own.where(F.col("command").rlike("头"))
-    starts = starts.unionByName(first_at("head", "section", heads)).unionByName(first_at("zero", "score", heads.withColumn("zero", F.lit(0))))
+    of_head = F.col("command").rlike("头")
+    sources = [(F.col("command").rlike("ㄱ"), F.col("anchor_heard"), "anchor"), (of_head, F.col("head_heard"), "section"), (of_head, F.lit(0).cast("long"), "score")]
+    listed = F.array(*[F.when(rule & (x < F.col("heard")), F.struct((x + 1).alias("start"), F.lit(kind).alias("kind"))) for rule, x, kind in sources])
+    starts = starts.unionByName(own.select("score", "seg", F.explode(F.filter(listed, lambda x: x.isNotNull())).alias("x")).select("score", "seg", "x.*"))
     starts = written(starts, "repeat-starts")
     tails = c.where("tail").select("score", "seg", "idx", "k", "midi", "t")
     sizes = tails.groupBy("score", "seg").agg(F.count("*").alias("n"))
-    met = tails.join(starts, ["score", "seg"]).join(own.select("score", "seg", "at"), ["score", "seg"]).withColumn("p", F.col("start") + F.col("k") - 1)
-    met = met.join(pitched.where("m2 IS NOT NULL"), ["score", "p"], "left").withColumn("source", F.when(F.col("i2") < F.col("at"), F.col("m2")))
+    met = merged(merged(tails, starts, ["score", "seg"]), own.select("score", "seg", "at"), ["score", "seg"]).withColumn("p", F.col("start") + F.col("k") - 1)
+    met = merged(met, pitched.where("m2 IS NOT NULL"), ["score", "p"], "left").withColumn("source", F.when(F.col("i2") < F.col("at"), F.col("m2")))
     report = lambda df, code: df.select("score", "idx", F.lit(code).alias("code"))
     at = F.col("at").alias("idx")
-    lacking = own.where("number IS NOT NULL").join(starts.where("kind = 'numbered'").select("score", "seg"), ["score", "seg"], "left_anti").select("score", at)
-    judged = own.join(sizes, ["score", "seg"], "left").join(
-        met.where("kind = 'numbered'").groupBy("score", "seg").agg(F.count_if(~F.col("midi").eqNullSafe(F.col("source"))).alias("wrong")), ["score", "seg"], "left"
-    ).join(starts.where("kind = 'numbered'").select("score", "seg", "start"), ["score", "seg"])
+    started = starts.where("kind = 'numbered'").select("score", "seg", "start")
+    lacking = merged(own.where("number IS NOT NULL"), started, ["score", "seg"], "left_anti").select("score", at)
+    wrongs = met.where("kind = 'numbered'").groupBy("score", "seg").agg(F.count_if(~F.col("midi").eqNullSafe(F.col("source"))).alias("wrong"))
+    judged = merged(merged(merged(own, sizes, ["score", "seg"], "left"), wrongs, ["score", "seg"], "left"), started, ["score", "seg"])
     differs = judged.where(F.col("n").isNull() | (F.col("wrong") > 0)).select("score", at)
     anchors = met.where(F.col("kind").eqNullSafe("anchor") & ~F.col("midi").eqNullSafe(F.col("source")))
     probes = met.where(F.col("kind").isin("section", "score") & (F.col("k") <= HEAD_PROBE)).groupBy("score", "seg", "at", "kind").agg(
@@ -105,9 +114,9 @@ def repeat_warnings(rows: DataFrame) -> DataFrame:
     codes = F.filter(F.array(*[F.when(r, F.lit(k)) for k, r in rules.items()]), lambda x: x.isNotNull())
     local = c.select("score", "idx", F.explode_outer(codes).alias("code")).where("code IS NOT NULL")
     # a tail's first blank row, where the command itself holds
-    bad_rows = found.join(c.select("score", "idx", "seg"), ["score", "idx"]).select("score", "seg").distinct()
-    missing = tails.where("t = ''").groupBy("score", "seg").agg(F.min("idx").alias("idx")).join(bad_rows, ["score", "seg"], "left_anti")
-    missing = missing.join(local.where("code <> 'missing_repeat_instruction'").join(c.select("score", "idx", "seg"), ["score", "idx"]).select("score", "seg").distinct(), ["score", "seg"], "left_anti")
+    bad_rows = found.unionByName(local.where("code <> 'missing_repeat_instruction'"))
+    bad_segs = merged(bad_rows, c.select("score", "idx", "seg"), ["score", "idx"]).select("score", "seg").distinct()
+    missing = merged(tails.where("t = ''").groupBy("score", "seg").agg(F.min("idx").alias("idx")), bad_segs, ["score", "seg"], "left_anti")
     return found.unionByName(local).unionByName(report(missing, "repeat_omission_marker_missing")).unionByName(anchors_without_music(c))
 
 

@@ -4,7 +4,9 @@ import random
 
 import pytest
 
-from lutework.operators import ordered
+from pyspark.sql import functions as F
+
+from lutework.operators import ordered, repeats
 
 
 def shuffled(spark, work):
@@ -58,3 +60,13 @@ def test_lineage_of_many_parents_does_not_join_every_cut_of_a_path(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert found == len(above(edges))
     assert n < 8 * found
+
+
+def test_repeats_broadcast_no_rows_of_the_scores(spark):
+    said = F.get(F.array(*[F.lit(x) for x in ("勾三弦", "", "从头再作", "", "从1再作", "再作标记ㄱ", "从ㄱ再作", "")]), (F.col("id") % 8).cast("int"))
+    columns = {"score": F.col("id") % 3, "idx": F.floor(F.col("id") / 3), "text": said, "midi": F.when(F.col("id") % 5 > 0, 60 + F.col("id") % 2), "structural": F.col("id") % 11 == 0, "section": F.floor(F.col("id") / 90)}
+    rows = spark.range(900).withColumns(columns).drop("id")
+    rows = ordered.event_ordinals(rows, ["score"], ["idx"], F.col("structural"))
+    plan = repeats.repeat_warnings(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert "Broadcast" not in plan
