@@ -11,8 +11,8 @@ found by prefix filtering, all of them and none by chance:
 3. Each set's shared shingles are ordered by how many sets hold them, the rarest first. Linked sets share one at least of the first ones, as
    many as exceed the common shingles that a link needs.
 4. Among the sets with the same such shingle the most central one, whose shingles most other sets hold, is compared with each of the others.
-5. Pairs that share such a shingle and aren't connected by then are compared by histograms of their shingles, which bound the similarity from above, in
-   blocks of BLOCK sets; what passes is verified.
+5. Pairs that share such a shingle and aren't connected by then are compared by the parities of their shingles' cells, which bound the similarity from above,
+   in blocks of BLOCK sets; what passes is verified. Shingles that the very same sets hold make the same pairs: one of them stands for all.
 
 Defined results: words are runs without ASCII white space, A-Z in lower case; texts of fewer than five words have one shingle, all of the
 text, and null, empty and blank texts one that is empty; shingles are told apart by 64-bit hashes; every row stands for itself,
@@ -33,8 +33,8 @@ from .simhash import SPACES, components, links, majority
 
 #: Words of a shingle. Similarity is 0.8 or more: 9 * common >= 4 * (size + size).
 WORDS = 5
-#: Cells of a set's histogram, and sets that are compared with one another in one block.
-CELLS, BLOCK = 128, 4096
+#: Cells whose parities are kept of a set, and sets that are compared with one another in one block.
+CELLS, BLOCK = 4096, 4096
 
 
 def digests(text: str | None, k: int = WORDS) -> np.ndarray:
@@ -76,12 +76,12 @@ def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (text, row): row, the size of the text's set, its histogram and the set."""
+    """Of (text, row): row, the size of the text's set, its cells' parities and the set."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             found = [shingles(x.as_py()) for x in part.column(0)]
-            cells = [np.minimum(np.bincount(x & (CELLS - 1), minlength=CELLS), 255).astype(np.uint8).tobytes() for x in found]
+            cells = [np.packbits(np.bincount(x & (CELLS - 1), minlength=CELLS) & 1).tobytes() for x in found]
             sizes = pa.array([len(x) for x in found], pa.int32())
             yield pa.RecordBatch.from_arrays([part.column(1), sizes, pa.array(cells, pa.binary()), _lists(found)], ["row", "n", "cells", "set"])
 
@@ -112,7 +112,7 @@ def ordered_pairs(x: Column, y: Column) -> list[Column]:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (h, i, j, own, row, cls, n, cells) in the order of (h, i, j), own being i or j: pairs of rows of different classes in a block (h, i, j), one
-    of own i and one of own j, whose histograms allow a link."""
+    of own i and one of own j, whose sizes and parities allow a link: as many shingles at least are in one of them only as cells differ in parity."""
     held: list[pa.RecordBatch] = []
 
     def flush(last: bool) -> Iterator[pa.RecordBatch]:
@@ -122,7 +122,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = [0, *new.tolist(), len(h)]
         whole = starts if last else starts[:-1]
         held[:] = [] if last else rows.slice(whole[-1]).to_batches()
-        cells = np.frombuffer(b"".join(rows.column(7).slice(0, whole[-1]).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+        cells = np.frombuffer(b"".join(rows.column(7).slice(0, whole[-1]).to_pylist()), np.uint64).reshape(-1, CELLS // 64)
         for begin, end in zip(whole, whole[1:], strict=False):
             at = np.arange(begin, end)
             y = at if i[begin] == j[begin] else at[own[at] == j[begin]]
@@ -130,7 +130,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             step = max(1, (1 << 16) // max(1, len(y)))
             for k in range(0, len(xs), step):
                 x = xs[k : k + step, None]
-                apart = np.abs(cells[x] - cells[y][None]).sum(axis=2, dtype=np.int64)
+                apart = np.bitwise_count(cells[x] ^ cells[y][None]).sum(axis=2, dtype=np.int64)
+                apart = np.maximum(apart, np.abs(n[x] - n[y]))
                 near = (9 * apart <= n[x] + n[y]) & (cls[x] != cls[y]) & ((x < y) | (i[begin] != j[begin]))
                 p, q = np.nonzero(near)
                 if len(p):
@@ -138,17 +139,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         held.append(batch)
-        if sum(x.num_rows for x in held) >= 1 << 16:
+        if sum(x.num_rows for x in held) >= 1 << 15:
             yield from flush(False)
     if sum(x.num_rows for x in held):
         yield from flush(True)
 
 
 def _unconnected(rare: DataFrame, linked: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows with a rare shingle h in common that linked (node, root) doesn't connect and whose histograms allow a link."""
+    """Pairs (a, b) of rows with a rare shingle h in common that linked (node, root) doesn't connect and whose parities allow a link."""
     classed = rare.join(linked.withColumnRenamed("node", "row"), "row", "left").select("h", "row", F.coalesce("root", "row").alias("cls"))
     classed = written(classed, "nearcopies-classes")
-    open_ = classed.groupBy("h").agg(F.min("cls").alias("x"), F.max("cls").alias("y"), F.count("*").alias("m")).where("x <> y").select("h", "m")
+    members = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"rows_{k}") for k in (0, 1)]
+    open_ = classed.groupBy("h").agg(F.min("cls").alias("x"), F.max("cls").alias("y"), F.count("*").alias("m"), *members).where("x <> y")
+    open_ = open_.groupBy("m", "rows_0", "rows_1").agg(F.min("h").alias("h")).select("h", "m")  # one of the shingles that the same rows hold
     rows = spread_join(classed, written(open_, "nearcopies-open"), ["h"], "m").join(sets.select("row", "n", "cells"), "row")
     # a shingle of more than BLOCK sets: each part of them meets each other part in a task of its own
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
