@@ -29,6 +29,8 @@ COMPOUNDS = ["掐撮三声", "历拂", "拨剌三声", "拂历"]
 UP, DOWN = ["引上", "绰", "浒", "进", "上"], ["注", "淌", "退", "下"]
 ORNAMENTS = ["吟", "猱", "撞"]
 STANDALONE, LIFTS = ["绰上", "注下"], ["爪起", "抓起"]
+#: How many texts' facts are sent to the tasks: some MB.
+VOCABULARY = 8192
 
 PLACE = "struct<string:int,hui:double,label:string>"
 
@@ -69,40 +71,53 @@ def pair_kind(pair: Column) -> Column:
     )
 
 
-def stated(notes: DataFrame) -> DataFrame:
-    """What each row says by itself. notes: score, idx, text (null where nothing is filled in), structural, rest, targets."""
-    t = F.trim(F.coalesce(F.col("text"), F.lit("")))
-    rows = notes.withColumn("t", F.when(F.col("structural"), F.lit("")).otherwise(t))
-    full = F.col("t")
+def _let(value: Column, then) -> Column:
+    """then(value), value being worked out once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _marks(t: Column) -> Column:
+    """What the lint asks of a cell's text by patterns."""
+    open_pluck = "^(散音|散)?[抹挑勾剔擘托劈打摘搓][一二三四五六七1-7]弦$"
+    return F.struct(
+        _any(t, [f"^{x}" for x in STANDALONE]).alias("standalone"), t.rlike(open_pluck).alias("open_pluck"), _any(t, ORNAMENTS).alias("ornament"), _any(t, ["拨", "泼"]).alias("pair_pluck"), t.rlike(r"撮\s*[（(]").alias("cuo"),
+        t.rlike("^(泛起|泛止|按音|泛音|急|缓|少)*[绰注]").alias("slide"), _any(t, ["换指", "替指", "滔起", "带起", "掐起", "抓起", "爪起", "罨"]).alias("changes"),
+        t.rlike("^(散音|散)(吟|猱|撞)([一二三四五六七1-7]弦)?$").alias("open_ornament"), t.rlike("历[一二三四五六七1-7]+弦").alias("li"),
+    )
+
+
+def _facts(full: Column) -> Column:
+    """What a cell's text says by itself."""
     starts, ends = F.locate("泛起", full), F.locate("泛止", full)
     # what is left of a cell beside the gesture that lifts a finger
     lifts = F.when(_any(full, LIFTS), "thumb").when(full.contains("带起"), "named")
-    rows = rows.withColumn("lifts", lifts).withColumn("o", F.trim(F.regexp_replace(full, "|".join([*LIFTS, "带起", "同声", "同起"]), "")))
-    t = F.when(F.col("lifts").isNotNull(), F.col("o")).otherwise(full)
+    o = F.trim(F.regexp_replace(full, "|".join([*LIFTS, "带起", "同声", "同起"]), ""))
     opens = (starts > 0) & ((ends == 0) | (starts < ends) | (ends == 1))
-    closed = F.coalesce(F.col("rest"), F.lit(False)) & (full == "")
-    sweep = text.sweep_strings(t)
-    return rows.withColumns({
-        "rest_here": closed,
-        "pair": paired(t),
-        "strings": F.when(F.size(sweep) > 0, sweep).otherwise(text.string_numbers(t)),
-        "swept": F.size(sweep) > 1,
-        "pluck": text.first_of(t, PLUCKS),
-        "own_finger": text.first_of(t, FINGERS),
-        "own_hui": text.stud(t).cast("double"),
-        "own_label": text.stud_label(t),
-        "opened": t.contains("散"),
-        "opens": opens,
-        "closes_first": ends == 1,
-        # what the row leaves of the region: the later marker counts
-        "leaves": F.when(closed, F.lit(False)).when((starts > 0) | (ends > 0), starts > ends),
-    }).withColumns({
-        "pair_kind": pair_kind(F.col("pair")),
-        "compound": _any(t, COMPOUNDS) | (t == "拨"),
-        "walk": F.when(F.col("pluck").isNull() & _walks(t, UP), "up").when(F.col("pluck").isNull() & _walks(t, DOWN), "down"),
-        "returns": (t == "复"),
-        "bad_string": F.size(F.filter(F.regexp_extract_all(t, F.lit(r"([0-9]+|十[一二三四五六七八九]?|[一二三四五六七八九])弦"), F.lit(1)), lambda x: x.rlike("^(十.?|[八九]|[089]|[0-9]{2,})$") & ~x.rlike("^[1-7]+$"))) > 0,
-    })
+
+    def rest(t: Column) -> Column:
+        sweep, pluck = text.sweep_strings(t), text.first_of(t, PLUCKS)
+        bad = F.filter(F.regexp_extract_all(t, F.lit(r"([0-9]+|十[一二三四五六七八九]?|[一二三四五六七八九])弦"), F.lit(1)), lambda x: x.rlike("^(十.?|[八九]|[089]|[0-9]{2,})$") & ~x.rlike("^[1-7]+$"))
+        return F.struct(
+            lifts.alias("lifts"), o.alias("o"), paired(t).alias("pair"), _let(paired(t), pair_kind).alias("pair_kind"), F.when(F.size(sweep) > 0, sweep).otherwise(text.string_numbers(t)).alias("strings"), (F.size(sweep) > 1).alias("swept"),
+            pluck.alias("pluck"), text.first_of(t, FINGERS).alias("own_finger"), text.stud(t).cast("double").alias("own_hui"), text.stud_label(t).alias("own_label"), t.contains("散").alias("opened"), opens.alias("opens"), (ends == 1).alias("closes_first"),
+            # what the row leaves of the region: the later marker counts
+            F.when((starts > 0) | (ends > 0), starts > ends).alias("leaves"), (_any(t, COMPOUNDS) | (t == "拨")).alias("compound"), F.when(pluck.isNull() & _walks(t, UP), "up").when(pluck.isNull() & _walks(t, DOWN), "down").alias("walk"),
+            (t == "复").alias("returns"), (F.size(bad) > 0).alias("bad_string"), _marks(full).alias("marks"),
+        )
+
+    return _let(F.when(lifts.isNotNull(), o).otherwise(full), rest)
+
+
+def stated(notes: DataFrame) -> DataFrame:
+    """What each row says by itself. notes: score, idx, text (null where nothing is filled in), structural, rest, targets. What the VOCABULARY commonest texts say is found once and joined; any other
+    cell is read in its row."""
+    t = F.trim(F.coalesce(F.col("text"), F.lit("")))
+    rows = notes.withColumn("t", F.when(F.col("structural"), F.lit("")).otherwise(t))
+    counts = rows.groupBy("t").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "t").limit(VOCABULARY)
+    common = counts.select(F.col("t").alias("__t"), _facts(F.col("t")).alias("__common"))
+    rows = rows.join(F.broadcast(common), F.col("t") == F.col("__t"), "left").withColumn("__f", F.coalesce("__common", _facts(F.col("t"))))
+    closed = F.coalesce(F.col("rest"), F.lit(False)) & (F.col("t") == "")
+    return rows.select(*notes.columns, "t", closed.alias("rest_here"), "__f.*").withColumn("leaves", F.when(F.col("rest_here"), F.lit(False)).otherwise(F.col("leaves")))
 
 
 def replayed(notes: DataFrame, open_midi: list[float] = music.STANDARD_TUNING) -> DataFrame:
@@ -191,7 +206,7 @@ def replayed(notes: DataFrame, open_midi: list[float] = music.STANDARD_TUNING) -
     out = rows.withColumns({"reason": reason, "pitches": F.when(reason.isNull(), pitches).otherwise(F.array().cast("array<double>")), "attack": attack & reason.isNull()})
     return out.select(
         *notes.columns, "t", "rest_here", "strings", "swept", "pluck", "walk", "returns", "compound", "opened", "own_finger", "own_hui", "mode", "string", "hui", "label", "finger", "scope", "said",
-        F.col("contact.string").alias("before_string"), F.col("contact.hui").alias("before_hui"), "before_finger", "before_mode", F.col("origin.string").alias("origin_string"), "pitches", "reason", "attack",
+        F.col("contact.string").alias("before_string"), F.col("contact.hui").alias("before_hui"), "before_finger", "before_mode", F.col("origin.string").alias("origin_string"), "pitches", "reason", "attack", "marks",
     )
 
 
@@ -217,13 +232,13 @@ def warnings(rows: DataFrame, reach: float = 4.0, span: float = 501.0) -> DataFr
     rows = rows.where(~F.col("structural"))
     t = F.col("t")
     single = F.col("attack") & (F.size("pitches") == 1)
-    kept = ["t", "mode", "string", "hui", "finger", "strings", "opened", "attack", "pluck", "pitches", "targets", "walk", "compound", "reason"]
+    kept = ["t", "marks", "mode", "string", "hui", "finger", "strings", "opened", "attack", "pluck", "pitches", "targets", "walk", "compound", "reason"]
     prev = F.lag(F.struct(*kept, single.alias("single"))).over(w)
     rows = rows.withColumn("single", single).withColumn("p", F.when(~F.col("rest_here"), prev))
     p = lambda c: F.col(f"p.{c}")
     # sounding rows without a new attack, walks and the blanks that they cover
     sounding = F.size("targets") > 0
-    alone = F.col("pluck").isNull() & (_any(t, ["^绰上", "^注下"]) | t.isin("复", "进复", "退复"))
+    alone = F.col("pluck").isNull() & (F.col("marks.standalone") | t.isin("复", "进复", "退复"))
     goes_on = sounding & ((alone & F.col("reason").isNull()) | (F.col("pluck").isNull() & t.contains("往来")))
     # a blank goes on only what a walk began: the row that is neither blank nor walk ends the run
     ends = ~goes_on & ~((t == "") & sounding & ~F.col("rest_here"))
@@ -236,14 +251,14 @@ def warnings(rows: DataFrame, reach: float = 4.0, span: float = 501.0) -> DataFr
     rows = rows.withColumn("led", down)
     tuning_span = F.abs(F.get("pitches", 0) - F.get(F.lag(F.when(F.size("pitches") == 1, F.col("pitches"))).over(w), 0)) * 100
     rows = rows.withColumn("moved", tuning_span)
-    walk_here = F.col("walk").isNotNull() & _any(t, ["^绰上", "^注下"]) & F.col("own_hui").isNotNull() & F.col("before_hui").isNotNull()
+    walk_here = F.col("walk").isNotNull() & F.col("marks.standalone") & F.col("own_hui").isNotNull() & F.col("before_hui").isNotNull()
     stopped = F.col("single") & (F.col("mode") == "stopped")
     was_stopped = p("single") & (p("mode") == "stopped")
     down_step, up_step = F.col("own_hui") > F.col("before_hui"), F.col("own_hui") < F.col("before_hui")
     strings = F.col("strings")
-    plain_open = t.rlike("^(散音|散)?[抹挑勾剔擘托劈打摘搓][一二三四五六七1-7]弦$") & (F.col("mode") == "open")
-    was_plain_open = p("t").rlike("^(散音|散)?[抹挑勾剔擘托劈打摘搓][一二三四五六七1-7]弦$") & (p("mode") == "open")
-    ornament = _any(t, ORNAMENTS)
+    plain_open = F.col("marks.open_pluck") & (F.col("mode") == "open")
+    was_plain_open = p("marks.open_pluck") & (p("mode") == "open")
+    ornament = F.col("marks.ornament")
     changed = lambda a, b: F.get(a, 0) != F.get(b, 0)
     rules = {
         "jianzi_pitch_mismatch": F.col("status") == "mismatched",
@@ -257,16 +272,16 @@ def warnings(rows: DataFrame, reach: float = 4.0, span: float = 501.0) -> DataFr
         "ordinary_open_same_string_reattack": F.col("single") & plain_open & was_plain_open & (F.col("string") == p("string")),
         "harmonic_to_same_string_attack": F.col("attack") & p("attack") & (p("mode") == "harmonic") & F.arrays_overlap(p("strings"), strings) & ~((F.col("mode") == "harmonic") & F.col("single") & p("single") & F.col("hui").eqNullSafe(p("hui"))),
         "walk_inside_harmonic_region": F.col("scope") & F.col("walk").isNotNull() & (F.size(strings) == 0),
-        "nonadjacent_pluck_pair": _any(t, ["拨", "泼"]) & (F.size(F.array_distinct(strings)) == 2) & (F.abs(F.get(strings, 0) - F.get(F.array_distinct(strings), 1)) > 1),
-        "same_string_cuo_pair": t.rlike(r"撮\s*[（(]") & (F.size(strings) == 2) & (F.get(strings, 0) == F.get(strings, 1)),
+        "nonadjacent_pluck_pair": F.col("marks.pair_pluck") & (F.size(F.array_distinct(strings)) == 2) & (F.abs(F.get(strings, 0) - F.get(F.array_distinct(strings), 1)) > 1),
+        "same_string_cuo_pair": F.col("marks.cuo") & (F.size(strings) == 2) & (F.get(strings, 0) == F.get(strings, 1)),
         "same_finger_reach_too_large": stopped & was_stopped & (F.col("finger") == p("finger")) & (F.abs(F.col("hui") - p("hui")) + F.abs(F.col("string") - p("string")) / 2 >= reach),
         "low_hui_stopped_too_cramped": stopped & ((F.col("string").between(1, 4) & (F.col("hui") <= 4)) | ((F.col("string") == 5) & (F.col("hui") < 4))),
         "tiao_on_first_string": F.col("attack") & (F.col("pluck") == "挑") & (F.array_contains(strings, 1) | (F.col("string") == 1)),
-        "slide_attack_missing_left_finger": F.col("pluck").isNotNull() & t.rlike("^(泛起|泛止|按音|泛音|急|缓|少)*[绰注]") & F.col("own_finger").isNull(),
-        "same_position_finger_change": stopped & was_stopped & (F.col("finger") != p("finger")) & (F.col("string") == p("string")) & (F.abs(F.col("hui") - p("hui")) < 1e-6) & ~_any(t, ["换指", "替指", "滔起", "带起", "掐起", "抓起", "爪起", "罨"]),
+        "slide_attack_missing_left_finger": F.col("pluck").isNotNull() & F.col("marks.slide") & F.col("own_finger").isNull(),
+        "same_position_finger_change": stopped & was_stopped & (F.col("finger") != p("finger")) & (F.col("string") == p("string")) & (F.abs(F.col("hui") - p("hui")) < 1e-6) & ~F.col("marks.changes"),
         "jinfu_without_downward_walk": t.contains("进复") & F.col("before_string").isNotNull() & ~F.coalesce(F.col("led") == "down", F.lit(False)),
-        "open_attack_ornament": (ornament & F.col("attack") & (F.col("mode") == "open")) | t.rlike("^(散音|散)(吟|猱|撞)([一二三四五六七1-7]弦)?$"),
-        "li_nonadjacent_strings": t.rlike("历[一二三四五六七1-7]+弦") & F.exists(F.zip_with(strings, F.slice(strings, 2, 7), lambda a, b: F.abs(a - b) > 1), lambda x: x),
+        "open_attack_ornament": (ornament & F.col("attack") & (F.col("mode") == "open")) | F.col("marks.open_ornament"),
+        "li_nonadjacent_strings": F.col("marks.li") & F.exists(F.zip_with(strings, F.slice(strings, 2, 7), lambda a, b: F.abs(a - b) > 1), lambda x: x),
         "thumb_lower_left_position": stopped & was_stopped & (F.col("finger") == "大指") & p("finger").isin("中指", "名指") & (F.col("string") > p("string")) & (F.col("hui") > p("hui") + 1e-6),
         "open_string_unplayable_gesture": (F.col("before_mode") == "open") & F.col("before_string").isNull() & F.col("pluck").isNull() & (F.size(strings) == 0) & (F.col("walk").isNotNull() | t.isin("吟", "猱")),
         "kneeling_taoqi_below_seventh_hui": t.contains("滔起") & t.contains("跪指") & (F.coalesce("own_hui", "before_hui") > 7),

@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from lutework.operators import ordered, repeats
+from lutework.operators import ordered, repeats, replay
 
 
 def shuffled(spark, work):
@@ -70,3 +70,14 @@ def test_repeats_broadcast_no_rows_of_the_scores(spark):
     plan = repeats.repeat_warnings(rows)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
     assert "Broadcast" not in plan
+
+
+def test_replay_reads_rare_cells_like_common_ones(spark, monkeypatch):
+    cells = ["大指九徽勾三弦", "散挑七弦", "", "绰上七徽六分", "复", "泛起中指七徽勾二弦", "泛止", "撮（三弦＋三弦）", "历七六五弦", "爪起", "带起勾三弦", "勾九弦", "撮（散音一弦＋按音大指九徽三弦）", "散猱", "拨一四弦"]
+    text = F.get(F.array(*[F.lit(c) for c in cells]), ((F.col("id") * 7 + F.floor(F.col("id") / 40)) % len(cells)).cast("int"))
+    columns = {"score": F.col("id") % 5, "idx": F.floor(F.col("id") / 5).cast("int"), "text": text, "structural": F.col("id") % 13 == 0, "rest": F.col("id") % 17 == 0, "targets": F.array(F.lit(60.0))}
+    notes = spark.range(300).withColumns(columns).drop("id")
+    read = lambda: sorted(map(repr, replay.warnings(replay.audited(replay.replayed(notes))).collect()))
+    common = read()
+    monkeypatch.setattr(replay, "VOCABULARY", 2)
+    assert read() == common and common
