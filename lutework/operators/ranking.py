@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import written
+
 
 def merged_routes(phrases: DataFrame, key: str, order: str, routes: str, move: Callable[[Column, Column], Column]) -> DataFrame:
     """Of phrases (key, order, routes: an array of (cost, entry, leave)), per key the ranks (from 1) of the routes, one of each phrase, that cost least
@@ -53,20 +55,34 @@ def undominated(fronts: DataFrame, scores: DataFrame) -> DataFrame:
 
 def folded_ranks(rows: DataFrame, folds: int, seed: int = 0) -> DataFrame:
     """Of rows (id, family, k, label, features) the fold and rank of each id's true candidate, scored by a logistic regression over standardised features,
-    classes weighted alike, that was fitted without the fold of the id's family."""
+    classes weighted alike, that was fitted without the fold of the id's family. Rows alike are fitted as one with the weight of all; the scales are those of
+    the rows one by one, which weights would change."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
-    rows = rows.withColumn("fold", F.pmod(F.xxhash64("family", F.lit(seed)), F.lit(folds)).cast("int")).withColumn("v", array_to_vector("features"))
-    out = None
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("family", F.lit(seed)), F.lit(folds)).cast("int"))
+    alike = written(rows.groupBy("fold", "label", "features").agg(F.count("*").alias("n")), "alike")
+    models = []
     for fold in range(folds):
-        train = rows.where(F.col("fold") != fold)
-        share = train.agg(F.avg("label")).first()[0] or 0.5
-        weighted = train.withColumn("w", F.when(F.col("label") == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)))
-        scaler = StandardScaler(inputCol="v", outputCol="x", withMean=True).fit(weighted)
-        model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="w", maxIter=10, regParam=0.01).fit(scaler.transform(weighted))
-        scored = model.transform(scaler.transform(rows.where(F.col("fold") == fold))).select("id", "k", "label", "fold", vector_to_array("probability")[1].alias("p"))
-        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("p"), "k"))).where("label = 1").select("fold", "id", "rank")
-        out = ranked if out is None else out.unionByName(ranked)
-    return out
+        train = alike.where(F.col("fold") != fold)
+        share = train.agg(F.sum(F.col("label") * F.col("n")) / F.sum("n")).first()[0] or 0.5
+        w = F.when(F.col("label") == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9))
+        # mean and deviation of each feature, and its deviation among weighted rows, in which the penalty is measured
+        each = train.withColumn("w", w).select("n", "w", F.posexplode("features").alias("i", "x"))
+        n, x, total = F.col("n"), F.col("x"), F.sum(F.col("w") * F.col("n"))
+        means = each.groupBy("i").agg(F.sum(n).alias("rows"), (F.sum(n * x) / F.sum(n)).alias("mean"), (F.sum(F.col("w") * n * x) / total).alias("wmean"))
+        off = lambda m: (x - F.col(m)) * (x - F.col(m))
+        spread = each.join(F.broadcast(means), "i").groupBy("i", "mean").agg(
+            F.sqrt(F.try_divide(F.sum(n * off("mean")), F.max("rows") - 1)).alias("sd"),
+            F.sqrt(F.try_divide(F.sum(F.col("w") * n * off("wmean")), total - F.sum(F.col("w") * F.col("w") * n) / total)).alias("wsd"),
+        )
+        scales = [(r["mean"], r["wsd"] if r["sd"] and r["wsd"] else 0.0) for r in spread.orderBy("i").collect()]  # a row per feature
+        scaled = F.array(*[(F.get("features", i) - m) / d if d else F.lit(0.0) for i, (m, d) in enumerate(scales)])
+        weighted = train.select("label", (w * n).alias("w"), array_to_vector(scaled).alias("x"))
+        model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="w", maxIter=10, regParam=0.01, standardization=False).fit(weighted)
+        slopes = [float(c) / d if d else 0.0 for c, (_, d) in zip(model.coefficients, scales, strict=True)]
+        models.append((float(model.intercept) - sum(c * m for c, (m, _) in zip(slopes, scales, strict=True)), slopes))
+    found = F.get(F.array(*[F.struct(F.lit(b).alias("b"), F.array(*[F.lit(c) for c in slopes]).alias("c")) for b, slopes in models]), F.col("fold"))
+    margin = F.aggregate(F.zip_with("features", found["c"], lambda x, c: x * c), found["b"], lambda a, y: a + y)
+    scored = rows.withColumn("p", 1 / (1 + F.exp(-margin)))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("fold", "id").orderBy(F.desc("p"), "k"))).where("label = 1").select("fold", "id", "rank")

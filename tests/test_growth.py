@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from lutework.operators import ordered, repeats, replay
+from lutework.operators import ordered, ranking, repeats, replay
 
 
 def shuffled(spark, work):
@@ -81,3 +81,15 @@ def test_replay_reads_rare_cells_like_common_ones(spark, monkeypatch):
     common = read()
     monkeypatch.setattr(replay, "VOCABULARY", 2)
     assert read() == common and common
+
+
+def test_ranker_fits_rows_alike_as_one(spark, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+
+    fitted, fit = [], LogisticRegression.fit
+    monkeypatch.setattr(LogisticRegression, "fit", lambda self, df, *a: fitted.append(df.count()) or fit(self, df, *a))
+    k = F.col("id") % 3
+    columns = {"family": F.col("id") % 25, "k": k, "label": (k == 1).cast("double"), "features": F.array((F.abs(k - 1) + F.col("id") % 2).cast("double"), (F.col("id") % 5).cast("double")), "id": F.floor(F.col("id") / 3)}
+    found = ranking.folded_ranks(spark.range(3000).withColumns(columns), 2).collect()
+    assert len(found) == 1000
+    assert len(fitted) == 2 and max(fitted) <= 40
