@@ -17,7 +17,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
 import pandas as pd
 import pyarrow as pa
@@ -194,10 +193,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE, seed:
         gbt = GBTClassifier(featuresCol="__v", labelCol="label", predictionCol="__c", maxDepth=4, maxIter=20, stepSize=0.2, seed=seed, maxBins=64, checkpointInterval=-1)
         return ToxicityModel(lexicons[k], gbt.fit(known.coalesce(4)).setProbabilityCol("__p").setRawPredictionCol("__r"), None, 0.0)
 
-    # the three fits are many small jobs each: side by side
-    parts = [(rows.where(F.col("half") != h), h, counts.get((1, 1 - h), 0), counts.get((0, 1 - h), 0)) for h in (0, 1)]
-    with ThreadPool(3) as pool:
-        *halves, model = pool.starmap(learned, [*parts, (rows, 2, n_bad, n_good)])
+    # one after another: a fit is hundreds of small jobs, and the driver holds a broadcast's buffer of 4 MB for each of them that is under way
+    halves = [learned(rows.where(F.col("half") != h), h, counts.get((1, 1 - h), 0), counts.get((0, 1 - h), 0)) for h in (0, 1)]
+    model = learned(rows, 2, n_bad, n_good)
     scored = None
     for h, taught in enumerate(halves):
         other = rows.where(F.col("half") == h).select("label", F.col("f")[h].alias("__f"))
