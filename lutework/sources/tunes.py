@@ -5,6 +5,8 @@ that has passed, the bars that have any, the tie that is open. Tied notes of equ
 
 Defined results: null and empty texts have a header of defaults and no events; a tune with a token, key, meter or unit that isn't known has none but its error; texts may hold comments and blank
 lines anywhere; several tunes with the same key would be read as one, so keys are distinct; an empty table gives no rows. A tune's tokens are one window's rows, so that the longest tune bounds a task.
+
+A letter of text becomes a hundred times as many bytes of sorted rows, while Spark sizes tasks by what is shuffled; so the texts are written once and dealt by their length.
 """
 
 from __future__ import annotations
@@ -15,8 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.music import _lookup
+from .folders import written
 
 QUARTER = 960
+#: Bytes of text that a task reads, about.
+TASK_BYTES = 1 << 19
 # Letters, sharps (flats below zero) of major keys, the order of sharps, and the semitones from a minor key to its major one, in fifths.
 LETTERS = {"C": 0, "D": 2, "E": 4, "F": 5, "G": 7, "A": 9, "B": 11}
 MAJOR = {"C": 0, "G": 1, "D": 2, "A": 3, "E": 4, "B": 5, "F#": 6, "C#": 7, "F": -1, "BB": -2, "EB": -3, "AB": -4, "DB": -5, "GB": -6, "CB": -7}
@@ -28,13 +33,21 @@ TOKEN = rf"[|:][|:\[\]1-9]*|-|\{{[^}}]*\}}|\[[A-Za-z]:[^\]]*\]|\[[^\]]*\][0-9/]*
 PITCHED = r"([\^_]*=?)([A-Ga-g])([',]*)"
 
 
+def dealt(tunes: DataFrame, key: str, body: str) -> DataFrame:
+    """key and body of tunes, written, in as many partitions by key as keep a task's texts near TASK_BYTES."""
+    texts = written(tunes.select(key, body), "tunes")
+    total = texts.agg(F.sum(F.octet_length(body))).first()[0] or 0
+    return texts.repartition(1 + total // TASK_BYTES, key)
+
+
 def headers(tunes: DataFrame, key: str, body: str) -> DataFrame:
     """key, fields (a map of header letters to values), lines (of the body, with the section mark before each) and, of unknown values, error."""
-    rows = tunes.select(key, F.posexplode(F.split(F.coalesce(F.col(body), F.lit("")), r"\r\n|[\r\n]")).alias("i", "x")).withColumn("x", F.trim("x")).where("x <> ''")
+    text = F.coalesce(F.when(F.col(key).isNotNull(), F.col(body)), F.lit(""))
+    rows = dealt(tunes, key, body).select(key, F.posexplode(F.split(text, r"\r\n|[\r\n]")).alias("i", "x")).withColumn("x", F.trim("x"))
     w = Window.partitionBy(key).orderBy("i")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     x = F.col("x")
-    field, comment = x.rlike("^[A-Za-z]:"), x.startswith("%")
+    field, comment = x.rlike("^[A-Za-z]:"), x.startswith("%") | (x == "")  # a blank line says nothing either
     # the body begins behind the key field, or at the first line that is neither field nor comment
     begun = F.coalesce(F.max(x.rlike("^[Kk]:") | (~field & ~comment)).over(before), F.lit(False))
     rows = rows.withColumns({"head": field & ~begun, "sung": ~comment & (begun | ~field), "said": F.when(x.rlike(r"^%+\s*<[^>]+>\s*$"), F.trim(F.regexp_extract(x, "<([^>]+)>", 1)))})
@@ -44,8 +57,7 @@ def headers(tunes: DataFrame, key: str, body: str) -> DataFrame:
     kept = F.array_sort(F.collect_list(F.when(F.col("sung"), F.struct("i", x.alias("line"), "mark"))))  # a tune's lines
     per = rows.groupBy(key).agg(kept.alias("lines"), *[last(k).alias(f"field_{k}") for k in DEFAULTS])
     fields = F.create_map(*[y for k, v in DEFAULTS.items() for y in (F.lit(k), F.coalesce(f"field_{k}", F.lit(v)))])
-    none = F.array().cast("array<struct<i:int,line:string,mark:string>>")
-    rows = tunes.select(key).join(per, key, "left").select(key, fields.alias("fields"), F.transform(F.coalesce("lines", none), lambda y: F.struct(y["line"].alias("line"), y["mark"].alias("mark"))).alias("lines"))
+    rows = per.select(key, fields.alias("fields"), F.transform("lines", lambda y: F.struct(y["line"].alias("line"), y["mark"].alias("mark"))).alias("lines"))
     f = lambda k: F.col("fields")[k]
     root = F.regexp_replace(F.regexp_replace(f("K"), "♭", "b"), "♯", "#")
     name, minor = F.upper(F.regexp_extract(root, "^([A-Ga-g][#b]?)", 1)), F.lower(F.trim(F.regexp_extract(root, "^[A-Ga-g][#b]?(.*)$", 1))).rlike("^(m|min|aeo)")
@@ -74,10 +86,11 @@ def events(read: DataFrame, key: str, phrase_bars: int = 8) -> DataFrame:
         F.when(t.rlike(r"^[|:]"), "bar").when(t == "-", "tie").when(t.startswith("{") & t.endswith("}"), "grace").when(t.rlike(r"^\[[A-Za-z]:"), "field").when(t.rlike(rf"^\[(\s*({_NOTE}))*\s*\][0-9/]*-?$"), "chord")
         .when(t.rlike(r"^[\^_]*=?[zZxX]"), "rest").when(t.rlike(r"^[\^_]*=?[A-Ga-g]"), "note").otherwise("unknown")
     )
-    w = Window.partitionBy(key).orderBy("at", "k")
-    tokens = tokens.withColumns({"kind": kind, "i": F.row_number().over(w), "mark": F.when(F.row_number().over(Window.partitionBy(key, "at").orderBy("k")) == 1, F.col("mark"))})
-    tokens = tokens.withColumn("unknown", F.max(F.col("kind") == "unknown").over(Window.partitionBy(key)))
+    # one number in the order of lines and tokens, so that one sort serves all windows
+    tokens = tokens.withColumns({"kind": kind, "i": F.shiftleft(F.col("at").cast("long"), 32) + F.col("k")})
     in_order = Window.partitionBy(key).orderBy("i")
+    tokens = tokens.withColumn("mark", F.when(~F.lag("at").over(in_order).eqNullSafe(F.col("at")), F.col("mark")))
+    tokens = tokens.withColumn("unknown", F.max(F.col("kind") == "unknown").over(Window.partitionBy(key)))
     sounds = F.col("kind").isin("note", "chord")
     timed = sounds | (F.col("kind") == "rest")
     marks = F.regexp_extract(t, r"([0-9/]*)-?$", 1)

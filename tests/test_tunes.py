@@ -112,3 +112,12 @@ def test_tunes_that_cannot_be_read(spark):
     six = read.where("tune = 6").first()
     assert six["fields"]["T"] == "Name" and six["tempo"] == 96 and six["sharps"] == -2
     assert tunes.events(read.limit(0), "tune").count() == 0
+
+
+def test_tunes_are_dealt_by_the_length_of_their_texts(spark, monkeypatch):
+    monkeypatch.setattr(tunes, "TASK_BYTES", 2000, raising=False)
+    frame = spark.range(60).select(F.col("id").alias("tune"), F.lit("K:C\n" + "C D E F | " * 40).alias("text"))
+    found = tunes.events(tunes.headers(frame, "tune", "text"), "tune")
+    rows = [x["count"] for x in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(rows) == 60 * 160
+    assert max(rows) < 60 * 160 / 4  # of 24,000 bytes; four tasks would hold as many as that
