@@ -5,7 +5,7 @@ A phrase's length is bounded by the splitter (limit and slack), and candidates b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import music
-from .candidates import best_positions, position_grid
+from .candidates import near_positions, position_grid, ranked_positions
 
 _ROUTE = [pa.field("route", pa.int32()), *(pa.field(x, pa.float64()) for x in ("cost", "own_cost", "move_cost")), pa.field("ids", pa.list_(pa.int32())), pa.field("cands", pa.list_(pa.int32()))]
 
@@ -72,18 +72,108 @@ def k_best_of_many(phrases: list[list[tuple[float, list[Candidate]]]], k: int) -
         together = max(1, MOVES // (3 * wide * wide * k))
         for first in range(0, len(own), together):
             some = own[first : first + together]
-            for i, found in zip(some, _k_best([phrases[i] for i in some], n, k), strict=True):
+            search = _one_best if k == 1 else _k_best
+            for i, found in zip(some, search([phrases[i] for i in some], n, k), strict=True):
                 out[i] = found
     return out
 
 
-def _k_best(phrases: list[list[tuple[float, list[Candidate]]]], n: int, k: int) -> list[list[tuple[float, float, float, tuple[int, ...]]]]:
+def _arrays(phrases: list[list[tuple[float, list[Candidate]]]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates of phrases of n steps, as (number, string, stud, fraction and own cost) by (step, phrase, place), nan where there is none; and beats by (step, phrase)."""
     size, wide = len(phrases), max(len(found) for steps in phrases for _, found in steps)
-    one = np.full((5, n, size, wide), np.nan)  # number, string, stud, fraction, own cost; nan where there is no candidate
-    beats = np.array([[b for b, _ in steps] for steps in phrases], float).T
+    one = np.full((5, n, size, wide), np.nan)
     for p, steps in enumerate(phrases):
         for i, (_, found) in enumerate(steps):
             one[:, i, p, : len(found)] = np.array(found, float).T
+    return one, np.array([[b for b, _ in steps] for steps in phrases], float).T
+
+
+def _one_best(phrases: list[list[tuple[float, list[Candidate]]]], n: int, k: int) -> list[list[tuple[float, float, float, tuple[int, ...]]]]:
+    one, beats = _arrays(phrases, n)
+    total, owns, moves, path = best_of_arrays(one, beats)
+    numbers = one[0][np.arange(n)[None], np.arange(len(phrases))[:, None], path]
+    return [[(float(t), float(o), float(m), tuple(int(x) for x in own))] if np.isfinite(t) else [] for t, o, m, own in zip(total, owns, moves, numbers, strict=True)]
+
+
+def _least(sums: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of the least along the last axis and its value; of those alike to nine digits that of least order, which is as sums without the axis before the last."""
+    least = sums.min(axis=-1)
+    close = sums <= (least + 2e-9)[..., None]
+    at = close.argmax(axis=-1)
+    tied = (close.sum(axis=-1) > 1) & np.isfinite(least)
+    if tied.any():
+        p, b = np.nonzero(tied)
+        some = np.round(sums[p, b], 9)
+        at[p, b] = np.where(some == some.min(axis=-1)[:, None], order[p], np.inf).argmin(axis=-1)
+    return at, np.take_along_axis(sums, at[..., None], axis=-1)[..., 0]
+
+
+def best_of_arrays(candidates: np.ndarray, beats: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """k_best_directed with k of 1, of many phrases of as many steps, as _arrays gives them: of each phrase the total, infinite where there is no path, own costs, costs of moves, and the places of
+    its candidates by (phrase, step).
+
+    A move that has a direction takes the best of the three directions before it, which is found once for each source, not once for each move."""
+    number, string, stud, way, cost = candidates
+    n, size, wide = number.shape
+    p, c = np.arange(size)[:, None], np.arange(wide)[None]
+    total = np.full((3, size, wide), np.inf)  # by direction (-1, 0, 1), phrase and candidate
+    total[1] = np.where(np.isnan(cost[0]), np.inf, cost[0])
+    owns, moves = np.where(np.isfinite(total), total, 0.0), np.zeros_like(total)
+    order = np.where(np.isfinite(total), number[0][None], np.inf)  # how the paths so far sort
+    back: list[tuple[np.ndarray, np.ndarray]] = []
+    for i in range(1, n):
+        strings, ways = (np.abs(x[i][:, :, None] - x[i - 1][:, None, :]) for x in (string, way))
+        move = strings * CHANGE + np.maximum(0, strings - 1) * SKIP + ways * WAY
+        if (fast := beats[i] < FAST_BEATS).any():
+            move[fast] += ways[fast] * FAST / np.maximum(beats[i][fast], LEAST_BEATS)[:, None, None]
+        step = move + cost[i][:, :, None]
+        step[np.isnan(step)] = np.inf
+        heading = stud[i][:, :, None] - stud[i - 1][:, None, :]
+        up, down = heading > 0, heading < 0
+        stays = ~(up | down)
+        in_place = (stays & np.isfinite(step)).any()
+        before, source = np.ones((3, size, wide), int), np.zeros((3, size, wide), int)
+        least = np.full((3, size, wide), np.inf)
+        if in_place:  # the direction stays what it was
+            for d in range(3):
+                before[d] = d
+                source[d], least[d] = _least(np.where(stays, total[d][:, None, :] + step, np.inf), order[d])
+        for d, heads in ((0, down), (2, up)):
+            turned = total.copy()
+            turned[2 - d] += TURN
+            rounded = np.round(turned, 9)
+            came = np.where(rounded == rounded.min(axis=0), order, np.inf).argmin(axis=0)
+            best, sorts = (np.take_along_axis(x, came[None], axis=0)[0] for x in (turned, order))
+            taken, found = _least(np.where(heads, best[:, None, :] + step, np.inf), sorts)
+            a, b = np.round(found, 9), np.round(least[d], 9)
+            moved = (a < b) | ((a == b) & (sorts[p, taken] < order[d][p, source[d]]))
+            before[d], source[d], least[d] = np.where(moved, came[p, taken], before[d]), np.where(moved, taken, source[d]), np.where(moved, found, least[d])
+        reached = np.isfinite(least)
+        took = lambda x: x[before, p[None], source]
+        turns = ~stays[p[None], c[None], source] & (before != 1) & (before != np.arange(3)[:, None, None])
+        moving = move[p[None], c[None], source]
+        moving = np.where(turns, moving + TURN, moving)
+        total, owns, moves = np.where(reached, took(total) + cost[i] + moving, np.inf), np.where(reached, took(owns) + cost[i], 0.0), np.where(reached, took(moves) + moving, 0.0)
+        keys = (np.where(reached, number[i], np.inf), np.where(reached, took(order), np.inf))
+        paths = np.lexsort([x.transpose(1, 0, 2).reshape(size, -1) for x in keys], axis=1)
+        place = np.empty(paths.shape)
+        place[p, paths] = np.arange(paths.shape[1])[None]
+        order = np.where(reached, place.reshape(size, 3, wide).transpose(1, 0, 2), np.inf)
+        back.append((before, source))
+    ends, sorts = (x.transpose(1, 0, 2).reshape(size, -1) for x in (total, order))
+    d, at = np.divmod(np.lexsort((sorts, np.round(ends, 9)), axis=1)[:, 0], wide)
+    p = p[:, 0]
+    found, path = (total[d, p, at], owns[d, p, at], moves[d, p, at]), np.empty((size, n), int)
+    for i in range(n - 1, 0, -1):
+        path[:, i] = at
+        d, at = back[i - 1][0][d, p, at], back[i - 1][1][d, p, at]
+    path[:, 0] = at
+    return *found, path
+
+
+def _k_best(phrases: list[list[tuple[float, list[Candidate]]]], n: int, k: int) -> list[list[tuple[float, float, float, tuple[int, ...]]]]:
+    one, beats = _arrays(phrases, n)
+    size, wide = one.shape[2:]
     number, string, stud, way, cost = one
     total = np.full((size, 3, wide, 1), np.inf)  # by direction (-1, 0, 1), candidate and rank
     total[:, 1, :, 0] = np.where(np.isnan(cost[0]), np.inf, cost[0])
@@ -197,17 +287,64 @@ def candidate_steps(notes: DataFrame, found: DataFrame, keys: list[str]) -> Data
     return notes.select(*keys, "idx", beats.alias("beats")).join(listed, [*keys, "idx"], "left")
 
 
+_PLACED = [("mode", pa.string()), ("string", pa.int32()), ("hui", pa.float64()), ("label", pa.string())]
+
+
+def whole_pitches(grid: DataFrame, cents: float) -> DataFrame:
+    """Every whole pitch (target) within so many cents of the grid: as many as the instrument has, whatever the data."""
+    low, high = F.ceil(F.col("midi") - cents / 100), F.floor(F.col("midi") + cents / 100)
+    return grid.where(low <= high).select(F.explode(F.sequence(low, high).cast("array<double>")).alias("target")).distinct()
+
+
+def _placing(keys: list[str], options: pa.Table) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Places the notes of phrases, rows of keys and ids, ticks and pitches as arrays, on the options of their pitches (sorted by target and rank), by the cheapest route."""
+    targets, first, many = np.unique(options["target"].to_numpy(), return_index=True, return_counts=True)
+    wide = int(many.max()) if len(many) else 1
+    table = np.full((5, len(targets) + 1, wide), np.nan)  # the last target has no candidates
+    for t, (a, m) in enumerate(zip(first, many, strict=True)):
+        table[:, t, :m] = [options[c].slice(a, m).to_numpy() for c in ("rank", "string", "hui", "place", "cost")]
+    first = np.append(first, 0)
+    together = max(1, MOVES // (wide * wide))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, ticks, pitches = (batch.column(len(keys) + i) for i in range(3))
+            counts, begins = ids.value_lengths().to_numpy(), ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()
+            ticks, pitches = (np.nan_to_num(x.flatten().to_numpy(zero_copy_only=False).astype(float), nan=missing) for x, missing in ((ticks, 960.0), (pitches, np.nan)))
+            which = np.minimum(np.searchsorted(targets, pitches), max(len(targets) - 1, 0))
+            which = np.where(targets[which] == pitches, which, len(targets)) if len(targets) else np.zeros(len(pitches), int)
+            lost = which == len(targets)
+            row, costs = np.full(len(which), -1), np.full(len(which), np.nan)
+            whole = np.add.reduceat(lost, begins) == 0 if len(begins) else lost
+            for n in np.unique(counts[whole]):
+                alike = begins[whole & (counts == n)]
+                for some in (alike[x : x + together] for x in range(0, len(alike), together)):
+                    at = some[:, None] + np.arange(n)[None]
+                    beats = np.maximum(np.concatenate([np.full((len(some), 1), 960.0), ticks[at[:, :-1]]], axis=1) / 960.0, LEAST_BEATS)
+                    total, _, _, path = best_of_arrays(table[:, which[at].T], beats.T)
+                    row[at], costs[at] = first[which[at]] + path, total[:, None]
+            taken = pa.array(row, mask=row < 0)
+            of = np.repeat(np.arange(len(counts)), counts)
+            placed = [options[c].combine_chunks().take(taken).cast(kind) for c, kind in _PLACED]
+            columns = [*(batch.column(i).take(pa.array(of)) for i in range(len(keys))), ids.flatten(), *placed, pa.array(costs, mask=row < 0), pa.array(lost)]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, "idx", *(c for c, _ in _PLACED), "cost", "missing"])
+
+    return run
+
+
 def baseline(notes: DataFrame, tuning: list[float], keys: list[str], k: int = 14, cents: float = 50.0) -> DataFrame:
     """The stopped route of each phrase, from its pitches alone. notes: keys, idx, pitches (array, empty where nothing sounds) and ticks. One row per sounding note: keys, idx, mode, string,
     hui, label, cost (of the phrase's route) and missing, whether the note has no position; a phrase with such a note has no route, and null positions.
 
-    Of several pitches the highest, rounded, is sought. Null and empty pitches are rests; a phrase of rests only has no rows."""
-    heard = notes.where(F.size(F.coalesce("pitches", F.array().cast("array<double>"))) > 0).select(*keys, "idx", F.coalesce("ticks", F.lit(960)).alias("ticks"), F.rint(F.array_max("pitches")).alias("pitch"))
-    spark = notes.sparkSession
-    found = best_positions(heard, F.col("pitch"), position_grid(spark, tuning, ("stopped",)), k, cents)
-    routes_ = directed_routes(candidate_steps(heard, found, keys), keys, 1)
-    taken = routes_.select(*keys, "cost", F.explode(F.arrays_zip("ids", "cands")).alias("x")).select(*keys, "cost", F.col("x.ids").alias("idx"), F.col("x.cands").alias("rank"))
-    placed = found.select(*keys, "idx", "rank", "mode", "string", "hui", "label").join(taken, [*keys, "idx", "rank"])
-    known = found.select(*keys, "idx").where("rank = 1").withColumn("has", F.lit(True))
-    out = heard.select(*keys, "idx").join(known, [*keys, "idx"], "left").join(placed.drop("rank"), [*keys, "idx"], "left")
-    return out.select(*keys, "idx", "mode", "string", "hui", "label", "cost", F.col("has").isNull().alias("missing"))
+    Of several pitches the highest, rounded, is sought. Null and empty pitches are rests; a phrase of rests only has no rows. The options of a pitch are the grid's, so that they go to the tasks once, for each whole
+    pitch; a phrase is one row of numbers, and is placed where it is."""
+    grid = position_grid(notes.sparkSession, tuning, ("stopped",))
+    found = ranked_positions(near_positions(whole_pitches(grid, cents), grid, cents), ["target"], k)
+    place, cost = F.coalesce(music.stud_fraction(F.col("hui")), F.lit(0.0)), music.node_cost(F.round("cents", 3), F.col("region_cost"))
+    options = found.select("target", "rank", "mode", "string", "hui", "label", place.alias("place"), cost.alias("cost")).orderBy("target", "rank").toArrow()
+    kind = dict(notes.dtypes)
+    note = F.struct("idx", F.coalesce("ticks", F.lit(960)).cast("double").alias("ticks"), F.rint(F.array_max("pitches")).alias("pitch"))
+    heard = notes.where(F.size(F.coalesce("pitches", F.array().cast("array<double>"))) > 0).select(*keys, note.alias("x"))
+    phrases = heard.groupBy(*keys).agg(F.sort_array(F.collect_list("x")).alias("x"))  # a phrase's notes, which the splitter bounds
+    apart = phrases.select(*keys, *[F.col("x")[c].alias(f"__{c}") for c in ("idx", "ticks", "pitch")])
+    return apart.mapInArrow(_placing(keys, options), ", ".join(f"`{c}` {kind[c]}" for c in [*keys, "idx"]) + ", mode string, string int, hui double, label string, cost double, missing boolean")

@@ -93,3 +93,33 @@ def test_ranker_fits_rows_alike_as_one(spark, monkeypatch):
     found = ranking.folded_ranks(spark.range(3000).withColumns(columns), 2).collect()
     assert len(found) == 1000
     assert len(fitted) == 2 and max(fitted) <= 40
+
+
+def test_a_baseline_shuffles_no_candidates(spark):
+    from lutework.functions import music
+    from lutework.operators import routes
+
+    pitch = F.when(F.col("id") % 97 == 5, 12.0).when(F.col("id") % 31 == 0, None).otherwise(48.0 + F.col("id") * 7 % 24)
+    columns = {"score": F.floor(F.col("id") / 40), "phrase": F.floor(F.col("id") / 5) % 8, "idx": (F.col("id") % 40).cast("int"), "ticks": F.when(F.col("id") % 3 > 0, 60 * (F.col("id") % 11)), "pitches": F.when(F.col("id") % 13 > 0, F.array(pitch, F.lit(20.0)))}
+    notes = spark.range(4000).withColumns(columns).drop("id").repartition(4).localCheckpoint()
+    n, got = shuffled(spark, lambda: routes.baseline(notes, music.STANDARD_TUNING, ["score", "phrase"]).collect())
+    grid = routes.position_grid(spark, music.STANDARD_TUNING, ("stopped",)).selectExpr("*", "explode(sequence(0, 100)) AS t").where("abs(midi - t) <= 0.5")
+    cost = F.round(F.abs((F.col("midi") - F.col("t")) * 100), 3)
+    found = grid.withColumn("region", music.tone_region_cost(F.col("hui"), F.col("mode"))).select("t", "string", "hui", "label", cost.alias("cents"), "region", F.coalesce(music.stud_fraction(F.col("hui")), F.lit(0.0)).alias("place")).collect()
+    options = {}
+    for x in sorted(found, key=lambda x: (x["cents"], x["region"], x["string"], x["hui"] or 0.0, x["label"] or "")):
+        options.setdefault(x["t"], []).append(x)
+    phrases, want = {}, []
+    for x in notes.collect():
+        if x["pitches"]:
+            phrases.setdefault((x["score"], x["phrase"]), []).append((x["idx"], 960 if x["ticks"] is None else x["ticks"], max(p for p in x["pitches"] if p is not None)))
+    for key, own in phrases.items():
+        own.sort()
+        before = [960, *(t for _, t, _ in own)]
+        steps = [(max(b / 960, 0.125), [(i + 1, o["string"], o["hui"], o["place"], abs(o["cents"]) * 0.03 + o["region"]) for i, o in enumerate(options.get(int(p), [])[:14])]) for (_, _, p), b in zip(own, before, strict=False)]
+        best = routes.k_best_directed(steps, 1)
+        for i, (idx, _, p) in enumerate(own):
+            o = options[int(p)][best[0][3][i] - 1] if best else None
+            want.append((*key, idx, *((o["string"], o["hui"], o["label"], round(best[0][0], 6)) if best else [None] * 4), int(p) not in options))
+    assert sorted(((x["score"], x["phrase"], x["idx"], x["string"], x["hui"], x["label"], x["cost"] and round(x["cost"], 6), x["missing"]) for x in got), key=repr) == sorted(want, key=repr)
+    assert any(x[-1] for x in want) and n < 4000
