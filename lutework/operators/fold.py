@@ -107,6 +107,23 @@ def cells_of(t: Column) -> Column:
     return F.transform(F.when(thumb & named, F.array(t, without_thumb, beside)).when(thumb, F.array(t, without_thumb)).when(named, F.array(t, beside)).otherwise(F.array(t)), facts)
 
 
+#: What the audit asks of a cell.
+MARKS = {
+    "strings": pa.int32(), "paired": pa.bool_(), "swept": pa.bool_(), "led": pa.bool_(), "placed": pa.bool_(), "slides": pa.bool_(), "brushes": pa.bool_(), "yinghe": pa.bool_(), "fanghe": pa.bool_(),
+}
+
+
+def marks_of(t: Column) -> Column:
+    """What the audit asks of a cell, by MARKS."""
+    pluck, chuo = text.first_of(t, PLUCKS), F.locate("绰", t)
+    slides = pluck.isNull() & F.exists(F.array(*[F.lit(x) for x in ["绰", "注", "淌", "浒", "引上", "上", "下", "进", "退"]]), lambda x: t.startswith(x))
+    found = (
+        F.size(text.string_numbers(t)), t.rlike(PAIRED_STROKES), F.size(text.sweep_strings(t)) > 0, pluck.isNotNull() & (chuo > 0) & (chuo < F.when(pluck.isNotNull(), F.position(pluck, t)).otherwise(0)),
+        text.stud(t).isNotNull() | text.stud_label(t).isNotNull(), slides, t.contains("拂"), t.contains("应合"), t.contains("放合"),
+    )
+    return F.struct(*[c.alias(name) for c, name in zip(found, MARKS, strict=True)])
+
+
 def read(notes: DataFrame) -> DataFrame:
     """notes (score, idx, text, rest, ...) with t, the cell's text, and cells."""
     return notes.withColumn("t", _plain("text")).withColumn("cells", cells_of(F.col("t")))
@@ -121,14 +138,19 @@ VOCABULARY = 8192
 
 
 def _spoken(rows: DataFrame, names: dict[str, str]) -> tuple[DataFrame, Broadcast]:
-    """The facts of the VOCABULARY commonest texts of the columns that names has, by text; and rows with, by names, a column of the facts of each text that isn't among them, null for those that are."""
+    """The facts and marks of the VOCABULARY commonest texts of the columns that names has, by text; and rows with, by names, a column of the facts and marks of each text that isn't among them, null for
+    those that are. Where fewer texts are found, they are all that there are, and no row needs a column of its own: it's null."""
     every = rows.select(F.explode(F.array(*names)).alias("t"))
     common = every.groupBy("t").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "t").limit(VOCABULARY)
-    facts = {t: [c.asDict(True) for c in cells] for t, cells in common.select("t", cells_of(F.col("t"))).collect()}
+    facts = {x["t"]: ([c.asDict(True) for c in x["cells"]], x["marks"].asDict()) for x in common.select("t", cells_of(F.col("t")).alias("cells"), marks_of(F.col("t")).alias("marks")).collect()}
+    sent = rows.sparkSession.sparkContext.broadcast(facts)
+    if len(facts) < VOCABULARY:
+        return rows.withColumns({facts_of: F.lit(None).cast("int") for facts_of in names.values()}), sent
     known = rows.sparkSession.createDataFrame(pa.table({"t": pa.array(list(facts), pa.string())})).withColumn("__known", F.lit(True))
     for name, facts_of in names.items():
-        rows = rows.join(F.broadcast(known.withColumnRenamed("t", name)), name, "left").withColumn(facts_of, F.when(F.col("__known").isNull(), cells_of(F.col(name)))).drop("__known")
-    return rows, rows.sparkSession.sparkContext.broadcast(facts)
+        own = F.struct(cells_of(F.col(name)).alias("cells"), marks_of(F.col(name)).alias("marks"))
+        rows = rows.join(F.broadcast(known.withColumnRenamed("t", name)), name, "left").withColumn(facts_of, F.when(F.col("__known").isNull(), own)).drop("__known")
+    return rows, sent
 
 
 # The hand
@@ -447,11 +469,12 @@ def _advance(hand: Hand, cells: list[dict], rest: bool) -> Said:
     return out
 
 
-def _stepped(hand: Hand, cells: list[dict], rest: bool) -> tuple:
-    """One row: what it sounds and the hand after it, as values in the order of _OUT that are hashed. stopped_sounds is what it would have sounded outside the region, of rows within one that state no manner."""
+def _stepped(hand: Hand, cells: list[dict], rest: bool, beside: bool = True) -> tuple:
+    """One row: what it sounds and the hand after it, as values in the order of _OUT that are hashed. stopped_sounds is what it would have sounded outside the region, of rows within one that state no manner;
+    it isn't sought without beside."""
     scope_before, other = hand.scope, None
     cell = cells[0]
-    if scope_before and not (cell["stopped"] or cell["opened"] or cell["names_start"] or cell["stops"]):
+    if beside and scope_before and not (cell["stopped"] or cell["opened"] or cell["names_start"] or cell["stops"]):
         other = hand.copy()
         other.leave_region()
         other = said(other, cells)
@@ -472,7 +495,10 @@ def _places(some: tuple) -> list[tuple[str, dict]]:
     return [(f, _sound((s, p, "stopped"))) for f, (s, p) in some]
 
 
-_NESTED = {"sounds": _sounds, "attacks": _sounds, "stopped_sounds": _sounds, "places": _places}
+#: What the reference sounds, beside a prediction.
+_OWN = {"own_sounds": pa.list_(_SOUND), "own_freed": pa.int32(), "own_reason": pa.string()}
+_OWN_DDL = f"own_sounds array<{PLACE}>, own_freed int, own_reason string"
+_NESTED = {"sounds": _sounds, "own_sounds": _sounds, "attacks": _sounds, "stopped_sounds": _sounds, "places": _places}
 
 
 def step(hand: Hand, cells: list[dict], rest: bool) -> dict:
@@ -495,8 +521,8 @@ class Replay:
     def __init__(self) -> None:
         self.hand = Hand()
 
-    def row(self, cells: list[dict], rest: bool) -> tuple:
-        return _stepped(self.hand, cells, rest)
+    def row(self, cells: list[dict], rest: bool, beside: bool = True) -> tuple:
+        return _stepped(self.hand, cells, rest, beside)
 
 
 class History:
@@ -526,10 +552,11 @@ class History:
             hand.origin = None
         return hand
 
-    def row(self, cells: list[dict], reference: list[dict], rest: bool, phrase: object, region: bool | None) -> tuple:
+    def row(self, cells: list[dict], reference: list[dict], rest: bool, phrase: object, region: bool | None, beside: bool = True) -> tuple:
+        """The prediction's row, as _stepped gives it, and then what the reference sounds there."""
         if not self.begun or phrase != self.phrase:
             self.prediction, self.phrase = self.border(region), phrase
-        out = _stepped(self.prediction, cells, rest)
+        out = _stepped(self.prediction, cells, rest, beside)
         said_so = _advance(self.reference, reference, rest)
         if self.seeds:
             _advance(self.seeded, reference, rest)
@@ -537,52 +564,72 @@ class History:
             marker = reference[0]["last_marker"]
             self.marked = (marker == "泛起" if marker else self.marked) and not (rest and reference[0]["blank"])
         self.begun = True
-        return out
+        return (*out, *((tuple(said_so.sounds), said_so.freed) if said_so.reason is None else ((), None)), said_so.reason)
 
 
-def _carried(rows: DataFrame, start: Callable[[], Replay | History], texts: list[str], inputs: list[str], drop: list[str]) -> DataFrame:
-    """rows without drop, and with what the fold gives, which takes the facts of texts and inputs of each row in the order of score and idx."""
-    kept = [c for c in rows.columns if c not in drop]
+def _carried(rows: DataFrame, start: Callable[[], Replay | History], texts: dict[str, str], inputs: list[str], drop: list[str], out: dict[str, pa.DataType], ddl: str, leave: tuple[str, ...]) -> DataFrame:
+    """rows without drop, and with out, what the fold gives, which takes the facts of texts and inputs of each row in the order of score and idx; and the marks of texts, by their names. Columns to leave are null.
+
+    A window deals the rows by score, so that rows that are dealt so already aren't dealt again; the order is sorted after it, since other windows may be put above it."""
+    kept, marks = [c for c in rows.columns if c not in drop], pa.struct(MARKS)
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    said = ", ".join(f"`{c}` struct<{', '.join(f'{k}: {"int" if v == pa.int32() else "boolean"}' for k, v in MARKS.items())}>" for c in texts.values())
     facts_of = {c: f"__{c}_facts" for c in texts}
     rows, sent = _spoken(rows, facts_of)
+    beside = "stopped_sounds" not in leave
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, score, known = None, None, sent.value
 
-        def facts_in(batch: pa.RecordBatch, name: str) -> Iterator[list[dict]]:
-            own = batch.column(facts_of[name])
-            for i, t in enumerate(batch.column(name).to_pylist()):
-                yield known[t] if t in known else own[i].as_py()
+        def spoken(batch: pa.RecordBatch, name: str) -> tuple[list[int], list[tuple]]:
+            """Which of the batch's texts each row has, and their facts and marks."""
+            found = batch.column(name).dictionary_encode()
+            at, facts = found.indices.to_pylist(), [known.get(t) for t in found.dictionary.to_pylist()]
+            for i, n in enumerate(at):
+                if facts[n] is None:
+                    own = batch.column(facts_of[name])[i].as_py()
+                    facts[n] = own["cells"], own["marks"]
+            return at, facts
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out = []
+            made = []
             own, *given = (batch.column(c).to_pylist() for c in ("score", *inputs))
-            for new, *values in zip(own, *[facts_in(batch, c) for c in texts], *given, strict=True):
+            read = [spoken(batch, c) for c in texts]
+            cells = [[facts[n][0] for n in at] for at, facts in read]
+            for new, *values in zip(own, *cells, *given, strict=True):
                 if state is None or new != score:
                     state, score = start(), new
-                out.append(state.row(*values))
-            made = [_column(name, values, kind) for (name, kind), values in zip(_OUT.items(), zip(*out, strict=True), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made, [*kept, *_OUT])
+                made.append(state.row(*values, beside))
+            columns = [pa.nulls(len(own), kind) if name in leave else _column(name, values, kind) for (name, kind), values in zip(out.items(), zip(*made, strict=True), strict=True)]
+            columns += [pa.array([x for _, x in facts], marks).take(pa.array(at, pa.int32())) for at, facts in read]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + columns, [*kept, *out, *texts.values()])
 
-    return rows.repartition("score").sortWithinPartitions("score", "idx").mapInArrow(run, f"{schema}, {_DDL}")
+    ordered = rows.withColumn("__place", F.row_number().over(Window.partitionBy("score").orderBy("idx"))).sortWithinPartitions("score", "idx")
+    return ordered.mapInArrow(run, f"{schema}, {ddl}, {said}")
 
 
-def folded(notes: DataFrame) -> DataFrame:
+def folded(notes: DataFrame, leave: tuple[str, ...] = ()) -> DataFrame:
     """notes (score, idx, text, rest, ...) with, of each row, sounds, attacks, freed, reason, the region, and the hand after it: string, hui, label, finger, manner,
-    origin_string and places by finger; and pitches are added by `sounded`."""
-    return _carried(notes.withColumn("t", _plain("text")), Replay, ["t"], ["rest"], [])
+    origin_string and places by finger, null of those to leave; and pitches are added by `sounded`."""
+    return _carried(notes.withColumn("t", _plain("text")), Replay, {"t": "__marks"}, ["rest"], [], _OUT, _DDL, leave)
 
 
-def after_history(notes: DataFrame, seeds: bool = False) -> DataFrame:
+def after_history(notes: DataFrame, seeds: bool = False, leave: tuple[str, ...] = ()) -> DataFrame:
     """notes (score, idx, phrase, text (predicted), reference, rest, and with seeds region: whether the phrase begins in one, null if that isn't said), each predicted phrase folded after the
-    reference of all rows before it, in time linear in the rows: the reference is gone through once, not once for each phrase."""
+    reference of all rows before it, in time linear in the rows: the reference is gone through once, not once for each phrase. What the reference sounds is in own_sounds, own_freed and own_reason."""
     rows = notes.withColumns({"t": _plain("text"), "__said": _plain("reference")})
     if not seeds:
         rows = rows.withColumn("region", F.lit(None).cast("boolean"))
-    return _carried(rows, lambda: History(seeds), ["t", "__said"], ["rest", "phrase", "region"], ["__said"])
+    return _carried(rows, lambda: History(seeds), {"t": "__marks", "__said": "__own_marks"}, ["rest", "phrase", "region"], [], _OUT | _OWN, f"{_DDL}, {_OWN_DDL}", leave)
+
+
+def own_rows(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Rows of after_history as `folded` gives those of their references, with what is to keep; the hand is not among it. Like `audited`, after `ahead`, it needs no other row."""
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("attacks", f"array<{PLACE}>"), ("stopped_sounds", f"array<{PLACE}>"), ("string", "int"), ("hui", "double"), ("label", "string"))]
+    named = {"reference": "text", "__said": "t", "__own_next": "__next", "__own_coming": "__coming", "__own_marks": "__marks", "own_sounds": "sounds", "own_freed": "freed", "own_reason": "reason"}
+    return rows.select("score", "idx", "structural", "rest", "targets", *keep, *none, *[F.col(a).alias(b) for a, b in named.items()])
 
 
 # Pitches and the audit
@@ -606,6 +653,15 @@ def sounded(rows: DataFrame, open_midi: list[float] | Column = music.STANDARD_TU
     return rows.withColumns({"pitches": _pitches(F.col("sounds"), F.col("freed"), tuning), "stopped_pitches": _pitches(F.col("stopped_sounds"), none, tuning), "tuning": tuning})
 
 
+def ahead(rows: DataFrame, keys: tuple[str, ...], name: str = "text", to: str = "__") -> DataFrame:
+    """rows (keys, idx, structural, targets and the cells' text by name) with what `audited` takes of the rows that come: the next text, and idx and target of as many rows as a cell may sound; both null
+    where the cell sounds no other row. It needs nothing of the fold, so that it can come before it, where rows are dealt by their scores."""
+    order = Window.partitionBy(*keys, "structural").orderBy("idx")
+    more = _plain(name).rlike(f"[历歷厉]|{PAIRED_STROKES}")
+    coming = F.collect_list(F.struct("idx", F.get("targets", 0).alias("p"))).over(order.rowsBetween(0, 6))  # a cell names seven strings at most
+    return rows.withColumns({f"{to}next": F.when(more, F.lead(_plain(name)).over(order)), f"{to}coming": F.when(more, coming)})
+
+
 def audited(rows: DataFrame, cents: float = 50.0, keys: tuple[str, ...] = ("score",)) -> DataFrame:
     """Sounded rows (with structural and targets, the pitches that are wanted) with status (matched, mismatched or skipped), verdict (why), error and mean_error in cents,
     covered (the idx of the rows that a sweep or a double stroke sounds) and resolved (string, place and pitch of each sound that is known).
@@ -613,20 +669,17 @@ def audited(rows: DataFrame, cents: float = 50.0, keys: tuple[str, ...] = ("scor
     Sweeps and double strokes are held against the targets of as many rows as they sound, in order, up to the first row without one; bars don't count. Other
     pitches are paired in the order of height, which no other pairing beats. A row with one target and several sounds matches by any of them. keys: what rows a sweep
     may go on to share."""
-    t = F.col("t")
-    ahead = Window.partitionBy(*keys, "structural").orderBy("idx")
-    following = F.lead(F.trim(F.coalesce("text", F.lit("")))).over(ahead)
-    numbers = text.string_numbers(t)
+    if "__next" not in rows.columns:
+        rows = ahead(rows, keys)
+    if "__marks" not in rows.columns:
+        rows = rows.withColumn("__marks", marks_of(F.col("t")))
+    mark = {k: F.col("__marks")[k] for k in MARKS}
     clean = F.col("reason").isNull()
-    twice = t.rlike(PAIRED_STROKES) & (F.size(numbers) == 1) & (F.size("pitches") == 1) & clean & (following == "") & ~F.col("structural")
-    swept = F.size(text.sweep_strings(t)) > 0
-    coming = F.collect_list(F.struct("idx", F.get("targets", 0).alias("p"))).over(ahead.rowsBetween(0, 6))  # a cell names seven strings at most
-    rows = rows.withColumns({"twice": twice, "swept": swept, "coming": coming})
-    pluck = text.first_of(t, PLUCKS)
-    chuo = F.locate("绰", t)
-    proven = (F.size(numbers) == 1) & (text.stud(t).isNotNull() | text.stud_label(t).isNotNull()) & (F.size("pitches") == 1) & clean
-    unproven = pluck.isNotNull() & (chuo > 0) & (chuo < F.when(pluck.isNotNull(), F.position(pluck, t)).otherwise(0)) & ~proven
-    slide = pluck.isNull() & F.exists(F.array(*[F.lit(x) for x in ["绰", "注", "淌", "浒", "引上", "上", "下", "进", "退"]]), lambda x: t.startswith(x)) & (F.size("pitches") == 0)
+    twice = mark["paired"] & (mark["strings"] == 1) & (F.size("pitches") == 1) & clean & (F.col("__next") == "") & ~F.col("structural")
+    rows = rows.withColumns({"twice": twice, "swept": mark["swept"], "coming": F.col("__coming")})
+    proven = (mark["strings"] == 1) & mark["placed"] & (F.size("pitches") == 1) & clean
+    unproven = mark["led"] & ~proven
+    slide = mark["slides"] & (F.size("pitches") == 0)
     none = F.array().cast("array<double>")
     actual = F.when(unproven, none).when(F.col("twice"), F.concat("pitches", "pitches")).otherwise(F.col("pitches"))
     why = F.when(unproven, "context_dependent_pre_attack_technique").when(slide, F.coalesce("reason", F.lit("context_dependent_slide"))).otherwise(F.col("reason"))
@@ -641,15 +694,15 @@ def audited(rows: DataFrame, cents: float = 50.0, keys: tuple[str, ...] = ("scor
     in_order = lambda x: F.when(F.col("sequential"), x).otherwise(F.array_sort(x))
     errors = F.zip_with(in_order(F.col("wanted")), in_order(F.col("actual")), lambda a, b: F.abs(a - b) * 100)
     n_wanted, n = F.size("wanted"), F.size("actual")
-    joined = t.contains("应合") | t.contains("放合")
+    joined = mark["yinghe"] | mark["fanghe"]
     least = F.array_min(F.transform("actual", lambda x: F.array_min(F.transform("wanted", lambda y: F.abs(x - y) * 100))))
     main = (n_wanted == 1) & (n > 1) & ~F.col("sequential") & (least <= cents)
     kind = (
-        F.when(n_wanted == 0, "no_sounding_jianpu").when(t.contains("拂"), "compound_sweep_pitch_ambiguous").when(F.col("why").isNotNull(), F.col("why"))
-        .when(joined & (n_wanted == 2), F.concat(F.when(t.contains("应合"), "yinghe").otherwise("fanghe"), F.when(least <= cents, "_single_pitch_match").otherwise("_no_pitch_match")))
+        F.when(n_wanted == 0, "no_sounding_jianpu").when(mark["brushes"], "compound_sweep_pitch_ambiguous").when(F.col("why").isNotNull(), F.col("why"))
+        .when(joined & (n_wanted == 2), F.concat(F.when(mark["yinghe"], "yinghe").otherwise("fanghe"), F.when(least <= cents, "_single_pitch_match").otherwise("_no_pitch_match")))
         .when((n_wanted != n) & main, "single_symbol_multivoice_main_note").when(n_wanted != n, F.when(F.col("swept"), "li_pitch_count_mismatch").otherwise("pitch_count_mismatch"))
     )
-    skipped = (n_wanted == 0) | t.contains("拂") | F.col("why").isNotNull()
+    skipped = (n_wanted == 0) | mark["brushes"] | F.col("why").isNotNull()
     rows = rows.withColumns({"verdict": kind, "errors": F.when(~skipped & (n_wanted == n) & ~(joined & (n_wanted == 2)), errors).when(~skipped & ((joined & (n_wanted == 2)) | main), F.array(least))})
     worst = F.array_max("errors")
     status = F.when(skipped, "skipped").when(F.coalesce(worst <= cents, F.lit(False)), "matched").otherwise("mismatched")
@@ -663,7 +716,7 @@ def audited(rows: DataFrame, cents: float = 50.0, keys: tuple[str, ...] = ("scor
     hint = F.col("verdict").isNull() & (F.size("stopped_pitches") == n_wanted) & (F.array_max(outside) <= cents)
     out = rows.withColumns({"status": status, "error": F.round(worst, 3), "mean_error": F.round(F.aggregate("errors", F.lit(0.0), lambda s, x: s + x) / F.size("errors"), 3), "covered": F.transform("run", lambda x: x["idx"]), "resolved": resolved})
     out = out.withColumn("stopped_would_match", (F.col("status") == "mismatched") & F.coalesce(hint, F.lit(False)))
-    return out.drop("twice", "swept", "coming", "why", "sequential", "run", "errors", "tuning", "stopped_pitches", "stopped_sounds")
+    return out.drop("twice", "swept", "coming", "why", "sequential", "run", "errors", "tuning", "stopped_pitches", "stopped_sounds", "__next", "__coming", "__marks")
 
 
 #: What the parts of a phrase's score weigh.

@@ -14,9 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """score, idx, midi, structural, mark and duration of each line item, its order being the score."""
-    w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
-    rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("score"), (F.row_number().over(w) - 1).alias("idx"), (48 + F.col("l_quantity").cast("int") % 24).alias("midi"), F.col("l_returnflag").alias("flag"),
+    w = Window.partitionBy("score").orderBy(*LINE_ORDER)  # by the name that the queries group by, so that rows are dealt once
+    rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "score").select(
+        "score", (F.row_number().over(w) - 1).alias("idx"), (48 + F.col("l_quantity").cast("int") % 24).alias("midi"), F.col("l_returnflag").alias("flag"),
         F.col("l_linestatus").alias("status"), (F.col("l_discount") * 100).cast("int").alias("d"),
     )
     return rows.withColumn("structural", (F.col("flag") == "A") & (F.col("idx") % 4 == 3))

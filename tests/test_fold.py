@@ -244,3 +244,25 @@ def test_a_string_set_free_is_not_the_contact_that_sounds_alike(spark):
     *_, last = run(spark, ["中指七徽勾六弦", "泛起名指七徽勾二弦", "撮（大指七徽一弦按音＋三弦散音）", "名指九徽勾四弦", "散挑三弦", "带起", ("带起", [60])])[0]
     assert (last["freed"], last["string"], last["hui"], last["status"]) == (6, 1, 7.0, "matched")
     assert last["resolved"] == []
+
+
+def test_references_beside_predictions_audit_as_alone(spark):
+    r = random.Random(4)
+    cells = ["大指九徽勾三弦", "散历七六弦", "散抹挑五弦", "", "绰勾一弦", "绰上七徽", "泛起中指七徽勾二弦", "泛止", "散挑五弦应合", "爪起", "带起", "拂一至六弦", "散历三至五弦", "勾一弦", None]
+    rows = [(k, i, i // 5, r.choice(cells), r.choice(cells), i % 7 == 6, i % 9 == 8, [] if i % 6 == 5 else [r.choice([48.0, 50.0, 57.0, 60.0, 62.0])]) for k in range(6) for i in range(40)]
+    frame = spark.createDataFrame(rows, "score int, idx int, phrase int, text string, reference string, structural boolean, rest boolean, targets array<double>")
+    keys, names = ("score", "phrase"), ["score", "idx", "reason", "status", "verdict", "error", "covered", "sounds", "pitches"]
+    shown = lambda df: sorted(map(repr, df.select(*names).collect()))
+    plain = frame.select("score", "idx", "phrase", F.col("reference").alias("text"), "structural", "rest", "targets")
+    want = shown(fold.audited(fold.sounded(fold.folded(plain)), keys=keys))
+    tried = fold.after_history(fold.ahead(fold.ahead(frame, keys, "reference", "__own_"), keys), False, ("attacks", "stopped_sounds", "places"))
+    assert shown(fold.audited(fold.sounded(fold.own_rows(tried, ["phrase"])), keys=keys)) == want
+    assert shown(fold.audited(fold.sounded(tried), keys=keys)) == shown(fold.audited(fold.sounded(fold.after_history(frame)), keys=keys))
+
+
+def test_replays_deal_rows_once_and_go_through_a_reference_once(spark):
+    from lutework.plans import replays
+
+    for query, exchanges in ((replays.f11_causal_replay, 1), (replays.f10_history_audit, 1), (replays.f11_phrase_report, 2)):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == exchanges and plan.count("Exchange") == exchanges and plan.count("MapInArrow") == 1
